@@ -7,9 +7,9 @@ a path at one of its nodes gives a set of paths whose maximum is a Gumbel variab
 sum of log probabilities up to the node. The search always opens the set with the largest maximum, draws its path, and splits the
 rest of the set in the same way. The (k + 1)-th maximum gives each sample's inclusion probability.
 
-Pieces never cross the chunks between white space, so a chunk's lattice and its backward sums are made once and remembered
-(bounded), and whole batches of documents are sampled together with numpy. Random numbers are hashes of the row's key,
-the sample, and the place, so a row's samples depend on nothing but its key and text.
+Pieces never cross the chunks between white space, so the lattice falls into chunks, and all chunks of a batch of documents
+are built, summed and sampled together with numpy: no step is taken for a single word. Random numbers are hashes of
+the row's key, the sample, and the place, so a row's samples depend on nothing but its key and text.
 
 The vocabulary is a BPE model, whose scores are merge ranks, not log probabilities. They become a Zipf distribution:
 ``log p = -alpha * log(rank + shift)``; every sum over paths is normalised, so no constant matters. Characters without
@@ -23,7 +23,6 @@ an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_CHUNK = re.compile("▁+[^▁\n]*|[^▁\n]+|\n")
 SAMPLES, ALPHA, SHIFT, SEED = 2, 1.0, 20.0, 11
+GROWTH = 30.0
 
 
 def normalized(text: str | None) -> str:
@@ -57,226 +56,263 @@ def _uniform(seeds: np.ndarray, *places) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
-class Lattices:
-    """The chunks' lattices in flat arrays. Nodes are places in a chunk, edges are pieces; probabilities are conditional on the node."""
+class Vocabulary:
+    """The pieces as a trie in flat arrays, their weights, and how they are spelled.
 
-    def __init__(self, model_path: str, alpha: float = ALPHA, shift: float = SHIFT, bound: int = 3_000_000) -> None:
+    A step of the trie is a lookup of (state, class of the character) in an open hash table, so that all places of a batch
+    of texts step at once.
+    """
+
+    EMPTY = -1
+
+    def __init__(self, model_path: str, alpha: float = ALPHA, shift: float = SHIFT) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        self.bound, size = bound, sp.get_piece_size()
-        self.pieces = [sp.id_to_piece(i) for i in range(size)]
+        size = sp.get_piece_size()
+        pieces = [sp.id_to_piece(i) for i in range(size)]
         plain = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        self.log_p = {self.pieces[i]: (i, -alpha * math.log(-sp.get_score(i) + shift)) for i in plain}
-        self.byte = {int(self.pieces[i][3:5], 16): i for i in range(size) if sp.is_byte(i)}
-        self.byte_log_p = -alpha * math.log(max(-sp.get_score(i) for i in plain) + shift)
-        self.longest = max(len(self.pieces[i]) for i in plain)
-        spelled = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.encode() for i, p in enumerate(self.pieces)]
+        self.longest = max(len(pieces[i]) for i in plain)
+        self.byte_id = np.zeros(256, np.int64)
+        self.byte_id[[int(pieces[i][3:5], 16) for i in range(size) if sp.is_byte(i)]] = [i for i in range(size) if sp.is_byte(i)]
+        # weights of pieces grow with their length by a constant to the power of it, which every path of a text shares
+        self.weight = np.zeros(size)
+        self.weight[plain] = [math.exp(-alpha * math.log(-sp.get_score(i) + shift)) * GROWTH ** len(pieces[i]) for i in plain]
+        self.byte_weight = math.exp(-alpha * math.log(max(-sp.get_score(i) for i in plain) + shift))
+        spelled = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.encode() for i, p in enumerate(pieces)]
         self.spelled, self.spelled_at = np.frombuffer(b"".join(spelled), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in spelled])))
-        self.forget()
-
-    def forget(self) -> None:
-        self.start: dict[str, int] = {}
-        self.n_nodes = 0
-        self._lists: dict[str, list] = {k: [] for k in ("log_p", "cum", "next", "first_id", "n_ids", "node_at", "more")}
-        self._fixed = -1
-
-    def _build(self, chunk: str) -> None:
-        n, look, longest = len(chunk), self.log_p.get, self.longest
-        beta, nodes = [0.0] * (n + 1), [None] * n
-        for i in range(n - 1, -1, -1):
-            out = []
-            for j in range(i + 1, min(n, i + longest) + 1):
-                if (found := look(chunk[i:j])) is not None:
-                    out.append((found[1] + beta[j], j, found[0], 1))
-            if not out or out[0][1] != i + 1:
-                spelled = [self.byte[b] for b in chunk[i].encode()]
-                out.insert(0, (self.byte_log_p * len(spelled) + beta[i + 1], i + 1, tuple(spelled), len(spelled)))
-            top = max(x[0] for x in out)
-            beta[i] = top + math.log(sum(math.exp(x[0] - top) for x in out)) if len(out) > 1 else top
-            nodes[i] = out
-        base, a = self.n_nodes, self._lists
-        self.start[chunk] = base
-        for i, out in enumerate(nodes):
-            a["node_at"].append(len(a["log_p"]))
-            total = 0.0
-            for w, j, ids, m in out:
-                p = w - beta[i] if len(out) > 1 else 0.0
-                total += math.exp(p)
-                a["log_p"].append(p)
-                a["cum"].append(base + i + min(total, 1.0))
-                a["next"].append(base + j if j < n else -1)
-                a["n_ids"].append(m)
-                if m == 1:
-                    a["first_id"].append(ids if isinstance(ids, int) else ids[0])
-                else:
-                    a["first_id"].append(-1 - len(a["more"]))
-                    a["more"].append(ids)
-        self.n_nodes = base + n
-
-    def prepare(self, chunks: set[str]) -> None:
-        """Makes the missing lattices. To be called once before a batch: what is too much is forgotten here only."""
-        if len(self._lists["log_p"]) > self.bound:
-            self.forget()
-        for chunk in chunks:
-            if chunk not in self.start:
-                self._build(chunk)
-        if self._fixed != self.n_nodes:
-            a = self._lists
-            self.log_p_of, self.cum, self.next = np.array(a["log_p"]), np.array(a["cum"]), np.array(a["next"], np.int64)
-            self.first_id, self.n_ids = np.array(a["first_id"], np.int64), np.array(a["n_ids"], np.int64)
-            self.node_at = np.array([*a["node_at"], len(a["log_p"])], np.int64)
-            self.edge_node = np.repeat(np.arange(self.n_nodes), np.diff(self.node_at))
-            self._fixed = self.n_nodes
-
-    def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        edge = np.searchsorted(self.cum, node + u, "right")
-        return np.clip(edge, self.node_at[node], self.node_at[node + 1] - 1)
-
-    def ids(self, edges: np.ndarray) -> np.ndarray:
-        n = self.n_ids[edges]
-        first = self.first_id[edges]
-        if (n == 1).all():
-            return first.astype(np.uint32)
-        out = np.repeat(first, n)
-        at = np.cumsum(n) - n
-        for i in np.flatnonzero(n > 1).tolist():
-            out[at[i] : at[i] + n[i]] = self._lists["more"][-1 - first[i]]
-        return out.astype(np.uint32)
+        letters = sorted({c for i in plain for c in pieces[i]})
+        self.kinds = np.zeros(0x110000, np.int16)
+        self.kinds[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.bits = len(letters).bit_length()
+        steps: dict[tuple[int, int], int] = {}
+        ends = [-1]
+        for i in plain:
+            at = 0
+            for c in pieces[i]:
+                key = (at, int(self.kinds[ord(c)]))
+                if key not in steps:
+                    steps[key] = len(ends)
+                    ends.append(-1)
+                at = steps[key]
+            ends[at] = i
+        self.ends = np.array(ends, np.int32)
+        self.mask = (1 << (4 * len(steps)).bit_length()) - 1
+        self.keys, self.to = np.full(self.mask + 1, self.EMPTY, np.int64), np.zeros(self.mask + 1, np.int32)
+        for (at, kind), to in steps.items():
+            key = at << self.bits | kind
+            slot = self._slot(key)
+            while self.keys[slot] != self.EMPTY:
+                slot = (slot + 1) & self.mask
+            self.keys[slot], self.to[slot] = key, to
+
+    def _slot(self, key):
+        return ((key * 0x9E3779B1) >> 11) & self.mask
+
+    def step(self, state: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the states have a step for the character's class, and where those lead."""
+        key = state.astype(np.int64) << self.bits | kind
+        slot = self._slot(key)
+        seen = self.keys[slot]
+        hit = seen == key
+        late = np.flatnonzero(~hit & (seen != self.EMPTY))
+        while len(late):
+            slot[late] = (slot[late] + 1) & self.mask
+            seen = self.keys[slot[late]]
+            hit[late] = seen == key[late]
+            late = late[(seen != key[late]) & (seen != self.EMPTY)]
+        return hit, self.to[slot[hit]]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The normalised text that the ids spell, as UTF-8."""
-        lo, n = self.spelled_at[ids], self.spelled_at[ids.astype(np.int64) + 1] - self.spelled_at[ids]
+        ids = ids.astype(np.int64)
+        lo, n = self.spelled_at[ids], self.spelled_at[ids + 1] - self.spelled_at[ids]
         ends = np.cumsum(n)
         return self.spelled[np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - ends + n, n)].tobytes()
 
 
+class Lattice:
+    """The lattice of a batch of texts: for every place and length, the piece and its probability given the place.
+
+    ``p[l, i]`` is the probability that the piece from place i has l + 1 characters, over all ways to the end of i's chunk. The
+    backward sums run over all chunks at once, from their ends; they are scaled where they would leave the range of floats.
+    """
+
+    def __init__(self, voc: Vocabulary, texts: list[str | None]) -> None:
+        spelled = [normalized(t) for t in texts]
+        sizes = np.array([len(t) for t in spelled], np.int64)
+        self.voc, self.doc_at = voc, np.concatenate(([0], np.cumsum(sizes + 1)))  # a separator after each text
+        self.code = code = np.frombuffer("".join(t + "\n" for t in spelled).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.text_end = self.doc_at[:-1] + sizes
+        n, longest = len(code), voc.longest
+        kinds = np.concatenate((voc.kinds[code], np.zeros(longest, np.int16)))
+        self.piece, self.p = np.full((longest, n), -1, np.int32), np.zeros((longest, n))
+        at, state = np.arange(n), np.zeros(n, np.int32)
+        for length in range(longest):
+            hit, state = voc.step(state, kinds[at + length])
+            at = at[hit]
+            if not len(at):
+                break
+            ends = voc.ends[state]
+            there = ends >= 0
+            self.piece[length, at[there]], self.p[length, at[there]] = ends[there], voc.weight[ends[there]]
+        fallback = self.piece[0] < 0
+        n_bytes = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+        self.p[0, fallback] = voc.byte_weight ** n_bytes[fallback] * GROWTH
+        space, line = code == 0x2581, code == 10
+        first = (space & ~np.concatenate(([False], space[:-1]))) | line | np.concatenate(([True], line[:-1]))
+        starts = np.flatnonzero(first)
+        ends = np.append(starts[1:], n)
+        inside = np.ones(len(starts), bool)
+        inside[np.searchsorted(starts, self.text_end)] = False  # the separators
+        self.starts, self.ends = starts[inside], ends[inside]
+        self._backward()
+
+    def _backward(self) -> None:
+        order = np.argsort(-(self.ends - self.starts), kind="stable")
+        ends, sizes = self.ends[order], (self.ends - self.starts)[order]
+        longest, p = len(self.p), self.p
+        alive = np.searchsorted(-sizes, -np.arange(1, (sizes[0] if len(sizes) else 0) + 1), "right")  # chunks with so many characters
+        sums = [np.ones(len(ends))]  # backward sums at the last ``longest`` distances from the ends
+        for r, k in enumerate(alive.tolist(), 1):
+            nodes = ends[:k] - r
+            terms = [p[m][nodes] for m in range(min(r, longest))]  # no piece leaves its chunk
+            total = np.zeros(k)
+            for m, term in enumerate(terms):
+                term *= sums[-1 - m][:k]
+                total += term
+            scale = 1 / total
+            for m, term in enumerate(terms):
+                term *= scale
+                p[m][nodes] = term
+            sums = [x[:k] for x in sums[1 - longest :]] + [total]
+            if r % 8 == 0 and ((total < 1e-60) | (total > 1e60)).any():
+                sums = [x / total for x in sums]
+        self.p_sum = p_sum = p.copy()
+        for before, row in zip(p_sum[:-1], p_sum[1:], strict=True):
+            row += before
+
+    def choices(self, u: np.ndarray) -> np.ndarray:
+        """For every place, the length less one of a piece drawn from its probabilities."""
+        out, u = np.zeros(len(u), np.int8), u * (1 - 1e-12)  # below the sum of a place's probabilities, as rounded
+        for row in self.p_sum[:-1]:
+            out += u >= row
+        return out
+
+    def visited(self, choice: np.ndarray) -> np.ndarray:
+        """The places that the path of these choices meets, in order."""
+        seen = np.zeros(len(choice), bool)
+        at, ends = self.starts, self.ends
+        while len(at):
+            seen[at] = True
+            at = at + choice[at] + 1
+            on = at < ends
+            at, ends = at[on], ends[on]
+        return np.flatnonzero(seen)
+
+    def ids(self, at: np.ndarray, choice: np.ndarray) -> np.ndarray:
+        """The ids of the pieces at the places of a path."""
+        out = self.piece[choice[at], at].astype(np.int64)
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            code = self.code[at[missing]]
+            if (code < 0x80).all():
+                out[missing] = self.voc.byte_id[code]
+            else:
+                spelled = [chr(c).encode("utf-8", "surrogatepass") for c in code.tolist()]
+                n = np.ones(len(out), np.int64)
+                n[missing] = [len(x) for x in spelled]
+                begin = np.cumsum(n) - n
+                out = np.repeat(out, n)
+                for i, x in zip(begin[missing].tolist(), spelled, strict=True):
+                    out[i : i + len(x)] = self.voc.byte_id[list(x)]
+        return out.astype(np.uint32)
+
+
 def _cut_gumbel(location: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel variables at the locations, given that they are at most ``top``."""
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         return np.where(location > -math.inf, location - np.log(np.exp(location - top) - np.log(u)), -math.inf)
 
 
-class _Path:
-    """A path of every document that has one: edges by (document, chunk, step), and the sets left at each."""
-
-    def __init__(self, edges, occ, step, doc_at, prefix, left) -> None:
-        self.edges, self.occ, self.step, self.doc_at, self.prefix, self.left = edges, occ, step, doc_at, prefix, left
-
-
-def sample_batch(lat: Lattices, texts: list[str | None], seeds: np.ndarray, k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float, float]]]:
+def sample_batch(voc: Vocabulary, texts: list[str | None], seeds: np.ndarray, k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text, up to k samples (ids, log probability, perturbed, log inclusion probability), by falling perturbed value."""
-    chunks = [_CHUNK.findall(normalized(t)) for t in texts]
-    lat.prepare({c for x in chunks for c in x})
-    docs = len(texts)
-    occ_at = np.concatenate(([0], np.cumsum([len(x) for x in chunks]))).astype(np.int64)
-    start = np.fromiter((lat.start[c] for x in chunks for c in x), np.int64, int(occ_at[-1]))
-    occ_doc = np.repeat(np.arange(docs), np.diff(occ_at))
+    lat, docs = Lattice(voc, texts), len(texts)
     seeds = np.asarray(seeds, np.int64).view(np.uint64)
-    place = np.arange(len(start)) - occ_at[occ_doc]
-    occ_seed = seeds[occ_doc]
-
-    def walk(occ, node, step, tag):
-        """Samples on from the nodes to the ends of their chunks."""
-        got = ([], [], [])
-        while len(occ):
-            edge = lat.choose(node, _uniform(occ_seed[occ], tag, place[occ], step))
-            for x, y in zip(got, (occ, step, edge), strict=True):
-                x.append(y)
-            on = lat.next[edge] >= 0
-            occ, step, node = occ[on], step[on] + 1, lat.next[edge[on]]
-        return [np.concatenate(x) if x else np.empty(0, np.int64) for x in got]
-
-    def ordered(occ, step, edge):
-        at = np.concatenate(([0], np.cumsum(np.bincount(occ, minlength=len(start)))))
-        out = [np.empty(len(occ), np.int64) for _ in range(3)]
-        where = at[occ] + step
-        for x, y in zip(out, (edge, occ, step), strict=True):
-            x[where] = y
-        return (*out, at[occ_at])
-
-    def opened(edges, occ, step, doc_at, top, tag, since) -> _Path:
-        """The path with the sets left at each of its nodes from ``since`` (by document) on."""
-        log_p = lat.log_p_of[edges]
-        prefix = np.empty_like(log_p)
-        for d in range(docs):
-            np.cumsum(log_p[doc_at[d] : doc_at[d + 1]], out=prefix[doc_at[d] : doc_at[d + 1]])
-        sizes = np.diff(doc_at)
-        doc = np.repeat(np.arange(docs), sizes)
-        token = np.arange(len(edges)) - np.repeat(doc_at[:-1], sizes)
-        with np.errstate(divide="ignore"):
-            location = prefix - log_p + np.log(-np.expm1(log_p))
-        left = _cut_gumbel(location, top[doc], _uniform(seeds[doc], tag + 1000, token, 1))
-        left[token < since[doc]] = -math.inf
-        return _Path(edges, occ, step, doc_at, prefix, left)
-
-    first = np.arange(len(start))
+    doc_of = np.repeat(np.arange(docs), np.diff(lat.doc_at))
+    seed_of, place = seeds[doc_of], np.arange(len(doc_of)) - lat.doc_at[doc_of]
+
+    class Path:
+        """A path through every text: its choices, places, prefix sums, and the maxima of the sets left at its places."""
+
+        def __init__(self, choice: np.ndarray, top: np.ndarray, tag: int, since: np.ndarray) -> None:
+            self.choice, self.at = choice, lat.visited(choice)
+            self.doc_at = np.searchsorted(self.at, lat.doc_at)
+            p = lat.p[choice[self.at], self.at]
+            self.log_p = np.log(p)
+            self.prefix = np.empty_like(self.log_p)
+            for a, b in zip(self.doc_at[:-1].tolist(), self.doc_at[1:].tolist(), strict=True):
+                np.cumsum(self.log_p[a:b], out=self.prefix[a:b])
+            doc = doc_of[self.at]
+            with np.errstate(divide="ignore"):
+                location = np.where(p < 1 - 1e-12, self.prefix - self.log_p + np.log1p(-np.minimum(p, 1.0)), -math.inf)
+            self.left = _cut_gumbel(location, top[doc], _uniform(seed_of[self.at], tag + 1000, place[self.at]))
+            self.left[self.at <= since[doc]] = -math.inf  # those sets are the earlier path's
+
+        def of(self, d: int) -> slice:
+            return slice(self.doc_at[d], self.doc_at[d + 1])
+
     top = -np.log(-np.log(_uniform(seeds, 999)))
-    path = opened(*ordered(*walk(first, start, np.zeros_like(first), 0)), top, 0, np.zeros(docs, np.int64))
-    paths, used = [path], {}  # used: the edges taken at a set's node, by (document, path, token)
+    paths = [Path(lat.choices(_uniform(seed_of, 0, place)), top, 0, np.full(docs, -1))]
+    used: dict[tuple[int, int, int], list[int]] = {}  # by document, path and place: the lengths gone at a set that was opened before
     found: list[list] = [[] for _ in range(docs)]
 
-    def told(p: _Path, which, value) -> None:
+    def told(path: Path, which, value: np.ndarray) -> None:
         for d in which:
-            a, b = p.doc_at[d], p.doc_at[d + 1]
-            found[d].append((lat.ids(p.edges[a:b]), float(p.prefix[b - 1]) if b > a else 0.0, float(value[d])))
+            own = path.of(d)
+            found[d].append((lat.ids(path.at[own], path.choice), float(path.prefix[own][-1]) if own.stop > own.start else 0.0, float(value[d])))
 
-    told(path, range(docs), top)
-
-    def next_set():
-        """The largest maximum of each document's sets: its value, path and token."""
-        value, of, token = np.full(docs, -math.inf), np.zeros(docs, np.int64), np.zeros(docs, np.int64)
-        for r, p in enumerate(paths):
+    def next_set() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The largest maximum of each document's sets: its value, path and index."""
+        value, which, index = np.full(docs, -math.inf), np.zeros(docs, np.int64), np.zeros(docs, np.int64)
+        for r, path in enumerate(paths):
             for d in range(docs):
-                a, b = p.doc_at[d], p.doc_at[d + 1]
-                if b > a:
-                    t = int(np.argmax(p.left[a:b]))
-                    if p.left[a + t] > value[d]:
-                        value[d], of[d], token[d] = p.left[a + t], r, t
-        return value, of, token
-
-    value, of, token = next_set()
+                own = path.of(d)
+                if own.stop > own.start and path.left[(i := own.start + int(np.argmax(path.left[own])))] > value[d]:
+                    value[d], which[d], index[d] = path.left[i], r, i
+        return value, which, index
+
+    told(paths[0], range(docs), top)
+    value, which, index = next_set()
     for r in range(1, k):
-        alive = np.flatnonzero(value > -math.inf)
-        if not len(alive):
+        alive = np.flatnonzero(value > -math.inf).tolist()
+        if not alive:
             break
-        keep_o, keep_s, keep_e, heads, went = [], [], [], [], {}
-        for d in alive.tolist():
-            p, t = paths[of[d]], int(token[d])
-            at = p.doc_at[d] + t
-            node = lat.edge_node[p.edges[at]]
-            lo, hi = lat.node_at[node], lat.node_at[node + 1]
-            taken = used.get((d, int(of[d]), t), (int(p.edges[at]),))
-            probs = np.exp(lat.log_p_of[lo:hi])
-            probs[[e - lo for e in taken]] = 0.0
+        choice, since, rests = lat.choices(_uniform(seed_of, r, place)), np.full(docs, np.iinfo(np.int64).max), []
+        for d in alive:
+            path, i = paths[which[d]], int(index[d])
+            at = int(path.at[i])
+            gone = used.setdefault((d, int(which[d]), at), [int(path.choice[at])])
+            probs = lat.p[:, at].copy()
+            probs[gone] = 0.0
             total = probs.sum()
-            u = float(_uniform(seeds[d : d + 1], r + 2000, t)[0])
-            pick = int(lo + min(np.searchsorted(np.cumsum(probs), u * total, "right"), hi - lo - 1))
-            while pick in taken:  # rounding at the end of the sum
-                pick -= 1
-            keep_o.append(p.occ[p.doc_at[d] : at])
-            keep_s.append(p.step[p.doc_at[d] : at])
-            keep_e.append(p.edges[p.doc_at[d] : at])
-            heads.append((p.occ[at], p.step[at], pick))
-            rest = math.log(max(total - math.exp(lat.log_p_of[pick]), 0.0)) if len(taken) + 1 < hi - lo and total - math.exp(lat.log_p_of[pick]) > 1e-15 else -math.inf
-            before = p.prefix[at] - lat.log_p_of[p.edges[at]]
-            went[d] = ((*taken, pick), before + rest)
-            p.left[at] = -math.inf
-        head = np.array(heads, np.int64).reshape(-1, 3)
-        on = lat.next[head[:, 2]] >= 0
-        rest_occ = np.concatenate([np.arange(o + 1, occ_at[occ_doc[o] + 1]) for o in head[:, 0].tolist()])
-        tail = walk(np.concatenate((head[on, 0], rest_occ)), np.concatenate((lat.next[head[on, 2]], start[rest_occ])), np.concatenate((head[on, 1] + 1, np.zeros_like(rest_occ))), r)
-        whole = [np.concatenate((*x, head[:, i], tail[j])) for x, i, j in ((keep_o, 0, 0), (keep_s, 1, 1), (keep_e, 2, 2))]
-        since = np.full(docs, np.iinfo(np.int64).max)
-        since[alive] = token[alive] + 1
-        path = opened(*ordered(*whole), value, r, since)
-        for d, (taken, location) in went.items():
-            at, t = path.doc_at[d] + token[d], int(token[d])
-            used[(d, len(paths), t)] = taken
-            path.left[at] = _cut_gumbel(np.array([location]), value[d : d + 1], _uniform(seeds[d : d + 1], r + 3000, t))[0]
+            pick = int(np.searchsorted(np.cumsum(probs), float(_uniform(seeds[d : d + 1], r + 2000, at - int(lat.doc_at[d]))[0]) * total, "right"))
+            pick = min(pick, int(np.flatnonzero(probs)[-1]))
+            begin = int(lat.doc_at[d])
+            choice[begin:at] = path.choice[begin:at]
+            choice[at] = pick
+            since[d] = at
+            path.left[i] = -math.inf
+            probs[pick] = 0.0
+            rests.append((d, at, [*gone, pick], path.prefix[i] - path.log_p[i] + math.log(rest) if (rest := float(probs.sum())) > 1e-15 else -math.inf))
+        path = Path(choice, value, r, since)
+        for d, at, gone, location in rests:
+            used[(d, len(paths), at)] = gone
+            i = int(np.searchsorted(path.at, at))
+            path.left[i] = _cut_gumbel(np.array([location]), value[d : d + 1], _uniform(seeds[d : d + 1], r + 3000, at - int(lat.doc_at[d])))[0]
         paths.append(path)
-        told(path, alive.tolist(), value)
-        value, of, token = next_set()
+        told(path, alive, value)
+        value, which, index = next_set()
     out = []
     for d, rows in enumerate(found):
         # 1 - exp(-exp(x)) is exp(x) where that is small
@@ -285,7 +321,7 @@ def sample_batch(lat: Lattices, texts: list[str | None], seeds: np.ndarray, k: i
     return out
 
 
-def sample(df: DataFrame, model_path: str, k: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, alpha: float = ALPHA, with_ids: bool = True, batch_chars: int = 400_000) -> DataFrame:
+def sample(df: DataFrame, model_path: str, k: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, alpha: float = ALPHA, with_ids: bool = True, batch_chars: int = 30_000) -> DataFrame:
     """Up to k rows per input row: id, rank (from 1), n_tokens, ids_crc32, log_prob, perturbed, log_inclusion, round_trip, and the ids.
 
     ``round_trip``: decoding the ids gave the normalised text.
@@ -295,14 +331,14 @@ def sample(df: DataFrame, model_path: str, k: int = SAMPLES, id_col: str = "doc_
     types = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int32())][: len(names)]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = Lattices(model_path, alpha)
+        voc = Vocabulary(model_path, alpha)
 
         def told(rows: list) -> pa.RecordBatch:
             made, picked = [], []
-            for i, (samples, text) in enumerate(zip(sample_batch(lat, [r[2] for r in rows], np.array([r[1] for r in rows], np.int64), k), [r[2] for r in rows], strict=True)):
+            for i, (samples, text) in enumerate(zip(sample_batch(voc, [r[2] for r in rows], np.array([r[1] for r in rows], np.int64), k), [r[2] for r in rows], strict=True)):
                 spelled = normalized(text).encode()
                 for rank, (ids, lp, g, inc) in enumerate(samples, 1):
-                    made.append((rank, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), lp, g, inc, lat.decode(ids) == spelled) + ((ids.astype(np.int32),) if with_ids else ()))
+                    made.append((rank, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), lp, g, inc, voc.decode(ids) == spelled) + ((ids.astype(np.int32),) if with_ids else ()))
                     picked.append(rows[i][0])
             return pa.RecordBatch.from_arrays([pa.array(picked, arrow_kind), *(pa.array(x, t) for x, t in zip(zip(*made, strict=True), types, strict=True))], [id_col, *names])
 
