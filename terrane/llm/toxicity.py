@@ -1,12 +1,13 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-The classifier is linear in hashed word features and trained with numpy from two sets only: confirmed toxic texts (P) and
-texts without a usable label (U, which hold toxic ones too). The risk is the class-prior-corrected, non-negative
+The classifier is linear in hashed features of words and their beginnings and trained with numpy from two sets only: confirmed toxic texts (P) and
+texts without a usable label (U, which hold toxic ones too). Words that say nothing (in P no
+more often than U's rate explains) are left out, and near-copies count once. The risk is the class-prior-corrected, non-negative
 estimator: ``prior * R_P(+)`` plus ``R_U(-) - prior * R_P(-)``, where the second part, which estimates the risk on clean
 texts, may not fall below zero; a mini-batch in which it does takes a step against its gradient instead.
 
 Training reads a bounded sample (``Settings.positives`` and ``Settings.unlabelled`` documents, the smallest by a hash of
-their id), the features are made on the executors, and the weights, ``2 ** bits`` floats, are broadcast. Scoring covers
+their id), the features are made on the executors, and the weights, at most ``2 ** bits``, are broadcast. Scoring covers
 every whole text.
 
 Defined results: a null or empty text has the bias alone as its score; a null id is never a training row; texts that repeat
@@ -29,48 +30,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"\w+")
+PREFIXES = (4, 5, 6, 7, 8)
 
 
 @dataclass(frozen=True)
 class Settings:
-    positives: int = 6000
-    unlabelled: int = 12000
-    bits: int = 17
+    positives: int = 2500
+    unlabelled: int = 5000
+    bits: int = 18
     epochs: int = 30
-    batch: int = 256
-    rate: float = 0.02
-    decay: float = 1e-4
+    batch: int = 1024
+    rate: float = 0.05
+    significance: float = 25.0
+    steps: int = 1500
+    decay: float = 1e-5
     beta: float = 0.0
     gamma: float = 1.0
     seed: int = 7
 
 
-def features(text: str | None, bits: int, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words of the text and their weights: the logarithm of the count, damped by the text's length."""
-    counts = Counter(_WORD.findall((text or "").lower()))
+def of_word(word: str, bits: int) -> tuple[int, ...]:
+    """The hashed features of a word: itself and its beginnings, which words of one stem share."""
+    mask = (1 << bits) - 1
+    return tuple({crc32(x.encode("utf-8", "replace")) & mask for x in (word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n))})
+
+
+def features(text: str | None, bits: int, known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of the text and the logarithms of their counts."""
     if len(known) > 200_000:
         known.clear()
-    at = np.empty(len(counts), np.int64)
-    for i, word in enumerate(counts):
-        if (x := known.get(word)) is None:
-            x = known[word] = crc32(word.encode("utf-8", "replace")) & ((1 << bits) - 1)
-        at[i] = x
-    n = np.fromiter(counts.values(), np.float64, len(counts))
-    return at, np.log1p(n)
+    at: list[int] = []
+    n: list[int] = []
+    for word, count in Counter(_WORD.findall((text or "").lower())).items():
+        if (own := known.get(word)) is None:
+            own = known[word] = of_word(word, bits)
+        at += own
+        n += [count] * len(own)
+    ids, where = np.unique(np.array(at, np.int64), return_inverse=True)
+    return ids, np.log1p(np.bincount(where, n, len(ids)))
 
 
 @dataclass
 class Model:
-    weights: np.ndarray
+    """``weights``: of the features that take part; the others are zero."""
+
+    weights: dict[int, float]
     bias: float
     bits: int
 
-    def score(self, text: str | None, known: dict[str, int]) -> float:
-        at, x = features(text, self.bits, known)
-        z = self.bias + float(self.weights[at] @ x)
+    def score(self, text: str | None, known: dict[str, tuple[int, ...]]) -> float:
+        """``known`` remembers which of a word's features take part; bounded."""
+        if len(known) > 400_000:
+            known.clear()
+        counts: dict[int, int] = {}
+        weights = self.weights
+        for word, n in Counter(_WORD.findall((text or "").lower())).items():
+            if (own := known.get(word)) is None:
+                own = known[word] = tuple(f for f in of_word(word, self.bits) if f in weights)
+            for f in own:
+                counts[f] = counts.get(f, 0) + n
+        z = self.bias + sum(weights[f] * math.log1p(n) for f, n in sorted(counts.items()))
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
+def distinct(rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """One of the rows that share their three least features: copies and near-copies would count one text's words many times."""
+    return list({tuple(np.sort((a * 0x9E3779B1) & 0xFFFFFFFF)[:3].tolist()): (a, x) for a, x in reversed(rows)}.values())[::-1]
+
+
 class _Rows:
     """Sparse rows in one pair of arrays."""
 
@@ -82,6 +109,15 @@ class _Rows:
     def __len__(self) -> int:
         return len(self.starts) - 1
 
+    def keep(self, features: np.ndarray, dim: int) -> None:
+        """Leaves only the entries of these features, numbered in their order."""
+        number = np.full(dim, -1)
+        number[features] = np.arange(len(features))
+        new = number[self.at]
+        on = new >= 0
+        self.starts = np.concatenate(([0], np.cumsum(on)))[self.starts]
+        self.at, self.x = new[on], self.x[on]
+
     def take(self, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, feature, value) of the picked rows' entries."""
         lo, n = self.starts[picked], self.starts[picked + 1] - self.starts[picked]
@@ -99,25 +135,27 @@ def train(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[
     dim, prior = 1 << settings.bits, min(max(prior, 1e-4), 1 - 1e-4)
     base = math.log(prior / (1 - prior))
     if not positive or not unlabelled:
-        return Model(np.zeros(dim, np.float32), base, settings.bits)
-    p, u, rng = _Rows(positive), _Rows(unlabelled), np.random.default_rng(settings.seed)
-    # a word says something only if P and U differ in it: each feature is scaled by the log ratio of its rates of texts
-    seen = [np.bincount(r.at, minlength=dim) for r in (p, u)]
-    rates = [(s + 0.5) / (len(r) + 1) for s, r in zip(seen, (p, u), strict=True)]
-    sure = np.sqrt(seen[0] + seen[1]) / (1 + np.sqrt(seen[0] + seen[1]))
-    scale = np.clip(np.abs(np.log(rates[0] / rates[1])) * sure, 0.0, 4.0)
-    scale[(seen[0] < 3) | (scale < 0.35)] = 0.0
+        return Model({}, base, settings.bits)
+    p, u, rng = _Rows(distinct(positive)), _Rows(distinct(unlabelled)), np.random.default_rng(settings.seed)
+    # a word takes part if it is in more of P than U's rate explains, by the deviance of a Poisson count
+    seen, common = (np.bincount(r.at, minlength=dim).astype(np.float64) for r in (p, u))
+    expected = (common + 0.5) / (len(u) + 1) * len(p)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        deviance = np.where(seen > expected, 2 * (seen * np.log(seen / expected) - (seen - expected)), 0.0)
+    kept = np.flatnonzero(deviance >= settings.significance)
+    p.keep(kept, dim)
+    u.keep(kept, dim)
+    dim = len(kept)
     w = np.zeros(dim + 1)
     w[dim] = base
     m, v, step = np.zeros(dim + 1), np.zeros(dim + 1), 0
     per_epoch = max(1, math.ceil(len(u) / settings.batch))
-    for _ in range(max(settings.epochs, math.ceil(600 / per_epoch))):
+    for _ in range(max(settings.epochs, math.ceil(settings.steps / per_epoch))):
         order = rng.permutation(len(u))
         for k in range(per_epoch):
             own = order[k * settings.batch : (k + 1) * settings.batch]
             picked = rng.integers(0, len(p), settings.batch)
             (pr, pa_, px), (ur, ua, ux) = p.take(picked), u.take(own)
-            px, ux = px * scale[pa_], ux * scale[ua]
             zp = np.bincount(pr, px * w[pa_], len(picked)) + w[dim]
             zu = np.bincount(ur, ux * w[ua], len(own)) + w[dim]
             gp_plus, gp_minus, gu_minus = (_sigmoid(zp) - 1) / len(zp), _sigmoid(zp) / len(zp), _sigmoid(zu) / len(zu)
@@ -137,7 +175,7 @@ def train(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             w -= settings.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model((w[:dim] * scale).astype(np.float32), float(w[dim]), settings.bits)
+    return Model(dict(zip(kept.tolist(), w[:dim].tolist(), strict=True)), float(w[dim]), settings.bits)
 
 
 def held_out(id_col):
@@ -165,7 +203,7 @@ def sample(df: DataFrame, labels: DataFrame, settings: Settings, id_col: str, te
     made = rows.join(F.broadcast(p.unionByName(u)), "id").select("positive", "text").mapInArrow(of, "positive boolean, at array<int>, x array<float>").toArrow()
     split: tuple[list, list] = ([], [])
     for positive, at, x in zip(made.column(0).to_pylist(), made.column(1), made.column(2), strict=True):
-        split[0 if positive else 1].append((np.asarray(at.values, np.int64), np.asarray(x.values, np.float64)))
+        split[0 if positive else 1].append((at.values.to_numpy(), x.values.to_numpy()))
     return split[0], split[1], (counts[1] or 0) / max(1, counts[0])
 
 
