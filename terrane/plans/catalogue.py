@@ -1,11 +1,865 @@
-"""The registered queries of the engine and their oracles."""
+"""The registered queries of the engine, each beside the same result in the oracle's SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+from ..functions import shapes as S
+from ..functions import tags as A
+from ..functions import tiles as T
+from ..operators import changes, expire, gather, generalize, ids, locator
+from ..streaming import updates
+from . import fixture as X
+from . import legacy, tables
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+c = F.col
+
+# --- scans ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {X.NODES} select id, lon_e7, lat_e7, version, 'brand=' || p_brand || ';name=' || p_name || ';size=' || p_size || ';type=' || p_type as tags from nodes")
+def scan_nodes(spark, d):
+    return X.nodes(spark, d).select("id", "lon_e7", "lat_e7", "version", A.tags_text(c("tags")).alias("tags"))
+
+
+@query(f"with {X.WAYS}, {X.REFS} select w.id, w.version, w.ts, 'priority=' || priority || ';status=' || status as tags, coalesce((select string_agg(ref::varchar, ',' order by pos) from refs r where r.id = w.id), '') as nodes from ways w")
+def scan_ways(spark, d):
+    return X.ways(spark, d).select("id", "version", "ts", A.tags_text(c("tags")).alias("tags"), F.array_join("nodes", ",").alias("nodes"))
+
+
+@query(f"with {X.RELS}, {X.MEMBERS} select r.id, 'name=' || name || ';type=' || type as tags, coalesce((select string_agg('w' || ref || '@' || role, ',' order by pos) from members m where m.id = r.id), '') as members from rels r")
+def scan_rels(spark, d):
+    member = lambda m: F.concat(m["type"], m["ref"].cast("string"), F.lit("@"), m["role"])
+    return X.rels(spark, d).select("id", A.tags_text(c("tags")).alias("tags"), F.array_join(F.transform("members", member), ",").alias("members"))
+
+
+@query(f"with {X.NODES} select id, lon_e7, lat_e7 from nodes where lon_e7 between 0 and 900000000 and lat_e7 between -200000000 and 500000000")
+def bbox_filter_nodes(spark, d):
+    return ids.within(X.nodes(spark, d), 0, -200000000, 900000000, 500000000).select("id", "lon_e7", "lat_e7")
+
+
+_FILES = "select o_custkey as id, 1 + o_orderkey % 7 as version, o_orderkey as source, o_totalprice as price from orders"
+
+
+@query(f"select id, version, source, price from (select *, row_number() over (partition by id order by version desc, source desc) as n from ({_FILES})) where n = 1")
+def merge_latest_version(spark, d):
+    rows = X.table(spark, d, "orders").select(c("o_custkey").alias("id"), (1 + c("o_orderkey") % 7).alias("version"), c("o_orderkey").alias("source"), c("o_totalprice").alias("price"))
+    return ids.latest_version(rows, ["id"], tie="source")
+
+
+@query("""
+with o as (select case when l_partkey % 3 = 0 then 'n' when l_partkey % 3 = 1 then 'w' else 'r' end as type, case when l_orderkey % 97 = 0 then -l_partkey else l_partkey end as id,
+  row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as pos from lineitem),
+r as (select *, case type when 'n' then 1 when 'w' then 2 else 3 end as rank, pos // 1000000 as part from o),
+b as (select *, lag(rank) over w as r0, lag(id) over w as i0 from r window w as (partition by part order by pos))
+select reason, count(*) as n from (select case when id < 0 then 'negative id' when r0 = rank and i0 = id then 'duplicate' when r0 > rank or (r0 = rank and i0 > id) then 'order' end as reason from b) where reason is not null group by reason
+""")
+def input_order_violations(spark, d):
+    from ..sources.store import with_rank
+
+    rows = X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    ranked = with_rank(rows, [c(x) for x in rows.columns], "pos")
+    kind = F.when(c("l_partkey") % 3 == 0, "n").when(c("l_partkey") % 3 == 1, "w").otherwise("r")
+    return ids.order_violations(ranked.select(kind.alias("type"), F.when(c("l_orderkey") % 97 == 0, -c("l_partkey")).otherwise(c("l_partkey")).alias("id"), "pos"))
+
+
+@query(f"with {X.NODES} select count(*) as n, max(id) as max_id, (select max(o_orderdate) from orders) as max_ts from nodes")
+def file_info(spark, d):
+    n = X.nodes(spark, d).agg(F.count("*").alias("n"), F.max("id").alias("max_id"))
+    return n.join(X.table(spark, d, "orders").agg(F.max("o_orderdate").alias("max_ts")))  # one row each
+
+
+# --- tags ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {X.NODES} select case when p_size > 25 then 'tagged' else 'untagged' end as branch, count(*) as n from nodes group by 1")
+def untagged_dispatch(spark, d):
+    left = F.map_filter("tags", lambda k, v: (k == "size") & (v.cast("int") > 25))
+    return X.nodes(spark, d).select(F.when(F.size(left) > 0, "tagged").otherwise("untagged").alias("branch")).groupBy("branch").agg(F.count("*").alias("n"))
+
+
+@query(f"with {X.NODES} select id, 'size=' || p_size as tags, false as empty from nodes")
+def clean_tags(spark, d):
+    rest = A.clean_tags(c("tags"), ["name", "bra*", "*pe"])
+    return X.nodes(spark, d).select("id", A.tags_text(rest).alias("tags"), (F.size(rest) == 0).alias("empty"))
+
+
+@query(f"with {X.NODES} select id, p_brand as brand, 'name=' || p_name || ';size=' || p_size || ';type=' || p_type as rest from nodes")
+def grab_tag(spark, d):
+    value, rest = A.grab_tag(c("tags"), "brand")
+    return X.nodes(spark, d).select("id", value.alias("brand"), A.tags_text(rest).alias("rest"))
+
+
+@query("select o_orderkey as id, case when o_orderpriority in ('1-URGENT', '2-HIGH') then o_orderpriority else 'other' end as priority from orders")
+def check_values(spark, d):
+    return X.table(spark, d, "orders").select(c("o_orderkey").alias("id"), A.check_values(c("o_orderpriority"), ["1-URGENT", "2-HIGH"], "other").alias("priority"))
+
+
+_UNIT = "case p_partkey % 6 when 0 then p_size::varchar when 1 then p_size || ' m' when 2 then p_size || 'ft' when 3 then '-' || p_size || '.5 km' when 4 then p_size || ' m s' else 'abc' end"
+
+
+@query(f"""
+with t as (select p_partkey as id, {_UNIT} as v from part), m as (select *, regexp_matches(v, '^(-?[0-9.]+) ?([A-Za-z]*)$') as ok from t)
+select id, case when ok then regexp_extract(v, '^(-?[0-9.]+) ?([A-Za-z]*)$', 1)::double end as value,
+  case when ok then coalesce(nullif(regexp_extract(v, '^(-?[0-9.]+) ?([A-Za-z]*)$', 2), ''), 'm') end as unit from m
+""")
+def split_unit(spark, d):
+    s, k = c("p_size").cast("string"), c("p_partkey") % 6
+    v = F.when(k == 0, s).when(k == 1, F.concat(s, F.lit(" m"))).when(k == 2, F.concat(s, F.lit("ft"))).when(k == 3, F.concat(F.lit("-"), s, F.lit(".5 km"))).when(k == 4, F.concat(s, F.lit(" m s"))).otherwise("abc")
+    return X.table(spark, d, "part").select(c("p_partkey").alias("id"), A.split_unit(v, "m").alias("u")).select("id", "u.value", "u.unit")
+
+
+@query("select p_partkey as id, array_to_string(list_filter(list_transform(string_split(p_name || '; ' || p_type || ' ;;' || p_brand, ';'), lambda x: trim(x)), lambda x: x <> ''), '|') as pieces from part")
+def split_string(spark, d):
+    text = F.concat("p_name", F.lit("; "), "p_type", F.lit(" ;;"), "p_brand")
+    return X.table(spark, d, "part").select(c("p_partkey").alias("id"), F.array_join(A.split_string(text), "|").alias("pieces"))
+
+
+@query("select p_partkey as id, least(greatest(p_size, 10), 30) as size from part")
+def clamp(spark, d):
+    return X.table(spark, d, "part").select(c("p_partkey").alias("id"), A.clamp(c("p_size"), 10, 30).alias("size"))
+
+
+@query("select o_orderkey as id, starts_with(o_orderpriority, '1-') as prefix, ends_with(o_orderpriority, 'GENT') as suffix, ends_with(o_orderpriority, '') as empty from orders")
+def has_affix(spark, d):
+    p = c("o_orderpriority")
+    return X.table(spark, d, "orders").select(c("o_orderkey").alias("id"), A.has_prefix(p, "1-").alias("prefix"), A.has_suffix(p, "GENT").alias("suffix"), A.has_suffix(p, "").alias("empty"))
+
+
+@query("select p_partkey as id, p_name as name from part")
+def trim_ws(spark, d):
+    return X.table(spark, d, "part").select(c("p_partkey").alias("id"), A.trim_ws(F.concat(F.lit(" \t\n"), "p_name", F.lit("\x0b \r"))).alias("name"))
+
+
+# fixed values: what the coercions meet
+_WORDS = ["yes", "no", "true", "false", "0", "1", "-1", "12", " 7", "+5", "1.5", "70000", "3000000000", "abc", "2e3", ""]
+
+
+def _word(key):
+    return F.element_at(F.array(*map(F.lit, _WORDS)), (key % len(_WORDS) + 1).cast("int"))
+
+
+_WORD_SQL = f"({[*_WORDS]})[o_orderkey % {len(_WORDS)} + 1]"
+
+
+@query(f"select o_orderkey as id, case when w in ('yes', 'true', '1') then true when w in ('no', 'false', '0') then false end as value from (select o_orderkey, {_WORD_SQL} as w from orders)")
+def coerce_bool(spark, d):
+    return X.table(spark, d, "orders").select(c("o_orderkey").alias("id"), A.to_bool(_word(c("o_orderkey"))).alias("value"))
+
+
+@query(f"""
+with t as (select o_orderkey, {_WORD_SQL} as w from orders), n as (select *, case when regexp_full_match(w, '\\s*[+-]?\\d{{1,19}}') then trim(w)::bigint end as v from t)
+select o_orderkey as id, case when v between -32768 and 32767 then v::smallint end as i2, case when v between -2147483648 and 2147483647 then v::integer end as i4, v as i8 from n
+""")
+def coerce_int(spark, d):
+    w = _word(c("o_orderkey"))
+    return X.table(spark, d, "orders").select(c("o_orderkey").alias("id"), A.to_int(w, A.INT2).alias("i2"), A.to_int(w).alias("i4"), A.to_int(w, A.INT8).alias("i8"))
+
+
+@query(f"select o_orderkey as id, case when regexp_full_match(w, '\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') then trim(w)::double end as value from (select o_orderkey, {_WORD_SQL} as w from orders)")
+def coerce_real(spark, d):
+    return X.table(spark, d, "orders").select(c("o_orderkey").alias("id"), A.to_real(_word(c("o_orderkey"))).alias("value"))
+
+
+@query(f"select o_orderkey as id, case when w in ('yes', '1') then 1 when w in ('no', '0') then 0 when w = '-1' then -1 end::smallint as value from (select o_orderkey, {_WORD_SQL} as w from orders)")
+def coerce_direction(spark, d):
+    return X.table(spark, d, "orders").select(c("o_orderkey").alias("id"), A.to_direction(_word(c("o_orderkey"))).alias("value"))
+
+
+@query("select l_orderkey as id, case when q <> floor(q) then 0 else q end::smallint as i2, q <> 0 as b, sign(q - 20)::smallint as dir from (select l_orderkey, l_quantity / 2 as q from lineitem)")
+def coerce_numbers(spark, d):
+    q = c("l_quantity") / 2
+    return X.table(spark, d, "lineitem").select(c("l_orderkey").alias("id"), A.number_to_int(q, A.INT2).alias("i2"), A.number_to_bool(q).alias("b"), A.number_to_direction(q - 20).alias("dir"))
+
+
+@query(f"select count(*) as n, 'level' as \"column\" from (select {_WORD_SQL} as w from orders) where not (regexp_full_match(w, '\\s*[+-]?\\d{{1,19}}') and case when regexp_full_match(w, '\\s*[+-]?\\d{{1,19}}') then trim(w)::bigint between -32768 and 32767 else false end)")
+def not_null_rejects(spark, d):
+    t = tables.Table("levels", (tables.Column_("level", "int2", not_null=True), tables.Column_("status", "text")), ids="way")
+    _, rejected = t.project(X.table(spark, d, "orders"), {"level": _word(c("o_orderkey")), "status": c("o_orderstatus")}, F.lit("W"), c("o_orderkey"))
+    return rejected
+
+
+@query("select p_partkey as id, timezone('UTC', to_timestamp(p_partkey * 86400)) as ts from part")
+def epoch_timestamp(spark, d):
+    return X.table(spark, d, "part").select(c("p_partkey").alias("id"), A.to_timestamp(c("p_partkey") * 86400).cast("timestamp_ntz").alias("ts"))
+
+
+_RANGE = "case p_partkey % 5 when 0 then p_size::varchar when 1 then p_size || '-' || (p_size + 3) when 2 then p_size || ',5' when 3 then p_size || ' ft' else 'x' end"
+
+
+def _range():
+    s, k = c("p_size").cast("string"), c("p_partkey") % 5
+    return F.when(k == 0, s).when(k == 1, F.concat(s, F.lit("-"), (c("p_size") + 3).cast("string"))).when(k == 2, F.concat(s, F.lit(",5"))).when(k == 3, F.concat(s, F.lit(" ft"))).otherwise("x")
+
+
+@query("select p_partkey as id, (case p_partkey % 5 when 1 then p_size + 1 when 4 then null else p_size end)::integer as value from part")
+def legacy_int_range(spark, d):
+    return X.table(spark, d, "part").select(c("p_partkey").alias("id"), A.legacy_int(_range()).alias("value"))
+
+
+@query("select p_partkey as id, round(case p_partkey % 5 when 0 then p_size when 1 then p_size + 1.5 when 2 then p_size + 0.5 when 3 then p_size * 0.3048::double end::double, 6) as value from part")
+def legacy_real_units(spark, d):
+    return X.table(spark, d, "part").select(c("p_partkey").alias("id"), F.round(A.legacy_real(_range()), 6).alias("value"))
+
+
+@query(f"select o_orderkey as id, w in ('yes', 'true', '1') as off, w not in ('no', 'false', '0') as on_ from (select o_orderkey, {_WORD_SQL} as w from orders)")
+def value_to_bool(spark, d):
+    w = _word(c("o_orderkey"))
+    return X.table(spark, d, "orders").select(c("o_orderkey").alias("id"), A.value_to_bool(w, False).alias("off"), A.value_to_bool(w, True).alias("on_"))
+
+
+_STYLE = """
+node,way  n*me   text  delete
+node,way  brand  text  linear
+node      size   int4  linear
+way       status text  polygon
+way       priority text linear   # kept
+"""
+
+
+@query(f"with {X.NODES} select id, 'brand=' || p_brand || ';size=' || p_size as tags from nodes")
+def wildcard_delete_rules(spark, d):
+    rules = legacy.parse_style(_STYLE)
+    return X.nodes(spark, d).select("id", A.tags_text(legacy.filter_tags(c("tags"), rules, "node")).alias("tags"))
+
+
+@query(f"with {X.NODES} select id, p_brand as brand, p_size as size, lon_e7, lat_e7 from nodes")
+def style_columns(spark, d):
+    return legacy.points(X.nodes(spark, d), legacy.parse_style(_STYLE))
+
+
+@query(f"with {X.NODES} select id, 'type=' || p_type as rest from nodes")
+def hstore_norm(spark, d):
+    return legacy.points(X.nodes(spark, d), legacy.parse_style(_STYLE), "norm").select("id", A.tags_text(c("rest")).alias("rest"))
+
+
+@query(f"with {X.NODES} select id, 'brand=' || p_brand || ';size=' || p_size || ';type=' || p_type as rest from nodes")
+def hstore_all(spark, d):
+    return legacy.points(X.nodes(spark, d), legacy.parse_style(_STYLE), "all").select("id", A.tags_text(c("rest")).alias("rest"))
+
+
+@query(f"with {X.NODES} select id, 'and=' || p_brand || ';eta=x' as sub from nodes")
+def hstore_prefix(spark, d):
+    tags = F.map_concat("tags", F.create_map(F.lit("br:and"), F.element_at("tags", "brand"), F.lit("br:eta"), F.lit("x")))
+    return X.nodes(spark, d).select("id", A.tags_text(A.prefix_column(tags, "br:")).alias("sub"))
+
+
+@query(f"with {X.NODES} select count(*) as n from nodes")
+def hstore_match_only(spark, d):
+    return legacy.points(X.nodes(spark, d), legacy.parse_style(_STYLE), "norm", match_only=True).agg(F.count("*").alias("n"))
+
+
+_CLASSES = list(A.HIGHWAYS)
+_ROAD = f"""
+with t as (select o_orderkey as id, ({_CLASSES})[o_orderkey % {len(_CLASSES)} + 1] as highway, (o_orderkey % 5 - 2) as layer, o_orderkey % 7 = 0 as bridge, o_orderkey % 11 = 0 as tunnel, o_orderkey % 13 = 0 as rail from orders),
+h(highway, n, road) as (values {', '.join(f"('{k}', {n}, {r})" for k, (n, r) in A.HIGHWAYS.items())})"""
+
+
+def _roads(spark, d):
+    k = c("o_orderkey")
+    yes = lambda test: F.when(test, "yes").otherwise("no")
+    tags = F.create_map(F.lit("highway"), F.element_at(F.array(*map(F.lit, _CLASSES)), (k % len(_CLASSES) + 1).cast("int")), F.lit("layer"), (k % 5 - 2).cast("string"), F.lit("bridge"), yes(k % 7 == 0), F.lit("tunnel"), yes(k % 11 == 0), F.lit("railway"), F.when(k % 13 == 0, "rail").otherwise(""))
+    return X.table(spark, d, "orders").select(k.alias("id"), tags.alias("tags"))
+
+
+@query(f"{_ROAD} select id, (100 * layer + n + case when rail then 35 else 0 end + case when bridge then 100 else 0 end - case when tunnel then 100 else 0 end)::integer as z_order, road or rail as is_road from t join h using (highway)")
+def z_order_roads(spark, d):
+    return _roads(spark, d).select("id", A.z_order(c("tags")).alias("z_order"), A.is_road(c("tags")).alias("is_road"))
+
+
+@query("select o_orderkey as id, case when o_orderkey % 4 < 3 then (['lcn', 'rwn', 'ncn'])[o_orderkey % 4 + 1] end as network, case when o_orderkey % 9 <= 4 then (o_orderkey % 9)::varchar else '0' end as color from orders")
+def route_network_tags(spark, d):
+    k = c("o_orderkey")
+    tags = F.create_map(F.lit("network"), F.element_at(F.array(*map(F.lit, ["lcn", "rwn", "ncn", "bus"])), (k % 4 + 1).cast("int")), F.lit("preferred_color"), (k % 9).cast("string"))
+    return X.table(spark, d, "orders").select(k.alias("id"), A.route_network(tags).alias("network"), A.route_color(tags).alias("color"))
+
+
+@query(f"with {X.NODES} select id, '{{\"brand\":\"' || p_brand || '\",\"name\":\"' || p_name || '\",\"size\":\"' || p_size || '\",\"type\":\"' || p_type || '\"}}' as json from nodes")
+def json_tags(spark, d):
+    return X.nodes(spark, d).select("id", A.tags_json(c("tags")).alias("json"))
+
+
+@query(f"with {X.WAYS} select id, 'osm_version=' || version || ';priority=' || priority || ';status=' || status as tags from ways")
+def extra_attributes(spark, d):
+    return X.ways(spark, d).select("id", A.tags_text(A.with_attributes(c("tags"), osm_version=c("version"), osm_user=F.lit(None).cast("string"))).alias("tags"))
+
+
+@query("select o_orderkey as id, case o_orderkey % 3 when 0 then o_orderkey when 1 then -o_orderkey else -o_orderkey - 100000000000000000 end as packed from orders")
+def pack_any_id(spark, d):
+    k = c("o_orderkey")
+    return X.table(spark, d, "orders").select(k.alias("id"), A.pack_any_id(F.when(k % 3 == 0, "N").when(k % 3 == 1, "W").otherwise("R"), k).alias("packed"))
+
+
+@query("select o_orderkey as id, case when o_orderkey % 2 = 0 then o_orderkey else -o_orderkey end as packed from orders")
+def pack_area_id(spark, d):
+    k = c("o_orderkey")
+    return X.table(spark, d, "orders").select(k.alias("id"), A.pack_area_id(F.when(k % 2 == 0, "W").otherwise("R"), k).alias("packed"))
+
+
+# --- geometry ------------------------------------------------------------------------------------------------------
+
+
+def _lines(spark, d):
+    return gather.way_points(X.ways(spark, d), X.nodes(spark, d)).withColumn("line", G.as_linestring(c("points")))
+
+
+_SEGMENTS = f"""{X.POINTS}, seg as (
+  select id, i, lon_e7 as ax, lat_e7 as ay, lead(lon_e7) over w as bx, lead(lat_e7) over w as by from dedup window w as (partition by id order by i))"""
+
+
+@query(f"""with {_SEGMENTS}, l as (select id, count(*) as n_points, round(sum(sqrt(pow(bx::double - ax, 2) + pow(by::double - ay, 2))), 1) as length_e7, min(ax) as min_x, min(ay) as min_y, max(ax) as max_x, max(ay) as max_y from seg group by id having count(*) >= 2)
+select o_orderkey + 1 as id, n_points, length_e7, min_x, min_y, max_x, max_y from orders left join l on l.id = o_orderkey + 1""")
+def way_linestring(spark, d):
+    box = G.bbox(c("line"))
+    rows = _lines(spark, d).select("id", F.size("line").cast("long").alias("n_points"), F.round(G.length(c("line")), 1).alias("length_e7"), box.alias("b"), "line")
+    null = lambda v: F.when(c("line").isNotNull(), v)
+    return rows.select("id", null(c("n_points")).alias("n_points"), null(c("length_e7")).alias("length_e7"), "b.min_x", "b.min_y", "b.max_x", "b.max_y")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return way_linestring(spark, sf_dir)
+
+
+@query(f"with {X.POINTS}, e as (select id, max(pos) as last from points group by id) select o_orderkey + 1 as id, a.lon_e7 as x2, a.lat_e7 as y2, b.lon_e7 as x_last, b.lat_e7 as y_last from orders left join e on e.id = o_orderkey + 1 left join points a on a.id = o_orderkey + 1 and a.pos = 1 left join points b on b.id = e.id and b.pos = e.last")
+def way_point_n(spark, d):
+    rows = gather.way_points(X.ways(spark, d), X.nodes(spark, d)).select("id", G.point_n(c("points"), F.lit(2)).alias("a"), G.point_n(c("points"), F.lit(-1)).alias("b"))
+    return rows.select("id", c("a.x").alias("x2"), c("a.y").alias("y2"), c("b.x").alias("x_last"), c("b.y").alias("y_last"))
+
+
+@query(f"with {X.POINTS} select o_orderkey + 1 as id, min(lon_e7) as min_x, min(lat_e7) as min_y, max(lon_e7) as max_x, max(lat_e7) as max_y from orders left join points p on p.id = o_orderkey + 1 group by 1")
+def way_bbox(spark, d):
+    return gather.way_points(X.ways(spark, d), X.nodes(spark, d)).select("id", G.bbox(c("points")).alias("b")).select("id", "b.*")
+
+
+_REL_LINES = f"{_SEGMENTS}, {X.MEMBERS}, n as (select id, count(*) as n, min(ax) as x0, max(ax) as x1, min(ay) as y0, max(ay) as y1 from seg group by id having count(*) >= 2), rl as (select m.id, m.pos, n.* exclude (id) from members m join n on n.id = m.ref)"
+
+
+@query(f"with {_REL_LINES} select id, count(*)::integer as n_lines, sum(n)::integer as n_points from rl group by id")
+def rel_multiline(spark, d):
+    g = X.graph(spark, d)
+    return gather.relation_lines(g.rels, gather.way_points(g.ways, g.nodes)).select("id", F.size("lines").alias("n_lines"), G.n_points(c("lines")).alias("n_points"))
+
+
+@query(f"with {_REL_LINES} select id, min(x0) as min_x, min(y0) as min_y, max(x1) as max_x, max(y1) as max_y from rl group by id")
+def rel_bbox(spark, d):
+    g = X.graph(spark, d)
+    return gather.relation_lines(g.rels, gather.way_points(g.ways, g.nodes)).select("id", G.bbox(F.flatten("lines")).alias("b")).select("id", "b.*")
+
+
+_NODE_RELS = "with {n}, m as (select l_suppkey as id, l_partkey + 1 as ref, row_number() over (partition by l_suppkey order by l_partkey) - 1 as pos from (select distinct l_suppkey, l_partkey from lineitem))".format(n=X.NODES)
+
+
+def _node_rels(spark, d):
+    return X.table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct().groupBy(c("l_suppkey").alias("id")).agg(F.transform(F.sort_array(F.collect_list("l_partkey")), lambda k: F.struct(F.lit("n").alias("type"), (k + 1).alias("ref"), F.lit("").alias("role"))).alias("members"))
+
+
+@query(f"{_NODE_RELS} select m.id, count(*)::integer as n_points, sum((pos + 1) * (lon_e7 % 1000003))::bigint as ordered_sum from m join nodes n on n.id = m.ref group by m.id")
+def rel_multipoint(spark, d):
+    rows = gather.relation_points(_node_rels(spark, d), X.nodes(spark, d))
+    ordered = F.aggregate(F.transform("points", lambda p, i: (i + 1) * (p["x"] % 1000003).cast("long")), F.lit(0).cast("long"), lambda a, v: a + v)
+    return rows.select("id", F.size("points").alias("n_points"), ordered.alias("ordered_sum"))
+
+
+@query(f"with {_REL_LINES} select r.c_custkey + 1 as id, count(rl.id)::integer as n_parts from customer r left join rl on rl.id = r.c_custkey + 1 group by 1 having count(rl.id) > 0")
+def rel_collection(spark, d):
+    g = X.graph(spark, d)
+    lines = gather.relation_lines(g.rels, gather.way_points(g.ways, g.nodes))
+    points = gather.relation_points(g.rels, g.nodes)
+    both = lines.join(points, "id", "full_outer")
+    parts = F.coalesce(F.size("lines"), F.lit(0)) + F.coalesce(F.when(c("points").isNotNull(), F.size("points")), F.lit(0))
+    return both.select("id", parts.alias("n_parts"))
+
+
+@query(f"with {X.POINTS}, e as (select id, array_to_string(list(lon_e7 order by i desc), ',') as xs from dedup group by id having count(*) >= 2) select * from e")
+def geom_reverse(spark, d):
+    return _lines(spark, d).filter("line is not null").select("id", F.array_join(F.transform(G.reverse(c("line")), lambda p: p["x"].cast("string")), ",").alias("xs"))
+
+
+@query(f"with {X.POINTS} select id, count(*)::integer as n from dedup group by id having count(*) >= 2")
+def geom_npoints(spark, d):
+    return _lines(spark, d).filter("line is not null").select("id", G.n_points(F.array(c("line"))).alias("n"))
+
+
+@query(f"with {X.POINTS} select id, round(sum(lon_e7::double order by i) / count(*), 3) as x, round(sum(lat_e7::double order by i) / count(*), 3) as y from dedup group by id having count(*) >= 2")
+def geom_centroid_points(spark, d):
+    return _lines(spark, d).filter("line is not null").select("id", G.centroid_points(c("line")).alias("p")).select("id", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"))
+
+
+@query(f"""with {X.POINTS}, b as (select id, min(lon_e7)::double / 1e7 as x0, min(lat_e7)::double / 1e7 as y0, max(lon_e7)::double / 1e7 as x1, max(lat_e7)::double / 1e7 as y1 from dedup group by id having count(*) >= 2)
+select id, round((x1 - x0) * (y1 - y0), 6) as area, round((x0 + x1) / 2, 6) as cx, round((y0 + y1) / 2, 6) as cy from b where x1 > x0 and y1 > y0""")
+def geom_area_bbox_ring(spark, d):
+    deg = F.transform("line", lambda p: G.point(p["x"] / 1e7, p["y"] / 1e7))
+    b = _lines(spark, d).filter("line is not null").select("id", G.bbox(deg).alias("b")).select("id", "b.*").filter("max_x > min_x and max_y > min_y")
+    ring = F.array(*[G.point(c(x), c(y)) for x, y in (("min_x", "min_y"), ("max_x", "min_y"), ("max_x", "max_y"), ("min_x", "max_y"), ("min_x", "min_y"))])
+    rows = b.select("id", ring.alias("ring"))
+    return rows.select("id", F.round(G.polygon_area(F.array("ring")), 6).alias("area"), G.centroid_ring(c("ring")).alias("p")).select("id", "area", F.round("p.x", 6).alias("cx"), F.round("p.y", 6).alias("cy"))
+
+
+@query(f"with {_REL_LINES} select id, n::integer as n_points from (select *, row_number() over (partition by id order by pos) as k from rl) where k = 2")
+def geometry_n(spark, d):
+    g = X.graph(spark, d)
+    rows = gather.relation_lines(g.rels, gather.way_points(g.ways, g.nodes)).select("id", G.geometry_n(c("lines"), F.lit(2)).alias("line"))
+    return rows.filter("line is not null").select("id", F.size("line").alias("n_points"))
+
+
+@query(f"with {_REL_LINES} select id, row_number() over (partition by id order by pos)::integer as part, n::integer as n_points from rl")
+def split_multi(spark, d):
+    g = X.graph(spark, d)
+    return gather.relation_lines(g.rels, gather.way_points(g.ways, g.nodes)).select("id", F.posexplode("lines").alias("p", "line")).select("id", (c("p") + 1).alias("part"), F.size("line").alias("n_points"))
+
+
+_MERC = "6378137.0 * radians(lon_e7 / 1e7) as x, 6378137.0 * ln(tan(pi() / 4 + radians(lat_e7 / 1e7) / 2)) as y"
+
+
+def _mercator(spark, d):
+    n = X.nodes(spark, d).select("id", G.to_mercator(c("lon_e7") / 1e7, c("lat_e7") / 1e7).alias("m"))
+    return n.select("id", "m.x", "m.y")
+
+
+@query(f"with {X.NODES} select id, round(x, 2) as x, round(y, 2) as y from (select id, {_MERC} from nodes)")
+def transform_3857(spark, d):
+    return _mercator(spark, d).select("id", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
+
+
+@query(f"with {_SEGMENTS}, l as (select id, sum(sqrt(pow(bx::double - ax, 2) + pow(by::double - ay, 2))) as len from seg group by id having count(*) = 2) select id, greatest(1, ceil(len / 1e8 - 1e-9))::integer as parts from l")
+def segmentize_part_count(spark, d):
+    rows = _lines(spark, d).filter(F.size("line") == 2)
+    deg = F.transform("line", lambda p: G.point(p["x"].cast("double"), p["y"].cast("double")))
+    return rows.select("id", F.size(S.segmentize_udf(deg, F.lit(1e8))).alias("parts"))
+
+
+# --- tiles ---------------------------------------------------------------------------------------------------------
+
+_TILE = "greatest(0, least({w} - 1, floor({w} * (0.5 + x / 40075016.68))))::integer as tx, greatest(0, least({w} - 1, floor({w} * (0.5 - y / 40075016.68))))::integer as ty"
+_TILES = f"with {X.NODES}, m as (select id, {_MERC} from nodes), t as (select id, {_TILE.format(w=1024)} from m)"
+
+
+def _tiles(spark, d, zoom=10):
+    tx, ty = T.tile_of(c("x"), c("y"), zoom)
+    return _mercator(spark, d).select("id", tx.alias("tx"), ty.alias("ty"))
+
+
+@query(f"{_TILES} select id, tx, ty, '10/' || tx || '/' || ty as tile from t")
+def tile_of_node(spark, d):
+    return _tiles(spark, d).select("id", "tx", "ty", T.tile_text(F.lit(10), c("tx"), c("ty")).alias("tile"))
+
+
+_BITS = "list_sum(list_transform(range(0, 10), lambda b: ((({v} >> b::integer) & 1)::bigint << (2 * b + {o})::integer)))"
+
+
+@query(f"{_TILES} select id, ({_BITS.format(v='tx', o=0)} + {_BITS.format(v='ty', o=1)})::bigint as quadkey, tx::bigint as x, ty::bigint as y from t")
+def quadkey(spark, d):
+    q = _tiles(spark, d).select("id", T.quadkey(c("tx"), c("ty")).alias("quadkey"))
+    x, y = T.from_quadkey(c("quadkey"))
+    return q.select("id", "quadkey", x.alias("x"), y.alias("y"))
+
+
+@query(f"{_TILES} select distinct z::integer as zoom, tx >> (10 - z)::integer as x, ty >> (10 - z)::integer as y from t, range(6, 11) r(z)")
+def tile_pyramid(spark, d):
+    return expire.pyramid(_tiles(spark, d).select(c("tx").alias("x"), c("ty").alias("y")), 10, 6)
+
+
+@query(f"{_TILES}, u as (select distinct tx, ty from t) select tx as x, ty as y, round(tx * 40075016.68 / 1024 - 20037508.34, 1) as min_x, round(20037508.34 - (ty + 1) * 40075016.68 / 1024, 1) as min_y, round((tx + 1) * 40075016.68 / 1024 - 20037508.34, 1) as max_x, round(20037508.34 - ty * 40075016.68 / 1024, 1) as max_y from u")
+def tile_bounds(spark, d):
+    u = _tiles(spark, d).select(c("tx").alias("x"), c("ty").alias("y")).distinct()
+    return u.select("x", "y", T.bounds(10, c("x"), c("y")).alias("b")).select("x", "y", *[F.round(f"b.{k}", 1).alias(k) for k in ("min_x", "min_y", "max_x", "max_y")])
+
+
+@query(f"with {X.NODES}, m as (select id, {_MERC} from nodes) select distinct ((floor(1024 * (0.5 + x / 40075016.68)) % 1024 + 1024) % 1024)::integer as x, floor(1024 * (0.5 - y / 40075016.68))::integer as y from m")
+def expire_points(spark, d):
+    return _mercator(spark, d).select(F.explode(expire.point_tiles(c("x"), c("y"), 10, 0.0)).alias("t")).select("t.*").distinct()
+
+
+_BUFFERED = f"""with {X.NODES}, m as (select id, {_MERC} from nodes), b as (select id, 1024 * (0.5 + x / 40075016.68) as px, 1024 * (0.5 - y / 40075016.68) as py from m),
+t as (select distinct id, (((floor(px - 0.4) + i) % 1024 + 1024) % 1024)::integer as x, (greatest(floor(py - 0.4), 0) + j)::integer as y from b, range(0, 2) r(i), range(0, 2) s(j) where floor(px - 0.4) + i <= floor(px + 0.4) and greatest(floor(py - 0.4), 0) + j <= least(floor(py + 0.4), 1023))"""
+
+
+@query(f"{_BUFFERED} select distinct x, y from t")
+def expire_points_buffered(spark, d):
+    return _mercator(spark, d).select(F.explode(expire.point_tiles(c("x"), c("y"), 10, 0.4)).alias("t")).select("t.*").distinct()
+
+
+@query(f"{_BUFFERED} select id, x, y from t where id in (select id from t group by id having count(*) <= 2)")
+def expire_limits(spark, d):
+    each = _mercator(spark, d).select("id", F.explode(expire.point_tiles(c("x"), c("y"), 10, 0.4)).alias("t")).select("id", "t.*")
+    return expire.limited(each, 2)
+
+
+@query(f"""{_TILES}, old as (select distinct 10 as zoom, tx as x, ty as y, timestamp '2020-01-01' as first, timestamp '2020-01-02' as last from t where id % 3 = 0), new as (select distinct 10 as zoom, tx as x, ty as y from t where id % 2 = 0)
+select zoom, x, y, coalesce(first, timestamp '2024-01-01') as first, case when n then timestamp '2024-01-01' else last end as last from (select *, true as n from new) full join old using (zoom, x, y)""")
+def expire_upsert(spark, d):
+    t = _tiles(spark, d).withColumn("zoom", F.lit(10)).select("id", "zoom", c("tx").alias("x"), c("ty").alias("y"))
+    stamp = lambda s: F.lit(s).cast("timestamp_ntz")
+    old = t.filter("id % 3 = 0").drop("id").distinct().withColumn("first", stamp("2020-01-01")).withColumn("last", stamp("2020-01-02"))
+    return changes.upsert_expired(old, t.filter("id % 2 = 0"), stamp("2024-01-01"))
+
+
+_WALK = f"""with {_SEGMENTS}, m as (select id, i, 8 * (0.5 + 6378137.0 * radians(ax / 1e7) / 40075016.68) as px, 8 * (0.5 - 6378137.0 * ln(tan(pi() / 4 + radians(ay / 1e7) / 2)) / 40075016.68) as py,
+  8 * (0.5 + 6378137.0 * radians(bx / 1e7) / 40075016.68) as rx, 8 * (0.5 - 6378137.0 * ln(tan(pi() / 4 + radians(by / 1e7) / 2)) / 40075016.68) as ry from seg where bx is not null),
+o as (select id, i, case when px > rx then rx else px end as x0, case when px > rx then ry else py end as y0, case when px > rx then px else rx end as x1, case when px > rx then py else ry end as y1 from m),
+f as (select id, i, case when x1 - x0 > 4 then x1 else x0 end as sx, case when x1 - x0 > 4 then y1 else y0 end as sy, case when x1 - x0 > 4 then x0 + 8 else x1 end as ex, case when x1 - x0 > 4 then y0 else y1 end as ey from o),
+l as (select *, sqrt((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy)) as size from f),
+k as (select *, case when size > 0 then (ex - sx) / size else 0 end as dx, case when size > 0 then (ey - sy) / size else 0 end as dy from l),
+s as (select id, sx + dx * (g * 0.4) as ux, sy + dy * (g * 0.4) as uy, sx + dx * least((g + 1) * 0.4, size) as vx, sy + dy * least((g + 1) * 0.4, size) as vy from (select *, unnest(range(0, greatest(1, ceil(size / 0.4)::bigint))) as g from k)),
+b as (select id, floor(least(ux, vx) - 0.1)::bigint as x0, floor(least(uy, vy) - 0.1)::bigint as y0, floor(greatest(ux, vx) + 0.1)::bigint as x1, floor(greatest(uy, vy) + 0.1)::bigint as y1 from s),
+t as (select distinct id, (((x % 8) + 8) % 8)::integer as x, y::integer as y from (select id, y0, y1, unnest(range(x0, x1 + 1)) as x from b), lateral (select unnest(range(y0, y1 + 1)) as y) where y between 0 and 7)"""
+
+
+@query(f"{_WALK} select id, count(*) as n, sum(x)::bigint as sum_x, sum(y)::bigint as sum_y from t group by id")
+def expire_lines(spark, d):
+    deg = F.transform("line", lambda p: G.to_mercator(p["x"] / 1e7, p["y"] / 1e7))
+    rows = _lines(spark, d).filter("line is not null").select("id", F.explode(G.segments(deg)).alias("s"))
+    tiles = expire.expire_lines(rows.select("id", c("s.a.x").alias("ax"), c("s.a.y").alias("ay"), c("s.b.x").alias("bx"), c("s.b.y").alias("by")), 3)
+    return tiles.groupBy("id").agg(F.count("*").alias("n"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
+
+
+@query()
+def expire_polygon_fill(spark, d):
+    """Areas of region boxes at zoom 6: the boundary's tiles and those inside."""
+    r = X.regions(spark, d)
+    corner = lambda x, y: G.to_mercator(c(x) / 1e7, c(y) / 1e7)
+    ring = F.array(*[corner(x, y) for x, y in (("min_x", "min_y"), ("max_x", "min_y"), ("max_x", "max_y"), ("min_x", "max_y"), ("min_x", "min_y"))])
+    tile = lambda p: G.point(*T.tile_coord(p["x"], p["y"], 6))
+    rows = r.select("name", "min_x", ring.alias("ring"))
+    return rows.select("name", "min_x", F.size(S.area_tiles_udf(F.array(F.transform("ring", tile)), F.lit(64))).alias("n_tiles"))
+
+
+# --- joins ---------------------------------------------------------------------------------------------------------
+
+
+def _located(spark, d):
+    return X.nodes(spark, d).select("id", c("lon_e7").cast("long").alias("x"), c("lat_e7").cast("long").alias("y"))
+
+
+_HITS = f"with {X.NODES}, {X.REGIONS}, hit as (select distinct n.id, r.name from nodes n join regions r on n.lon_e7 between r.min_x and r.max_x and n.lat_e7 between r.min_y and r.max_y)"
+
+
+@query(f"{_HITS} select id, string_agg(name, ',' order by name) as names from hit group by id")
+def locator_all(spark, d):
+    return locator.all_intersecting(_located(spark, d), X.regions(spark, d)).select("id", F.array_join("names", ",").alias("names"))
+
+
+@query(f"{_HITS} select id, min(name) as name from hit group by id")
+def locator_first(spark, d):
+    return locator.first_intersecting(_located(spark, d), X.regions(spark, d))
+
+
+@query(f"with {X.REFS} select id, string_agg((pos + 1)::varchar, ',' order by pos) as positions from refs where ref % 10 = 0 group by id")
+def id_cache_positions(spark, d):
+    known = X.nodes(spark, d).filter("id % 10 = 0")
+    return gather.id_positions(X.way_refs(spark, d), known, refs_col="nodes").select("id", F.array_join("positions", ",").alias("positions"))
+
+
+@query(f"with {X.WAYS}, {X.RELS}, {X.MEMBERS} select w.id, string_agg(r.name, ',' order by r.name) as refs from ways w left join members m on m.ref = w.id left join rels r on r.id = m.id and r.type = 'route' group by w.id")
+def two_stage_route_refs(spark, d):
+    g = X.graph(spark, d)
+    routes = g.rels.filter(A.tag(c("tags"), "type") == "route").select("members", A.tag(c("tags"), "name").alias("name"))
+    marked = routes.select(F.explode("members").alias("m"), "name").filter("m.type = 'w'").select(c("m.ref").alias("id"), "name")
+    own = marked.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("refs"))
+    return g.ways.select("id").join(own, "id", "left")
+
+
+@query(f"with {X.RELS}, {X.MEMBERS} select r.id, coalesce(string_agg(ref::varchar, ',' order by pos), '') as refs from rels r left join members m on m.id = r.id where type = 'route' group by r.id")
+def route_members(spark, d):
+    rows = X.rels(spark, d).filter(A.tag(c("tags"), "type") == "route")
+    return gather.member_ids(gather.usable_relations(rows), "w").select("id", F.array_join("refs", ",").alias("refs"))
+
+
+@query(f"with {X.MEMBERS} select id, role, count(*) as n from members group by id, role")
+def member_roles(spark, d):
+    return gather.members(X.rels(spark, d)).groupBy("id", "role").agg(F.count("*").alias("n"))
+
+
+@query("with {r} select r.id, r.type, c_mktsegment as segment from rels r join customer on c_custkey + 1 = r.id where type in ('route', 'multipolygon', 'boundary')".format(r=X.RELS))
+def relation_filter(spark, d):
+    rows = legacy.relations(X.rels(spark, d)).select((-c("id")).alias("id"), A.tag(c("tags"), "type").alias("type"))
+    customers = X.table(spark, d, "customer")
+    return rows.join(customers, rows.id == customers.c_custkey + 1).select("id", "type", c("c_mktsegment").alias("segment"))
+
+
+@query("select u.user_id, count(*) as n, 'user' || u.user_id as name from events u group by u.user_id")
+def user_table(spark, d):
+    e = X.table(spark, d, "events")
+    users = e.select("user_id").distinct().select("user_id", F.concat(F.lit("user"), c("user_id").cast("string")).alias("name"))
+    return e.join(users, "user_id", "left").groupBy("user_id", "name").agg(F.count("*").alias("n"))
+
+
+# --- changes -------------------------------------------------------------------------------------------------------
+
+_CHANGED = f"{X.NODES}, changed as (select id from nodes where id % 50 = 0 and version <> 1)"
+_PARENTS = f"with {_CHANGED}, {X.REFS}, {X.MEMBERS}, pw as (select distinct id from refs where ref in (select id from changed))"
+
+
+def _node_changes(spark, d):
+    return X.nodes(spark, d).filter("id % 50 = 0").withColumn("op", F.when(c("id") % 3 == 0, "create").otherwise("modify"))
+
+
+@query(f"{_PARENTS} select id from pw")
+def changed_nodes_parents(spark, d):
+    return changes.parent_ways(X.ways(spark, d), changes.changed_for_parents(_node_changes(spark, d)))
+
+
+@query(f"{_PARENTS} select distinct id from members where ref in (select id from pw)")
+def changed_ways_parents(spark, d):
+    g = X.graph(spark, d)
+    return changes.parent_relations(g.rels, changes.parent_ways(g.ways, changes.changed_for_parents(_node_changes(spark, d))), "w")
+
+
+@query(f"{_PARENTS}, cw as (select o_orderkey + 1 as id from orders where o_orderkey % 211 = 0), aw as (select id from pw union select id from cw) select 'w' as type, id from aw union all select distinct 'r', id from members where ref in (select id from aw)")
+def affected_closure(spark, d):
+    g = X.graph(spark, d)
+    none = g.rels.select("id").limit(0)
+    w, r = changes.closure(g.ways, g.rels, changes.changed_for_parents(_node_changes(spark, d)), g.ways.filter("(id - 1) % 211 = 0"), none)
+    return w.select(F.lit("w").alias("type"), "id").unionByName(r.select(F.lit("r").alias("type"), "id"))
+
+
+def _way_changes(spark, d):
+    k = c("id")
+    own = X.ways(spark, d).filter("id % 7 = 0").withColumn("op", F.when(k % 3 == 0, "delete").otherwise("modify")).withColumn("version", c("version") + 1)
+    return own
+
+
+@query(f"with {X.NODES} select id, case when id % 7 = 0 then lon_e7 + 5 else lon_e7 end as lon_e7, lat_e7 from nodes where not (id % 7 = 0 and id % 3 = 0) union all select id + 1000000, lon_e7, lat_e7 from nodes where id % 100 = 0")
+def apply_changes_nodes(spark, d):
+    n = X.nodes(spark, d).select("id", "lon_e7", "lat_e7")
+    old = n.filter("id % 7 = 0").select("id", (c("lon_e7") + 5).alias("lon_e7"), "lat_e7", F.when(c("id") % 3 == 0, "delete").otherwise("modify").alias("op"))
+    new = n.filter("id % 100 = 0").select((c("id") + 1000000).alias("id"), "lon_e7", "lat_e7", F.lit("create").alias("op"))
+    return changes.apply(n, old.unionByName(new))
+
+
+@query(f"with {X.WAYS} select id, case when id % 7 = 0 then version + 1 else version end as version, status from ways where not (id % 7 = 0 and id % 3 = 0)")
+def apply_changes_ways(spark, d):
+    w = X.ways(spark, d)
+    return changes.apply(w, _way_changes(spark, d)).select("id", "version", A.tag(c("tags"), "status").alias("status"))
+
+
+@query("select 0::bigint as differing")
+def incremental_equals_full(spark, d):
+    """The output kept up to date by the closure against the one derived anew: rows that differ."""
+    g = X.graph(spark, d)
+    derive = lambda ways, nodes: gather.way_points(ways, nodes).select("id", G.as_linestring(c("points")).alias("line")).filter("line is not null")
+    moved = g.nodes.filter("id % 50 = 0").withColumn("lon_e7", c("lon_e7") + 7).withColumn("version", F.lit(2)).withColumn("op", F.lit("modify"))
+    ways_changed = _way_changes(spark, d)
+    nodes_new, ways_new = changes.apply(g.nodes, moved), changes.apply(g.ways, ways_changed)
+    pending, _ = changes.closure(ways_new, g.rels, changes.changed_for_parents(moved), ways_changed, g.rels.select("id").limit(0))
+    kept = changes.refresh(derive(g.ways, g.nodes), pending, derive(ways_new.join(pending, "id", "left_semi"), nodes_new))
+    full = derive(ways_new, nodes_new)
+    return expire.symmetric_difference(kept, full, ["id", "line"]).agg(F.count("*").alias("differing"))
+
+
+@query(f"{_TILES}, old as (select id, tx, ty from t where id % 5 <> 0), new as (select id, case when id % 2 = 0 then tx + 1 else tx end as tx, ty from t where id % 7 <> 0) select tx as x, ty as y, count(*) as n from ((select * from old except all select * from new) union all (select * from new except all select * from old)) group by 1, 2")
+def expire_old_new(spark, d):
+    t = _tiles(spark, d)
+    old, new = t.filter("id % 5 <> 0"), t.filter("id % 7 <> 0").withColumn("tx", F.when(c("id") % 2 == 0, c("tx") + 1).otherwise(c("tx")))
+    return expire.symmetric_difference(old, new, ["id", "tx", "ty"]).groupBy(c("tx").alias("x"), c("ty").alias("y")).agg(F.count("*").alias("n"))
+
+
+@query("select o_orderkey as id, case o_orderkey % 3 when 0 then 'create' when 1 then 'modify' else 'delete' end as op, case when o_orderkey % 3 < 2 then o_orderstatus end as status from orders")
+def change_log(spark, d):
+    k = c("o_orderkey")
+    op = F.when(k % 3 == 0, "create").when(k % 3 == 1, "modify").otherwise("delete")
+    return X.table(spark, d, "orders").select(k.alias("id"), op.alias("op"), F.when(op != "delete", c("o_orderstatus")).alias("status"))
+
+
+@query("select property, value from (values ('import_timestamp', '2024-01-01'), ('version', '2'), ('style', 'a')) t(property, value)")
+def properties_upsert(spark, d):
+    old = spark.createDataFrame([("import_timestamp", "2024-01-01"), ("version", "1")], "property string, value string")
+    new = spark.createDataFrame([("version", "2"), ("style", "a")], "property string, value string")
+    return changes.upsert(old, new, ["property"])
+
+
+# --- generalization ------------------------------------------------------------------------------------------------
+
+
+@query("""
+with s as (select s_suppkey as id, s_acctbal as importance, ((s_suppkey * 7919) % 36000)::double as x, ((s_suppkey * 104729) % 16000)::double as y from supplier where s_acctbal > 0),
+r as (select *, row_number() over (order by importance desc, id) - 1 as irank from s), i as (select a.id, a.irank, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d from r a left join r b on b.irank < a.irank group by a.id, a.irank),
+j as (select id, irank, coalesce(d, (select d + 1 from i where irank = 1)) as discr_iso from i)
+select id, irank, discr_iso, row_number() over (order by discr_iso desc, id) - 1 as dirank from j
+""")
+def discrete_isolation(spark, d):
+    k = c("s_suppkey")
+    p = X.table(spark, d, "supplier").select(k.alias("id"), c("s_acctbal").alias("importance"), (k * 7919 % 36000).cast("double").alias("x"), (k * 104729 % 16000).cast("double").alias("y"))
+    return generalize.discrete_isolation(p).select("id", "irank", "discr_iso", "dirank")
+
+
+@query(f"with {X.NODES}, m as (select id, {_MERC} from nodes), t as (select id, {_TILE.format(w=16)} from m) select tx, ty, count(*) as n, min(id) as min_id from t group by tx, ty")
+def tile_sql(spark, d):
+    return generalize.tile_table(_mercator(spark, d), 4).groupBy("tx", "ty").agg(F.count("*").alias("n"), F.min("id").alias("min_id"))
+
+
+@query(f"with {X.NODES}, m as (select id, {_MERC} from nodes), e as (select min(x) as a, max(x) as b, min(y) as c, max(y) as d from m), t as (select floor(32 * (0.5 + a / 40075016.68))::integer as x0, floor(32 * (0.5 + b / 40075016.68))::integer as x1, floor(32 * (0.5 - d / 40075016.68))::integer as y0, floor(32 * (0.5 - c / 40075016.68))::integer as y1 from e) select x::integer as x, y::integer as y from t, lateral (select unnest(range(greatest(x0, 0), least(x1, 31) + 1)) as x), lateral (select unnest(range(greatest(y0, 0), least(y1, 31) + 1)) as y)")
+def tiles_of_extent(spark, d):
+    return generalize.tiles_of_extent(_mercator(spark, d).select(c("x").alias("min_x"), c("y").alias("min_y"), c("x").alias("max_x"), c("y").alias("max_y")), 5)
+
+
+@query("select r_name as name from region where exists (select 1 from nation where n_regionkey = 0)")
+def run_sql_if_rows(spark, d):
+    X.table(spark, d, "nation").createOrReplaceTempView("terrane_nation")
+    X.table(spark, d, "region").createOrReplaceTempView("terrane_region")
+    ran = generalize.run_sql(spark, "create or replace temp view {out} as select r_name as name from terrane_region", if_has_rows="select 1 from terrane_nation where n_regionkey = {key}", out="terrane_out", key=0)
+    return spark.table("terrane_out") if ran else spark.createDataFrame([], "name string")
+
+
+def _boxes(spark, d):
+    r = X.regions(spark, d)
+    corner = lambda x, y: G.to_mercator(c(x) / 1e7, c(y) / 1e7)
+    ring = F.array(*[corner(x, y) for x, y in (("min_x", "min_y"), ("max_x", "min_y"), ("max_x", "max_y"), ("min_x", "max_y"), ("min_x", "min_y"))])
+    return r.select("name", F.array(ring).alias("rings"))
+
+
+@query()
+def raster_union(spark, d):
+    return generalize.raster_union(_boxes(spark, d), 1, buffer=4, group="name").groupBy("x", "y", "name").agg(F.count("*").alias("n"), F.round(F.sum("area"), 0).alias("area"))
+
+
+@query()
+def builtup(spark, d):
+    b = _boxes(spark, d)
+    return generalize.builtup([(b.filter("name < 'B'"), 4), (b.filter("name >= 'B'"), 2)], 1).groupBy("x", "y").agg(F.count("*").alias("n"), F.round(F.sum("area"), 0).alias("area"))
+
+
+@query()
+def rivers_width(spark, d):
+    l = X.table(spark, d, "lineitem").filter("l_linenumber <= 2")  # noqa: E741
+    edges = l.select(c("l_orderkey").alias("id"), (c("l_partkey") % 400).alias("from_node"), (c("l_partkey") % 400 + 1 + c("l_suppkey") % 3).alias("to_node"), c("l_quantity").alias("width"))
+    return generalize.propagate_width(edges).select("id", "from_node", "to_node", "width")
+
+
+# --- algorithms on shapes ------------------------------------------------------------------------------------------
+
+
+def _degrees(spark, d):
+    deg = F.transform("line", lambda p: G.point(p["x"] / 1e7, p["y"] / 1e7))
+    return _lines(spark, d).filter("line is not null").select("id", deg.alias("line"))
+
+
+@query()
+def simplify(spark, d):
+    return _degrees(spark, d).select("id", F.size(S.simplify_udf(c("line"), F.lit(20.0))).alias("n_points"))
+
+
+@query()
+def spherical_length(spark, d):
+    return _degrees(spark, d).select("id", F.round(S.spherical_length_udf(c("line")), 0).alias("metres"))
+
+
+@query()
+def spherical_area(spark, d):
+    deg = F.transform("rings", lambda r: F.transform(r, lambda p: G.from_mercator(p["x"], p["y"])))
+    return _boxes(spark, d).select("name", F.round(S.spherical_area_udf(deg), -3).alias("area"))
+
+
+@query()
+def pole_of_inaccessibility(spark, d):
+    return _boxes(spark, d).select("name", S.pole_udf(c("rings"), F.lit(1.0)).alias("p")).select("name", F.round("p.x", 0).alias("x"), F.round("p.y", 0).alias("y"), F.round("p.distance", 0).alias("distance"))
+
+
+@query()
+def line_merge(spark, d):
+    g = X.graph(spark, d)
+    lines = gather.relation_lines(g.rels, gather.way_points(g.ways, g.nodes)).select("id", F.transform("lines", lambda l: F.transform(l, lambda p: G.point(p["x"].cast("double"), p["y"].cast("double")))).alias("lines"))
+    return lines.select("id", F.size(S.line_merge_udf(c("lines"))).alias("n_lines"))
+
+
+@query()
+def multipolygon_assembly(spark, d):
+    """Every three neighbouring grid cells as ways of one relation: their shared sides cancel."""
+    k = c("p_partkey")
+    x, y = (k % 40).cast("double"), F.floor(k / 40).cast("double")
+    ring = F.array(*[G.point(x + i, y + j) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
+    ways = X.table(spark, d, "part").groupBy(F.floor(k / 3).alias("id")).agg(F.collect_list(ring).alias("ways"))
+    made = ways.select("id", S.assemble_udf("ways").alias("polygons"))
+    return made.select("id", F.size("polygons").alias("n_polygons"), F.aggregate("polygons", F.lit(0.0), lambda a, p: a + G.polygon_area(p)).alias("area"))
+
+
+@query()
+def valid_filter(spark, d):
+    return _degrees(spark, d).filter(F.size("line") >= 4).select("id", S.is_valid_udf(F.array(F.concat("line", F.slice("line", 1, 1)))).alias("ok")).groupBy("ok").agg(F.count("*").alias("n"))
+
+
+@query()
+def ewkb_lines(spark, d):
+    return _degrees(spark, d).select("id", F.hex(S.line_ewkb_udf(c("line"), F.lit(4326))).alias("ewkb"))
+
+
+# --- sinks, streams ------------------------------------------------------------------------------------------------
+
+
+@query(f"with {X.NODES} select id, lon_e7, lat_e7 from nodes")
+def clustered_nodes(spark, d):
+    n = X.nodes(spark, d).select("id", "lon_e7", "lat_e7", G.to_mercator(c("lon_e7") / 1e7, c("lat_e7") / 1e7).alias("m"))
+    return tables.clustered(n, c("m.x"), c("m.y")).drop("m")
+
+
+@query("select 0::bigint as written")
+def null_sink(spark, d):
+    tables.write(X.nodes(spark, d), "", "null")
+    return spark.createDataFrame([(0,)], "written long")
+
+
+@query("select ts0 as start, event_type, count(*) as n, round(sum(value), 2) as total from (select time_bucket(interval '1 hour', ts) as ts0, event_type, value from events) group by 1, 2")
+def event_tumbling(spark, d):
+    return updates.tumbling(X.table(spark, d, "events"), "1 hour").select("start", "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("select start, count(*) as n from (select time_bucket(interval '30 minutes', ts) - i * interval '30 minutes' as start from events, range(0, 2) r(i)) group by 1")
+def event_sliding(spark, d):
+    return updates.sliding(X.table(spark, d, "events"), "1 hour", "30 minutes")
+
+
+@query("""
+with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '30 minutes' then 0 else 1 end as new from events),
+s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from g) select user_id, min(ts) as start, count(*) as n from s group by user_id, k
+""")
+def event_sessions(spark, d):
+    return updates.sessions(X.table(spark, d, "events"), "30 minutes")
+
+
+@query("select user_id as id, max(event_id) as version from events group by user_id")
+def stream_diff_apply(spark, d):
+    """The events as a change stream of users, applied by micro-batches to an empty store."""
+    import uuid
+
+    from ..sources.store import shared_dir
+
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    store = updates.Store(spark, f"{at}/store")
+    store.replace(spark.createDataFrame([], "id long, version long"))
+    schema = X.table(spark, d, "events").schema
+    # the table is one file among others in its folder
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d) if not _is_dir(spark, f"{d}/events.parquet") else spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
+    rows = stream.select(c("user_id").alias("id"), c("event_id").alias("version"), F.lit("modify").alias("op"))
+    updates.run_updates(rows, store, f"{at}/checkpoint")
+    return store.read()
+
+
+def _is_dir(spark, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
