@@ -56,32 +56,30 @@ def point_tiles(x: Column, y: Column, zoom: int, buffer: float = 0.1) -> Column:
     return F.array_distinct(box_tiles(tx - buffer, ty - buffer, tx + buffer, ty + buffer, zoom, True))
 
 
-def segment_tiles(ax: Column, ay: Column, bx: Column, by: Column, zoom: int, buffer: float = 0.1) -> Column:
-    """Tiles of a segment: it is walked from left to right in steps of 0.4 tiles, each step's box with the buffer.
+def expire_lines(segments: DataFrame, zoom: int, buffer: float = 0.1) -> DataFrame:
+    """Distinct (id, x, y) of segments (id, ax, ay, bx, by) in mercator coordinates.
 
-    A segment over half the map's width goes over the date line instead.
+    A segment is walked from left to right in steps of 0.4 tiles, and each step's box with the buffer is expired. One over half
+    the map's width goes over the date line instead. Steps and tiles are exploded as rows, so each stays a compiled
+    expression over columns.
     """
-    width = float(1 << zoom)
-    (p, q), (r, s) = T.tile_coord(ax, ay, zoom), T.tile_coord(bx, by, zoom)
-    swap = p > r
-    x0, y0, x1, y1 = F.when(swap, r).otherwise(p), F.when(swap, s).otherwise(q), F.when(swap, p).otherwise(r), F.when(swap, q).otherwise(s)
-    far = x1 - x0 > width / 2
-    # over the date line: from the right point to the left one, a map's width on
-    sx, sy, ex, ey = F.when(far, x1).otherwise(x0), F.when(far, y1).otherwise(y0), F.when(far, x0 + width).otherwise(x1), F.when(far, y0).otherwise(y1)
-    size = F.sqrt((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy))
-    dx, dy = F.when(size > 0, (ex - sx) / size).otherwise(0.0), F.when(size > 0, (ey - sy) / size).otherwise(0.0)
-
-    def step(i: Column) -> Column:
-        a, b = i * STEP, F.least((i + 1) * STEP, size)
-        ux, uy, vx, vy = sx + dx * a, sy + dy * a, sx + dx * b, sy + dy * b
-        return box_tiles(F.least(ux, vx) - buffer, F.least(uy, vy) - buffer, F.greatest(ux, vx) + buffer, F.greatest(uy, vy) + buffer, zoom, False)
-
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(size / STEP).cast("int") - 1)), step)))
-
-
-def expire_lines(segments: DataFrame, zoom: int, buffer: float = 0.1) -> DataFrame:
-    """Distinct (id, x, y) of segments (id, ax, ay, bx, by) in mercator coordinates."""
-    return segments.select("id", F.explode(segment_tiles(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), zoom, buffer)).alias("t")).select("id", "t.x", "t.y").distinct()
+    width = 1 << zoom
+    (p, q), (r, s) = T.tile_coord(F.col("ax"), F.col("ay"), zoom), T.tile_coord(F.col("bx"), F.col("by"), zoom)
+    c, swap = F.col, F.col("p") > F.col("r")
+    rows = segments.select("id", p.alias("p"), q.alias("q"), r.alias("r"), s.alias("s"))
+    rows = rows.select("id", *[F.when(swap, c(a)).otherwise(c(b)).alias(n) for n, a, b in (("x0", "r", "p"), ("y0", "s", "q"), ("x1", "p", "r"), ("y1", "q", "s"))])
+    far = c("x1") - c("x0") > width / 2
+    rows = rows.select("id", *[F.when(far, a).otherwise(b).alias(n) for n, a, b in (("sx", c("x1"), c("x0")), ("sy", c("y1"), c("y0")), ("ex", c("x0") + width, c("x1")), ("ey", c("y0"), c("y1")))])
+    rows = rows.withColumn("size", F.sqrt((c("ex") - c("sx")) * (c("ex") - c("sx")) + (c("ey") - c("sy")) * (c("ey") - c("sy"))))
+    unit = lambda a, b: F.when(c("size") > 0, (c(b) - c(a)) / c("size")).otherwise(0.0)
+    rows = rows.withColumn("dx", unit("sx", "ex")).withColumn("dy", unit("sy", "ey"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(c("size") / STEP).cast("int") - 1))).alias("step"))
+    a, b = c("step") * STEP, F.least((c("step") + 1) * STEP, c("size"))
+    rows = rows.select("id", (c("sx") + c("dx") * a).alias("ux"), (c("sy") + c("dy") * a).alias("uy"), (c("sx") + c("dx") * b).alias("vx"), (c("sy") + c("dy") * b).alias("vy"))
+    low, high = (lambda u, v: F.floor(F.least(u, v) - buffer)), (lambda u, v: F.floor(F.greatest(u, v) + buffer))
+    rows = rows.select("id", F.explode(F.sequence(low("ux", "vx"), high("ux", "vx"))).alias("x"), low("uy", "vy").alias("lo"), high("uy", "vy").alias("hi")).distinct()
+    rows = rows.select("id", F.pmod(c("x"), F.lit(width)).cast("int").alias("x"), F.explode(F.sequence("lo", "hi")).alias("y"))
+    return rows.filter(c("y").between(0, width - 1)).select("id", "x", c("y").cast("int").alias("y")).distinct()
 
 
 def limited(tiles: DataFrame, most: int) -> DataFrame:

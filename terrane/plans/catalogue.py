@@ -330,10 +330,10 @@ def _lines(spark, d):
 
 
 _SEGMENTS = f"""{X.POINTS}, seg as (
-  select id, i, lon_e7 as ax, lat_e7 as ay, lead(lon_e7) over w as bx, lead(lat_e7) over w as by from dedup window w as (partition by id order by i))"""
+  select id, i, lon_e7 as ax, lat_e7 as ay, lead(lon_e7) over w as qx, lead(lat_e7) over w as qy from dedup window w as (partition by id order by i))"""
 
 
-@query(f"""with {_SEGMENTS}, l as (select id, count(*) as n_points, round(sum(sqrt(pow(bx::double - ax, 2) + pow(by::double - ay, 2))), 1) as length_e7, min(ax) as min_x, min(ay) as min_y, max(ax) as max_x, max(ay) as max_y from seg group by id having count(*) >= 2)
+@query(f"""with {_SEGMENTS}, l as (select id, count(*) as n_points, round(sum(sqrt(pow(qx::double - ax, 2) + pow(qy::double - ay, 2))), 1) as length_e7, min(ax) as min_x, min(ay) as min_y, max(ax) as max_x, max(ay) as max_y from seg group by id having count(*) >= 2)
 select o_orderkey + 1 as id, n_points, length_e7, min_x, min_y, max_x, max_y from orders left join l on l.id = o_orderkey + 1""")
 def way_linestring(spark, d):
     box = G.bbox(c("line"))
@@ -447,7 +447,7 @@ def transform_3857(spark, d):
     return _mercator(spark, d).select("id", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
 
 
-@query(f"with {_SEGMENTS}, l as (select id, sum(sqrt(pow(bx::double - ax, 2) + pow(by::double - ay, 2))) as len from seg group by id having count(*) = 2) select id, greatest(1, ceil(len / 1e8 - 1e-9))::integer as parts from l")
+@query(f"with {_SEGMENTS}, l as (select id, sum(sqrt(pow(qx::double - ax, 2) + pow(qy::double - ay, 2))) as len from seg group by id having count(*) = 2) select id, greatest(1, ceil(len / 1e8 - 1e-9))::integer as parts from l")
 def segmentize_part_count(spark, d):
     rows = _lines(spark, d).filter(F.size("line") == 2)
     deg = F.transform("line", lambda p: G.point(p["x"].cast("double"), p["y"].cast("double")))
@@ -521,7 +521,7 @@ def expire_upsert(spark, d):
 
 
 _WALK = f"""with {_SEGMENTS}, m as (select id, i, 8 * (0.5 + 6378137.0 * radians(ax / 1e7) / 40075016.68) as px, 8 * (0.5 - 6378137.0 * ln(tan(pi() / 4 + radians(ay / 1e7) / 2)) / 40075016.68) as py,
-  8 * (0.5 + 6378137.0 * radians(bx / 1e7) / 40075016.68) as rx, 8 * (0.5 - 6378137.0 * ln(tan(pi() / 4 + radians(by / 1e7) / 2)) / 40075016.68) as ry from seg where bx is not null),
+  8 * (0.5 + 6378137.0 * radians(qx / 1e7) / 40075016.68) as rx, 8 * (0.5 - 6378137.0 * ln(tan(pi() / 4 + radians(qy / 1e7) / 2)) / 40075016.68) as ry from seg where qx is not null),
 o as (select id, i, case when px > rx then rx else px end as x0, case when px > rx then ry else py end as y0, case when px > rx then px else rx end as x1, case when px > rx then py else ry end as y1 from m),
 f as (select id, i, case when x1 - x0 > 4 then x1 else x0 end as sx, case when x1 - x0 > 4 then y1 else y0 end as sy, case when x1 - x0 > 4 then x0 + 8 else x1 end as ex, case when x1 - x0 > 4 then y0 else y1 end as ey from o),
 l as (select *, sqrt((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy)) as size from f),
