@@ -89,7 +89,11 @@ def coarse_balls(radius: int = RADIUS, blocks: int = BLOCKS) -> list[tuple[int,
 
 def _variants(nodes: DataFrame, balls: list[tuple[int, list[int]]]) -> DataFrame:
     """(variant, fp): variants of different blocks may coincide, which costs a verification only."""
-    each = [F.transform(F.array(*map(F.lit, flips)), lambda m, k=kept: F.col("fp").bitwiseAND(F.lit(k)).bitwiseXOR(m)) for kept, flips in balls]
+
+    def ball(kept: int, flips: list[int]):
+        return F.transform(F.array(*map(F.lit, flips)), lambda m: F.col("fp").bitwiseAND(F.lit(kept)).bitwiseXOR(m))
+
+    each = [ball(kept, flips) for kept, flips in balls]
     return nodes.select("fp", F.explode(F.concat(*each) if len(each) > 1 else each[0]).alias("variant"))
 
 
