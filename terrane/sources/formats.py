@@ -125,7 +125,7 @@ def _struct(schema: str) -> str:
 def unescape(text: Column) -> Column:
     """``%hex%`` escapes of code points."""
     pieces = F.split(text, "%")
-    each = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.decode(F.unhex(F.lpad(p, 8, "0")), "UTF-32BE")).otherwise(p))
+    each = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.decode(F.unhex(F.lpad(p, 8, "0")), "UTF-32")).otherwise(p))
     return F.when(text.contains("%"), F.array_join(each, "")).otherwise(text)
 
 
