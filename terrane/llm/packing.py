@@ -16,6 +16,7 @@ shortened; rows that repeat a doc_id are packed each; an empty table gives an em
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,49 +37,64 @@ class Limits:
     window: int = 512
 
 
+# what the tokenizer takes for words, for texts whose characters are all in the ranges below
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_BEYOND = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u2030-\u205e\u20ac]|<\\|")
+
+
 class WordIds:
-    """Ids of whole texts by a tokenizer whose pieces never cross white space: every chunk between white space is encoded once.
+    """Ids of whole texts by a tokenizer that lower-cases and cuts texts into words before it merges: every word is merged once.
 
-    ``bound`` is the number of chunks that are remembered; beyond it, all are forgotten.
+    Words are found by a regular expression where a text has only Latin letters and common signs, for which it cuts as the
+    tokenizer does; any other text goes through the tokenizer as a whole. ``bound`` is the number of words that are
+    remembered; beyond it, all are forgotten.
     """
 
-    def __init__(self, path: str, end_id: int, bound: int = 300_000) -> None:
+    def __init__(self, path: str, end_id: int, bound: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.bound = Tokenizer.from_file(path), end_id, bound
+        self.merger = Tokenizer(self.tokenizer.model)
+        # the usual names of bytes: printable ones stand for themselves, the others for characters from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.names = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         self.known: dict[str, int] = {}
         self.forget()
 
     def forget(self) -> None:
         self.known.clear()
-        self.ids, self.starts, self.n = np.empty(1 << 16, np.uint32), np.empty(1 << 16, np.int64), 0
-        self.starts[0] = 0
-
-    def _learn(self, chunks: list[str]) -> None:
-        for got, chunk in zip(self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), chunks, strict=True):
-            lo, hi = self.starts[self.n], self.starts[self.n] + len(got.ids)
-            while hi > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
-            if self.n + 2 > len(self.starts):
-                self.starts = np.concatenate((self.starts, np.empty_like(self.starts)))
-            self.ids[lo:hi] = got.ids
-            self.known[chunk] = self.n
-            self.n += 1
-            self.starts[self.n] = hi
+        self.ids, self.starts, self.n = np.empty(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
+
+    def _learn(self, words: list[str]) -> None:
+        (made,) = self.merger.encode_batch_fast([[w.encode().decode("latin-1").translate(self.names) for w in words]], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(made.ids, np.uint32)
+        ends = self.starts[self.n] + np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer marks no ends of words")
+        while ends[-1] > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+        while self.n + len(words) + 1 > len(self.starts):
+            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
+        self.ids[self.starts[self.n] : ends[-1]] = ids
+        self.starts[self.n + 1 : self.n + 1 + len(words)] = ends
+        self.known.update(zip(words, range(self.n, self.n + len(words)), strict=True))
+        self.n += len(words)
 
     def encode(self, text: str) -> np.ndarray:
-        # str.split() also splits at these four, which the tokenizer doesn't take for white space
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if _BEYOND.search(text):
             return np.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32), np.uint32(self.end_id))
-        chunks = text.split()
+        words = _WORDS.findall(text.lower())
         if len(self.known) > self.bound:
             self.forget()
-        new = [c for c in set(chunks) if c not in self.known]
+        new = [w for w in set(words) if w not in self.known]
         if new:
             self._learn(new)
-        if not chunks:
+        if not words:
             return np.array([self.end_id], np.uint32)
-        at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         lo, sizes = self.starts[at], self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(sizes)
         out = np.empty(int(ends[-1]) + 1, np.uint32)
