@@ -11,7 +11,7 @@ that form itself; the others draw again. All entities are checked, by shuffles o
 stay distinct. Each mention is then written in its own format (case, separators).
 
 Defined results: a null text stays null, one without entities stays as it is; rows that repeat an id and text get equal
-results; extra columns are kept by :func:`pseudonymize`; an empty table gives an empty result.
+results; extra columns are kept by :func:`pseudonymize`, but for one named ``entities``, which it sets; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -186,14 +186,14 @@ def pseudonymize(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str
 
     Only rows with entities are shuffled with their text; the others pass where they are.
     """
-    new = replacements(df, key, id_col, text_col)
+    new = replacements(df, key, id_col, text_col).select(F.col("id").alias("__id"), F.col("h").alias("__of"), F.col("parts").alias("__parts"))
     own = df.withColumn("__hit", F.coalesce(F.col(text_col).rlike(ANY), F.lit(False)))
     empty = F.array().cast("array<struct<kind:string,new:string>>")
     plain = own.filter("not __hit").drop("__hit").withColumn("entities", empty)
     hit = own.filter("__hit").drop("__hit").withColumn("__h", F.xxhash64(text_col))
-    joined = hit.join(new, hit[id_col].eqNullSafe(new["id"]) & (hit["__h"] == new["h"]), "left")
+    joined = hit.join(new, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__of")), "left")
     between = F.split(F.col(text_col), ANY, -1)
-    shown = F.array_join(F.transform(between, lambda s, n: F.concat(s, F.when(n < F.size(between) - 1, _mention_text(F.col("parts"), n)).otherwise(F.lit("")))), "")
-    done = joined.withColumn(text_col, shown).withColumn("entities", F.transform("parts", lambda p: F.struct(p["kind"].alias("kind"), p["new"].alias("new")))).drop("id", "h", "__h", "parts")
+    shown = F.array_join(F.transform(between, lambda s, n: F.concat(s, F.when(n < F.size(between) - 1, _mention_text(F.col("__parts"), n)).otherwise(F.lit("")))), "")
+    done = joined.withColumn(text_col, shown).withColumn("entities", F.transform("__parts", lambda p: F.struct(p["kind"].alias("kind"), p["new"].alias("new")))).drop("__id", "__of", "__h", "__parts")
     out = plain.unionByName(done.select(plain.columns))
     return out.withColumn(chars_col, F.length(text_col).cast(df.schema[chars_col].dataType)) if chars_col else out

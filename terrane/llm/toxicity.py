@@ -6,6 +6,8 @@ more often than U's rate explains) are left out, and near-copies count once. The
 estimator: ``prior * R_P(+)`` plus ``R_U(-) - prior * R_P(-)``, where the second part, which estimates the risk on clean
 texts, may not fall below zero; a mini-batch in which it does takes a step against its gradient instead.
 
+The prior is the share of toxic ones among the usable labels, so labelled documents have to be like the others.
+
 Training reads a bounded sample (``Settings.positives`` and ``Settings.unlabelled`` documents, the smallest by a hash of
 their id), the features are made on the executors, and the weights, at most ``2 ** bits``, are broadcast. Scoring covers
 every whole text.
@@ -95,7 +97,7 @@ class Model:
 
 def distinct(rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
     """One of the rows that share their three least features: copies and near-copies would count one text's words many times."""
-    return list({tuple(np.sort((a * 0x9E3779B1) & 0xFFFFFFFF)[:3].tolist()): (a, x) for a, x in reversed(rows)}.values())[::-1]
+    return list({tuple(np.sort((a.astype(np.int64) * 0x9E3779B1) & 0xFFFFFFFF)[:3].tolist()): (a, x) for a, x in reversed(rows)}.values())[::-1]
 
 
 class _Rows:
