@@ -463,9 +463,12 @@ def simplify_udf(lines: pd.Series, tolerance: pd.Series) -> pd.Series:
     return pd.Series([None if v is None or len(v) < 2 else _back(simplify(_line(v), float(t))) for v, t in zip(lines, tolerance)])
 
 
-@F.pandas_udf(LINES)
-def line_merge_udf(lines: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None else [_back(x) for x in line_merge([_line(y) for y in v])] for v in lines])
+def _merged(lines):
+    return None if lines is None else [_back(x) for x in line_merge([_line(y) for y in lines])]
+
+
+# sent by Arrow, without pandas, which can't hold arrays of lines of different lengths
+line_merge_udf = F.udf(_merged, LINES, useArrow=True)
 
 
 @F.pandas_udf(T.DoubleType())
