@@ -476,35 +476,34 @@ def spherical_length_udf(lines: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else length_wgs84(_line(v)) for v in lines])
 
 
-@F.pandas_udf(T.DoubleType())
-def spherical_area_udf(rings: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None else polygon_area_wgs84([_line(r) for r in v]) for v in rings])
+def _rings(rings) -> list[Line]:
+    return [_line(r) for r in rings]
 
 
-@F.pandas_udf(T.ArrayType(LINES))
-def assemble_udf(ways: pd.Series) -> pd.Series:
-    """Polygons of arrays of ways (integers stay exact in doubles up to 2^53)."""
-    def one(v):
-        made = None if v is None else assemble([_line(w) for w in v])
-        return None if made is None else [[_back(r) for r in p] for p in made]
+def _assembled(ways):
+    made = None if ways is None else assemble(_rings(ways))
+    return None if made is None else [[_back(r) for r in p] for p in made]
 
-    return pd.Series([one(v) for v in ways])
 
+def _pole(rings, stretch):
+    found = None if rings is None or stretch is None else pole(_rings(rings), float(stretch))
+    return None if found is None else {"x": found[0][0], "y": found[0][1], "distance": found[1]}
 
-@F.pandas_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in ("x", "y", "distance")]))
-def pole_udf(rings: pd.Series, stretch: pd.Series) -> pd.DataFrame:
-    found = [None if v is None else pole([_line(r) for r in v], float(s)) for v, s in zip(rings, stretch)]
-    return pd.DataFrame({"x": [f and f[0][0] for f in found], "y": [f and f[0][1] for f in found], "distance": [f and f[1] for f in found]})
 
+def _tiles(rings, width):
+    return None if rings is None or width is None else [{"x": x, "y": y} for x, y in sorted(fill_rows(_rings(rings), int(width)))]
 
-@F.pandas_udf(T.BooleanType())
-def is_valid_udf(rings: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None else is_valid([_line(r) for r in v]) for v in rings])
 
+_POLE = T.StructType([T.StructField(k, T.DoubleType()) for k in ("x", "y", "distance")])
+_TILES = T.ArrayType(T.StructType([T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType())]))
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType())])))
-def area_tiles_udf(rings: pd.Series, width: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None else [{"x": x, "y": y} for x, y in sorted(fill_rows([_line(r) for r in v], int(w)))] for v, w in zip(rings, width)])
+# rings differ in length, so these go by Arrow without pandas too
+spherical_area_udf = F.udf(lambda rings: None if rings is None else polygon_area_wgs84(_rings(rings)), T.DoubleType(), useArrow=True)
+#: Polygons of arrays of ways (integers stay exact in doubles up to 2^53).
+assemble_udf = F.udf(_assembled, T.ArrayType(LINES), useArrow=True)
+pole_udf = F.udf(_pole, _POLE, useArrow=True)
+is_valid_udf = F.udf(lambda rings: None if rings is None else is_valid(_rings(rings)), T.BooleanType(), useArrow=True)
+area_tiles_udf = F.udf(_tiles, _TILES, useArrow=True)
 
 
 @F.pandas_udf(T.BinaryType())

@@ -190,3 +190,19 @@ def test_line_merge_in_spark(spark):
 
     rows = spark.createDataFrame([(1, [[(0.0, 0.0), (1.0, 0.0)], [(1.0, 0.0), (2.0, 0.0)]])], "id int, lines array<array<struct<x:double,y:double>>>")
     assert len(rows.select(S.line_merge_udf("lines").alias("m")).first().m) == 1
+
+
+def test_wrappers_take_rings_of_different_lengths(spark):
+    from terrane.functions import shapes as S
+
+    outer, inner = [(0.0, 0.0), (6.0, 0.0), (6.0, 3.0), (6.0, 6.0), (0.0, 6.0), (0.0, 0.0)], [(1.0, 1.0), (1.0, 2.0), (2.0, 2.0), (1.0, 1.0)]
+    kind = "array<array<struct<x:double,y:double>>>"
+    rows = spark.createDataFrame([(1, [outer, inner], [outer[:3], outer[2:]]), (2, None, None)], f"id int, rings {kind}, ways {kind}")
+    area, pole, valid, tiles, made = S.spherical_area_udf("rings"), S.pole_udf("rings", F.lit(1.0)), S.is_valid_udf("rings"), S.area_tiles_udf("rings", F.lit(8)), S.assemble_udf("ways")
+    full, empty = rows.select("id", area.alias("area"), pole.alias("pole"), valid.alias("ok"), tiles.alias("tiles"), made.alias("made")).orderBy("id").collect()
+    assert full.area == S.polygon_area_wgs84([outer, inner])
+    assert (full.pole.x, full.pole.y, full.pole.distance) == (lambda p: (*p[0], p[1]))(S.pole([outer, inner]))
+    assert full.ok is True
+    assert [(t.x, t.y) for t in full.tiles] == sorted(S.fill_rows([outer, inner], 8))
+    assert [[[(p.x, p.y) for p in r] for r in polygon] for polygon in full.made] == S.assemble([outer[:3], outer[2:]])
+    assert tuple(empty[1:]) == (None,) * 5
