@@ -235,6 +235,30 @@ def _cut_gumbel(location: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndar
         return np.where(location > -math.inf, location - np.log(np.exp(location - top) - np.log(u)), -math.inf)
 
 
+class Path:
+    """A path through every text: its choices, places, prefix sums, and the maxima of the sets left at its places.
+
+    A class of the module: one made for every batch would be a reference cycle that keeps the batch's lattice.
+    """
+
+    def __init__(self, lat: Lattice, doc_of: np.ndarray, seed_of: np.ndarray, place: np.ndarray, choice: np.ndarray, top: np.ndarray, tag: int, since: np.ndarray) -> None:
+        self.choice, self.at = choice, lat.visited(choice)
+        self.doc_at = np.searchsorted(self.at, lat.doc_at)
+        p = lat.p[choice[self.at], self.at]
+        self.log_p = np.log(p)
+        self.prefix = np.empty_like(self.log_p)
+        for a, b in zip(self.doc_at[:-1].tolist(), self.doc_at[1:].tolist(), strict=True):
+            np.cumsum(self.log_p[a:b], out=self.prefix[a:b])
+        doc = doc_of[self.at]
+        with np.errstate(divide="ignore"):
+            location = np.where(p < 1 - 1e-12, self.prefix - self.log_p + np.log1p(-np.minimum(p, 1.0)), -math.inf)
+        self.left = _cut_gumbel(location, top[doc], _uniform(seed_of[self.at], tag + 1000, place[self.at]))
+        self.left[self.at <= since[doc]] = -math.inf  # those sets are the earlier path's
+
+    def of(self, d: int) -> slice:
+        return slice(self.doc_at[d], self.doc_at[d + 1])
+
+
 def sample_batch(voc: Vocabulary, texts: list[str | None], seeds: np.ndarray, k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text, up to k samples (ids, log probability, perturbed, log inclusion probability), by falling perturbed value."""
     lat, docs = Lattice(voc, texts), len(texts)
@@ -242,28 +266,9 @@ def sample_batch(voc: Vocabulary, texts: list[str | None], seeds: np.ndarray, k:
     doc_of = np.repeat(np.arange(docs), np.diff(lat.doc_at))
     seed_of, place = seeds[doc_of], np.arange(len(doc_of)) - lat.doc_at[doc_of]
 
-    class Path:
-        """A path through every text: its choices, places, prefix sums, and the maxima of the sets left at its places."""
-
-        def __init__(self, choice: np.ndarray, top: np.ndarray, tag: int, since: np.ndarray) -> None:
-            self.choice, self.at = choice, lat.visited(choice)
-            self.doc_at = np.searchsorted(self.at, lat.doc_at)
-            p = lat.p[choice[self.at], self.at]
-            self.log_p = np.log(p)
-            self.prefix = np.empty_like(self.log_p)
-            for a, b in zip(self.doc_at[:-1].tolist(), self.doc_at[1:].tolist(), strict=True):
-                np.cumsum(self.log_p[a:b], out=self.prefix[a:b])
-            doc = doc_of[self.at]
-            with np.errstate(divide="ignore"):
-                location = np.where(p < 1 - 1e-12, self.prefix - self.log_p + np.log1p(-np.minimum(p, 1.0)), -math.inf)
-            self.left = _cut_gumbel(location, top[doc], _uniform(seed_of[self.at], tag + 1000, place[self.at]))
-            self.left[self.at <= since[doc]] = -math.inf  # those sets are the earlier path's
-
-        def of(self, d: int) -> slice:
-            return slice(self.doc_at[d], self.doc_at[d + 1])
-
     top = -np.log(-np.log(_uniform(seeds, 999)))
-    paths = [Path(lat.choices(_uniform(seed_of, 0, place)), top, 0, np.full(docs, -1))]
+    of_batch = (lat, doc_of, seed_of, place)
+    paths = [Path(*of_batch, lat.choices(_uniform(seed_of, 0, place)), top, 0, np.full(docs, -1))]
     used: dict[tuple[int, int, int], list[int]] = {}  # by document, path and place: the lengths gone at a set that was opened before
     found: list[list] = [[] for _ in range(docs)]
 
@@ -305,7 +310,7 @@ def sample_batch(voc: Vocabulary, texts: list[str | None], seeds: np.ndarray, k:
             path.left[i] = -math.inf
             probs[pick] = 0.0
             rests.append((d, at, [*gone, pick], path.prefix[i] - path.log_p[i] + math.log(rest) if (rest := float(probs.sum())) > 1e-15 else -math.inf))
-        path = Path(choice, value, r, since)
+        path = Path(*of_batch, choice, value, r, since)
         for d, at, gone, location in rests:
             used[(d, len(paths), at)] = gone
             i = int(np.searchsorted(path.at, at))
