@@ -7,7 +7,8 @@ by component, so that a surname alone is still the same person's.
 A surrogate is drawn by a keyed hash of kind, entity and attempt: digits for digits and letters for letters of the same
 script, octets that stay octets, a Luhn-valid number for a Luhn-valid one, and for names syllables of the same script
 with an ending of the same gender. It is accepted if no other entity of its kind has it and no entity of the corpus has
-that form itself; the others draw again. All entities are checked, by shuffles over the distinct ones, so distinct entities
+that form itself; the others draw again, and after ``ATTEMPTS`` draws in ever longer forms (more digits or syllables, octets of any length), since a form
+may have fewer surrogates than entities or none at all ('_@x.com'). All entities are checked, by shuffles over the distinct ones, so distinct entities
 stay distinct. Each mention is then written in its own format (case, separators).
 
 Defined results: a null text stays null, one without entities stays as it is; rows that repeat an id and text get equal
@@ -42,7 +43,8 @@ NAME = rf"(?<![\p{{L}}])(?:{_TITLE})\.? {_NAME}(?: {_NAME})?"
 PATTERNS = {"email": EMAIL, "phone": PHONE, "ssn": SSN, "ip": IP, "card": CARD, "iban": IBAN, "name": NAME}
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 KINDS = tuple(PATTERNS)
-ATTEMPTS = 64
+#: Draws in the entity's own form; each later one has a longer form, so none is ever without a surrogate.
+ATTEMPTS = 8
 
 
 def kind_of(mention):
@@ -90,17 +92,23 @@ def _luhn_sum(digits, from_right: int):
     return F.aggregate(d, F.lit(0), lambda a, x: a + F.when(x["odd"] == 1, F.when(x["c"] > 4, x["c"] * 2 - 9).otherwise(x["c"] * 2)).otherwise(x["c"]))
 
 
-def _octets(entity, stream):
+def _digits(stream, n):
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: _pick("0123456789", _byte(stream, i))), "")).otherwise("")
+
+
+def _octets(entity, stream, more):
     def each(o, i):
         n = _byte(stream, i) * 256 + _byte(stream, i + 8)
-        return F.when(F.length(o) == 1, 1 + F.pmod(n, F.lit(9))).when(F.length(o) == 2, 10 + F.pmod(n, F.lit(90))).otherwise(100 + F.pmod(n, F.lit(155))).cast("string")
+        return F.when(more > 0, 1 + F.pmod(n, F.lit(254))).otherwise(F.when(F.length(o) == 1, 1 + F.pmod(n, F.lit(9))).when(F.length(o) == 2, 10 + F.pmod(n, F.lit(90))).otherwise(100 + F.pmod(n, F.lit(155)))).cast("string")
 
-    return F.array_join(F.transform(F.split(entity, r"\."), each), ".")
+    # all of IPv4 may be dense too: a private IPv6 address then
+    private = F.regexp_replace(F.concat(F.lit("fd"), F.substring(stream, 1, 30)), "(.{4})(?=.)", "$1:")
+    return F.when(more > ATTEMPTS, private).otherwise(F.array_join(F.transform(F.split(entity, r"\."), each), "."))
 
 
-def _name(kind, entity, stream):
+def _name(kind, entity, stream, more):
     def made(consonants: str, vowels: str, endings: dict[str, str]):
-        size = F.least(F.lit(8), F.greatest(F.lit(2), F.floor(F.length(entity) / 2))).cast("int")
+        size = F.least(F.lit(8), F.greatest(F.lit(2), F.floor(F.length(entity) / 2))).cast("int") + 4 * more
         syllable = lambda i: F.concat(_pick(consonants, _byte(stream, i)), _pick(vowels, _byte(stream, i + 20)))
         gender = F.element_at(F.split(kind, "_"), 2)
         ending = F.when(gender == "m", endings["m"]).when(gender == "f", endings["f"]).otherwise(endings["n"])
@@ -112,18 +120,20 @@ def _name(kind, entity, stream):
 def drawn(kind, entity, attempt, key: str):
     """The surrogate of an attempt, in canonical form."""
     stream = F.sha2(F.concat_ws("\u0001", F.lit(key), kind, entity, attempt.cast("string")).cast("binary"), 512)
+    more = F.greatest(F.lit(0), attempt - (ATTEMPTS - 1))
+    longer = _digits(F.sha2(F.concat(F.lit("longer"), stream).cast("binary"), 512), 8 * more)
     at = F.locate("@", entity)
     domain = F.substring(entity, at + 1, F.lit(1000))
     labels = F.split(domain, r"\.")
     # the name and the domain's first labels change; a domain keeps its last two labels, so that it stays of its type
     head = F.when(F.size(labels) > 2, F.concat(F.array_join(F.slice(labels, F.lit(1), F.size(labels) - 2), "."), F.lit("."))).otherwise("")
-    email = F.concat(_like(F.substring(entity, F.lit(1), at - 1), stream), F.lit("@"), _like(head, F.sha2(stream.cast("binary"), 512)), F.array_join(F.slice(labels, -2, 2), "."))
-    card = let(_like(F.substring(entity, 1, 15), stream), lambda c: F.concat(c, F.when(_luhn_sum(entity, 0) % 10 == 0, F.pmod(-_luhn_sum(c, 1), F.lit(10)).cast("string")).otherwise(_pick("0123456789", _byte(stream, F.lit(40))))))
+    email = F.concat(_like(F.substring(entity, F.lit(1), at - 1), stream), longer, F.lit("@"), _like(head, F.sha2(stream.cast("binary"), 512)), F.array_join(F.slice(labels, -2, 2), "."))
+    card = let(F.concat(_like(F.substring(entity, 1, 15), stream), longer), lambda c: F.concat(c, F.when(_luhn_sum(entity, 0) % 10 == 0, F.pmod(-_luhn_sum(c, 1), F.lit(10)).cast("string")).otherwise(_pick("0123456789", _byte(stream, F.lit(40))))))
     # a number of a country keeps its country code, an IBAN its country
     country = F.greatest(F.lit(0), F.length(entity) - 10)
-    phone = F.concat(F.substring(entity, F.lit(1), country), _like(F.substring(entity, country + 1, F.lit(1000)), stream))
-    iban = F.concat(F.substring(entity, 1, 2), _like(F.substring(entity, F.lit(3), F.lit(1000)), stream))
-    return F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", _octets(entity, stream)).when(kind == "phone", phone).when(kind == "iban", iban).when(kind.rlike("^(given|surname)_"), _name(kind, entity, stream)).otherwise(_like(entity, stream))
+    phone = F.concat(F.substring(entity, F.lit(1), country), _like(F.substring(entity, country + 1, F.lit(1000)), stream), longer)
+    iban = F.concat(F.substring(entity, 1, 2), _like(F.substring(entity, F.lit(3), F.lit(1000)), stream), longer)
+    return F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", _octets(entity, stream, more)).when(kind == "phone", phone).when(kind == "iban", iban).when(kind.rlike("^(given|surname)_"), _name(kind, entity, stream, more)).otherwise(F.concat(_like(entity, stream), longer))
 
 
 def dressed(part, kind, surrogate):
@@ -131,7 +141,7 @@ def dressed(part, kind, surrogate):
     first = F.substring(part, 1, 1)
     cased = F.when(part == F.upper(part), F.upper(surrogate)).when(first != F.lower(first), F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, F.lit(2), F.lit(1000)))).otherwise(surrogate)
     state = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
-    filled = F.aggregate(F.split(part, ""), state, lambda s, c: F.when(c.rlike("[0-9A-Za-z]"), F.struct(F.concat(s["out"], F.substring(surrogate, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at"))), lambda s: s["out"])
+    filled = F.aggregate(F.split(part, ""), state, lambda s, c: F.when(c.rlike("[0-9A-Za-z]"), F.struct(F.concat(s["out"], F.substring(surrogate, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at"))), lambda s: F.concat(s["out"], F.substring(surrogate, s["at"], F.lit(1000))))  # a longer surrogate goes on after the format
     return F.when(kind == "ip", surrogate).when((kind == "email") | kind.rlike("^(given|surname)_"), cased).otherwise(filled)
 
 
@@ -142,12 +152,14 @@ def mentions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows
 
 
-def surrogates(entities: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFrame:
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, entity, surrogate) of distinct (kind, entity); no two entities of a kind share one, and none is an entity itself."""
     entities = materialize(entities, "entities")
-    left = entities.withColumn("attempt", F.lit(0))
+    # an address without a letter or digit that may change has no other form of its length
+    fixed = (F.col("kind") == "email") & F.col("entity").rlike(r"^[^0-9a-z@]+@[^.]+\.[^.]+$")
+    left = entities.withColumn("attempt", F.when(fixed, ATTEMPTS).otherwise(0))
     done: DataFrame | None = None
-    for _ in range(attempts):
+    while True:
         tried = left.withColumn("surrogate", drawn(F.col("kind"), F.col("entity"), F.col("attempt"), key))
         tried = tried.withColumn("turn", F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("entity")))
         taken = entities.select("kind", F.col("entity").alias("surrogate")).withColumn("taken", F.lit(True))
@@ -159,7 +171,6 @@ def surrogates(entities: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataF
         left = tried.filter("not good").select("kind", "entity", (F.col("attempt") + 1).alias("attempt"))
         if left.isEmpty():
             return done
-    raise RuntimeError("some entities found no surrogate of their own: their formats have too few")
 
 
 def replacements(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -247,6 +247,21 @@ def test_pii(spark):
     assert pii.pseudonymize(docs(spark, []), "key").count() == 0
 
 
+def test_pii_dense_forms(spark):
+    alone = pii.pseudonymize(docs(spark, ["write to _@x.com or ..@example.com"]), "key").first()
+    assert alone.text != "write to _@x.com or ..@example.com" and re.fullmatch(r"write to _\d+@x\.com or \.\.\d+@example\.com", alone.text)
+    # every address of one letter or digit at a domain, every number of an octet's length, a name for each of few forms
+    full = [("email", f"{c}@x.com") for c in "abcdefghijklmnopqrstuvwxyz0123456789_"] + [("other", str(i)) for i in range(10)]
+    rows = pii.surrogates(spark.createDataFrame(full, "kind string, entity string"), "key").collect()
+    assert len(rows) == len(full) == len({(r.kind, r.surrogate) for r in rows}) and not {(r.kind, r.surrogate) for r in rows} & set(full)
+    late = spark.createDataFrame([("ip", "1.2.3.4"), ("surname_n", "li"), ("card", "4111111111111111"), ("ssn", "123456789")], "kind string, entity string")
+    for attempt in (pii.ATTEMPTS, 3 * pii.ATTEMPTS):
+        new = {r.kind: r.s for r in late.select("kind", pii.drawn(F.col("kind"), F.col("entity"), F.lit(attempt), "key").alias("s")).collect()}
+        assert len(new["surname_n"]) > 10 and len(new["card"]) > 20 and len(new["ssn"]) > 12 and len(re.split("[.:]", new["ip"])) == (4 if attempt == pii.ATTEMPTS else 8)
+        assert sum(int(x) if i % 2 == 0 else sum(divmod(2 * int(x), 10)) for i, x in enumerate(reversed(new["card"]))) % 10 == 0
+    assert spark.range(1).select(pii.dressed(F.lit("123-45-6789"), F.lit("ssn"), F.lit("98765432155"))).first()[0] == "987-65-432155"
+
+
 def test_licenses(spark):
     notice = licenses.TEMPLATES["MIT-grant"]
     changed = notice.replace("hereby", "now", 1)
