@@ -2,7 +2,13 @@
 
 Detection is one pattern with an alternative for each kind. A mention's canonical form (an e-mail in lower case, a number's
 digits, a name in lower case) is the entity, so all its mentions, whatever their format, share a surrogate. Names are entities
-by component, so that a surname alone is still the same person's.
+by component, so that a surname alone is still the same person's. A name is detected by its title; the components of a document's
+detected names are then replaced wherever they stand in it as capitalised words without a title.
+
+Not detected: names that have a title nowhere in their document; phone numbers of digits alone without + or 00 ('5551234567'),
+of local form ('555-1234'), or national ones in other groups than three (or two to four in brackets), three or four, and four;
+numbers of cards that have neither 16 digits nor the 15 of 34 and 37; IPv6 addresses; SSNs without hyphens; e-mail addresses
+with letters beyond ASCII; postal addresses, dates of birth and other identifiers.
 
 A surrogate is drawn by a keyed hash of kind, entity and attempt: digits for digits and letters for letters of the same
 script, octets that stay octets, a Luhn-valid number for a Luhn-valid one, and for names syllables of the same script
@@ -32,17 +38,22 @@ NEUTRAL = ("Dr", "Prof")
 SCRIPTS = {"cyrillic": ("бвгдзклмнпрст", "аеио", {"m": "ов", "f": "ова", "n": "ко"}), "greek": ("βγδζκλμνπρστ", "αειο", {"m": "ος", "f": "α", "n": "ι"}), "latin": ("bcdfgklmnprstv", "aeio", {"m": "en", "f": "a", "n": "el"})}
 
 _TITLE = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))
-_NAME = r"\p{Lu}[\p{L}'’-]+"
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
-PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[.-])\d{3,4}[ .-]\d{4}(?!\w)"
+_NAME = r"\p{Lu}(?:[\p{L}-]|['’](?=\p{L})(?![sS](?!\p{L})))+"  # a genitive's 's isn't part of it
+WORD = rf"(?<![\p{{L}}'’-]){_NAME}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
+# of a country with its groups of three, three and four, or any international number after + or 00
+PHONE = r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3,4}[ .-]\d{4}|\+[1-9](?:[ .-]?\(?\d\)?){6,14}|00[1-9](?:[ .-]?\(?\d\)?){7,12})(?!\w)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)"
-CARD = r"(?<!\w)\d{4}(?:[ -]?\d{4}){3}(?!\w)"
+CARD = r"(?<!\w)(?:\d{4}(?:[ -]?\d{4}){3}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?!\w)"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 NAME = rf"(?<![\p{{L}}])(?:{_TITLE})\.? {_NAME}(?: {_NAME})?"
 PATTERNS = {"email": EMAIL, "phone": PHONE, "ssn": SSN, "ip": IP, "card": CARD, "iban": IBAN, "name": NAME}
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# Guards: a character that none of an alternative's mentions begins with is passed at one look.
+_FIRST = "".join(sorted({t[0] for t in (*MALE, *FEMALE, *NEUTRAL)}))
+ANY = rf"(?:{EMAIL})|(?=[\d+(])(?:{'|'.join(f'(?:{p})' for p in (PHONE, SSN, IP, CARD))})|(?=[A-Z])(?:{IBAN})|(?=[{_FIRST}])(?:{NAME})"
 KINDS = tuple(PATTERNS)
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Draws in the entity's own form; each later one has a longer form, so none is ever without a surrogate.
 ATTEMPTS = 8
 
@@ -64,7 +75,8 @@ def parts_of(mention):
     names = F.split(F.regexp_replace(mention, rf"^(?:{_TITLE})\.? ", ""), " ")
     gender = gender_of(mention)
     name_parts = F.transform(names, lambda n, i: F.struct(n.alias("part"), F.when((i == 0) & (F.size(names) > 1), F.concat(F.lit("given_"), gender)).otherwise(F.concat(F.lit("surname_"), F.when(n.rlike(r"^\p{IsCyrillic}"), gender).otherwise(F.lit("n")))).alias("kind"), F.lower(n).alias("entity")))
-    entity = F.when(kind == "email", F.lower(mention)).when(kind == "ip", mention).otherwise(digits)
+    phone = F.when(mention.startswith("+"), F.concat(F.lit("+"), digits)).otherwise(F.regexp_replace(digits, "^00", "+"))
+    entity = F.when(kind == "email", F.lower(mention)).when(kind == "ip", mention).when(kind == "phone", phone).otherwise(digits)
     return F.when(kind == "name", name_parts).otherwise(F.array(F.struct(mention.alias("part"), kind.alias("kind"), entity.alias("entity"))))
 
 
@@ -128,9 +140,9 @@ def drawn(kind, entity, attempt, key: str):
     # the name and the domain's first labels change; a domain keeps its last two labels, so that it stays of its type
     head = F.when(F.size(labels) > 2, F.concat(F.array_join(F.slice(labels, F.lit(1), F.size(labels) - 2), "."), F.lit("."))).otherwise("")
     email = F.concat(_like(F.substring(entity, F.lit(1), at - 1), stream), longer, F.lit("@"), _like(head, F.sha2(stream.cast("binary"), 512)), F.array_join(F.slice(labels, -2, 2), "."))
-    card = let(F.concat(_like(F.substring(entity, 1, 15), stream), longer), lambda c: F.concat(c, F.when(_luhn_sum(entity, 0) % 10 == 0, F.pmod(-_luhn_sum(c, 1), F.lit(10)).cast("string")).otherwise(_pick("0123456789", _byte(stream, F.lit(40))))))
+    card = let(F.concat(_like(F.substring(entity, F.lit(1), F.length(entity) - 1), stream), longer), lambda c: F.concat(c, F.when(_luhn_sum(entity, 0) % 10 == 0, F.pmod(-_luhn_sum(c, 1), F.lit(10)).cast("string")).otherwise(_pick("0123456789", _byte(stream, F.lit(40))))))
     # a number of a country keeps its country code, an IBAN its country
-    country = F.greatest(F.lit(0), F.length(entity) - 10)
+    country = F.when(entity.startswith("+"), F.length(F.regexp_extract(entity, COUNTRY, 0))).otherwise(F.greatest(F.lit(0), F.length(entity) - 10))
     phone = F.concat(F.substring(entity, F.lit(1), country), _like(F.substring(entity, country + 1, F.lit(1000)), stream), longer)
     iban = F.concat(F.substring(entity, 1, 2), _like(F.substring(entity, F.lit(3), F.lit(1000)), stream), longer)
     return F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", _octets(entity, stream, more)).when(kind == "phone", phone).when(kind == "iban", iban).when(kind.rlike("^(given|surname)_"), _name(kind, entity, stream, more)).otherwise(F.concat(_like(entity, stream), longer))
@@ -140,11 +152,16 @@ def dressed(part, kind, surrogate):
     """The surrogate in the format of a mention: its case, or its separators."""
     first = F.substring(part, 1, 1)
     cased = F.when(part == F.upper(part), F.upper(surrogate)).when(first != F.lower(first), F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, F.lit(2), F.lit(1000)))).otherwise(surrogate)
+    # an international number is written with + or 00, as the mention has it
+    written = F.when((kind == "phone") & surrogate.startswith("+"), F.regexp_replace(surrogate, r"^\+", F.when(part.startswith("00"), "00").otherwise(""))).otherwise(surrogate)
     state = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
-    filled = F.aggregate(F.split(part, ""), state, lambda s, c: F.when(c.rlike("[0-9A-Za-z]"), F.struct(F.concat(s["out"], F.substring(surrogate, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at"))), lambda s: F.concat(s["out"], F.substring(surrogate, s["at"], F.lit(1000))))  # a longer surrogate goes on after the format
+    filled = F.aggregate(F.split(part, ""), state, lambda s, c: F.when(c.rlike("[0-9A-Za-z]"), F.struct(F.concat(s["out"], F.substring(written, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at"))), lambda s: F.concat(s["out"], F.substring(written, s["at"], F.lit(1000))))  # a longer surrogate goes on after the format
     return F.when(kind == "ip", surrogate).when((kind == "email") | kind.rlike("^(given|surname)_"), cased).otherwise(filled)
 
 
+NAMES = "^(given|surname)_"
+
+
 def mentions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, i, mention): every mention in order; h tells apart rows that share an id."""
     found = F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0))
@@ -174,12 +191,12 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 
 def replacements(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, h, kinds, parts): for each row with entities, what stands in place of its mentions, in order."""
+    """(id, h, parts, names): for each row with entities, what stands in place of its mentions, in order, and its names' components."""
     said = mentions(df, id_col, text_col)
     each = materialize(said.select("id", "h", "i", "mention", F.posexplode(parts_of(F.col("mention"))).alias("j", "p")).select("id", "h", "i", "mention", "j", "p.*"), "mentions")
     known = surrogates(each.select("kind", "entity").distinct(), key)
-    put = each.join(known, ["kind", "entity"]).select("id", "h", "i", "j", "mention", "part", "kind", dressed(F.col("part"), F.col("kind"), F.col("surrogate")).alias("new"))
-    rows = put.groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct("i", "j", "mention", "part", "kind", "new"))).alias("parts"))
+    put = each.join(known, ["kind", "entity"]).select("id", "h", "i", "j", "mention", "part", "kind", dressed(F.col("part"), F.col("kind"), F.col("surrogate")).alias("new"), F.when(F.col("kind").rlike(NAMES), F.col("entity")).alias("name"), "surrogate")
+    rows = put.groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct("i", "j", "mention", "part", "kind", "new"))).alias("parts"), F.array_sort(F.collect_set(F.when(F.col("name").isNotNull(), F.struct("name", "kind", "surrogate")))).alias("names"))
     return rows
 
 
@@ -192,19 +209,37 @@ def _mention_text(parts, i):
     return F.when(F.get(own, F.lit(0))["kind"].rlike("^(given|surname)_"), F.concat(title, last)).otherwise(last)
 
 
+def _later(names, words):
+    """array<struct<kind, new>> of words without a title: null where no detected name of the row has the word as a component."""
+    def of(word):
+        one = F.get(F.filter(names, lambda p: p["name"] == F.lower(word)), F.lit(0))
+        return F.when(one.isNotNull(), F.struct(one["kind"].alias("kind"), dressed(word, one["kind"], one["surrogate"]).alias("new")))
+
+    return F.transform(words, of)
+
+
+def _untitled(names, between):
+    """What stands between mentions, with the row's names replaced there too."""
+    gaps, words = F.split(between, WORD, -1), F.regexp_extract_all(between, F.lit(WORD), F.lit(0))
+    shown = F.zip_with(words, _later(names, words), lambda w, new: F.coalesce(new["new"], w))
+    return F.when(F.size(names) > 0, F.array_join(F.zip_with(gaps, shown, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")).otherwise(between)
+
+
 def pseudonymize(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None) -> DataFrame:
-    """The rows with the text's entities replaced, and ``entities``: array<struct<kind, new>>.
+    """The rows with the text's entities replaced, and ``entities``: array<struct<kind, new>>: of the mentions in order,
+    and after them of the names that are repeated without a title.
 
     Only rows with entities are shuffled with their text; the others pass where they are.
     """
-    new = replacements(df, key, id_col, text_col).select(F.col("id").alias("__id"), F.col("h").alias("__of"), F.col("parts").alias("__parts"))
+    new = replacements(df, key, id_col, text_col).select(F.col("id").alias("__id"), F.col("h").alias("__of"), F.col("parts").alias("__parts"), F.col("names").alias("__names"))
     own = df.withColumn("__hit", F.coalesce(F.col(text_col).rlike(ANY), F.lit(False)))
     empty = F.array().cast("array<struct<kind:string,new:string>>")
     plain = own.filter("not __hit").drop("__hit").withColumn("entities", empty)
     hit = own.filter("__hit").drop("__hit").withColumn("__h", F.xxhash64(text_col))
     joined = hit.join(new, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__of")), "left")
     between = F.split(F.col(text_col), ANY, -1)
-    shown = F.array_join(F.transform(between, lambda s, n: F.concat(s, F.when(n < F.size(between) - 1, _mention_text(F.col("__parts"), n)).otherwise(F.lit("")))), "")
-    done = joined.withColumn(text_col, shown).withColumn("entities", F.transform("__parts", lambda p: F.struct(p["kind"].alias("kind"), p["new"].alias("new")))).drop("__id", "__of", "__h", "__parts")
+    shown = F.array_join(F.transform(between, lambda s, n: F.concat(_untitled(F.col("__names"), s), F.when(n < F.size(between) - 1, _mention_text(F.col("__parts"), n)).otherwise(F.lit("")))), "")
+    again = F.flatten(F.transform(between, lambda s: F.filter(_later(F.col("__names"), F.regexp_extract_all(s, F.lit(WORD), F.lit(0))), lambda x: x.isNotNull())))
+    done = joined.withColumn("__untitled", F.when(F.size("__names") > 0, again).otherwise(empty)).withColumn(text_col, shown).withColumn("entities", F.concat(F.transform("__parts", lambda p: F.struct(p["kind"].alias("kind"), p["new"].alias("new"))), F.col("__untitled"))).drop("__id", "__of", "__h", "__parts", "__names", "__untitled")
     out = plain.unionByName(done.select(plain.columns))
     return out.withColumn(chars_col, F.length(text_col).cast(df.schema[chars_col].dataType)) if chars_col else out

@@ -262,6 +262,27 @@ def test_pii_dense_forms(spark):
     assert spark.range(1).select(pii.dressed(F.lit("123-45-6789"), F.lit("ssn"), F.lit("98765432155"))).first()[0] == "987-65-432155"
 
 
+def test_pii_forms(spark):
+    numbers = ["555 123 4567", "+1 555 123 4567", "+49 30 1234567", "+33 6 12 34 56 78", "+44 20 7946 0958", "+493012345678", "004930123456", "+44 (0)20 7946 0958", "3782 822463 10005", "378282246310005", "(555) 123-4567"]
+    texts = [f"call {n} or not." for n in numbers]
+    texts += ["Smith knew. Mr. John Smith came. Smith left, John and SMITH's dog; Smithson and smith stay.", "Smith and John alone", "Mrs. O'Neil's hat, O'Neil", "1234567 and 12 34 stay", "+49 30 1234567, 0049 30 1234567"]
+    got = {r.doc_id: r for r in pii.pseudonymize(docs(spark, texts), "key").collect()}
+    for i, n in enumerate(numbers):
+        new = re.fullmatch(r"call (.*) or not\.", got[i].text)[1]
+        assert new != n and re.sub(r"\d", "d", new) == re.sub(r"\d", "d", n) and len(got[i].entities) == 1
+        assert not n.startswith("+") or new.startswith(n[: 2 if n[1] == "1" else 3])  # the country stays
+    card = re.sub(r"\D", "", got[8].text)
+    assert card == re.sub(r"\D", "", got[9].text) and sum(int(x) if i % 2 == 0 else sum(divmod(2 * int(x), 10)) for i, x in enumerate(reversed(card))) % 10 == 0
+    a, b, c, d, e = (got[len(numbers) + i] for i in range(5))
+    first, last = re.search(r"Mr\. (\w+) (\w+) came", a.text).groups()
+    assert a.text == f"{last} knew. Mr. {first} {last} came. {last} left, {first} and {last.upper()}'s dog; Smithson and smith stay."
+    assert len(a.entities) == 6 and {x.new for x in a.entities} == {first, last, last.upper()}
+    assert b.text == texts[len(numbers) + 1] and d.text == texts[len(numbers) + 3] and b.entities == d.entities == []
+    assert re.fullmatch(r"Mrs\. (\w+)'s hat, \1", c.text) and "Neil" not in c.text
+    plus, zeros = e.text.split(", ")
+    assert zeros == "00" + plus[1:]
+
+
 def test_licenses(spark):
     notice = licenses.TEMPLATES["MIT-grant"]
     changed = notice.replace("hereby", "now", 1)
