@@ -212,18 +212,31 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _rooted(prints: DataFrame, radius: int, blocks: int, bucket_limit: int) -> DataFrame:
+    """(fp, rep, root) of each different fingerprint: its smallest id, and its component's smallest fingerprint."""
+    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep")), "nodes")
+    roots = components(links(nodes.select("fp"), radius, blocks, bucket_limit))
+    return nodes.join(roots, nodes.fp == roots.a, "left").select("fp", "rep", F.coalesce("b", "fp").alias("root"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int = BLOCKS, bucket_limit: int = BUCKET_LIMIT, size: int = SHINGLE) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (the component's smallest id)."""
     prints = materialize(fingerprints(df, id_col, text_col, size), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep")), "nodes")
-    roots = components(links(nodes.select("fp"), radius, blocks, bucket_limit))
-    rooted = nodes.join(roots, nodes.fp == roots.a, "left").select("fp", "rep", F.coalesce("b", "fp").alias("root"))
+    rooted = _rooted(prints, radius, blocks, bucket_limit)
     names = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_fp = rooted.join(names, "root").select("fp", "component_id")
     return prints.join(of_fp, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its columns; one row of each id."""
-    kept = near_duplicates(df, id_col, text_col, **how).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return df.join(kept, df[id_col].eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates([id_col])
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int = BLOCKS, bucket_limit: int = BUCKET_LIMIT, size: int = SHINGLE) -> DataFrame:
+    """One row of each component, with all its columns: the one with the smallest id, nulls last, and of its texts the one with the least hash.
+
+    Rows are told apart by id and text, so that an id's other texts, and different texts without an id, stay or go by their
+    own components; rows that are equal in both are one.
+    """
+    digest = F.xxhash64(text_col)
+    keyed = df.select(F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), digest.alias("digest")).alias("key"), F.col(text_col).alias("text"))
+    rooted = _rooted(materialize(fingerprints(keyed, "key", "text", size), "fingerprints"), radius, blocks, bucket_limit)
+    kept = rooted.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.id").alias("__kept"), F.col("rep.digest").alias("__kept_digest"))
+    own = df.withColumn("__digest", digest)
+    return own.join(kept, own[id_col].eqNullSafe(kept["__kept"]) & (own["__digest"] == kept["__kept_digest"]), "left_semi").dropDuplicates([id_col, "__digest"]).drop("__digest")

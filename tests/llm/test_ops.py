@@ -60,6 +60,19 @@ def test_simhash(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_dedup_of_repeated_and_null_ids(spark):
+    base = sentence(1, 200)
+    near = base + " tail"
+    a, b, c, d = (sentence(i, 80) for i in range(2, 6))
+    assert bin(simhash.fingerprint(base.encode()) ^ simhash.fingerprint(near.encode())).count("1") <= 4
+    rows = [(3, base), (7, near), (7, a), (7, a), (8, b), (8, c), (None, d), (None, sentence(9, 80)), (None, near), (None, None), (None, b)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC)
+    want = sorted([(3, base), (7, a), (8, b), (8, c), (None, d), (None, sentence(9, 80)), (None, None)], key=str)
+    for parts in (1, 5):
+        got = simhash.drop_near_duplicates(df.repartition(parts))
+        assert got.columns == df.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == want
+
+
 def test_balls_meet():
     rng = np.random.default_rng(0)
     balls = simhash.coarse_balls()
