@@ -4,7 +4,8 @@ Base spans (assignments, access identifiers, hex runs) are always reported. Beyo
 weak candidates: user or client identifiers, short or unlabelled secrets, endpoints. Each is an interval of the text; an
 interval join within ``scope`` characters, by bisection over the sorted starts of each role, finds the complementary parts,
 and a weak candidate is reported only when an identifier and a secret (base or weak, itself included) co-occur there; an
-endpoint is reported when both do. The join tests for existence, so it never emits pairs.
+endpoint is reported when both do. An unlabelled secret is a whole run of 20 or more base64 characters, with a digit and
+letters of both cases anywhere in it. The join tests for existence, so it never emits pairs.
 
 Defined results: a null text is an empty one and has no span; rows that repeat are scanned each; texts are scanned whole;
 offsets are code points, ends exclusive; an empty table gives an empty result; extra columns are ignored.
@@ -30,7 +31,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # a shorter run fails whole, so the longer ones are the same
 _IDENTIFIER = re.compile(r"""(?:user_?name|user_?id|client_?id|account_?id|login|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}""", re.I | re.A)
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,39}[0-9])(?=[A-Za-z0-9+/_-]{0,39}[A-Z])(?=[A-Za-z0-9+/_-]{0,39}[a-z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")  # whole runs of any length
+_MIXED = tuple(re.compile(x) for x in ("[0-9]", "[A-Z]", "[a-z]"))
 _ENDPOINT = re.compile(r"""(?:https?|postgres|postgresql|mysql|mongodb|redis|amqp|s3|ftp|ssh)://[^\s"'<>]+|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}(?::\d{2,5})?""", re.I | re.A)
 _LABELS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _IDS = ("username", "user_name", "userid", "user_id", "clientid", "client_id", "accountid", "account_id", "login", "keyid", "key_id")
@@ -81,7 +83,7 @@ def spans(text: str | None, scope: int = SCOPE) -> list[Span]:
     identifiers = weak_ids + [s for s in strong if s[1] == "access"]
     found = list(strong)
     if identifiers:
-        opaque = [(m.start(), "opaque", m.end()) for m in _OPAQUE.finditer(text)]
+        opaque = [(m.start(), "opaque", m.end()) for m in _OPAQUE.finditer(text) if all(x.search(m[0]) for x in _MIXED)]
         opaque = [o for o in opaque if not any(s[0] < o[2] and o[0] < s[2] for s in strong)] if len(opaque) * len(strong) < 10_000 else _outside(opaque, strong)
         secrets = short + opaque + [s for s in strong if s[1] != "access"]
         if secrets:
