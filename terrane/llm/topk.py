@@ -135,8 +135,9 @@ def search_bucket(bucket: Bucket, q_ids: np.ndarray, q: np.ndarray, q_norms: np.
             if theta > -math.inf:
                 keep &= row >= theta
             elif len(row) > 4 * best.k:
-                least = np.partition(row, len(row) - best.k - 1)[len(row) - best.k - 1]  # one more: the query itself may be among them
-                keep &= row >= least
+                others = row[keep]  # the query's own rows, of which there may be many, take no place
+                if len(others) > best.k:
+                    keep &= row >= np.partition(others, len(others) - best.k)[len(others) - best.k]
             best.add(i, row[keep], ids[keep])
 
 

@@ -178,6 +178,20 @@ def test_topk(spark, group):
     assert topk.top_k(q.limit(0), q.limit(0)).count() == 0
 
 
+def test_topk_repeated_query_ids(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(300, 8))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    rows += [(0, rows[0][1])] * 30 + [(5, rows[0][1])] * 3  # an id's own rows; one of another's is a candidate each
+    q = topk.quantize(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).coalesce(1)
+    got = topk.top_k(q, q.filter("id in (0, 1)").dropDuplicates(["id"])).collect()
+    whole = [(i, np.floor(64 * np.array(x)).astype(np.int64)) for i, x in rows]
+    for i in (0, 1):
+        best = sorted((-int(whole[i][1] @ x), j) for j, x in whole if j != i)[:20]
+        assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == i) == [(n, j, -s) for n, (s, j) in enumerate(best, 1)]
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(5)
     rows, labels = [], []
