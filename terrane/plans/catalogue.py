@@ -747,7 +747,7 @@ def builtup(spark, d):
 
 @query()
 def rivers_width(spark, d):
-    l = X.table(spark, d, "lineitem").filter("l_linenumber <= 2")  # noqa: E741
+    l = X.table(spark, d, "lineitem")  # noqa: E741
     edges = l.select(c("l_orderkey").alias("id"), (c("l_partkey") % 400).alias("from_node"), (c("l_partkey") % 400 + 1 + c("l_suppkey") % 3).alias("to_node"), c("l_quantity").alias("width"))
     return generalize.propagate_width(edges).select("id", "from_node", "to_node", "width")
 

@@ -206,3 +206,19 @@ def test_wrappers_take_rings_of_different_lengths(spark):
     assert [(t.x, t.y) for t in full.tiles] == sorted(S.fill_rows([outer, inner], 8))
     assert [[[(p.x, p.y) for p in r] for r in polygon] for polygon in full.made] == S.assemble([outer[:3], outer[2:]])
     assert tuple(empty[1:]) == (None,) * 5
+
+
+def test_rivers_width_of_all_lines(spark):
+    from terrane.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity").collect()
+    edges = [(r[0], r[1] % 400, r[1] % 400 + 1 + r[2] % 3, float(r[3])) for r in lines]
+    into: dict = {}
+    want = []
+    for e in sorted(edges, key=lambda e: e[1]):  # segments lead to higher nodes
+        width = max(e[3], into.get(e[1], 0.0))
+        into[e[2]] = max(width, into.get(e[2], 0.0))
+        want.append((e[0], e[1], e[2], width))
+    got = catalogue.rivers_width(spark, d).collect()
+    assert sorted((r.id, r.from_node, r.to_node, float(r.width)) for r in got) == sorted(want)
