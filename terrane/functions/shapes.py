@@ -20,8 +20,8 @@ WGS84_A, WGS84_F = 6378137.0, 1 / 298.257223563
 # types as objects: workers, which import this module, can't parse their names
 LINE = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 LINES = T.ArrayType(LINE)
-#: Relations beyond these are reported as failed, never assembled in part.
-MAX_SEGMENTS, MAX_SPLITS = 200_000, 100
+#: Relations with more split locations are reported as failed, never assembled in part.
+MAX_SPLITS = 100
 
 
 # --- lines ---------------------------------------------------------------------------------------------------------
@@ -192,16 +192,21 @@ def segments_cross(a: Point, b: Point, c: Point, d: Point) -> bool:
 
 
 def any_crossing(segments: list[tuple[Point, Point]]) -> bool:
-    """A sweep over the segments sorted by their left ends; each meets those that still reach it."""
+    """A sweep over the segments sorted by their left ends; each meets those that still reach it in the bands of y that it spans."""
     order = sorted((min(s), max(s)) for s in segments)
-    active: list[tuple[Point, Point]] = []
+    if not order:
+        return False
+    low = min(min(a[1], b[1]) for a, b in order)
+    size = (max(max(a[1], b[1]) for a, b in order) - low) / max(1, math.isqrt(len(order))) or 1.0
+    active: dict[int, list[tuple[Point, Point]]] = defaultdict(list)
     for a, b in order:
-        active = [s for s in active if s[1][0] >= a[0]]
         lo, hi = min(a[1], b[1]), max(a[1], b[1])
-        for c, d in active:
-            if min(c[1], d[1]) <= hi and max(c[1], d[1]) >= lo and segments_cross(a, b, c, d):
-                return True
-        active.append((a, b))
+        for band in range(int((lo - low) / size), int((hi - low) / size) + 1):
+            active[band] = near = [s for s in active[band] if s[1][0] >= a[0]]
+            for c, d in near:
+                if min(c[1], d[1]) <= hi and max(c[1], d[1]) >= lo and segments_cross(a, b, c, d):
+                    return True
+            near.append((a, b))
     return False
 
 
@@ -238,7 +243,7 @@ def assemble(ways: list[Line]) -> list[list[Line]] | None:
             if a != b:
                 count[min(a, b), max(a, b)] += 1
     segments = sorted(s for s, n in count.items() if n % 2)
-    if not segments or len(segments) > MAX_SEGMENTS or any_crossing(segments):
+    if not segments or any_crossing(segments):
         return None
     near: dict[Point, list[Point]] = defaultdict(list)
     for a, b in segments:
@@ -277,9 +282,11 @@ def assemble(ways: list[Line]) -> list[list[Line]] | None:
             at = nxt
     rings = [r for r in rings if ring_area(r) != 0]
     depth = []
+    areas = np.array([abs(ring_area(r)) for r in rings])
+    boxes = np.array([(min(x), min(y), -max(x), -max(y)) for x, y in (zip(*r, strict=True) for r in rings)]).reshape(-1, 4)
     for i, r in enumerate(rings):
-        holders = [j for j, o in enumerate(rings) if j != i and abs(ring_area(o)) > abs(ring_area(r)) and _ring_inside(r, o)]
-        depth.append(holders)
+        around = np.flatnonzero((areas > areas[i]) & (boxes <= boxes[i]).all(axis=1))
+        depth.append([j for j in around.tolist() if _ring_inside(r, rings[j])])
     polygons: dict[int, list[Line]] = {}
     for i, r in enumerate(rings):
         if len(depth[i]) % 2 == 0:
