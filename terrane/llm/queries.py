@@ -55,7 +55,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepieces.sample(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), with_ids=False)
+    return sentencepieces.sample(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,6 +263,12 @@ def test_sentencepieces(spark):
     assert sentencepieces.sample(df.limit(0), PIECES).count() == 0
 
 
+def test_op4_returns_segmentations(spark, tmp_path):
+    docs(spark, ["the an", "Same"]).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op4_sentencepieces(spark, str(tmp_path)).collect()
+    assert len(rows) == 4 and all(len(r.ids) == r.n_tokens and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+
+
 def test_pii(spark):
     texts = ODD + ["Mr. John Smith wrote to John.Smith@mail.example.com, call +1 (663) 555-6869 or +1 (663) 555-6869.", "Mrs. Anna Smith at JOHN.SMITH@MAIL.EXAMPLE.COM from 10.20.30.40 pays 4111111111111111", "Frau Müller, Mr. Smith; 4111 1111 1111 1111", "господин Иванов"]
     rows = pii.pseudonymize(docs(spark, texts).withColumn("id", F.lit(1)).withColumn("parts", F.lit(1)), "key").collect()
