@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -11,35 +12,50 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (one machine, tests) a temporary folder."""
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder, but only on a local master.
+
+    On a cluster executors don't share the driver's folders, so tables written there would be lost: that is an error.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="terrane-shared-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: its lineage is cut, and a lost executor costs a reread.
 
-    The table goes when the driver ends, since plans that are still lazy refer to it until then.
+    The table goes when the driver ends, since plans that are still lazy refer to it until then, or by :func:`discard`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
     def forget() -> None:
         try:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(hadoop).delete(at, True)
+            delete(spark, path)
         except Exception:  # noqa: BLE001  the JVM has ended before
             pass
 
     atexit.register(forget)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what :func:`materialize` wrote; no plan that is still to run may refer to it."""
+    delete(df.sparkSession, df._stored_at)
 
 
 def with_rank(df: DataFrame, order: list[Column], name: str, partitions: int | None = None) -> DataFrame:
@@ -48,12 +64,13 @@ def with_rank(df: DataFrame, order: list[Column], name: str, partitions: int | N
     The driver sees one count for each range. ``order`` must have no ties, or their ranks are arbitrary.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "ranges")
-    counts = sorted((r["__range"], r["count"]) for r in ranged.groupBy("__range").count().collect())
+    at, local, before_ = (f"__{x}_{uuid.uuid4().hex[:8]}" for x in ("range", "local", "before"))
+    ranged = materialize(df.repartitionByRange(n, *order).withColumn(at, F.spark_partition_id()), "ranges")
+    counts = sorted((r[at], r["count"]) for r in ranged.groupBy(at).count().collect())
     before, rows = 0, []
-    for at, count in counts:
-        rows.append((at, before))
+    for k, count in counts:
+        rows.append((k, before))
         before += count
-    shift = df.sparkSession.createDataFrame(rows, "__range int, __before long")
-    local = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    return ranged.withColumn("__local", local).join(F.broadcast(shift), "__range").withColumn(name, F.col("__before") + F.col("__local")).drop("__range", "__local", "__before")
+    shift = df.sparkSession.createDataFrame(rows, f"{at} int, {before_} long")  # one row for each range
+    number = F.row_number().over(Window.partitionBy(at).orderBy(*order)) - 1
+    return ranged.withColumn(local, number).join(F.broadcast(shift), at).withColumn(name, F.col(before_) + F.col(local)).drop(at, local, before_)
