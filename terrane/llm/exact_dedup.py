@@ -9,7 +9,7 @@
 
 Defined results: a null text is an empty one and equals other empty texts. Rows that repeat a doc_id and text are copies of
 one row: each gets the same answer here, and :func:`drop_exact_copies` leaves one. A null id is smaller than any other id;
-a group that has only null ids keeps them. An empty table gives an empty result. Only the id and text columns are read, so
+a group that has only null ids keeps them (:func:`drop_exact_copies`: one of them). An empty table gives an empty result. Only the id and text columns are read, so
 extra columns, whatever their names, don't matter.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, materialize
+from .shared import ascii_lower, leave_out, materialize
 
 SUPPORT = 1e-3
 
@@ -44,9 +44,12 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """The rows that stay, with all their columns; one of several rows with the same id and text."""
-    kept = exact_dedup(df, id_col, text_col, support).filter("kept").select(F.col(id_col).alias("__kept"), F.col("text_sha256").alias("__digest")).distinct()
+    """The rows that stay, with all their columns; of several rows with the same id and text, the one with the least JSON form.
+
+    Only keys travel: the ids and digests of the rows that go, which are broadcast while they are few, so texts aren't shuffled.
+    """
+    found = exact_dedup(df, id_col, text_col, support)
+    keys = found.groupBy(F.col(id_col).alias("id"), F.col("text_sha256").alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.bool_and("kept").alias("kept"))
+    keys = keys.filter("not kept or n > 1").select("id", "digest", (~F.col("kept")).alias("gone"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = df.withColumn("__digest", F.sha2(ascii_lower(text).cast("binary"), 256))
-    on = keyed[id_col].eqNullSafe(kept["__kept"]) & (keyed["__digest"] == kept["__digest"])
-    return keyed.join(kept, on, "left_semi").dropDuplicates([id_col, "__digest"]).drop("__digest")
+    return leave_out(df, keys, id_col, F.sha2(ascii_lower(text).cast("binary"), 256))

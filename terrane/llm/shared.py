@@ -1,56 +1,57 @@
-"""Tables that are written once in the shared folder and read again, and small helpers of all operators."""
+"""Small helpers of all operators; tables in the shared folder are the engine's (``sources.store``)."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import discard, materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset (tests on one machine) a temporary one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terrane-shared-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+__all__ = ["ascii_lower", "discard", "fresh", "leave_out", "materialize", "shared_dir", "table"]
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs a reread of files, not a rerun of what made them. The table goes when the
-    driver ends, since plans that are still lazy refer to it until then.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-
-    def forget() -> None:
-        try:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(hadoop).delete(at, True)
-        except Exception:  # noqa: BLE001  the JVM has ended before
-            pass
-
-    atexit.register(forget)
-    return spark.read.schema(df.schema).parquet(path)
+#: Keys of rows that go are broadcast up to so many (some 100 MB); beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str) -> str:
+    """A column name that no input has."""
+    return f"__{name}_{uuid.uuid4().hex[:12]}"
+
+
 def ascii_lower(col):
     """Lower-case A-Z only, as a native expression.
 
-    ``lower`` has a fast path but also changes letters beyond ASCII, so it serves only texts without an upper-case or
-    title-case letter there; the others go through ``translate``.
+    ``lower`` has a fast path but also changes letters beyond ASCII, so it serves only texts all of ASCII, which have as many
+    bytes as characters; the others go through ``translate``.
     """
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.when(col.rlike(r"[[\p{javaUpperCase}\p{javaTitleCase}]&&[^A-Z]]"), F.translate(col, upper, upper.lower())).otherwise(F.lower(col))
+    return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, upper, upper.lower()))
+
+
+def leave_out(df: DataFrame, keys: DataFrame, id_col: str, digest) -> DataFrame:
+    """``df`` without the rows that ``keys`` (id, digest, gone; each key once) calls gone.
+
+    A key that isn't gone says that several rows have it, of which the one with the least JSON form stays; it is found by a partial
+    aggregation, so the rows of a key never meet in one task. ``digest`` is the expression on ``df`` that keys were made with.
+    The keys are counted: up to ``BROADCAST_ROWS`` they are broadcast, so that texts stay where they are.
+    """
+    keys = materialize(keys, "keys")
+    at_id, at_digest, gone = fresh("id"), fresh("digest"), fresh("gone")
+    counted = keys.agg(F.count("*").alias("n"), F.count_if(~F.col("gone")).alias("repeated")).first()
+    known = keys.select(F.col("id").alias(at_id), F.col("digest").alias(at_digest), F.col("gone").alias(gone))
+    known = F.broadcast(known) if counted.n <= BROADCAST_ROWS else known
+    own = fresh("own")
+    rows = df.withColumn(own, digest)
+    on = rows[id_col].eqNullSafe(F.col(at_id)) & (rows[own] == F.col(at_digest))
+    if not counted.repeated:
+        return rows.join(known, on, "left_anti").select(df.columns)
+    marked = rows.join(known, on, "left")
+    row, order = F.struct(*df.columns), F.to_json(F.struct(*df.columns))
+    once = marked.filter(~F.col(gone)).groupBy(id_col, own).agg(F.min_by(row, order).alias(own + "r")).select(own + "r.*")
+    return marked.filter(F.col(gone).isNull()).select(df.columns).unionByName(once)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, leave_out, materialize
 
 RADIUS, BLOCKS, SHINGLE, BUCKET_LIMIT = 4, 3, 4, 4096
 
@@ -177,7 +177,9 @@ def _bucket_links(radius: int, limit: int):
 
 def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(a, b): links among different fingerprints (column fp, distinct) that connect all that is within ``radius``."""
-    rows = _variants(nodes, coarse_balls(radius, blocks))
+    # 8 bytes a node become a hundred rows and more: dealt anew first, as file splits would be far too few
+    spread = nodes.repartition(max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.sparkSession.sparkContext.defaultParallelism), "fp")
+    rows = _variants(spread, coarse_balls(radius, blocks))
     rows = rows.select("variant", "fp").repartition("variant").sortWithinPartitions("variant", "fp")
     found = materialize(rows.mapInArrow(_bucket_links(radius, bucket_limit), "a long, b long"), "links")
     pairs = found.filter("b is not null")
@@ -204,7 +206,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("x"), F.col("m").alias("y")), F.struct(F.col("a").alias("x"), F.col("m").alias("y")))).alias("e"))
-        cur = materialize(small.select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).filter("a <> b").distinct(), "edges")
+        was, cur = cur, materialize(small.select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).filter("a <> b").distinct(), "edges")
+        discard(was)
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return cur
@@ -232,11 +235,14 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row of each component, with all its columns: the one with the smallest id, nulls last, and of its texts the one with the least hash.
 
     Rows are told apart by id and text, so that an id's other texts, and different texts without an id, stay or go by their
-    own components; rows that are equal in both are one.
+    own components; rows that are equal in both are one. Only ids, hashes and fingerprints travel, no texts.
     """
-    digest = F.xxhash64(text_col)
-    keyed = df.select(F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), digest.alias("digest")).alias("key"), F.col(text_col).alias("text"))
-    rooted = _rooted(materialize(fingerprints(keyed, "key", "text", size), "fingerprints"), radius, blocks, bucket_limit)
-    kept = rooted.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.id").alias("__kept"), F.col("rep.digest").alias("__kept_digest"))
-    own = df.withColumn("__digest", digest)
-    return own.join(kept, own[id_col].eqNullSafe(kept["__kept"]) & (own["__digest"] == kept["__kept_digest"]), "left_semi").dropDuplicates([id_col, "__digest"]).drop("__digest")
+    text = F.col(text_col).cast("string")
+    digest = F.concat(F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(1), text)))  # 128 bits
+    keyed = df.select(F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), digest.alias("digest")).alias("key"), text.alias("text"))
+    prints = materialize(fingerprints(keyed, "key", "text", size), "fingerprints").withColumnRenamed("id", "key")
+    each = prints.groupBy("key", "fp").agg(F.count(F.lit(1)).alias("n"))
+    rooted = _rooted(prints.withColumnRenamed("key", "id"), radius, blocks, bucket_limit)
+    kept = rooted.groupBy("root").agg(F.min("rep").alias("key")).select("key", F.lit(True).alias("kept"))
+    keys = each.join(kept, "key", "left").filter("kept is null or n > 1")
+    return leave_out(df, keys.select("key.id", "key.digest", F.col("kept").isNull().alias("gone")), id_col, digest)
