@@ -7,8 +7,12 @@ tokens), weighted by how scarce each is, has the largest product with what the s
 piece is cut so that the sequence is filled exactly. What is left at a task's end is cut into sequences whose lengths
 are powers of two, which need no padding.
 
-Sequence ids hold the task's number in their upper bits; tasks read the same rows when they are run again, so that a lost
-executor doesn't change the result.
+Sequence ids hold the task's number in their upper bits. A task that is run again has to read the same rows in the same order,
+which holds for tables in files; a frame that comes from a shuffle has to be written first (``materialize``), or a lost executor could tear
+documents.
+
+Loss: without ``loss_col`` every token bears loss, as in the query op5, whose contract leaves no other choice; tokens and
+segments (64 a sequence) are the limits that compete there. With it, all three do.
 
 Defined results: a null text is an empty one, whose only id is the end id; a document of any length is cut, never
 shortened; rows that repeat a doc_id are packed each; an empty table gives an empty result; extra columns are ignored.
@@ -20,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,82 +32,109 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Texts that are encoded together.
+CHUNK = 256
+
+
 @dataclass(frozen=True)
 class Limits:
     """What a sequence may hold at most, and how many pieces wait to be placed."""
 
     tokens: int = 4096
-    segments: int = 512
+    segments: int = 64
     loss: int = 4096
     window: int = 512
 
 
 # what the tokenizer takes for words, for texts whose characters are all in the ranges below
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-_BEYOND = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u2030-\u205e\u20ac]|<\\|")
+_BEYOND = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u2030-\u205e\u20ac]|<\\||\x00")
+# white space for ``str.split`` that is beyond those ranges
+_SPACES = [*"\x1c\x1d\x1e\x1f\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
 
 
 class WordIds:
-    """Ids of whole texts by a tokenizer that lower-cases and cuts texts into words before it merges: every word is merged once.
+    """Ids of whole texts by a tokenizer that drops white space, lower-cases, and cuts texts into words before it merges.
 
-    Words are found by a regular expression where a text has only Latin letters and common signs, for which it cuts as the
-    tokenizer does; any other text goes through the tokenizer as a whole. ``bound`` is the number of words that are
-    remembered; beyond it, all are forgotten.
+    Words don't cross white space, so every chunk between spaces has its ids for itself, and each different chunk is merged once.
+    New chunks are cut into words by a regular expression, which cuts as the tokenizer does where a text has only Latin letters
+    and common signs, and merged together by ranks: a word's end is a zero byte there, which no such text holds. A text with any
+    other character goes through the tokenizer as a whole. ``bound`` is the number of chunks that are remembered; beyond it, all
+    are forgotten.
     """
 
     def __init__(self, path: str, end_id: int, bound: int = 1_000_000) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id, self.bound = Tokenizer.from_file(path), end_id, bound
-        self.merger = Tokenizer(self.tokenizer.model)
+        self.tokenizer, self.end, self.bound = Tokenizer.from_file(path), np.uint32(end_id).tobytes(), bound
         # the usual names of bytes: printable ones stand for themselves, the others for characters from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.names = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
-        vocabulary = self.tokenizer.get_vocab()
+        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        special = set(self.tokenizer.get_added_tokens_decoder())
+        vocabulary = {x: i for x, i in self.tokenizer.get_vocab().items() if i not in special}
+        ends = {i for x, i in vocabulary.items() if x.endswith("</w>")}
+        ranks = {bytes(byte[c] for c in x.removesuffix("</w>")) + b"\0" * (i in ends): i for x, i in vocabulary.items()}
+        if len(ranks) != len(vocabulary) or not ends:
+            raise ValueError("the tokenizer marks no ends of words")
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
-        self.last[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
-        self.known: dict[str, int] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        self.known.clear()
-        self.ids, self.starts, self.n = np.empty(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
-
-    def _learn(self, words: list[str]) -> None:
-        (made,) = self.merger.encode_batch_fast([[w.encode().decode("latin-1").translate(self.names) for w in words]], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(made.ids, np.uint32)
-        ends = self.starts[self.n] + np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(words):
+        self.last[list(ends)] = True
+        self.merger = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+        self.known: dict[str, bytes] = {}
+        self.beyond: set[str] = set()
+
+    def _learn(self, chunks: list[str]) -> None:
+        if _BEYOND.search(" ".join(chunks)):
+            strange = {c for c in chunks if _BEYOND.search(c)}
+            self.beyond |= strange
+            self.known.update(dict.fromkeys(strange, b""))
+            chunks = [c for c in chunks if c not in strange]
+        words, sizes = [], []
+        for low in " ".join(chunks).lower().split(" ") if chunks else ():
+            if low.isalpha():
+                words.append(low)
+                sizes.append(1)
+            else:
+                own = _WORDS.findall(low)
+                words += own
+                sizes.append(len(own))
+        ids = np.array(self.merger.encode_ordinary("\0".join([*words, ""])), np.uint32)
+        ends = np.concatenate(([0], np.flatnonzero(self.last[ids]) + 1))
+        if len(ends) != len(words) + 1:
             raise ValueError("the tokenizer marks no ends of words")
-        while ends[-1] > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
-        while self.n + len(words) + 1 > len(self.starts):
-            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
-        self.ids[self.starts[self.n] : ends[-1]] = ids
-        self.starts[self.n + 1 : self.n + 1 + len(words)] = ends
-        self.known.update(zip(words, range(self.n, self.n + len(words)), strict=True))
-        self.n += len(words)
-
-    def encode(self, text: str) -> np.ndarray:
-        if _BEYOND.search(text):
-            return np.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32), np.uint32(self.end_id))
-        words = _WORDS.findall(text.lower())
+        data, at = ids.astype("<u4").tobytes(), (4 * ends[np.cumsum([0, *sizes])]).tolist()
+        self.known.update(zip(chunks, [data[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, with the end id, as unsigned 32-bit numbers."""
         if len(self.known) > self.bound:
-            self.forget()
-        new = [w for w in set(words) if w not in self.known]
-        if new:
-            self._learn(new)
-        if not words:
-            return np.array([self.end_id], np.uint32)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        lo, sizes = self.starts[at], self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(sizes)
-        out = np.empty(int(ends[-1]) + 1, np.uint32)
-        out[:-1] = self.ids[np.arange(ends[-1]) + np.repeat(lo - ends + sizes, sizes)]
-        out[-1] = self.end_id
+            self.known.clear()
+            self.beyond.clear()
+        each = [t.split() for t in texts]
+        found = [list(map(self.known.get, chunks)) for chunks in each]
+        gaps = [[i for i, x in enumerate(own) if x is None] for own in found]
+        if new := {chunks[i]: None for chunks, own in zip(each, gaps, strict=True) for i in own}:
+            self._learn(list(new))
+        out = []
+        for text, chunks, own, missing in zip(texts, each, found, gaps, strict=True):
+            for i in missing:
+                own[i] = self.known[chunks[i]]
+            if (self.beyond and not self.beyond.isdisjoint(chunks)) or any(x in text for x in _SPACES):
+                ids = np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, 0], np.uint32)
+                ids[-1:] = np.frombuffer(self.end, np.uint32)
+                out.append(ids)
+            else:
+                own.append(self.end)
+                out.append(np.frombuffer(b"".join(own), "<u4"))
         return out
 
 
+@lru_cache(maxsize=2)
+def word_ids(path: str, end_id: int) -> WordIds:
+    """One for each worker, which goes on from task to task."""
+    return WordIds(path, end_id)
+
+
 def loss_in(start: int, length: int, first_loss: int) -> int:
     """Loss-bearing tokens of a piece of a document whose tokens bear loss from ``first_loss`` on."""
     return max(0, start + length - max(start, first_loss))
@@ -209,7 +241,7 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 2, limits: Limits = L
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 36
-        words, packer = WordIds(tokenizer_path, end_id), Packer(limits)
+        words, packer = word_ids(tokenizer_path, end_id), Packer(limits)
         docs: dict[int, list] = {}  # of documents with waiting pieces: id, ids, tokens not yet placed
         arrow_kind: pa.DataType | None = None
 
@@ -231,13 +263,14 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 2, limits: Limits = L
         key = 0
         for batch in batches:
             arrow_kind = batch.column(0).type
-            for doc_id, text, first in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                ids = words.encode(text.as_py())
-                docs[key] = [doc_id, ids, len(ids)]
-                packer.add(key, len(ids), max(0, first))
-                key += 1
-                if len(packer.done) >= 2000:
-                    yield from placed()
+            for lo in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(lo, CHUNK)
+                for doc_id, ids, first in zip(part.column(0).to_pylist(), words.encode(part.column(1).to_pylist()), part.column(2).to_pylist(), strict=True):
+                    docs[key] = [doc_id, ids, len(ids)]
+                    packer.add(key, len(ids), max(0, first))
+                    key += 1
+                    if len(packer.done) >= 2000:
+                        yield from placed()
         packer.finish()
         yield from placed()
 

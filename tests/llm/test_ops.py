@@ -109,6 +109,46 @@ def test_packing(spark):
     for _, own in itertools.groupby(sorted(loss, key=lambda r: r.sequence_id), key=lambda r: r.sequence_id):
         assert sum(packing.loss_in(r.start, r.length, 5) for r in own) <= 100
     assert packing.pack(docs(spark, []), BPE).count() == 0
+    twice = packing.pack(docs(spark, [texts[12]] * 2).withColumn("doc_id", F.lit(None).cast("long")), BPE).collect()  # repeated and null ids are packed each
+    assert sum(r.length for r in twice) == 2 * len(want[12]) and all(r.doc_id is None for r in twice)
+
+
+def test_packing_of_instructions():
+    """Three demands that compete: tokens, segments, and loss-bearing tokens after prompts of any share."""
+    rng = np.random.default_rng(2)
+    sizes = np.clip(rng.lognormal(5, 1, 3000).astype(int), 1, 4000)
+    prompts = (sizes * rng.choice([0.0, 0.2, 0.9, 1.0], 3000)).astype(int)
+    limits = packing.Limits(tokens=1024, segments=6, loss=600, window=256)
+    packer = packing.Packer(limits)
+    for i, (n, p) in enumerate(zip(sizes.tolist(), prompts.tolist(), strict=True)):
+        packer.add(i, n, p)
+    packer.finish()
+    placed, used = {}, {}
+    for sequence, offset, (key, start, length, first) in packer.done:
+        own = used.setdefault(sequence, [0, 0, 0])
+        assert offset == own[0] and first == prompts[key]
+        own[0], own[1], own[2] = own[0] + length, own[1] + 1, own[2] + packing.loss_in(start, length, first)
+        placed.setdefault(key, []).append((start, length))
+    assert all(a <= 1024 and b <= 6 and c <= 600 for a, b, c in used.values())
+    for key, n in enumerate(sizes.tolist()):
+        at = 0
+        for start, length in sorted(placed[key]):
+            assert start == at and length > 0
+            at += length
+        assert at == n
+    naive, room = 1, [1024, 6, 600]  # next fit in the order of the rows, pieces cut to what is left
+    for n, p in zip(sizes.tolist(), prompts.tolist(), strict=True):
+        start = 0
+        while start < n:
+            take = min(n - start, room[0])
+            take -= max(0, packing.loss_in(start, take, p) - room[2])
+            if take <= 0 or not room[1]:
+                naive, room = naive + 1, [1024, 6, 600]
+                continue
+            room = [room[0] - take, room[1] - 1, room[2] - packing.loss_in(start, take, p)]
+            start += take
+    assert len(used) < naive
+
 
 
 def slow_spans(text):
