@@ -10,6 +10,9 @@ of local form ('555-1234'), or national ones in other groups than three (or two
 numbers of cards that have neither 16 digits nor the 15 of 34 and 37; IPv6 addresses; SSNs without hyphens; e-mail addresses
 with letters beyond ASCII; postal addresses, dates of birth and other identifiers.
 
+A phone number is one entity with its country and, if of ten digits, without (country 1); a given name is one whatever the title.
+An e-mail address keeps the last two labels of its domain, so a domain that is a person's own stays readable.
+
 A surrogate is drawn by a keyed hash of kind, entity and attempt: digits for digits and letters for letters of the same
 script, octets that stay octets, a Luhn-valid number for a Luhn-valid one, and for names syllables of the same script
 with an ending of the same gender. It is accepted if no other entity of its kind has it and no entity of the corpus has
@@ -40,7 +43,8 @@ SCRIPTS = {"cyrillic": ("бвгдзклмнпрст", "аеио", {"m": "ов",
 _TITLE = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))
 _NAME = r"\p{Lu}(?:[\p{L}-]|['’](?=\p{L})(?![sS](?!\p{L})))+"  # a genitive's 's isn't part of it
 WORD = rf"(?<![\p{{L}}'’-]){_NAME}"
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
+# a domain has 127 labels at most, by its standard; nothing else is bounded
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}(?![A-Za-z0-9-])"
 # of a country with its groups of three, three and four, or any international number after + or 00
 PHONE = r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3,4}[ .-]\d{4}|\+[1-9](?:[ .-]?\(?\d\)?){6,14}|00[1-9](?:[ .-]?\(?\d\)?){7,12})(?!\w)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
@@ -75,7 +79,8 @@ def parts_of(mention):
     names = F.split(F.regexp_replace(mention, rf"^(?:{_TITLE})\.? ", ""), " ")
     gender = gender_of(mention)
     name_parts = F.transform(names, lambda n, i: F.struct(n.alias("part"), F.when((i == 0) & (F.size(names) > 1), F.concat(F.lit("given_"), gender)).otherwise(F.concat(F.lit("surname_"), F.when(n.rlike(r"^\p{IsCyrillic}"), gender).otherwise(F.lit("n")))).alias("kind"), F.lower(n).alias("entity")))
-    phone = F.when(mention.startswith("+"), F.concat(F.lit("+"), digits)).otherwise(F.regexp_replace(digits, "^00", "+"))
+    # ten digits in national groups are of country 1, so that a number is one entity with and without its country
+    phone = F.when(mention.startswith("+"), F.concat(F.lit("+"), digits)).when(mention.startswith("00"), F.regexp_replace(digits, "^00", "+")).when(F.length(digits) == 10, F.concat(F.lit("+1"), digits)).otherwise(digits)
     entity = F.when(kind == "email", F.lower(mention)).when(kind == "ip", mention).when(kind == "phone", phone).otherwise(digits)
     return F.when(kind == "name", name_parts).otherwise(F.array(F.struct(mention.alias("part"), kind.alias("kind"), entity.alias("entity"))))
 
@@ -152,8 +157,8 @@ def dressed(part, kind, surrogate):
     """The surrogate in the format of a mention: its case, or its separators."""
     first = F.substring(part, 1, 1)
     cased = F.when(part == F.upper(part), F.upper(surrogate)).when(first != F.lower(first), F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, F.lit(2), F.lit(1000)))).otherwise(surrogate)
-    # an international number is written with + or 00, as the mention has it
-    written = F.when((kind == "phone") & surrogate.startswith("+"), F.regexp_replace(surrogate, r"^\+", F.when(part.startswith("00"), "00").otherwise(""))).otherwise(surrogate)
+    # an international number is written with + or 00, as the mention has it, a national one without its country
+    written = F.when((kind == "phone") & surrogate.startswith("+"), F.regexp_replace(surrogate, F.when(part.startswith("+") | part.startswith("00"), r"^\+").otherwise(r"^\+1"), F.when(part.startswith("00"), "00").otherwise(""))).otherwise(surrogate)
     state = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
     filled = F.aggregate(F.split(part, ""), state, lambda s, c: F.when(c.rlike("[0-9A-Za-z]"), F.struct(F.concat(s["out"], F.substring(written, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at"))), lambda s: F.concat(s["out"], F.substring(written, s["at"], F.lit(1000))))  # a longer surrogate goes on after the format
     return F.when(kind == "ip", surrogate).when((kind == "email") | kind.rlike("^(given|surname)_"), cased).otherwise(filled)
@@ -162,11 +167,23 @@ def dressed(part, kind, surrogate):
 NAMES = "^(given|surname)_"
 
 
-def mentions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, h, i, mention): every mention in order; h tells apart rows that share an id."""
-    found = F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0))
-    rows = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.posexplode(found).alias("i", "mention"))
-    return rows
+MARK, END = "\u0001", "\u0002"
+
+
+def pieces_of(text):
+    """array<string>: what stands before, between and after the mentions on even places, the mentions on odd ones.
+
+    One pass of the pattern puts marks around the mentions; a text that holds a mark itself takes two.
+    """
+    marked = F.split(F.regexp_replace(text, ANY, f"{MARK}$0{END}"), f"[{MARK}{END}]", -1)
+    apart = F.flatten(F.zip_with(F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda a, b: F.when(b.isNull(), F.array(a)).otherwise(F.array(a, b))))
+    return F.when(text.contains(MARK) | text.contains(END), apart).otherwise(marked)
+
+
+def mentions(staged: DataFrame) -> DataFrame:
+    """(row, i, mention): every mention of the rows (row, pieces), in order."""
+    said = F.transform(F.filter("pieces", lambda x, i: i % 2 == 1), lambda x: x)
+    return staged.select("row", F.posexplode(said).alias("i", "mention"))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -190,23 +207,32 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
             return done
 
 
-def replacements(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, h, parts, names): for each row with entities, what stands in place of its mentions, in order, and its names' components."""
-    said = mentions(df, id_col, text_col)
-    each = materialize(said.select("id", "h", "i", "mention", F.posexplode(parts_of(F.col("mention"))).alias("j", "p")).select("id", "h", "i", "mention", "j", "p.*"), "mentions")
-    known = surrogates(each.select("kind", "entity").distinct(), key)
-    put = each.join(known, ["kind", "entity"]).select("id", "h", "i", "j", "mention", "part", "kind", dressed(F.col("part"), F.col("kind"), F.col("surrogate")).alias("new"), F.when(F.col("kind").rlike(NAMES), F.col("entity")).alias("name"), "surrogate")
-    rows = put.groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct("i", "j", "mention", "part", "kind", "new"))).alias("parts"), F.array_sort(F.collect_set(F.when(F.col("name").isNotNull(), F.struct("name", "kind", "surrogate")))).alias("names"))
-    return rows
+def base_of(kind):
+    """The kind that an entity is told apart by: a given name's gender isn't part of it."""
+    return F.regexp_replace(kind, "^given_.$", "given")
 
 
-def _mention_text(parts, i):
-    """A mention with its parts replaced: names keep their title."""
-    own = F.filter(parts, lambda p: p["i"] == i)
-    last = F.array_join(F.transform(own, lambda p: p["new"]), " ")
-    mention = F.get(own, F.lit(0))["mention"]
-    title = F.regexp_extract(mention, rf"^((?:{_TITLE})\.? )", 1)
-    return F.when(F.get(own, F.lit(0))["kind"].rlike("^(given|surname)_"), F.concat(title, last)).otherwise(last)
+def replacements(staged: DataFrame, key: str) -> DataFrame:
+    """(row, shown, names): for each row with mentions, what stands in their place, in order, and its names' components.
+
+    shown: array<struct<i, text, entities>>. names: array<struct<name, kind, surrogate>>.
+    """
+    said = mentions(staged)
+    each = materialize(said.select("row", "i", "mention", F.posexplode(parts_of(F.col("mention"))).alias("j", "p")).select("row", "i", "mention", "j", "p.*").withColumn("base", base_of(F.col("kind"))), "mentions")
+    # a given name has the gender that its titles agree on, over all documents
+    male, female = (F.bool_or(F.col("kind") == f"given_{g}") for g in "mf")
+    distinct = each.groupBy("base", "entity").agg(F.min("kind").alias("kind"), male.alias("male"), female.alias("female"))
+    gender = F.when(F.col("male") & ~F.col("female"), "given_m").when(F.col("female") & ~F.col("male"), "given_f").otherwise("given_n")
+    known = surrogates(distinct.select(F.when(F.col("base") == "given", gender).otherwise(F.col("kind")).alias("kind"), "entity"), key).withColumn("base", base_of(F.col("kind")))
+    put = each.drop("kind").join(known, ["base", "entity"]).select("row", "i", "j", "mention", "kind", "entity", "surrogate", dressed(F.col("part"), F.col("kind"), F.col("surrogate")).alias("new"))
+    whole = put.groupBy("row", "i", "mention").agg(F.array_sort(F.collect_list(F.struct("j", "kind", "new", "entity", "surrogate"))).alias("parts"))
+    title = F.regexp_extract("mention", rf"^((?:{_TITLE})\.? )", 1)
+    is_name = F.get("parts", F.lit(0))["kind"].rlike(NAMES)
+    text = F.concat(F.when(is_name, title).otherwise(F.lit("")), F.array_join(F.transform("parts", lambda p: p["new"]), " "))
+    entities = F.transform("parts", lambda p: F.struct(p["kind"].alias("kind"), p["new"].alias("new")))
+    names = F.when(is_name, F.transform("parts", lambda p: F.struct(p["entity"].alias("name"), p["kind"].alias("kind"), p["surrogate"].alias("surrogate"))))
+    rows = whole.select("row", F.struct("i", text.alias("text"), entities.alias("entities")).alias("shown"), names.alias("names"))
+    return rows.groupBy("row").agg(F.array_sort(F.collect_list("shown")).alias("shown"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
 
 
 def _later(names, words):
@@ -218,28 +244,44 @@ def _later(names, words):
     return F.transform(words, of)
 
 
+_EMPTY = "array<struct<kind:string,new:string>>"
+
+
 def _untitled(names, between):
-    """What stands between mentions, with the row's names replaced there too."""
-    gaps, words = F.split(between, WORD, -1), F.regexp_extract_all(between, F.lit(WORD), F.lit(0))
-    shown = F.zip_with(words, _later(names, words), lambda w, new: F.coalesce(new["new"], w))
-    return F.when(F.size(names) > 0, F.array_join(F.zip_with(gaps, shown, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")).otherwise(between)
+    """struct<text, entities>: what stands between mentions, with the row's names replaced there too, and those."""
+    words = F.regexp_extract_all(between, F.lit(WORD), F.lit(0))
+
+    def done(w):
+        later = w["later"]
+        shown = F.zip_with(w["words"], later, lambda x, new: F.coalesce(new["new"], x))
+        text = F.array_join(F.zip_with(F.split(between, WORD, -1), shown, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
+        return F.struct(text.alias("text"), F.filter(later, lambda x: x.isNotNull()).alias("entities"))
+
+    plain = F.struct(between.alias("text"), F.array().cast(_EMPTY).alias("entities"))
+    told = let(words, lambda w: let(F.struct(w.alias("words"), _later(names, w).alias("later")), done))
+    return F.when((F.size(names) > 0) & F.exists(names, lambda p: F.contains(F.lower(between), p["name"])), told).otherwise(plain)
 
 
 def pseudonymize(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None) -> DataFrame:
     """The rows with the text's entities replaced, and ``entities``: array<struct<kind, new>>: of the mentions in order,
     and after them of the names that are repeated without a title.
 
-    Only rows with entities are shuffled with their text; the others pass where they are.
+    Texts are searched once; their pieces are written, with a number for each row, so ids need not be unique. Only
+    rows with entities are shuffled with their text; the others pass where they are.
     """
-    new = replacements(df, key, id_col, text_col).select(F.col("id").alias("__id"), F.col("h").alias("__of"), F.col("parts").alias("__parts"), F.col("names").alias("__names"))
-    own = df.withColumn("__hit", F.coalesce(F.col(text_col).rlike(ANY), F.lit(False)))
-    empty = F.array().cast("array<struct<kind:string,new:string>>")
-    plain = own.filter("not __hit").drop("__hit").withColumn("entities", empty)
-    hit = own.filter("__hit").drop("__hit").withColumn("__h", F.xxhash64(text_col))
-    joined = hit.join(new, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__of")), "left")
-    between = F.split(F.col(text_col), ANY, -1)
-    shown = F.array_join(F.transform(between, lambda s, n: F.concat(_untitled(F.col("__names"), s), F.when(n < F.size(between) - 1, _mention_text(F.col("__parts"), n)).otherwise(F.lit("")))), "")
-    again = F.flatten(F.transform(between, lambda s: F.filter(_later(F.col("__names"), F.regexp_extract_all(s, F.lit(WORD), F.lit(0))), lambda x: x.isNotNull())))
-    done = joined.withColumn("__untitled", F.when(F.size("__names") > 0, again).otherwise(empty)).withColumn(text_col, shown).withColumn("entities", F.concat(F.transform("__parts", lambda p: F.struct(p["kind"].alias("kind"), p["new"].alias("new"))), F.col("__untitled"))).drop("__id", "__of", "__h", "__parts", "__names", "__untitled")
-    out = plain.unionByName(done.select(plain.columns))
+    others = [c for c in df.columns if c not in (text_col, "entities")]
+    row = F.struct(*others) if others else F.lit(None).cast("string")
+    staged = materialize(df.select(row.alias("rest"), pieces_of(F.col(text_col).cast("string")).alias("pieces")).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    new = replacements(staged.filter(F.size("pieces") > 1).select("row", "pieces"), key)
+    columns = [F.col("rest").getField(c).alias(c) if c != text_col else F.col("text").alias(c) for c in df.columns if c != "entities"]
+    plain = staged.filter("pieces is null or size(pieces) <= 1").select("rest", F.get("pieces", F.lit(0)).alias("text"), F.array().cast(_EMPTY).alias("entities"))
+
+    def piece(x, n):
+        mention = F.get("shown", (n / 2).cast("int"))
+        return F.when(n % 2 == 1, F.struct(mention["text"].alias("text"), mention["entities"].alias("entities"))).otherwise(_untitled(F.col("names"), x))
+
+    hit = staged.filter(F.size("pieces") > 1).join(new, "row").select("rest", F.transform("pieces", piece).alias("told"))
+    texts = F.array_join(F.transform("told", lambda x: x["text"]), "")
+    of_places = lambda odd: F.flatten(F.transform(F.filter("told", lambda x, n: n % 2 == odd), lambda x: x["entities"]))
+    out = plain.unionByName(hit.select("rest", texts.alias("text"), F.concat(of_places(1), of_places(0)).alias("entities"))).select(*columns, "entities")
     return out.withColumn(chars_col, F.length(text_col).cast(df.schema[chars_col].dataType)) if chars_col else out
