@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import int_lists
+
 
 #: Texts that are encoded together.
 CHUNK = 256
@@ -248,16 +250,17 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 2, limits: Limits = L
         def placed() -> Iterator[pa.RecordBatch]:
             if not packer.done:
                 return
-            rows = []
+            rows, each = [], []
             for sequence, offset, (key, start, length, _) in packer.done:
                 doc_id, ids, waiting = docs[key]
                 own = ids[start : start + length]
-                rows.append((doc_id, start, length, zlib.crc32(own.astype("<u4").tobytes()), len(ids), base + sequence, offset) + ((own.astype(np.int32),) if with_ids else ()))
+                rows.append((doc_id, start, length, zlib.crc32(own.astype("<u4").tobytes()), len(ids), base + sequence, offset))
+                each.append(own)
                 docs[key][2] = waiting - length
                 if waiting == length:
                     del docs[key]
             packer.done.clear()
-            arrays = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [arrow_kind, *[pa.int64()] * 6, pa.list_(pa.int32())], strict=False)]
+            arrays = [*(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [arrow_kind, *[pa.int64()] * 6], strict=True)), *[int_lists(each)] * with_ids]
             yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: len(arrays)])
 
         key = 0

@@ -16,22 +16,29 @@ The vocabulary is a BPE model, whose scores are merge ranks, not log probabiliti
 a piece fall back to their bytes, each as likely as the last rank.
 
 Defined results: a null or empty text has one segmentation, without pieces; texts with fewer than k segmentations give all of
-them; rows that repeat a key and text give the same samples; texts of any length are sampled whole; an empty table gives
-an empty result; extra columns are ignored.
+them; rows that repeat a key and text give the same samples; an empty table gives an empty result; extra columns are ignored.
+Texts of any length are sampled whole: long ones by blocks of chunks, so memory (some 300 bytes a character of a block) grows
+with the longest run without white space only, besides 20 bytes a character of the text itself.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import int_lists
+
 SAMPLES, ALPHA, SHIFT, SEED = 2, 1.0, 20.0, 11
+#: A text of over ``LONG`` characters is sampled by blocks of about ``BLOCK``.
+LONG, BLOCK = 300_000, 200_000
 GROWTH = 30.0
 
 
@@ -131,6 +138,12 @@ class Vocabulary:
         return self.spelled[np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - ends + n, n)].tobytes()
 
 
+@lru_cache(maxsize=2)
+def vocabulary(model_path: str, alpha: float) -> Vocabulary:
+    """One for each worker."""
+    return Vocabulary(model_path, alpha)
+
+
 class Lattice:
     """The lattice of a batch of texts: for every place and length, the piece and its probability given the place.
 
@@ -138,8 +151,7 @@ class Lattice:
     backward sums run over all chunks at once, from their ends; they are scaled where they would leave the range of floats.
     """
 
-    def __init__(self, voc: Vocabulary, texts: list[str | None]) -> None:
-        spelled = [normalized(t) for t in texts]
+    def __init__(self, voc: Vocabulary, spelled: list[str]) -> None:
         sizes = np.array([len(t) for t in spelled], np.int64)
         self.voc, self.doc_at = voc, np.concatenate(([0], np.cumsum(sizes + 1)))  # a separator after each text
         self.code = code = np.frombuffer("".join(t + "\n" for t in spelled).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -261,7 +273,7 @@ class Path:
 
 def sample_batch(voc: Vocabulary, texts: list[str | None], seeds: np.ndarray, k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text, up to k samples (ids, log probability, perturbed, log inclusion probability), by falling perturbed value."""
-    lat, docs = Lattice(voc, texts), len(texts)
+    lat, docs = Lattice(voc, [normalized(t) for t in texts]), len(texts)
     seeds = np.asarray(seeds, np.int64).view(np.uint64)
     doc_of = np.repeat(np.arange(docs), np.diff(lat.doc_at))
     seed_of, place = seeds[doc_of], np.arange(len(doc_of)) - lat.doc_at[doc_of]
@@ -318,12 +330,94 @@ def sample_batch(voc: Vocabulary, texts: list[str | None], seeds: np.ndarray, k:
         paths.append(path)
         told(path, alive, value)
         value, which, index = next_set()
-    out = []
-    for d, rows in enumerate(found):
-        # 1 - exp(-exp(x)) is exp(x) where that is small
-        inclusion = [x if (x := lp - value[d]) < -20 else math.log(-math.expm1(-math.exp(min(x, 700)))) for _, lp, _ in rows]
-        out.append([(ids, lp, g, i) for (ids, lp, g), i in zip(rows, inclusion, strict=True)])
-    return out
+    return [_with_inclusion(rows, float(v)) for rows, v in zip(found, value, strict=True)]
+
+
+def _with_inclusion(rows: list[tuple[np.ndarray, float, float]], threshold: float) -> list[tuple[np.ndarray, float, float, float]]:
+    # 1 - exp(-exp(x)) is exp(x) where that is small
+    inclusion = [x if (x := lp - threshold) < -20 else math.log(-math.expm1(-math.exp(min(x, 700)))) for _, lp, _ in rows]
+    return [(ids, lp, g, i) for (ids, lp, g), i in zip(rows, inclusion, strict=True)]
+
+
+_START = re.compile("(?<=[^▁])▁|\n")
+
+
+class LongPath:
+    """A path through a long text by blocks: the choices (a byte a character), each block's ids and prefix sum before it, and
+    the best sets left, of which no search opens more than k."""
+
+    def __init__(self, n: int) -> None:
+        self.choice, self.ids, self.before = np.zeros(n, np.int8), [], [0.0]
+        self.sets: dict[int, tuple[float, float]] = {}  # by place: the maximum, the sum of log probabilities before the place
+
+    def offer(self, values: np.ndarray, places: np.ndarray, before: np.ndarray, most: int) -> None:
+        best = np.argsort(-values)[:most].tolist()
+        own = [*self.sets.items(), *((int(places[i]), (float(values[i]), float(before[i]))) for i in best if values[i] > -math.inf)]
+        self.sets = dict(sorted(own, key=lambda x: -x[1][0])[:most])
+
+
+def sample_long(voc: Vocabulary, text: str | None, seed: int, k: int = SAMPLES, block: int = BLOCK) -> list[tuple[np.ndarray, float, float, float]]:
+    """What :func:`sample_batch` gives for the text, with the lattice of one block of whole chunks at a time: each path goes over the blocks anew."""
+    spelled, edges = normalized(text), [0]
+    while edges[-1] < len(spelled):
+        nxt = _START.search(spelled, edges[-1] + block)
+        edges.append(nxt.start() if nxt else len(spelled))
+    seeds = np.array([seed], np.int64).view(np.uint64)
+    value = float(-np.log(-np.log(_uniform(seeds, 999)))[0])
+    paths: list[LongPath] = []
+    used: dict[tuple[int, int], list[int]] = {}
+    found, origin, at = [], 0, -1
+    most = k + 1
+
+    def next_set() -> tuple[float, int, int]:
+        return max(((v, i, place) for i, p in enumerate(paths) for place, (v, _) in p.sets.items()), default=(-math.inf, 0, -1))
+
+    for r in range(k):
+        if r:
+            value, origin, at = next_set()
+            if value == -math.inf:
+                break
+        path, since = LongPath(len(spelled)), at
+        old = paths[origin] if r else path
+        for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if hi <= at:  # before the set that is opened all is as it was
+                path.choice[lo:hi] = old.choice[lo:hi]
+                path.ids.append(old.ids[b])
+                path.before.append(old.before[b + 1])
+                continue
+            lat = Lattice(voc, [spelled[lo:hi]])
+            place = np.arange(lo, hi + 1)
+            choice = lat.choices(_uniform(np.repeat(seeds, len(place)), r, place))
+            rest = None
+            if lo <= at:
+                gone = used.setdefault((origin, at), [int(old.choice[at])])
+                before = old.sets.pop(at)[1]
+                probs = lat.p[:, at - lo].copy()
+                probs[gone] = 0.0
+                pick = int(np.searchsorted(np.cumsum(probs), float(_uniform(seeds, r + 2000, at)[0]) * probs.sum(), "right"))
+                pick = min(pick, int(np.flatnonzero(probs)[-1]))
+                choice[: at - lo], choice[at - lo] = old.choice[lo:at], pick
+                probs[pick] = 0.0
+                used[(r, at)] = [*gone, pick]
+                if (left := float(probs.sum())) > 1e-15:
+                    rest = before + math.log(left)
+            on = lat.visited(choice)
+            p = lat.p[choice[on], on]
+            log_p = np.log(p)
+            prefix = np.cumsum(np.concatenate(([path.before[-1]], log_p)))[1:]
+            with np.errstate(divide="ignore"):
+                location = np.where(p < 1 - 1e-12, prefix - log_p + np.log1p(-np.minimum(p, 1.0)), -math.inf)
+            tops = _cut_gumbel(location, np.full(len(on), value), _uniform(np.repeat(seeds, len(on)), r + 1000, on + lo))
+            tops[on + lo <= since] = -math.inf
+            if rest is not None:
+                tops[np.searchsorted(on, at - lo)] = _cut_gumbel(np.array([rest]), np.array([value]), _uniform(seeds, r + 3000, at))[0]
+            path.offer(tops, on + lo, prefix - log_p, most)
+            path.choice[lo:hi] = choice[: hi - lo]
+            path.ids.append(lat.ids(on, choice))
+            path.before.append(float(prefix[-1]))
+        paths.append(path)
+        found.append((np.concatenate(path.ids) if path.ids else np.empty(0, np.uint32), path.before[-1], value))
+    return _with_inclusion(found, next_set()[0])
 
 
 def sample(df: DataFrame, model_path: str, k: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, alpha: float = ALPHA, with_ids: bool = True, batch_chars: int = 30_000) -> DataFrame:
@@ -336,23 +430,31 @@ def sample(df: DataFrame, model_path: str, k: int = SAMPLES, id_col: str = "doc_
     types = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int32())][: len(names)]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = Vocabulary(model_path, alpha)
+        voc = vocabulary(model_path, alpha)
 
         def told(rows: list) -> pa.RecordBatch:
-            made, picked = [], []
-            for i, (samples, text) in enumerate(zip(sample_batch(voc, [r[2] for r in rows], np.array([r[1] for r in rows], np.int64), k), [r[2] for r in rows], strict=True)):
-                spelled = normalized(text).encode()
+            made, picked, each = [], [], []
+            texts, seeds = [r[2] for r in rows], [r[1] for r in rows]
+            sampled = [sample_long(voc, texts[0], seeds[0], k)] if len(texts[0] or "") > LONG else sample_batch(voc, texts, np.array(seeds, np.int64), k)
+            for row, samples in zip(rows, sampled, strict=True):
+                spelled = normalized(row[2]).encode()
                 for rank, (ids, lp, g, inc) in enumerate(samples, 1):
-                    made.append((rank, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), lp, g, inc, voc.decode(ids) == spelled) + ((ids.astype(np.int32),) if with_ids else ()))
-                    picked.append(rows[i][0])
-            return pa.RecordBatch.from_arrays([pa.array(picked, arrow_kind), *(pa.array(x, t) for x, t in zip(zip(*made, strict=True), types, strict=True))], [id_col, *names])
+                    made.append((rank, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), lp, g, inc, voc.decode(ids) == spelled))
+                    picked.append(row[0])
+                    each.append(ids)
+            columns = [pa.array(picked, arrow_kind), *(pa.array(x, t) for x, t in zip(zip(*made, strict=True), types, strict=False))]
+            return pa.RecordBatch.from_arrays([*columns, *[int_lists(each)] * with_ids], [id_col, *names])
 
         rows, chars = [], 0
         for batch in batches:
             arrow_kind = batch.column(0).type
             for key, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                rows.append((key, h, text.as_py()))
-                chars += len(rows[-1][2] or "")
+                text = text.as_py()
+                if rows and len(text or "") > LONG:  # a long text goes alone
+                    yield told(rows)
+                    rows, chars = [], 0
+                rows.append((key, h, text))
+                chars += len(text or "")
                 if chars >= batch_chars or len(rows) >= 1000:
                     yield told(rows)
                     rows, chars = [], 0
@@ -372,7 +474,9 @@ def _by_batch(df: DataFrame, model_path: str, column: str, into: str, kind: str,
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         at = names.index(column)
         for batch in batches:
-            made = [None if x is None else apply(sp, x) for x in batch.column(at).to_pylist()]
+            given = batch.column(at).to_pylist()
+            done = iter(apply(sp, [x for x in given if x is not None]))
+            made = [None if x is None else next(done) for x in given]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, arrow_kind)], names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
@@ -381,9 +485,9 @@ def _by_batch(df: DataFrame, model_path: str, column: str, into: str, kind: str,
 
 def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """The rows with the ids of the model's own segmentation."""
-    return _by_batch(df, model_path, text_col, ids_col, "array<int>", pa.list_(pa.int32()), lambda sp, x: sp.encode(x))
+    return _by_batch(df, model_path, text_col, ids_col, "array<int>", pa.list_(pa.int32()), lambda sp, x: sp.encode(x, num_threads=1))
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """The rows with the text that the ids spell."""
-    return _by_batch(df, model_path, ids_col, text_col, "string", pa.string(), lambda sp, x: sp.decode(x))
+    return _by_batch(df, model_path, ids_col, text_col, "string", pa.string(), lambda sp, x: sp.decode(x, num_threads=1))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.store import discard, materialize, shared_dir
 
-__all__ = ["ascii_lower", "discard", "fresh", "leave_out", "materialize", "shared_dir", "table"]
+__all__ = ["ascii_lower", "discard", "fresh", "int_lists", "leave_out", "materialize", "shared_dir", "table"]
 
 #: Keys of rows that go are broadcast up to so many (some 100 MB); beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -24,6 +26,12 @@ def fresh(name: str) -> str:
     return f"__{name}_{uuid.uuid4().hex[:12]}"
 
 
+def int_lists(each: list[np.ndarray]) -> pa.Array:
+    """list<int32> of arrays of 32-bit integers, without a step for each integer."""
+    ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each).astype(np.int32) if each else np.empty(0, np.int32)))
+
+
 def ascii_lower(col):
     """Lower-case A-Z only, as a native expression.
 

@@ -303,6 +303,28 @@ def test_sentencepieces(spark):
     assert sentencepieces.sample(df.limit(0), PIECES).count() == 0
 
 
+def test_long_texts_by_blocks():
+    voc = sentencepieces.Vocabulary(PIECES)
+    texts = [sentence(1, 300) + "\n\n  two ▁ 日本 🎉 " + sentence(2, 40), "x" * 500 + " y", "a", "", None, "  " + "ab " * 200]
+    for k in (1, 2, 5):
+        whole = sentencepieces.sample_batch(voc, texts, np.arange(len(texts)) * 77, k)
+        for i, t in enumerate(texts):
+            for block in (7, 100, 10_000):
+                own = sentencepieces.sample_long(voc, t, i * 77, k, block)
+                assert [r[0].tolist() for r in own] == [r[0].tolist() for r in whole[i]]
+                assert [r[1:] for r in own] == [pytest.approx(r[1:], abs=1e-6) for r in whole[i]]
+
+
+def test_normaliser():
+    """Where the sampler's spelling is the model's own, and where it isn't."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    voc = sentencepieces.Vocabulary(PIECES)
+    for t in ("Hello  world", " é\n x", "日本 🎉", "ﬁ ½ Å", "a\tb", "x ▁y", " "):
+        assert voc.decode(np.array(sp.encode(t))) == sentencepieces.normalized(t).encode(), t
+
+
 def test_op4_returns_segmentations(spark, tmp_path):
     docs(spark, ["the an", "Same"]).write.parquet(str(tmp_path / "documents.parquet"))
     rows = queries.op4_sentencepieces(spark, str(tmp_path)).collect()
