@@ -1,23 +1,31 @@
 """Exact top-k inner-product search over norm buckets.
 
-Vectors are integers (each component scaled and floored), grouped by length: logarithmic classes of
-lengths, a large class dealt to several groups by id, and each group cut into buckets by falling length. Queries travel to every
-group, where
-each bucket is met in turn, the longest vectors first, with the query's current k-th best score ``theta``:
+Vectors are integers (each component scaled and floored), ranged by length: logarithmic classes of lengths, the longest first,
+are merged or dealt out to groups of about as many vectors each, and a group is cut into buckets by falling length.
 
-* ``theta / (|q| * longest)`` is the bucket's local cosine threshold. Over 1, nothing in the bucket can enter: skipped.
-* A low threshold leaves cosines nothing to prune by, so length pruning takes the prefix of vectors long enough to reach
-  ``theta``; its products are computed as one block.
-* A high threshold picks coordinate pruning: for the query's largest coordinates, a candidate's normalised coordinate must
-  lie in an interval around the query's; only vectors inside all intervals are verified.
+1. Every query meets the first group, which holds the longest vectors, and takes its k-th best score there as a threshold
+   ``theta``.
+2. A later group is visited only by the queries whose threshold its longest vector can reach: |q| * longest >= theta. The other
+   pairs of query and group are never made (:func:`visits`).
+3. In a group, each bucket is met in turn with the query's threshold, which grows with the vectors met:
 
-Scores are exact integers, and bounds are rounded outward, so pruning never drops a candidate that ties. ``theta`` grows with
-the vectors met, so later buckets are pruned more. The k best of each group are merged by a second, small shuffle.
+   * ``theta / (|q| * longest)`` is the bucket's local cosine threshold. Over 1, nothing in the bucket can enter: skipped.
+   * A low threshold leaves cosines nothing to prune by, so length pruning takes the prefix of vectors long enough to reach
+     ``theta``; its products are computed as one block.
+   * A high threshold picks coordinate pruning: for the query's largest coordinates, a candidate's normalised coordinate must
+     lie in an interval around the query's; only vectors inside all intervals are verified.
+
+Bounds are rounded outward, so pruning never drops a candidate that ties. The k best of each group are merged by a second, small
+shuffle. Groups grow with the input, from ``GROUP`` vectors to what ``GROUP_BYTES`` hold, so that a query's copies grow less.
+
+Scores are exact: products run in doubles where the lengths bound them by 2^53, in 64-bit integers up to 2^63, and in Python's
+integers beyond. A score outside the range of long is returned as the nearest long, and ranks as that one.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, neither as query nor as
-candidate; a vector of another dimension than a query's is no candidate for it; ties go to the smaller id; rows that repeat
-an id are candidates each, and a query's own id is never one; fewer than k candidates are all returned; an empty table gives
-an empty result; extra columns are ignored.
+candidate; a component whose scaled value leaves the range of doubles counts as the end of that range; a vector of another
+dimension than a query's is no candidate for it; ties go to the smaller id; rows that repeat
+an id are candidates each, and a query's own id is never one; of queries that share an id, the least vector asks; fewer than k candidates are all
+returned; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,42 +41,76 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 K, SCALE, BUCKET, QUERY_BLOCK, GROUP = 20, 64, 2048, 512, 8_192
+#: Bytes of a group's vectors at most, and into how many groups vectors are dealt before groups grow.
+GROUP_BYTES, GROUPS = 64 << 20, 64
+LONG, MOST = 1 << 63, 1.7976931348623157e308
 
 
 def quantize(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(id, v array<long>, norm2 long): floor(scale * x) of each component; only whole, finite vectors."""
+    """(id, v array<double>): floor(scale * x) of each component, whole numbers in doubles; only whole, finite vectors."""
     x = F.transform(F.col(vec_col), lambda c: c.cast("double"))
     whole = F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    v = F.transform(x, lambda c: F.floor(c * scale))
-    return df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), whole.alias("whole")).filter("whole").select("id", "v", F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c * c).alias("norm2"))
+    # beyond 2^52 a double is whole
+    floor = lambda y: F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(F.greatest(F.least(y, F.lit(MOST)), F.lit(-MOST)))
+    v = F.transform(x, lambda c: floor(c * float(scale)))
+    return df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), whole.alias("whole")).filter("whole").select("id", "v")
+
+
+def length_of(v):
+    """The length of a vector of doubles, without overflow."""
+    most = F.array_max(F.transform(v, F.abs))
+    return F.when(most == 0, 0.0).otherwise(F.least(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, c: a + (c / most) * (c / most))) * most, F.lit(MOST)))
 
 
 class Best:
-    """The k best of each query so far, as arrays: scores fall, ties by rising id."""
+    """The k best of each query so far, as arrays: scores fall, ties by rising id. ``floor``: scores below can't enter."""
 
-    def __init__(self, queries: int, k: int) -> None:
-        self.k, self.score, self.id = k, [np.empty(0, np.int64)] * queries, [np.empty(0, np.int64)] * queries
+    def __init__(self, floor: np.ndarray, k: int) -> None:
+        self.k, self.floor, self.score, self.id = k, floor, [np.empty(0, np.int64)] * len(floor), [np.empty(0, np.int64)] * len(floor)
 
     def theta(self, q: int) -> float:
-        return float(self.score[q][-1]) if len(self.score[q]) >= self.k else -math.inf
+        """The least score that can enter, or less."""
+        return max(float(self.floor[q]), float(self.score[q][-1]) if len(self.score[q]) >= self.k else -math.inf)
+
+    def least(self, q: int) -> int | None:
+        """The same as an exact integer."""
+        known = [int(self.floor[q])] if self.floor[q] > -math.inf else []
+        return max([*known, *([int(self.score[q][-1])] if len(self.score[q]) >= self.k else [])], default=None)
 
     def add(self, q: int, score: np.ndarray, ids: np.ndarray) -> None:
-        if (t := self.theta(q)) > -math.inf:
+        if (t := self.least(q)) is not None:
             keep = score >= t
             score, ids = score[keep], ids[keep]
         if len(score):
             score, ids = np.concatenate((self.score[q], score)), np.concatenate((self.id[q], ids))
-            order = np.lexsort((ids, -score))[: self.k]
+            order = np.lexsort((ids, ~score))[: self.k]  # ~: falls as the score rises, also at the ends of the range
             self.score[q], self.id[q] = score[order], ids[order]
 
 
+def lengths(v: np.ndarray) -> np.ndarray:
+    most = np.abs(v).max(axis=1, initial=0.0)
+    safe = np.where(most > 0, most, 1.0)
+    with np.errstate(over="ignore"):
+        return np.minimum(np.sqrt(((v / safe[:, None]) ** 2).sum(axis=1)) * most, MOST)
+
+
+def products(a: np.ndarray, b: np.ndarray, reach: float) -> np.ndarray:
+    """Exact integer products of the rows of a and b, cut to the range of long. ``reach`` bounds every sum of absolute terms."""
+    if reach < 2.0**53:
+        return np.rint(a @ b.T).astype(np.int64)
+    if reach < 2.0**62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = np.array([[int(x) for x in row] for row in a], object) @ np.array([[int(x) for x in row] for row in b], object).T
+    return np.clip(whole, -LONG, LONG - 1).astype(np.int64)
+
+
 class Bucket:
     """Vectors of similar length, the longest first, with their coordinates in sorted lists made when first asked for."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        norms = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
+        norms = lengths(vectors)
         order = np.argsort(-norms, kind="stable")
-        self.ids, self.v, self.norms = ids[order], np.ascontiguousarray(vectors[order].astype(np.float64)), norms[order]
+        self.ids, self.v, self.norms = ids[order], np.ascontiguousarray(vectors[order]), norms[order]
         self.unit = self.v / np.maximum(self.norms, 1e-300)[:, None]
         self.lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -87,9 +129,11 @@ def search_bucket(bucket: Bucket, q_ids: np.ndarray, q: np.ndarray, q_norms: np.
     longest = float(bucket.norms[0])
     stats = {} if stats is None else stats
     by_length: list[int] = []
+    with np.errstate(over="ignore"):
+        bounds = q_norms * longest * (1 + 1e-9)  # of sums of absolute terms too, by Cauchy and Schwarz
     for i in range(len(q)):
         theta = best.theta(i)
-        reach = float(q_norms[i]) * longest
+        reach = float(bounds[i])
         if theta == -math.inf or reach == 0:
             by_length.append(i)
             continue
@@ -121,19 +165,19 @@ def search_bucket(bucket: Bucket, q_ids: np.ndarray, q: np.ndarray, q_norms: np.
         stats["coordinate"] = stats.get("coordinate", 0) + 1
         stats["verified"] = stats.get("verified", 0) + len(rows)
         if len(rows):
-            score = np.rint(bucket.v[rows] @ q[i]).astype(np.int64)
+            score = products(bucket.v[rows], q[i : i + 1], float(bounds[i]))[:, 0]
             other = bucket.ids[rows] != q_ids[i]
             best.add(i, score[other], bucket.ids[rows][other])
     if by_length:
         stats["length"] = stats.get("length", 0) + len(by_length)
-        product = np.rint(q[by_length] @ bucket.v.T).astype(np.int64)
+        product = products(q[by_length], bucket.v, float(bounds[by_length].max()))
         for row, i in zip(product, by_length, strict=True):
             theta = best.theta(i)
             n = len(row) if theta <= 0 or q_norms[i] == 0 else int(np.searchsorted(-bucket.norms, -(theta / float(q_norms[i])) * (1 - 1e-9), "right"))
             row, ids = row[:n], bucket.ids[:n]
             keep = ids != q_ids[i]
-            if theta > -math.inf:
-                keep &= row >= theta
+            if (least := best.least(i)) is not None:
+                keep &= row >= least
             elif len(row) > 4 * best.k:
                 others = row[keep]  # the query's own rows, of which there may be many, take no place
                 if len(others) > best.k:
@@ -145,54 +189,72 @@ def search_bucket(bucket: Bucket, q_ids: np.ndarray, q: np.ndarray, q_norms: np.
 CLASS_RATIO = 1.05
 
 
-def _groups(vectors: DataFrame, group: int) -> tuple[DataFrame, int]:
-    """(length, first, parts) of every length class, and the number of groups: a class of many vectors is dealt to several.
+def _groups(vectors: DataFrame, group: int) -> list[tuple[int, int, int, float]]:
+    """(class, first group, number of groups, longest length in those groups) of each length class, the longest first.
 
-    The classes are logarithmic, so there are less than a thousand whatever the input; their counts are all that the
-    driver sees.
+    A large class is dealt to several groups, small neighbours share one. The classes are logarithmic, a few thousand for all of a
+    double's range; their counts are all that the driver sees.
     """
-    counts = sorted((r.length, r.n) for r in vectors.groupBy("length").agg(F.count("*").alias("n")).collect())
-    rows, first = [], 0
-    for length, n in counts:
-        parts = math.ceil(n / group)
-        rows.append((length, first, parts))
-        first += parts
-    return vectors.sparkSession.createDataFrame(rows, "length int, first int, parts int"), first
+    counts = vectors.groupBy("class").agg(F.count("*").alias("n"), F.max("length").alias("longest")).collect()
+    rows: list[tuple[int, int, int, float]] = []
+    first, filled, longest = 0, 0, 0.0
+    for r in sorted(counts, key=lambda r: -r["class"]):
+        if filled and filled + r.n > group:
+            first, filled = first + 1, 0
+        longest = longest if filled else r.longest
+        parts = max(1, math.ceil(r.n / group))
+        rows.append((r["class"], first, parts, longest))
+        if parts > 1:
+            first, filled = first + parts, 0
+        else:
+            filled += r.n
+    return rows
+
+
+def visits(queries: DataFrame, longest: list[float], first: int) -> DataFrame:
+    """``queries`` (id, v, length, theta) with ``at``: the groups from ``first`` on that hold vectors long enough to reach theta; a null
+    theta is reached everywhere. Groups come by falling length, so they are the first ones."""
+    reach = F.array(*map(F.lit, longest[first:]))  # a number for each group
+    far = F.col("length") * (1 + 1e-9)
+    n = F.when(F.col("theta").isNull() | (F.col("theta") <= 0), F.lit(len(longest) - first)).otherwise(F.size(F.filter(reach, lambda x: x * far >= F.col("theta"))))
+    return queries.withColumn("n", n).filter("n > 0").withColumn("at", F.explode(F.sequence(F.lit(first), F.lit(first - 1) + F.col("n")))).drop("n")
 
 
 def _search(k: int, bucket: int, query_block: int):
-    """Over rows (at, dim, kind, id, v) sorted so that a group's candidates, the longest first, precede the queries."""
+    """Over rows (at, dim, kind, id, theta, v) sorted so that a group's candidates, the longest first, precede the queries."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, buckets = None, []  # of the group: at most its vectors
-        waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}
+        waiting: dict[int, list[tuple[np.ndarray, ...]]] = {0: [], 1: []}
 
-        def taken(kind: int) -> tuple[np.ndarray, np.ndarray]:
-            ids, v = (np.concatenate(x) for x in zip(*waiting[kind], strict=True))
+        def taken(kind: int) -> tuple[np.ndarray, ...]:
+            out = tuple(np.concatenate(x) for x in zip(*waiting[kind], strict=True))
             waiting[kind].clear()
-            return ids, v
+            return out
 
         def candidates() -> None:
             if waiting[0]:
-                ids, v = taken(0)
+                ids, _, v = taken(0)
                 buckets.extend(Bucket(ids[i : i + bucket], v[i : i + bucket]) for i in range(0, len(ids), bucket))
 
         def asked() -> Iterator[pa.RecordBatch]:
             candidates()
             if not waiting[1]:
                 return
-            ids, v = taken(1)
+            ids, thetas, v = taken(1)
             for i in range(0, len(ids) if buckets else 0, query_block):
-                q_ids, q = ids[i : i + query_block], v[i : i + query_block].astype(np.float64)
-                best = Best(len(q), k)
+                q_ids, q = ids[i : i + query_block], v[i : i + query_block]
+                best = Best(thetas[i : i + query_block], k)
                 for b in buckets:
-                    search_bucket(b, q_ids, q, np.sqrt((q**2).sum(axis=1)), best)
+                    search_bucket(b, q_ids, q, lengths(q), best)
                 sizes = [len(x) for x in best.score]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, sizes)), pa.array(np.concatenate(best.id)), pa.array(np.concatenate(best.score))], ["query_id", "vec_id", "score"])
 
         for batch in batches:
             at, dim, kind, ids = (batch.column(i).to_numpy() for i in range(4))
-            flat = batch.column(4).flatten().to_numpy()
+            # rounded down to a double: a threshold may be too low, never too high
+            theta = np.array([-np.inf if x is None else np.nextafter(float(x), -np.inf) if abs(x) >= 1 << 53 else float(x) for x in batch.column(4).to_pylist()])
+            flat = batch.column(5).flatten().to_numpy()
             ends = np.cumsum(dim, dtype=np.int64)
             cuts = np.flatnonzero((at[1:] != at[:-1]) | (dim[1:] != dim[:-1]) | (kind[1:] != kind[:-1])) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
@@ -201,8 +263,8 @@ def _search(k: int, bucket: int, query_block: int):
                     now, buckets = key, []
                 if kind[lo] == 1:
                     candidates()
-                waiting[int(kind[lo])].append((ids[lo:hi], flat[ends[lo] - dim[lo] : ends[hi - 1]].reshape(hi - lo, dim[lo])))
-            if sum(len(x) for x, _ in waiting[1]) >= query_block:
+                waiting[int(kind[lo])].append((ids[lo:hi], theta[lo:hi], flat[ends[lo] - dim[lo] : ends[hi - 1]].reshape(hi - lo, dim[lo])))
+            if sum(len(x[0]) for x in waiting[1]) >= query_block:
                 yield from asked()
         yield from asked()
 
@@ -212,17 +274,37 @@ def _search(k: int, bucket: int, query_block: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, bucket: int = BUCKET, query_block: int = QUERY_BLOCK, group: int = GROUP) -> DataFrame:
     """(query_id, rank, vec_id, score). Both inputs as :func:`quantize` gives them; queries are a stated part of the rows.
 
-    A group holds about ``group`` vectors of similar length; their number grows with the input and so does the parallelism.
-    Candidates are shuffled once; a query goes to each group.
+    A group holds vectors of similar length, ``group`` of them or, in a large table, more (see above); their number grows with the input
+    and so does the parallelism. Candidates are shuffled once; a query goes to the groups that it may have answers in.
     """
-    length = F.when(F.col("norm2") == 0, F.lit(-1)).otherwise(F.floor(F.log("norm2") / (2 * math.log(CLASS_RATIO)))).cast("int")
-    vectors = materialize(vectors.withColumn("length", length), "vectors")
-    classes, groups = _groups(vectors, group)
-    dealt = vectors.join(F.broadcast(classes), "length").withColumn("at", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
-    everywhere = queries.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(max(0, groups - 1)))))
-    columns = ["at", F.size("v").alias("dim"), "kind", "id", "v", "norm2"]
-    rows = dealt.withColumn("kind", F.lit(0)).select(*columns).unionByName(everywhere.withColumn("kind", F.lit(1)).select(*columns))
-    rows = rows.repartition("at").sortWithinPartitions("at", "dim", "kind", F.desc("norm2"), "id").select("at", "dim", "kind", "id", "v")
-    found = rows.mapInArrow(_search(k, bucket, query_block), "query_id long, vec_id long, score long")
+    length = length_of(F.col("v"))
+    kind = F.when(F.col("length") == 0, F.lit(-(1 << 20))).otherwise(F.floor(F.log("length") / math.log(CLASS_RATIO))).cast("int")
+    # numbered as written, so that rows are dealt out evenly whatever their ids and values
+    vectors = materialize(vectors.withColumn("length", length).withColumn("class", kind).withColumn("number", F.monotonically_increasing_id()), "vectors")
+    total, dim = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
+    most = max(1, GROUP_BYTES // (24 * (dim or 1)))
+    classes = _groups(vectors, max(1, min(max(group, math.ceil(total / GROUPS)), most) if group >= GROUP else group))
+    longest: list[float] = []
+    for _, first, parts, size in classes:
+        longest += [size] * (first + parts - len(longest))
+    if not classes:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    asked = queries.groupBy("id").agg(F.min("v").alias("v")).withColumn("length", length)
+    table = vectors.sparkSession.createDataFrame([x[:3] for x in classes], "class int, first int, parts int")  # a row for each class
+    dealt = vectors.join(F.broadcast(table), "class").withColumn("at", (F.col("first") + F.pmod("number", F.col("parts"))).cast("int"))
+
+    def searched(own: DataFrame, against: DataFrame) -> DataFrame:
+        columns = ["at", F.size("v").alias("dim"), "kind", "id", "theta", "v", "length"]
+        rows = against.withColumn("theta", F.lit(None).cast("long")).withColumn("kind", F.lit(0)).select(*columns).unionByName(own.withColumn("kind", F.lit(1)).select(*columns))
+        rows = rows.repartition("at").sortWithinPartitions("at", "dim", "kind", F.desc("length"), "id").select("at", "dim", "kind", "id", "theta", "v")
+        return rows.mapInArrow(_search(k, bucket, query_block), "query_id long, vec_id long, score long")
+
+    none = F.lit(None).cast("long")
+    found = searched(visits(asked.withColumn("theta", none), longest[:1], 0), dealt.filter("at = 0"))
+    if len(longest) > 1:
+        found = materialize(found, "first")
+        thetas = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("theta")).withColumnRenamed("query_id", "id")
+        later = visits(asked.join(thetas, "id", "left"), longest, 1)
+        found = found.unionByName(searched(later, dealt.filter("at > 0")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

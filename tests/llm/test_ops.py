@@ -232,6 +232,49 @@ def test_topk_repeated_query_ids(spark):
         assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == i) == [(n, j, -s) for n, (s, j) in enumerate(best, 1)]
 
 
+@pytest.mark.parametrize("scale", [1e4, 3e6, 1e8, 1e12, 1e20, 1e306])
+def test_topk_of_huge_values(spark, scale):
+    """Scores are exact at any size; those beyond a long are cut to its range, and tie there."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(60, 4)) * rng.choice([1e-3, 0.2, 1], size=(60, 1)) * scale
+    v[:4] = [[scale] * 4, [scale, -scale, 1, 1], [0, 0, 0, 0], [scale + 1, scale, 0, 1]]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    q = topk.quantize(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {}
+    for r in topk.top_k(q, q.filter("id % 20 = 0"), group=16, bucket=8).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    most = 1.7976931348623157e308
+    whole = [[math.floor(64 * c) if abs(64 * c) <= most else int(math.copysign(most, c)) for c in x] for _, x in rows]
+    for i in (0, 20, 40):
+        scores = [(max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(whole[i], w, strict=True)))), j) for j, w in enumerate(whole) if j != i]
+        best = sorted((-s, j) for s, j in scores)[:20]
+        assert sorted(got[i]) == [(n, j, -s) for n, (s, j) in enumerate(best, 1)]
+
+
+def test_topk_visits(spark):
+    """Queries don't travel to groups whose vectors are too short for their thresholds, and rows of one id are dealt out."""
+    q = spark.createDataFrame([(1, [1.0], 1.0, 50), (2, [1.0], 10.0, 50), (3, [1.0], 1.0, None), (4, [1.0], 1.0, 1000), (5, [1.0], 1.0, -3)], "id long, v array<double>, length double, theta long")
+    got = {}
+    for r in topk.visits(q, [200.0, 100.0, 50.0, 4.9], 1).collect():
+        got.setdefault(r.id, []).append(r.at)
+    assert {k: sorted(x) for k, x in got.items()} == {1: [1, 2], 2: [1, 2], 3: [1, 2, 3], 5: [1, 2, 3]}
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(600, 6))
+    v *= (np.exp(rng.normal(size=600) * 1.5) / np.linalg.norm(v, axis=1))[:, None]
+    vectors = topk.quantize(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).withColumn("length", topk.length_of(F.col("v")))
+    length = {r.id: r.length for r in vectors.collect()}
+    order = sorted(length.values(), reverse=True)
+    longest = [order[0], *order[120::30]]  # a first group of 120 vectors and 16 of 30
+    head = np.floor(64 * v[[i for i in length if length[i] >= order[119]]])
+    asked = [(int(i), np.floor(64 * v[i]).tolist(), length[i], int(np.sort(head @ np.floor(64 * v[i]))[-20])) for i in range(0, 600, 20)]
+    pairs = topk.visits(spark.createDataFrame(asked, q.schema), longest, 1).count()
+    assert pairs < 0.6 * len(asked) * (len(longest) - 1)
+    same = spark.createDataFrame([(7, [1.0, 2.0])] * 500 + [(20, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    same = topk.quantize(same)
+    rows = topk.top_k(same, same.filter("id % 20 = 0"), group=50).collect()
+    assert [(r.vec_id, r.score) for r in rows] == [(7, 3 * 64 * 64)] * 20
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(5)
     rows, labels = [], []
