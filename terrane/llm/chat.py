@@ -6,9 +6,10 @@ content are escaped: a backslash is doubled, and one is put after the first char
 mask is the prefix sum of +1 and -1 at the ends of the assistant's segments.
 
 Rows are encoded where they are, in any order; only then are the rows of a conversation brought together, by a sort within
-partitions, and streamed: a task holds one conversation at a time.
+partitions, and streamed. What travels is a turn's ids as 16-bit numbers (32-bit ones for larger vocabularies) and the ends of its segments: less than the
+text. The readable form is decoded from the ids. A task holds one conversation at a time, whole, as its row does.
 
-Defined results: a null text or role is empty; rows go by turn, those of equal turn by role and text, a null turn first;
+Defined results: a null text or role is empty; rows go by turn, those of equal turn by the bytes of role and text, a null turn first;
 rows of a null conv_id are one conversation; repeated rows are turns of their own; an empty table gives an empty result;
 extra columns are ignored.
 """
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import int_lists
+
 # The template's control strings, in the order of their reserved ids.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[OUT]", "[ROLE]", "[TEXT]", "[/ROLE]")
 FIRST_RESERVED = 50_257
@@ -62,18 +65,26 @@ def encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def assemble(turns: list[tuple[list[np.ndarray], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and loss mask of the segments of a conversation. A turn: its segments' ids, and each one's loss, 0 or 1."""
-    parts = [x for segments, _ in turns for x in segments]
-    loss = np.array([y for _, bears in turns for y in bears], np.int64)
-    ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
-    ends = np.cumsum([len(x) for x in parts])
-    step = np.zeros(len(ids) + 1, np.int64)
-    np.add.at(step, ends - [len(x) for x in parts], loss)
-    np.add.at(step, ends, -loss)
+def assemble(turns: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and loss mask of a conversation. A turn: its ids, the ends of its segments in them, and each segment's loss, 0 or 1."""
+    ids = np.concatenate([x for x, _, _ in turns]) if turns else np.empty(0, np.int32)
+    step, at = np.zeros(len(ids) + 1, np.int64), 0
+    for own, ends, loss in turns:
+        np.add.at(step, at + np.concatenate(([0], ends[:-1])), loss)
+        np.add.at(step, at + ends, -loss)
+        at += len(own)
     return ids.astype(np.int32), np.cumsum(step)[:-1].astype(np.int8)
 
 
+def shown_of(ids: np.ndarray, enc) -> str:
+    """The readable form: control strings for the reserved ids, the escaped texts between."""
+    cuts = np.flatnonzero(ids >= FIRST_RESERVED)
+    parts = [enc.decode_bytes(ids[: cuts[0]].tolist() if len(cuts) else ids.tolist())]
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)], strict=True):
+        parts += [CONTROLS[ids[a] - FIRST_RESERVED].encode(), enc.decode_bytes(ids[a + 1 : b].tolist())]
+    return b"".join(parts).decode("utf-8")
+
+
 def format_chats(df: DataFrame, ranks_path: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per conversation: id, input_ids, loss_mask (0 or 1 for each id), formatted."""
     kind = df.schema[conv_col].dataType.simpleString()
@@ -85,45 +96,62 @@ def format_chats(df: DataFrame, ranks_path: str, conv_col: str = "conv_id", turn
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks_path)
         for batch in batches:
-            each = [turn_parts(r, t) for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            ids = [[[RESERVED[s]] if control else enc.encode_ordinary(s) for s, control, _ in parts] for parts in each]
-            loss = [[int(x) for _, _, x in parts] for parts in each]
-            shown = ["".join(s for s, _, _ in parts) for parts in each]
-            segment = pa.list_(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(ids, segment), pa.array(loss, pa.list_(pa.int32())), pa.array(shown)], ["conv", "turn", "role", "text", "segments", "loss", "shown"])
+            data, ends, loss = [], [], []
+            for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                parts = turn_parts(role, text)
+                each = [[RESERVED[s]] if control else enc.encode_ordinary(s) for s, control, _ in parts]
+                flat = np.array([i for x in each for i in x], np.uint32)
+                wide = len(flat) > 0 and int(flat.max()) > 0xFFFF
+                data.append((b"\1" + flat.astype("<u4").tobytes()) if wide else (b"\0" + flat.astype("<u2").tobytes()))
+                ends.append(np.cumsum([len(x) for x in each]).astype("<u4").tobytes())
+                loss.append(bytes(int(x) for _, _, x in parts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary()), pa.array(ends, pa.binary()), pa.array(loss, pa.binary())], ["conv", "turn", "data", "ends", "loss"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, turns, shown, out = object(), [], [], []
+        enc = encoding(ranks_path)
+        now, turns, out, size = object(), [], [], 0
         arrow_kind: pa.DataType | None = None
 
+        def said(turn: tuple) -> tuple[bytes, bytes]:
+            """Role and text of a turn, to order turns of equal number by."""
+            (role, text), *_ = read_back(np.concatenate(([RESERVED["<s>"]], turn[1])), np.zeros(len(turn[1]) + 1, np.int8), enc)[0]
+            return role.encode(), text.encode()
+
         def close() -> None:
+            nonlocal size
             if turns:
-                start = ([np.array([RESERVED["<s>"]], np.int32)], [0])
-                out.append((now, *assemble([start, *turns]), "<s>" + "".join(shown)))
+                start = (np.array([RESERVED["<s>"]], np.int32), np.array([1]), np.array([0]))
+                if len({t[0] for t in turns}) < len(turns):
+                    turns.sort(key=lambda t: (t[0] is not None, t[0] or 0, said(t)))
+                ids, mask = assemble([start, *(t[1:] for t in turns)])
+                out.append((now, ids, mask, shown_of(ids, enc)))
+                size += len(ids)
                 turns.clear()
-                shown.clear()
 
         def told() -> Iterator[pa.RecordBatch]:
+            nonlocal size
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [arrow_kind, pa.list_(pa.int32()), pa.list_(pa.int8()), pa.string()], strict=True)], [conv_col, "input_ids", "loss_mask", "formatted"])
+                lengths = np.cumsum([0, *(len(x[1]) for x in out)]).astype(np.int32)
+                masks = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([x[2] for x in out])))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], arrow_kind), int_lists([x[1] for x in out]), masks, pa.array([x[3] for x in out], pa.string())], [conv_col, "input_ids", "loss_mask", "formatted"])
                 out.clear()
+                size = 0
 
         for batch in batches:
             arrow_kind = batch.column(0).type
-            segments = batch.column(1)
-            for i, (conv, loss, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            for conv, turn, data, ends, loss in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if conv != now:
                     close()
                     now = conv
-                turns.append(([np.asarray(x.values, np.int32) for x in segments[i]], loss))
-                shown.append(text)
-                if len(out) >= 500:
-                    yield from told()
+                    if len(out) >= 500 or size > 2_000_000:
+                        yield from told()
+                ids = np.frombuffer(data, "<u4" if data[0] else "<u2", offset=1)
+                turns.append((turn, ids.astype(np.int32), np.frombuffer(ends, "<u4").astype(np.int64), np.frombuffer(loss, np.uint8).astype(np.int64)))
         close()
         yield from told()
 
-    encoded = rows.mapInArrow(encode, f"conv {kind}, turn {turn_kind}, role string, text string, segments array<array<int>>, loss array<int>, shown string")
-    sorted_rows = encoded.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "segments", "loss", "shown")
+    encoded = rows.mapInArrow(encode, f"conv {kind}, turn {turn_kind}, data binary, ends binary, loss binary")
+    sorted_rows = encoded.repartition("conv").sortWithinPartitions("conv", "turn")
     return sorted_rows.mapInArrow(join, f"{conv_col} {kind}, input_ids array<int>, loss_mask array<tinyint>, formatted string")
 
 

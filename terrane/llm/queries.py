@@ -106,6 +106,23 @@ with v as (
 select query_id, rank, vec_id, score from ranked where rank <= 20
 """
 
+_ESCAPES = "({t}) - length(replace({t}, '\\\\', ''))" + "".join(f" + (length({{t}}) - length(replace({{t}}, '{x}', ''))) // {len(x)}" for x in chat.CONTROLS)
+_SHOWN = lambda t: f"(2 * length{_ESCAPES.format(t=t)})"  # noqa: E731  characters of an escaped text
+_OP2 = f"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, x.turn, x.role, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) x(turn, role)
+), e as (
+  select *, {_SHOWN("text")} + case role when 'user' then 13 when 'system' then 11 when 'assistant' then 9 else 19 + {_SHOWN("role")} end as n from c
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(3 + sum(n) as bigint) as formatted_chars
+from e group by conv_id
+"""
+
 _OP3 = """
 with k as (
   select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as text_sha256
@@ -118,4 +135,4 @@ select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": _OP1, "op3_exact_dedup": _OP3}
+    return {"op1_topk": _OP1, "op2_chat": _OP2, "op3_exact_dedup": _OP3}

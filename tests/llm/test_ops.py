@@ -201,6 +201,34 @@ def test_chat(spark):
     assert chat.format_chats(df.limit(0), RANKS).count() == 0
 
 
+def test_chat_of_equal_turns_and_long_texts(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, None, "é"), (1, 0, "assistant", "<s>x"), (1, 0, "assistant", "<s>x"), (1, None, "user", "first"), (2, 0, "assistant", "w\\[OUT] " * 50_000), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for parts in (1, 4):
+        made = {r.conv_id: r for r in chat.format_chats(df.repartition(parts), RANKS).collect()}
+        turns = {k: chat.read_back(np.array(r.input_ids), np.array(r.loss_mask), chat.encoding(RANKS)) for k, r in made.items()}
+        assert turns[1] == ([("user", "first"), ("", "é"), ("assistant", "<s>x"), ("assistant", "<s>x"), ("user", "a"), ("user", "b")], ["<s>x", "<s>x"])
+        assert turns[2][0] == [("assistant", "w\\[OUT] " * 50_000)] and turns[None][0] == [("", "")]
+        shown = made[2].formatted
+        assert shown.startswith("<s>[OUT]w\\\\[\\OUT] ") and shown.count("[OUT]") == 1 and made[1].formatted.count("<\\s>x") == 2
+
+
+def test_oracles(spark):
+    import duckdb
+
+    at = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"create view {t} as select * from '{at}/{t}.parquet'")
+    sql = queries.oracle_sql()
+    for name in sql:
+        mine = queries.queries()[name](spark, at)
+        want = con.execute(sql[name])
+        names = [d[0] for d in want.description]
+        assert sorted(names) == sorted(mine.columns)
+        assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r)) for r in mine.select(names).collect()), name
+
+
 @pytest.mark.parametrize("group", [40, 10_000])
 def test_topk(spark, group):
     rng = np.random.default_rng(3)
