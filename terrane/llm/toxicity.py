@@ -8,12 +8,13 @@ texts, may not fall below zero; a mini-batch in which it does takes a step again
 
 The prior is the share of toxic ones among the usable labels, so labelled documents have to be like the others.
 
-Training reads a bounded sample (``Settings.positives`` and ``Settings.unlabelled`` documents, the smallest by a hash of
-their id), the features are made on the executors, and the weights, at most ``2 ** bits``, are broadcast. Scoring covers
-every whole text.
+Training reads a bounded sample (``Settings.positives`` and ``Settings.unlabelled`` ids, the smallest by a hash; of rows that
+share an id, the least text). Features are made, counted and chosen on the executors; the driver sees a count for each of at most
+``2 ** bits`` features, and of the sample only the entries of the features that take part. The weights, as many, are
+broadcast. Scoring covers every whole text.
 
-Defined results: a null or empty text has the bias alone as its score; a null id is never a training row; texts that repeat
-score alike; with no positive to learn from every score is the class prior; an empty table gives an empty result; extra
+Defined results: a null or empty text has the bias alone as its score; a null id is never a training row; an id with several labels has
+the largest; texts that repeat score alike; with no positive to learn from every score is the class prior; an empty table gives an empty result; extra
 columns are ignored.
 """
 
@@ -31,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import int_lists, materialize
+
 _WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6, 7, 8)
 
@@ -95,9 +98,9 @@ class Model:
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def distinct(rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """One of the rows that share their three least features: copies and near-copies would count one text's words many times."""
-    return list({tuple(np.sort((a.astype(np.int64) * 0x9E3779B1) & 0xFFFFFFFF)[:3].tolist()): (a, x) for a, x in reversed(rows)}.values())[::-1]
+def copy_key(at: np.ndarray) -> str:
+    """Three least features by a hash: rows that share them are copies or near-copies, which would count one text's words many times."""
+    return ",".join(map(str, np.sort((at.astype(np.int64) * 0x9E3779B1) & 0xFFFFFFFF)[:3].tolist()))
 
 
 class _Rows:
@@ -111,15 +114,6 @@ class _Rows:
     def __len__(self) -> int:
         return len(self.starts) - 1
 
-    def keep(self, features: np.ndarray, dim: int) -> None:
-        """Leaves only the entries of these features, numbered in their order."""
-        number = np.full(dim, -1)
-        number[features] = np.arange(len(features))
-        new = number[self.at]
-        on = new >= 0
-        self.starts = np.concatenate(([0], np.cumsum(on)))[self.starts]
-        self.at, self.x = new[on], self.x[on]
-
     def take(self, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, feature, value) of the picked rows' entries."""
         lo, n = self.starts[picked], self.starts[picked + 1] - self.starts[picked]
@@ -132,21 +126,42 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def train(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np.ndarray, np.ndarray]], prior: float, settings: Settings = Settings()) -> Model:
-    """Minimises the non-negative risk with the logistic loss by Adam. ``prior``: the share of toxic texts."""
-    dim, prior = 1 << settings.bits, min(max(prior, 1e-4), 1 - 1e-4)
+def telling(seen: np.ndarray, common: np.ndarray, n_positive: int, n_unlabelled: int, significance: float) -> np.ndarray:
+    """The features that take part: those in more of P than U's rate explains, by the deviance of a Poisson count."""
+    expected = (common + 0.5) / (n_unlabelled + 1) * n_positive
+    with np.errstate(divide="ignore", invalid="ignore"):
+        deviance = np.where(seen > expected, 2 * (seen * np.log(seen / expected) - (seen - expected)), 0.0)
+    return np.flatnonzero(deviance >= significance)
+
+
+def risk(w: np.ndarray, p: tuple, u: tuple, n_p: int, n_u: int, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Of a mini-batch, with the logistic loss: ``prior * R_P(+)``, ``R_U(-) - prior * R_P(-)``, and the gradients of both.
+
+    p, u: (row, feature, value) of the entries; the last weight is the bias.
+    """
+    (pr, pa_, px), (ur, ua, ux), dim = p, u, len(w) - 1
+    zp = np.bincount(pr, px * w[pa_], n_p) + w[dim]
+    zu = np.bincount(ur, ux * w[ua], n_u) + w[dim]
+
+    def back(g: np.ndarray, r: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+        out = np.bincount(a, x * g[r], dim + 1).astype(np.float64)  # integers where there is no entry
+        out[dim] = g.sum()
+        return out
+
+    toxic = prior * np.logaddexp(0, -zp).mean()
+    clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    of_toxic = back(prior * (_sigmoid(zp) - 1) / n_p, pr, pa_, px)
+    of_clean = back(_sigmoid(zu) / n_u, ur, ua, ux) - back(prior * _sigmoid(zp) / n_p, pr, pa_, px)
+    return float(toxic), float(clean), of_toxic, of_clean
+
+
+def train(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np.ndarray, np.ndarray]], kept: np.ndarray, prior: float, settings: Settings = Settings()) -> Model:
+    """Minimises the non-negative risk by Adam. Rows: places in ``kept``, values. ``prior``: the share of toxic texts."""
+    prior = min(max(prior, 1e-4), 1 - 1e-4)
     base = math.log(prior / (1 - prior))
     if not positive or not unlabelled:
         return Model({}, base, settings.bits)
-    p, u, rng = _Rows(distinct(positive)), _Rows(distinct(unlabelled)), np.random.default_rng(settings.seed)
-    # a word takes part if it is in more of P than U's rate explains, by the deviance of a Poisson count
-    seen, common = (np.bincount(r.at, minlength=dim).astype(np.float64) for r in (p, u))
-    expected = (common + 0.5) / (len(u) + 1) * len(p)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        deviance = np.where(seen > expected, 2 * (seen * np.log(seen / expected) - (seen - expected)), 0.0)
-    kept = np.flatnonzero(deviance >= settings.significance)
-    p.keep(kept, dim)
-    u.keep(kept, dim)
+    p, u, rng = _Rows(positive), _Rows(unlabelled), np.random.default_rng(settings.seed)
     dim = len(kept)
     w = np.zeros(dim + 1)
     w[dim] = base
@@ -157,21 +172,9 @@ def train(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[
         for k in range(per_epoch):
             own = order[k * settings.batch : (k + 1) * settings.batch]
             picked = rng.integers(0, len(p), settings.batch)
-            (pr, pa_, px), (ur, ua, ux) = p.take(picked), u.take(own)
-            zp = np.bincount(pr, px * w[pa_], len(picked)) + w[dim]
-            zu = np.bincount(ur, ux * w[ua], len(own)) + w[dim]
-            gp_plus, gp_minus, gu_minus = (_sigmoid(zp) - 1) / len(zp), _sigmoid(zp) / len(zp), _sigmoid(zu) / len(zu)
-            clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-
-            def gradient(gp: np.ndarray, gu: np.ndarray) -> np.ndarray:
-                g = np.bincount(pa_, px * gp[pr], dim + 1) + np.bincount(ua, ux * gu[ur], dim + 1)
-                g[dim] = gp.sum() + gu.sum()
-                return g
-
-            if clean >= -settings.beta:
-                g = gradient(prior * (gp_plus - gp_minus), gu_minus)
-            else:
-                g = -settings.gamma * gradient(-prior * gp_minus, gu_minus)
+            _, clean, of_toxic, of_clean = risk(w, p.take(picked), u.take(own), len(picked), len(own), prior)
+            # where the risk on clean texts falls below zero, the step goes against its gradient
+            g = of_toxic + of_clean if clean >= -settings.beta else -settings.gamma * of_clean
             g[:dim] += settings.decay * w[:dim]
             step += 1
             m += 0.1 * (g - m)
@@ -184,33 +187,61 @@ def held_out(id_col):
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def sample(df: DataFrame, labels: DataFrame, settings: Settings, id_col: str, text_col: str, label_col: str) -> tuple[list, list, float]:
-    """Features of the positives and the unlabelled, and the prior: toxic among the usable labels. Held-out rows' labels are never read."""
+def chosen_texts(df: DataFrame, labels: DataFrame, settings: Settings, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, float]:
+    """(id, text, positive, unlabelled) of the sample, one row an id, and the prior: toxic among the usable labels. Held-out rows' labels are never read."""
     usable = labels.filter(~held_out(F.col(id_col)) & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     counts = usable.agg(F.count("*"), F.sum("label")).first()
     rows = df.filter(~held_out(F.col(id_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    chosen = rows.select("id").join(usable, "id", "left").select("id", (F.coalesce("label", F.lit(0)) == 1).alias("positive"), F.xxhash64("id", F.lit(settings.seed)).alias("h"))
-    # U: a sample of all rows, whatever their labels; P: of those confirmed
-    u = chosen.orderBy("h", "id").limit(settings.unlabelled).select("id", F.lit(False).alias("positive"))
-    p = chosen.filter("positive").orderBy("h", "id").limit(settings.positives).select("id", "positive")
+    ids = rows.select("id").distinct().join(usable, "id", "left").select("id", (F.coalesce("label", F.lit(0)) == 1).alias("positive"), F.xxhash64("id", F.lit(settings.seed)).alias("h"))
+    # U: a sample of all ids, whatever their labels; P: of those confirmed
+    u = ids.orderBy("h", "id").limit(settings.unlabelled).select("id", F.lit(False).alias("positive"), F.lit(True).alias("unlabelled"))
+    p = ids.filter("positive").orderBy("h", "id").limit(settings.positives).select("id", "positive", F.lit(False).alias("unlabelled"))
+    both = p.unionByName(u).groupBy("id").agg(F.bool_or("positive").alias("positive"), F.bool_or("unlabelled").alias("unlabelled"))
+    # the chosen ids are bounded by the settings
+    return rows.join(F.broadcast(both), "id").groupBy("id", "positive", "unlabelled").agg(F.min("text").alias("text")), (counts[1] or 0) / max(1, counts[0])
+
+
+def fit(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    texts, prior = chosen_texts(df, labels, settings, id_col, text_col, label_col)
     bits = settings.bits
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            made = [features(x.as_py(), bits, known) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a.astype(np.int32) for a, _ in made], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in made], pa.list_(pa.float32()))], ["positive", "at", "x"])
-
-    # the chosen are bounded by the settings
-    made = rows.join(F.broadcast(p.unionByName(u)), "id").select("positive", "text").mapInArrow(of, "positive boolean, at array<int>, x array<float>").toArrow()
+            made = [features(x.as_py(), bits, known) for x in batch.column(2)]
+            lists = int_lists([a for a, _ in made])
+            values = pa.ListArray.from_arrays(lists.offsets, pa.array(np.concatenate([np.empty(0), *(x for _, x in made)]).astype(np.float32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([copy_key(a) for a, _ in made], pa.string()), lists, values], ["positive", "unlabelled", "copy", "at", "x"])
+
+    made = materialize(texts.select("positive", "unlabelled", "text").mapInArrow(of, "positive boolean, unlabelled boolean, copy string, at array<int>, x array<float>"), "features")
+    # near-copies count once, in P and in U
+    row = F.min(F.struct("at", "x")).alias("row")
+    sides = made.filter("positive").groupBy("copy").agg(row).withColumn("positive", F.lit(True)).unionByName(made.filter("unlabelled").groupBy("copy").agg(row).withColumn("positive", F.lit(False)))
+    sides = materialize(sides.select("positive", "copy", "row.*"), "sides")
+    sizes = {r.positive: r["count"] for r in sides.groupBy("positive").count().collect()}
+    counts = sides.select("positive", F.explode("at").alias("at")).groupBy("at").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).toArrow()
+    seen, common = np.zeros(1 << bits), np.zeros(1 << bits)
+    at = counts.column("at").to_numpy()
+    seen[at], common[at] = counts.column("p").to_numpy(), counts.column("u").to_numpy()
+    kept = telling(seen, common, sizes.get(True, 0), sizes.get(False, 0), settings.significance)
+    shared = df.sparkSession.sparkContext.broadcast(kept)
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.full(1 << bits, -1)
+        number[shared.value] = np.arange(len(shared.value))
+        for batch in batches:
+            places, values = [], []
+            for a, x in zip(batch.column(2), batch.column(3), strict=True):
+                own = number[a.values.to_numpy()]
+                places.append(own[own >= 0])
+                values.append(x.values.to_numpy()[own >= 0].tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), int_lists(places), pa.array(values, pa.list_(pa.float32()))], ["positive", "copy", "at", "x"])
+
+    rows = sides.mapInArrow(only, "positive boolean, copy string, at array<int>, x array<float>").toArrow().sort_by([("positive", "ascending"), ("copy", "ascending")])
     split: tuple[list, list] = ([], [])
-    for positive, at, x in zip(made.column(0).to_pylist(), made.column(1), made.column(2), strict=True):
-        split[0 if positive else 1].append((at.values.to_numpy(), x.values.to_numpy()))
-    return split[0], split[1], (counts[1] or 0) / max(1, counts[0])
-
-
-def fit(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    return train(*sample(df, labels, settings, id_col, text_col, label_col), settings)
+    for positive, a, x in zip(rows.column(0).to_pylist(), rows.column(2), rows.column(3), strict=True):
+        split[0 if positive else 1].append((a.values.to_numpy(), x.values.to_numpy().astype(np.float64)))
+    return train(*split, kept, prior, settings)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

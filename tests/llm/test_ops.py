@@ -326,6 +326,50 @@ def test_toxicity(spark):
     assert toxicity.fit(df.limit(0), known.limit(0)).weights == {} and toxicity.score(df.limit(0), model).count() == 0
 
 
+def test_toxicity_risk():
+    """The risk and its gradient against a plain sum over rows, and the scorer against its features."""
+    rng = np.random.default_rng(1)
+    dim, prior = 7, 0.2
+    rows = [[(np.sort(rng.choice(dim, 3, replace=False)), rng.random(3)) for _ in range(n)] for n in (4, 6)]
+    p, u = (toxicity._Rows(r) for r in rows)
+    entries = [r.take(np.arange(len(r))) for r in (p, u)]
+    log1e = lambda z: math.log1p(math.exp(-abs(z))) + max(z, 0)
+
+    def plain(w):
+        z = [[sum(w[a] * x for a, x in zip(*row, strict=True)) + w[dim] for row in side] for side in rows]
+        toxic = prior * sum(log1e(-x) for x in z[0]) / 4
+        return toxic, sum(map(log1e, z[1])) / 6 - prior * sum(map(log1e, z[0])) / 4
+
+    w = rng.normal(size=dim + 1)
+    toxic, clean, of_toxic, of_clean = toxicity.risk(w, *entries, 4, 6, prior)
+    assert (toxic, clean) == pytest.approx(plain(w))
+    for i in range(dim + 1):
+        step = np.zeros(dim + 1)
+        step[i] = 1e-6
+        up, down = plain(w + step), plain(w - step)
+        assert [of_toxic[i], of_clean[i]] == pytest.approx([(a - b) / 2e-6 for a, b in zip(up, down, strict=True)], abs=1e-6)
+    model = toxicity.Model({int(f): float(x) for f, x in zip(toxicity.of_word("nasty", 18), rng.normal(size=6), strict=False)}, -0.3, 18)
+    for text in ("", "Nasty words, nasty nastier!", sentence(3)):
+        at, x = toxicity.features(text, 18, {})
+        z = -0.3 + sum(model.weights.get(int(a), 0.0) * v for a, v in zip(at, x, strict=True))
+        assert model.score(text, {}) == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_toxicity_of_repeated_ids(spark):
+    """Rows that share an id are one training row, so a hot id brings the driver nothing more."""
+    rows = [(1, f"nasty {sentence(i, 9)}") for i in range(300)] + [(i, sentence(i, 20)) for i in range(2, 60)] + [(i, None) for i in range(60, 70)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC).withColumn("positive", F.lit(1)).withColumn("h", F.lit(2))
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (1, 1, None), (2, 1, 0)], "doc_id long, quality int, toxic int").withColumn("id", F.lit(3)).withColumn("label", F.lit(4))
+    texts, prior = toxicity.chosen_texts(df, labels, toxicity.Settings(), "doc_id", "text", "toxic")
+    got = {r.id: r for r in texts.collect()}
+    held = {i for i in range(1, 70) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert set(got) == set(range(1, 70)) - held and texts.count() == len(got)
+    if 1 not in held:
+        assert got[1].positive and got[1].unlabelled and got[1].text == min(t for i, t in rows if i == 1)
+    scored = toxicity.score(df, toxicity.fit(df, labels))
+    assert scored.count() == len(rows) and scored.columns == ["doc_id", "held_out", "score", "predicted"]
+
+
 def all_ways(voc, text):
     """(ids, weight) of every segmentation."""
     by = {}
