@@ -522,6 +522,19 @@ def test_licenses(spark):
                 want[i, name] = share
     got = {(r.doc_id, r.license): r.containment for r in licenses.scan(docs(spark, texts).withColumn("id", F.lit(1))).collect()}
     assert got == pytest.approx(want) and len(want) >= 3
+    # every row is a document: without an id, with one id, and repeated
+    rows = [(None, notice), (None, f"{notice} {sentence(1)}"), (3, notice), (3, f"{sentence(2)} {notice}"), (4, notice), (4, notice)]
+    again = licenses.scan(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC), {"MIT-grant": notice}).collect()
+    assert sorted((str(r.doc_id), r.containment) for r in again) == sorted((str(i), 1.0) for i, _ in rows)
+    # whole texts, with a part of their words changed, in a very long document
+    rng = np.random.default_rng(9)
+    for name in ("BSD-3-Clause-text", "MIT-text"):
+        words = licenses.TEMPLATES[name].split()
+        for i in rng.choice(len(words), 4, replace=False):
+            words[i] = "otherwise"
+        found = {r.license: r.containment for r in licenses.scan(docs(spark, [f"{sentence(5, 20_000)} {' '.join(words)} {sentence(6, 20_000)}"])).collect()}
+        own = shingles(licenses.TEMPLATES[name])
+        assert found[name] == pytest.approx(len(own & shingles(" ".join(words))) / len(own)) and found[name] < 1
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
