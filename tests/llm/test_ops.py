@@ -558,3 +558,61 @@ def test_pipeline(spark, tmp_path):
     gone = {j for i, j in itertools.combinations(sorted(prints), 2) if bin(prints[i] ^ prints[j]).count("1") <= 4}
     assert packed == set(prints) - gone
     assert not any("11acdfb3" in r.text for r in df.collect())
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows, rows of one id, extra columns with names like the operators' own; empty tables."""
+    import corpus_pipeline
+
+    a, b = sentence(1, 100), sentence(2, 100)
+    rows = [(1, a), (1, a), (1, b), (None, b), (None, sentence(3, 100)), (None, sentence(3, 100)), (None, None), (5, ""), (6, None), (7, "x " * 30_000), (8, a.upper()), (9, "token = 11acdfb36bb72224148e6160f674b4be45601bff")]
+    more = [(i, t, None if k % 2 else "en", None, None, "d", k % 3, {"a": str(k % 2)}) for k, (i, t) in enumerate(rows)]
+    spark.createDataFrame(more, DOC + ", digest string, id int, keep_id map<string,string>").write.parquet(str(tmp_path / "odd/documents.parquet"))
+    spark.createDataFrame([], DOC).write.parquet(str(tmp_path / "none/documents.parquet"))
+    for name in ("odd", "none"):
+        spark.createDataFrame([(1, None, None), (None, 1, 1), (5, 1, 0)] if name == "odd" else [], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        df = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        sizes = []
+        for step, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, str(tmp_path / name))
+            kept = out.collect()
+            sizes.append(len(kept))
+            if step != "packing":
+                assert sorted(out.columns) == sorted(df.columns), step
+                df = spark.createDataFrame(kept, df.schema)
+        if name == "none":
+            assert sizes == [0] * 5
+        else:
+            assert sizes[0] == len(rows)
+            texts = {}
+            for i, t in rows:  # a text's largest id; a null id is less than any
+                key = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+                texts[key] = max(texts.get(key, -1), -1 if i is None else i)
+            assert sizes[1] == len(texts)
+            assert sizes[3] == sizes[2] and not any("11acdfb3" in (r.text or "") for r in df.collect())
+    whole = corpus_pipeline.run(spark, str(tmp_path / "odd"))
+    assert whole.count() == sizes_of_run(whole) and corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def sizes_of_run(packed):
+    """Pieces: each document's tokens lie in its pieces once."""
+    rows = packed.collect()
+    for key in {(r.doc_id, r.doc_tokens) for r in rows}:
+        own = sorted(r.start for r in rows if (r.doc_id, r.doc_tokens) == key)
+        assert own[0] == 0
+    return len(rows)
+
+
+def test_exact_dedup_of_null_ids_and_letters(spark):
+    texts = ["Ⱟ", "ⱟ", "\U00010570", "Ꟁ", "Ɤ", "ÀB", "Àb", "àb"]
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].text_sha256 == hashlib.sha256(re.sub("[A-Z]", lambda m: m[0].lower(), t).encode()).hexdigest()
+    assert got[5].keep_id == 6 and got[7].keep_id == 7
+    rows = [(None, "A", "x"), (None, "a", "y"), (None, "a", "x"), (3, "b", "x"), (None, "b", "x"), (4, "c", "z"), (4, "c", "y"), (4, "c", "y"), (4, "C", "q")]
+    df = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], DOC).withColumn("__digest", F.lit("mine"))
+    for parts in (1, 4):
+        kept = exact_dedup.drop_exact_copies(df.repartition(parts))
+        assert kept.columns == df.columns
+        assert sorted(((r.doc_id, r.text.lower(), r["__digest"]) for r in kept.collect()), key=str) == [(3, "b", "mine"), (4, "c", "mine"), (None, "a", "mine")]
+        assert {r.source for r in kept.collect() if r.doc_id == 4} == {"q"}  # the least JSON form: "C" is before "c"
