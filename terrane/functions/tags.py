@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 INT2, INT4, INT8 = (-(1 << 15), (1 << 15) - 1), (-(1 << 31), (1 << 31) - 1), (-(1 << 63), (1 << 63) - 1)
 SPACE = r"[ \t\r\n\f\x0B]"
@@ -157,21 +158,38 @@ def to_timestamp(seconds: Column) -> Column:
     return F.timestamp_seconds(seconds)
 
 
+def _first_int(text: Column, pattern: str, group: int) -> Column:
+    return F.regexp_extract(text, pattern, group).try_cast("bigint")
+
+
+def int32(x: Column) -> Column:
+    """A long cut to its 32 lower bits, as a signed integer."""
+    return (F.pmod(x + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)).cast("int")
+
+
 def legacy_int(text: Column) -> Column:
-    """``a``, or the mean of ``a-b`` cut to an integer, from the text's beginning; null beyond int4."""
-    pattern = r"^(-?\d+)(?:-(-?\d+))?"
-    a, b = (F.regexp_extract(text, pattern, i).try_cast("bigint") for i in (1, 2))
-    value = F.when(b.isNotNull(), F.expr("1") * F.floor((a + b) / 2)).otherwise(a)
+    """``a``, or the mean of ``a-b``, from the text's beginning; null beyond int4. Signs and leading white space are allowed.
+
+    Halves are cut toward zero one by one and then the halves of what was cut, so that nothing overflows.
+    """
+    pattern = r"^\s*([+-]?\d{1,18})(?:-\s*([+-]?\d{1,18}))?"
+    a, b = (_first_int(text, pattern, i) for i in (1, 2))
+    half = lambda x: ((x - x % 2) / 2).cast("bigint")
+    value = F.when(b.isNotNull(), half(a) + half(b) + half(a % 2 + b % 2)).otherwise(a)
     return F.when(value.between(*INT4), value).cast("int")
 
 
 def legacy_real(text: Column) -> Column:
-    """A number with a decimal comma or point; the mean of ``a-b``; feet (``ft``) become metres."""
-    text = F.regexp_replace(text, ",", ".")
-    pattern = r"^(-?\d+(?:\.\d+)?)(?:-(-?\d+(?:\.\d+)?))?(?: ?(ft))?"
-    a, b = (F.regexp_extract(text, pattern, i).try_cast("double") for i in (1, 2))
+    """A number with a decimal comma or point and an exponent; the mean of ``a-b``; feet (the text ends in ``ft``) become metres.
+
+    Infinities, NaN and hexadecimal numbers are null.
+    """
+    number = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+    dotted = F.regexp_replace(text, ",", ".")
+    pattern = rf"^\s*({number})(?![eE])(?:-\s*({number})(?![eE]))?"
+    a, b = (F.regexp_extract(dotted, pattern, i).try_cast("double") for i in (1, 2))
     value = F.when(b.isNotNull(), (a + b) / 2).otherwise(a)
-    return F.when(F.regexp_extract(text, pattern, 3) == "ft", value * 0.3048).otherwise(value)
+    return F.when(dotted.endswith("ft"), value * 0.3048).otherwise(value)
 
 
 def value_to_bool(text: Column, default: bool) -> Column:
@@ -197,14 +215,14 @@ def tag(tags: Column, key: str) -> Column:
 def z_order(tags: Column) -> Column:
     """100 for each layer, the highway's offset, 35 for a railway, 100 up for a bridge and down for a tunnel."""
     offsets = F.create_map(*[F.lit(x) for k, (n, _) in HIGHWAYS.items() for x in (k, n)])
-    layer = F.coalesce(legacy_int(tag(tags, "layer")), F.lit(0))
-    return (
-        100 * layer
+    layer = F.coalesce(_first_int(tag(tags, "layer"), r"^\s*([+-]?\d{1,18})", 1), F.lit(0))
+    return int32(
+        100 * int32(layer).cast("bigint")
         + F.coalesce(F.try_element_at(offsets, tag(tags, "highway")), F.lit(0))
         + F.when(F.coalesce(tag(tags, "railway"), F.lit("")) != "", 35).otherwise(0)
         + F.when(value_to_bool(tag(tags, "bridge"), False), 100).otherwise(0)
         - F.when(value_to_bool(tag(tags, "tunnel"), False), 100).otherwise(0)
-    ).cast("int")
+    )
 
 
 def is_road(tags: Column) -> Column:
@@ -212,12 +230,14 @@ def is_road(tags: Column) -> Column:
     return F.coalesce(road, F.lit(False)) | (F.coalesce(tag(tags, "railway"), F.lit("")) != "") | F.coalesce(tag(tags, "boundary") == "administrative", F.lit(False))
 
 
-def is_polygon(tags: Column, polygon_keys: Iterable[str], closed: Column) -> Column:
-    """A closed way with a polygon key, unless ``area`` says otherwise; a coastline is always an area."""
-    keys = list(polygon_keys)
-    has = F.exists(F.map_keys(tags), lambda k: k.isin(*keys)) if keys else F.lit(False)
+def is_polygon(tags: Column, polygon_keys: Iterable[str], closed: Column, all_tags: Column | None = None) -> Column:
+    """A closed way with a polygon key, unless ``area`` says otherwise; a coastline is always an area. ``all_tags``: the tags before a
+    style filtered them, in which area and coastline are looked up."""
+    keys, own = list(polygon_keys), tags
+    has = F.exists(F.map_keys(own), lambda k: k.isin(*keys)) if keys else F.lit(False)
+    tags = own if all_tags is None else all_tags
     area = tag(tags, "area")
-    wanted = F.when(area.isNotNull(), value_to_bool(area, False)).otherwise(has)
+    wanted = F.when(area.isNull(), has).when(has, value_to_bool(area, True)).otherwise(value_to_bool(area, False))
     return closed & (wanted | F.coalesce(tag(tags, "natural") == "coastline", F.lit(False)))
 
 
@@ -233,6 +253,65 @@ def route_color(tags: Column) -> Column:
     return F.when(color.isin("0", "1", "2", "3", "4"), color).otherwise("0")
 
 
+def route_tags(tags: Column) -> Column:
+    """The tags that a relation hands to its lines: all but ``type``; for a route also ``route_name``, its network's state and ref,
+    and ``route_pref_color``. What the relation says itself stays."""
+    network, state = route_network(tags), tag(tags, "state")
+    told = F.when(state.isin("alternate", "connection"), state).otherwise("yes")
+    color = tag(tags, "preferred_color")
+    entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    made = F.array(
+        entry(F.lit("route_name"), tag(tags, "name")),
+        entry(network, told),
+        entry(F.lit("route_pref_color"), F.when(color.isin("0", "1", "2", "3", "4"), color).otherwise("0")),
+        entry(F.concat(network, F.lit("_ref")), tag(tags, "ref")),
+    )
+    own = F.map_filter(tags, lambda k, v: k != "type")
+    new = F.filter(made, lambda e: e["key"].isNotNull() & e["value"].isNotNull() & ~F.map_contains_key(tags, F.coalesce(e["key"], F.lit(""))))
+    return F.when(tag(tags, "type") == "route", F.map_concat(own, F.map_from_entries(new))).otherwise(own)
+
+
+def makes_boundary(tags: Column) -> Column:
+    """Relations whose rings are lines and polygons at once."""
+    kind = tag(tags, "type")
+    return F.coalesce((kind == "boundary") | ((kind == "multipolygon") & tag(tags, "boundary").isNotNull()), F.lit(False))
+
+
+# --- JSON ----------------------------------------------------------------------------------------------------------
+
+
+def _json_text(value: Column) -> Column:
+    """A JSON string."""
+    listed = F.to_json(F.array(value))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def json_of(value: Column, kind: T.DataType) -> Column:
+    """JSON of any nested value: nulls are written, an empty array is an empty object, a double without a fraction an integer; the keys
+    of maps are sorted and must be strings."""
+    if isinstance(kind, T.StructType):
+        parts = [F.concat(_json_text(F.lit(f.name)), F.lit(":"), json_of(value.getField(f.name), f.dataType)) for f in kind.fields]
+        made = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    elif isinstance(kind, T.MapType):
+        if not isinstance(kind.keyType, T.StringType):
+            raise ValueError(f"incorrect data type {kind.keyType.simpleString()!r} as key")
+        each = F.transform(F.array_sort(F.map_keys(value)), lambda k: F.concat(_json_text(k), F.lit(":"), json_of(F.element_at(value, k), kind.valueType)))
+        made = F.concat(F.lit("{"), F.array_join(each, ","), F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        each = F.array_join(F.transform(value, lambda x: json_of(x, kind.elementType)), ",")
+        made = F.when(F.size(value) == 0, "{}").otherwise(F.concat(F.lit("["), each, F.lit("]")))
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        whole = (value == F.floor(value)) & (F.abs(value) < 2.0**63)
+        made = F.when(whole, F.when(whole, value).cast("bigint").cast("string")).otherwise(value.cast("string"))
+    elif isinstance(kind, T.StringType):
+        made = _json_text(value)
+    elif isinstance(kind, (T.BooleanType, T.IntegralType)):
+        made = value.cast("string")
+    else:
+        raise ValueError(f"invalid type {kind.simpleString()!r} for JSON")
+    return F.when(value.isNull(), "null").otherwise(made)
+
+
 # --- ids -----------------------------------------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tiles as T
+from ..functions.params import render
 from ..sources.store import materialize, with_rank
 
 #: The cells of each round of the isolation search are so many times as wide as those of the last.
@@ -60,15 +61,15 @@ def tile_table(objects: DataFrame, zoom: int) -> DataFrame:
 
 def tile_sql(spark: SparkSession, template: str, tiles: Iterable[tuple[int, int, int]], **params) -> list[DataFrame]:
     """A templated statement for each tile, with {ZOOM}, {X}, {Y} and the parameters put in."""
-    return [spark.sql(template.format(ZOOM=z, X=x, Y=y, **params)) for z, x, y in tiles]
+    return [spark.sql(render(template, ZOOM=z, X=x, Y=y, **params)) for z, x, y in tiles]
 
 
 def run_sql(spark: SparkSession, statements: str | list[str], if_has_rows: str | None = None, **params) -> bool:
     """Runs the statements, unless the probe query has no rows; tells whether they ran."""
-    if if_has_rows and spark.sql(if_has_rows.format(**params)).isEmpty():
+    if if_has_rows and spark.sql(render(if_has_rows, **params)).isEmpty():
         return False
     for statement in [statements] if isinstance(statements, str) else statements:
-        spark.sql(statement.format(**params))
+        spark.sql(render(statement, **params))
     return True
 
 

@@ -7,7 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry as M
+from ..functions import shapes as S
 from ..functions import tags as G
+from ..operators import gather
 
 FLAGS = {"polygon", "linear", "nocache", "delete", "phstore", "nocolumn"}
 # How a style's data types are stored.
@@ -90,9 +93,64 @@ def line_or_polygon(ways: DataFrame, rules: list[Rule], hstore: str = "none") ->
     """Ways with ``is_polygon``, ``is_road`` and ``z_order`` and their columns."""
     polygon = [r.tag for r in for_kind(rules, "way") if "polygon" in r.flags]
     closed = (F.size("nodes") > 2) & (F.get("nodes", F.lit(0)) == F.element_at("nodes", -1))
-    rows = ways.withColumn("tags", filter_tags(F.col("tags"), rules, "way", hstore)).filter(F.size("tags") > 0)
+    said = ways.select("*", F.col("tags").alias("all_tags"))
+    rows = said.withColumn("tags", filter_tags(F.col("tags"), rules, "way", hstore)).filter(F.size("tags") > 0)
     t = F.col("tags")
-    return rows.select("id", *column_values(t, rules, "way"), G.z_order(t).alias("z_order"), G.is_road(t).alias("is_road"), G.is_polygon(t, polygon, closed).alias("is_polygon"), "nodes")
+    return rows.select("id", *column_values(t, rules, "way"), G.z_order(t).alias("z_order"), G.is_road(t).alias("is_road"), G.is_polygon(t, polygon, closed, F.col("all_tags")).alias("is_polygon"), "nodes")
+
+
+SPLIT_METRES, SPLIT_DEGREES = 100_000.0, 1.0
+
+
+def _projected(line: Column, latlon: bool) -> Column:
+    """Points of 1e-7 degrees in degrees, or in mercator metres."""
+    deg = F.transform(line, lambda p: M.point(p["x"] / 1e7, p["y"] / 1e7))
+    return deg if latlon else F.transform(deg, lambda p: M.to_mercator(p["x"], p["y"]))
+
+
+def _way_area(rings: Column, latlon: bool, reproject_area: bool) -> Column:
+    """Planar area in the target projection, or with ``reproject_area`` in mercator metres whatever the target."""
+    if latlon and reproject_area:
+        rings = F.transform(rings, lambda r: F.transform(r, lambda p: M.to_mercator(p["x"], p["y"])))
+    return M.polygon_area(rings)
+
+
+def _cut(rows: DataFrame, latlon: bool) -> DataFrame:
+    """A row for each part of ``line``, cut where it is longer than the limit."""
+    parts = S.segmentize_udf("line", F.lit(SPLIT_DEGREES if latlon else SPLIT_METRES))
+    return rows.withColumn("line", F.explode(parts))
+
+
+def lines_roads_polygons(ways: DataFrame, rules: list[Rule], hstore: str = "none", latlon: bool = False, reproject_area: bool = False) -> dict[str, DataFrame]:
+    """The tables ``line``, ``roads`` and ``polygon`` of ways with ``points``: id, the rules' columns, z_order, and the line, or way_area and rings.
+
+    A closed way that its tags call an area is a polygon, or nothing if its ring crosses itself; any other is a line, cut at 100 km
+    (1 degree); roads have their lines in both tables. Ways with fewer than two known nodes are left out.
+    """
+    known = F.size(F.filter("points", lambda p: p["x"].isNotNull()))
+    made = line_or_polygon(ways, rules, hstore).drop("nodes").join(ways.select("id", "points"), "id").filter(known > 1)
+    area = made.filter("is_polygon").withColumn("rings", F.get(S.assemble_udf(F.array(_projected(M.as_linestring(F.col("points")), latlon))), F.lit(0)))
+    polygons = area.filter(F.col("rings").isNotNull()).withColumn("way_area", _way_area(F.col("rings"), latlon, reproject_area))
+    lines = made.filter("not is_polygon").withColumn("line", _projected(M.as_linestring(F.col("points")), latlon)).filter(F.col("line").isNotNull())
+    cut = _cut(lines, latlon).drop("points", "is_polygon")
+    return {"line": cut.drop("is_road"), "roads": cut.filter("is_road").drop("is_road"), "polygon": polygons.drop("points", "is_polygon", "is_road")}
+
+
+def relation_tables(rels: DataFrame, way_points: DataFrame, rules: list[Rule], hstore: str = "none", latlon: bool = False, reproject_area: bool = False) -> dict[str, DataFrame]:
+    """The same tables for relations, under negative ids: routes and boundaries as merged lines, multipolygons and boundaries as a row for each
+    polygon, with the tags that a relation hands on."""
+    kind = G.tag(F.col("tags"), "type")
+    kept = filter_tags(F.map_filter("tags", lambda k, v: k != "type"), rules, "way", hstore)
+    rows = relations(rels).withColumn("kept", kept).filter(F.size("kept") > 0)
+    all_tags = F.map_concat(F.create_map(F.lit("type"), kind), F.col("kept"))
+    rows = rows.withColumn("tags", all_tags).withColumn("boundary", G.makes_boundary(F.col("tags"))).withColumn("polygon", (G.tag(F.col("tags"), "type") == "multipolygon") & ~F.col("boundary"))
+    own = gather.relation_lines(rels, way_points).withColumn("id", -F.col("id"))
+    t = G.route_tags(F.col("tags"))
+    joined = rows.join(own, "id").select("id", "boundary", "polygon", *column_values(t, rules, "way"), G.z_order(t).alias("z_order"), G.is_road(t).alias("is_road"), F.transform("lines", lambda x: _projected(x, latlon)).alias("lines"))
+    lines = _cut(joined.filter("not polygon").withColumn("line", F.explode(S.line_merge_udf("lines"))), latlon).drop("lines", "boundary", "polygon")
+    areas = joined.filter("boundary or polygon").withColumn("rings", F.explode(S.assemble_udf("lines")))
+    areas = areas.withColumn("way_area", _way_area(F.col("rings"), latlon, reproject_area)).drop("lines", "boundary", "polygon", "is_road")
+    return {"line": lines.drop("is_road"), "roads": lines.filter("is_road").drop("is_road"), "polygon": areas}
 
 
 def relations(rels: DataFrame) -> DataFrame:

@@ -88,7 +88,8 @@ class Table:
             return []
         if len(self.id_columns) == 2:
             return [kind.alias(self.id_columns[0]), ident.alias(self.id_columns[1])]
-        packed = G.pack_area_id(kind, ident) if self.ids == "area" else G.pack_any_id(kind, ident) if self.ids == "any" else ident
+        # relations in tables of ways or areas have negative ids
+        packed = G.pack_any_id(kind, ident) if self.ids == "any" else G.pack_area_id(kind, ident) if self.ids in ("area", "way") else ident
         return [packed.alias(self.id_columns[0])]
 
     def project(self, objects: DataFrame, values: dict[str, Column], kind: Column, ident: Column, numbers: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
