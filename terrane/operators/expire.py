@@ -82,6 +82,82 @@ def expire_lines(segments: DataFrame, zoom: int, buffer: float = 0.1) -> DataFra
     return rows.filter(c("y").between(0, width - 1)).select("id", "x", c("y").cast("int").alias("y")).distinct()
 
 
+def edges_of(geoms: DataFrame) -> DataFrame:
+    """(id, dim, ax, ay, bx, by) of geometries (id, g) in mercator coordinates: segments of lines and rings; points are segments of no length."""
+    parts = geoms.select("id", F.explode("g.parts").alias("p")).select("id", "p.dim", F.explode("p.rings").alias("r"))
+    n = F.size("r")
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.struct(F.get("r", i).alias("a"), F.get("r", i + 1).alias("b")))).otherwise(F.transform("r", lambda p: F.struct(p.alias("a"), p.alias("b"))))
+    rows = parts.filter(n > 0).select("id", "dim", F.explode(pairs).alias("s"))
+    return rows.select("id", "dim", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
+
+
+def fill_rows(edges: DataFrame, zoom: int) -> DataFrame:
+    """Distinct (id, x, y) of the tiles inside areas by the even-odd rule, from their edges (id, ax, ay, bx, by).
+
+    Every tile row's top edge is cut with the edges that span it, and the spans between two cuts are filled. Rows of tiles are
+    exploded from edges, so an area's rows are dealt out like any others.
+    """
+    width = 1 << zoom
+    (p, q), (r, s) = T.tile_coord(F.col("ax"), F.col("ay"), zoom), T.tile_coord(F.col("bx"), F.col("by"), zoom)
+    rows = edges.select("id", p.alias("p"), q.alias("q"), r.alias("r"), s.alias("s")).filter("q <> s")
+    low, high = F.least("q", "s"), F.greatest("q", "s")
+    first, last = F.greatest(F.floor(low) + 1, F.lit(0)), F.least(F.floor(high), F.lit(width - 1))
+    rows = rows.filter(first <= last).select("*", F.explode(F.sequence(first, last)).alias("y"))
+    at = F.col("p") + (F.col("y") - F.col("q")) / (F.col("s") - F.col("q")) * (F.col("r") - F.col("p"))
+    cuts = rows.select("id", "y", F.floor(F.least(F.greatest(at, F.lit(0.0)), F.lit(float(width - 1)))).alias("x")).groupBy("id", "y").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    spans = F.filter(F.transform(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2)), lambda i: F.struct(F.get("xs", i).alias("lo"), F.get("xs", i + 1).alias("hi"))), lambda v: v["hi"] > v["lo"])
+    each = cuts.filter(F.size("xs") > 1).select("id", "y", F.explode(spans).alias("v"))
+    return each.select("id", F.explode(F.sequence(F.col("v.lo"), F.col("v.hi") - 1)).cast("int").alias("x"), F.col("y").cast("int").alias("y")).distinct()
+
+
+def expire_edges(edges: DataFrame, zoom: int, config: ExpireConfig = ExpireConfig(), most: int | None = None) -> DataFrame:
+    """Distinct (id, x, y) that edges (id, dim, ax, ay, bx, by) touch: boundaries and lines by their segments, areas (dim 2) also inside,
+    as the mode says, unless one tile holds the whole boundary. ``most``: an object that touches more tiles expires none; one whose box
+    alone is longer than that is left out before its tiles are made.
+    """
+    c, size = F.col, T.CIRCUMFERENCE / (1 << zoom)
+    box = edges.groupBy("id").agg(*[f(g(a, b)).alias(n) for n, f, g, a, b in (("x0", F.min, F.least, "ax", "bx"), ("y0", F.min, F.least, "ay", "by"), ("x1", F.max, F.greatest, "ax", "bx"), ("y1", F.max, F.greatest, "ay", "by"))])
+    if most is not None:
+        # over half the map's width a line goes the other way round, so only heights count there
+        wide = F.when(c("x1") - c("x0") <= T.CIRCUMFERENCE / 2, c("x1") - c("x0")).otherwise(0.0)
+        edges = edges.join(box.filter(F.greatest(wide, c("y1") - c("y0")) <= most * size).select("id"), "id", "left_semi")
+    border = expire_lines(edges, zoom, config.buffer)
+    mode = config.mode.replace("-", "_")
+    tiles = border
+    if mode != "boundary_only":
+        many = border.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+        if mode == "hybrid":
+            small = (c("x1") - c("x0") <= config.full_area_limit) & (c("y1") - c("y0") <= config.full_area_limit)
+            many = many.join(box.filter(small).select("id"), "id", "left_semi")
+        tiles = border.unionByName(fill_rows(edges.filter("dim = 2").join(many, "id", "left_semi"), zoom)).distinct()
+    return tiles if most is None else limited(tiles, most)
+
+
+def difference_edges(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The edges (id, dim, ax, ay, bx, by) that changed: of objects on both sides those of one side only, class by class; of others all.
+
+    Edges of both sides cancel in pairs whatever their direction. What is left of areas bounds their symmetric difference, which the even-odd
+    rule fills.
+    """
+    c = F.col
+    back = (c("ax") > c("bx")) | ((c("ax") == c("bx")) & (c("ay") > c("by")))
+    ends = lambda e: e.select("id", "dim", *[F.when(back, c(a)).otherwise(c(b)).alias(b) for a, b in (("bx", "ax"), ("by", "ay"), ("ax", "bx"), ("ay", "by"))])
+    both = ends(edges_of(old)).unionByName(ends(edges_of(new)))
+    return both.groupBy(*both.columns).agg(F.count("*").alias("n")).filter("n % 2 = 1").drop("n")
+
+
+def expire_changes(old: DataFrame, new: DataFrame, zoom: int, config: ExpireConfig = ExpireConfig(), diff: bool = True, most: int | None = None) -> DataFrame:
+    """Distinct (id, x, y) of what changed objects expire: geometries (id, g) before and after, in mercator coordinates. With ``diff`` only
+    what differs, else both sides whole."""
+    edges = difference_edges(old, new) if diff else edges_of(old).unionByName(edges_of(new))
+    return expire_edges(edges, zoom, config, most)
+
+
+def overall(tiles: DataFrame, most: int) -> DataFrame:
+    """At most so many tiles (zoom, x, y), the first by zoom and quadkey: nothing is accepted beyond."""
+    return tiles.orderBy("zoom", T.quadkey(F.col("x"), F.col("y"))).limit(most)
+
+
 def limited(tiles: DataFrame, most: int) -> DataFrame:
     """Tiles of geometries within the limit; a geometry over it expires none."""
     sizes = tiles.groupBy("id").agg(F.count("*").alias("__n")).filter(F.col("__n") <= most)
@@ -103,6 +179,13 @@ def tile_list(tiles: DataFrame) -> DataFrame:
     return tiles.orderBy("zoom", T.quadkey(F.col("x"), F.col("y"))).select(T.tile_text(F.col("zoom"), F.col("x"), F.col("y")).alias("value"))
 
 
+def feature_collection(tiles: DataFrame) -> DataFrame:
+    """One row: all features of :func:`geojson` in a collection with its coordinate system; for the few tiles that a viewer can hold."""
+    features = F.concat_ws(",", F.sort_array(F.collect_list("value")))
+    crs = '"crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:EPSG::3857"}}'
+    return geojson(tiles).agg(F.concat(F.lit('{"type":"FeatureCollection",' + crs + ',"features":['), features, F.lit("]}")).alias("value"))
+
+
 def geojson(tiles: DataFrame) -> DataFrame:
     """One feature per tile, its extent as a polygon in mercator coordinates."""
     b = T.bounds(F.col("zoom"), F.col("x"), F.col("y"))

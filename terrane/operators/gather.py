@@ -18,8 +18,8 @@ def way_points(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     refs = ways.select("id", F.posexplode("nodes").alias("pos", "ref"))
     located = refs.join(nodes.select(F.col("id").alias("ref"), "lon_e7", "lat_e7"), "ref", "left")
-    gathered = located.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "lon_e7", "lat_e7"))).alias("__at"))
-    points = F.transform("__at", lambda p: F.struct(p["lon_e7"].alias("x"), p["lat_e7"].alias("y")))
+    gathered = located.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "lon_e7", "lat_e7"))).alias("at"))
+    points = F.transform("at", lambda p: F.struct(p["lon_e7"].alias("x"), p["lat_e7"].alias("y")))
     return ways.join(gathered.select("id", points.alias("points")), "id", "left").withColumn("points", F.coalesce("points", F.array().cast("array<struct<x:int,y:int>>")))
 
 
@@ -47,13 +47,13 @@ def relation_lines(rels: DataFrame, ways_with_points: DataFrame) -> DataFrame:
     """(id, lines): the member ways' lines in member order; missing ways and those under two points are left out."""
     lines = ways_with_points.select(F.col("id").alias("ref"), G.as_linestring(F.col("points")).alias("line")).filter("line is not null")
     own = members(rels).filter("type = 'w'").join(lines, "ref")
-    return own.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("__l")).select("id", F.transform("__l", lambda x: x["line"]).alias("lines"))
+    return own.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("at")).select("id", F.transform("at", lambda x: x["line"]).alias("lines"))
 
 
 def relation_points(rels: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, points): the member nodes' locations in member order."""
     own = members(rels).filter("type = 'n'").join(node_points(nodes).select(F.col("id").alias("ref"), "point"), "ref")
-    return own.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "point"))).alias("__p")).select("id", F.transform("__p", lambda x: x["point"]).alias("points"))
+    return own.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "point"))).alias("at")).select("id", F.transform("at", lambda x: x["point"]).alias("points"))
 
 
 def id_positions(refs: DataFrame, known: DataFrame, id_col: str = "id", refs_col: str = "refs") -> DataFrame:

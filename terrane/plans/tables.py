@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tags as G
 from ..functions import tiles as T
+from ..sources.store import fresh
 
 # The column types with their other names, and what they are stored as.
 ALIASES = {"bool": "boolean", "smallint": "int2", "int": "int4", "integer": "int4", "bigint": "int8"}
@@ -111,9 +112,10 @@ class Table:
 def clustered(rows: DataFrame, x: Column, y: Column, zoom: int = 18, partitions: int | None = None) -> DataFrame:
     """Rows ranged by the quadkey of mercator coordinates, so that near objects share files and their min/max prune scans."""
     tx, ty = T.tile_of(x, y, zoom)
-    keyed = rows.withColumn("__q", T.quadkey(tx, ty))
-    ranged = keyed.repartitionByRange(partitions, "__q") if partitions else keyed.repartitionByRange("__q")
-    return ranged.sortWithinPartitions("__q").drop("__q")
+    q = fresh("quadkey")
+    keyed = rows.withColumn(q, T.quadkey(tx, ty))
+    ranged = keyed.repartitionByRange(partitions, q) if partitions else keyed.repartitionByRange(q)
+    return ranged.sortWithinPartitions(q).drop(q)
 
 
 def write(rows: DataFrame, path: str, backend: str = "parquet") -> None:

@@ -27,6 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def fresh(name: str) -> str:
+    """A column name that no input has."""
+    return f"__{name}_{uuid.uuid4().hex[:12]}"
+
+
 def delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -64,7 +69,7 @@ def with_rank(df: DataFrame, order: list[Column], name: str, partitions: int | N
     The driver sees one count for each range. ``order`` must have no ties, or their ranks are arbitrary.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at, local, before_ = (f"__{x}_{uuid.uuid4().hex[:8]}" for x in ("range", "local", "before"))
+    at, local, before_ = map(fresh, ("range", "local", "before"))
     ranged = materialize(df.repartitionByRange(n, *order).withColumn(at, F.spark_partition_id()), "ranges")
     counts = sorted((r[at], r["count"]) for r in ranged.groupBy(at).count().collect())
     before, rows = 0, []
