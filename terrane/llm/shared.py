@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.store import discard, materialize, shared_dir
+from ..sources.store import discard, fresh, materialize, shared_dir
 
 __all__ = ["ascii_lower", "discard", "fresh", "int_lists", "leave_out", "materialize", "shared_dir", "table"]
 
@@ -21,11 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh(name: str) -> str:
-    """A column name that no input has."""
-    return f"__{name}_{uuid.uuid4().hex[:12]}"
-
-
 def int_lists(each: list[np.ndarray]) -> pa.Array:
     """list<int32> of arrays of 32-bit integers, without a step for each integer."""
     ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
