@@ -362,6 +362,38 @@ def pole(rings: list[Line], stretch: float = 1.0, precision: float | None = None
     return (best[1], best[2] / stretch), best[0]
 
 
+def inside_intervals(line: Line, rings: list[Line]) -> list[tuple[float, float]]:
+    """Where along the line, in length from its start, it runs inside the polygon or on its edges."""
+    edges = [(tuple(a), tuple(b)) for r in rings for a, b in zip(r, r[1:]) if tuple(a) != tuple(b)]
+    a, b = (np.array([e[i] for e in edges], float).reshape(-1, 2) for i in (0, 1))
+    out: list[tuple[float, float]] = []
+    gone = 0.0
+    for p, q in zip(line, line[1:]):
+        size = math.dist(p, q)
+        if size == 0:
+            continue
+        d, e, w = np.subtract(q, p), b - a, a - np.array(p)
+        cross = d[0] * e[:, 1] - d[1] * e[:, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = (w[:, 0] * e[:, 1] - w[:, 1] * e[:, 0]) / cross
+            u = (w[:, 0] * d[1] - w[:, 1] * d[0]) / cross
+        hit = (cross != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+        along = (cross == 0) & (w[:, 0] * d[1] == w[:, 1] * d[0])  # edges on the segment's line: their ends are cuts
+        ends = [((x - np.array(p)) @ d) / (size * size) for x in (a[along], b[along])]
+        cuts = np.unique(np.clip(np.concatenate(([0.0, 1.0], t[hit], *ends)), 0, 1))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            at = ((p[0] + d[0] * (lo + hi) / 2), (p[1] + d[1] * (lo + hi) / 2))
+            sides = [point_in_ring(r, at) for r in rings]
+            on_edge = any(_side(x, y, at) == 0 and min(x[0], y[0]) <= at[0] <= max(x[0], y[0]) and min(x[1], y[1]) <= at[1] <= max(x[1], y[1]) for x, y in edges) if along.any() else False
+            if on_edge or (sides[0] and not any(sides[1:])):
+                if out and out[-1][1] == gone + lo * size:
+                    out[-1] = (out[-1][0], gone + hi * size)
+                else:
+                    out.append((gone + lo * size, gone + hi * size))
+        gone += size
+    return out
+
+
 # --- tiles of areas ------------------------------------------------------------------------------------------------
 
 
@@ -501,8 +533,13 @@ def _tiles(rings, width):
     return None if rings is None or width is None else [{"x": x, "y": y} for x, y in sorted(fill_rows(_rings(rings), int(width)))]
 
 
+def _inside(line, rings):
+    return None if line is None or not rings else [{"lo": lo, "hi": hi} for lo, hi in inside_intervals(_line(line), _rings(rings))]
+
+
 _POLE = T.StructType([T.StructField(k, T.DoubleType()) for k in ("x", "y", "distance")])
 _TILES = T.ArrayType(T.StructType([T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType())]))
+_INTERVALS = T.ArrayType(T.StructType([T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]))
 
 # rings differ in length, so these go by Arrow without pandas too
 spherical_area_udf = F.udf(lambda rings: None if rings is None else polygon_area_wgs84(_rings(rings)), T.DoubleType(), useArrow=True)
@@ -511,6 +548,7 @@ assemble_udf = F.udf(_assembled, T.ArrayType(LINES), useArrow=True)
 pole_udf = F.udf(_pole, _POLE, useArrow=True)
 is_valid_udf = F.udf(lambda rings: None if rings is None else is_valid(_rings(rings)), T.BooleanType(), useArrow=True)
 area_tiles_udf = F.udf(_tiles, _TILES, useArrow=True)
+inside_udf = F.udf(_inside, _INTERVALS, useArrow=True)
 
 
 @F.pandas_udf(T.BinaryType())

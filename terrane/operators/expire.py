@@ -107,7 +107,8 @@ def fill_rows(edges: DataFrame, zoom: int) -> DataFrame:
     cuts = rows.select("id", "y", F.floor(F.least(F.greatest(at, F.lit(0.0)), F.lit(float(width - 1)))).alias("x")).groupBy("id", "y").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     spans = F.filter(F.transform(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2)), lambda i: F.struct(F.get("xs", i).alias("lo"), F.get("xs", i + 1).alias("hi"))), lambda v: v["hi"] > v["lo"])
     each = cuts.filter(F.size("xs") > 1).select("id", "y", F.explode(spans).alias("v"))
-    return each.select("id", F.explode(F.sequence(F.col("v.lo"), F.col("v.hi") - 1)).cast("int").alias("x"), F.col("y").cast("int").alias("y")).distinct()
+    rows = each.select("id", F.explode(F.sequence(F.col("v.lo"), F.col("v.hi") - 1)).alias("x"), "y")
+    return rows.select("id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).distinct()
 
 
 def expire_edges(edges: DataFrame, zoom: int, config: ExpireConfig = ExpireConfig(), most: int | None = None) -> DataFrame:

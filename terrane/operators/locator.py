@@ -16,11 +16,17 @@ CELL_E7 = 100_000_000
 RINGS = "array<array<struct<x:double,y:double>>>"
 
 
-def _cells(lo_x: Column, lo_y: Column, hi_x: Column, hi_y: Column, cell: int) -> Column:
+def cells_of(lo_x: Column, lo_y: Column, hi_x: Column, hi_y: Column, cell: int) -> Column:
     span = lambda lo, hi: F.sequence(F.floor(lo / cell), F.floor(hi / cell))
     return F.flatten(F.transform(span(lo_x, hi_x), lambda i: F.transform(span(lo_y, hi_y), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
 
 
+def box_of(points: Column) -> list[Column]:
+    """Least x and y, largest x and y of array<struct<x,y>>."""
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    return [F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)]
+
+
 def ring_side(ring: Column, x: Column, y: Column) -> Column:
     """1 inside the closed ring (array<struct<x,y>>), 0 outside, -1 on it: crossings of a ray."""
     def crossing(acc, i):
@@ -49,7 +55,7 @@ def in_rings(rings: Column, x: Column, y: Column) -> Column:
 def located(objects: DataFrame, regions: DataFrame, cell: int = CELL_E7) -> DataFrame:
     """Distinct (id, name) of points (id, x, y) in regions (name, min_x, min_y, max_x, max_y, and optionally a ring or rings)."""
     cx, cy, at = fresh("cx"), fresh("cy"), fresh("cell")
-    cut = regions.withColumn(at, F.explode(_cells(F.col("min_x"), F.col("min_y"), F.col("max_x"), F.col("max_y"), cell))).select("*", F.col(at)["cx"].alias(cx), F.col(at)["cy"].alias(cy)).drop(at)
+    cut = regions.withColumn(at, F.explode(cells_of(F.col("min_x"), F.col("min_y"), F.col("max_x"), F.col("max_y"), cell))).select("*", F.col(at)["cx"].alias(cx), F.col(at)["cy"].alias(cy)).drop(at)
     points = objects.select("id", "x", "y", F.floor(F.col("x") / cell).alias(cx), F.floor(F.col("y") / cell).alias(cy))
     inside = F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y"))
     hit = points.join(cut, [cx, cy]).filter(inside)
@@ -67,7 +73,7 @@ def _segments(rows: DataFrame, key: list[str], rings: str, cell: int, names: tup
     each = rows.select(*key, F.explode(rings).alias("r")).filter(n > 1).select(*key, F.explode(pairs).alias("s"))
     ends = each.select(*key, *[F.col(f"s.{p}.{v}").cast("double").alias(x) for x, (p, v) in zip(names, (("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")), strict=True)])
     ax, ay, bx, by = map(F.col, names)
-    return ends.select("*", F.explode(_cells(F.least(ax, bx), F.least(ay, by), F.greatest(ax, bx), F.greatest(ay, by), cell)).alias("cell"))
+    return ends.select("*", F.explode(cells_of(F.least(ax, bx), F.least(ay, by), F.greatest(ax, bx), F.greatest(ay, by), cell)).alias("cell"))
 
 
 def _meet() -> Column:
@@ -87,7 +93,7 @@ def located_shapes(objects: DataFrame, regions: DataFrame, cell: int = CELL_E7)
     dealt to the cells of their boxes and joined there, so no pair of long shapes is compared in one task.
     """
     first = lambda rings: F.get(F.get(rings, F.lit(0)), F.lit(0))
-    box = lambda rings: [f(F.transform(F.get(rings, F.lit(0)), lambda p, v=v: p[v])).alias(n) for n, f, v in (("min_x", F.array_min, "x"), ("min_y", F.array_min, "y"), ("max_x", F.array_max, "x"), ("max_y", F.array_max, "y"))]
+    box = lambda rings: [b.alias(n) for n, b in zip(("min_x", "min_y", "max_x", "max_y"), box_of(F.get(rings, F.lit(0))), strict=True)]
     starts = objects.select("id", first(F.col("rings"))["x"].alias("x"), first(F.col("rings"))["y"].alias("y"))
     inside = located(starts, regions.select("name", "rings", *box(F.col("rings"))), cell)
     areas = objects.filter("dim = 2").select(F.col("id").alias("name"), "rings", *box(F.col("rings")))
