@@ -36,12 +36,11 @@ def locator_polygons(spark, d):
     return locator.all_intersecting(points, _triangles(spark, d)).select("id", F.array_join("names", ",").alias("names"))
 
 
-def _in_degrees(spark, d):
-    """A locator with the triangles as one geometry each, and one more box."""
-    deg = F.transform("rings", lambda r: F.transform(r, lambda p: G.point(p["x"] / 1e7, p["y"] / 1e7)))
+def _locator(spark, d):
+    """A locator with the triangles as one geometry each, and one more box; in units of 1e-7 degrees, so that touching is exact."""
     own = locator.Locator("triangles", spark)
-    own.add_from_table(_triangles(spark, d).select("name", M.polygon(deg).alias("g")))
-    own.add_bbox("ZONE", -10.0, -10.0, 10.0, 10.0)
+    own.add_from_table(_triangles(spark, d).select("name", M.polygon(c("rings")).alias("g")))
+    own.add_bbox("ZONE", -1e8, -1e8, 1e8, 1e8)
     return own
 
 
@@ -55,20 +54,20 @@ _SQUARE = f"""with {_TRIANGLES}, hit as (
 
 
 def _near_node(spark, d):
-    n = X.nodes(spark, d).select("id", (c("lon_e7") / 1e7).alias("x"), (c("lat_e7") / 1e7).alias("y"))
-    return n, lambda dx, dy: G.point((c("x") * 1e7 + dx * 1e7) / 1e7, (c("y") * 1e7 + dy * 1e7) / 1e7)
+    n = X.nodes(spark, d).select("id", c("lon_e7").cast("double").alias("x"), c("lat_e7").cast("double").alias("y"))
+    return n, lambda dx, dy: G.point(c("x") + dx * 1e7, c("y") + dy * 1e7)
 
 
 @query(f"{_EAST} select id, string_agg(name, ',' order by name) as names from hit group by id")
 def locator_lines(spark, d):
     n, p = _near_node(spark, d)
-    return _in_degrees(spark, d).all_intersecting(n.select("id", M.line(F.array(p(0, 0), p(30, 0))).alias("g"))).select("id", F.array_join("names", ",").alias("names"))
+    return _locator(spark, d).all_intersecting(n.select("id", M.line(F.array(p(0, 0), p(30, 0))).alias("g")), locator.CELL_E7).select("id", F.array_join("names", ",").alias("names"))
 
 
 @query(f"{_SQUARE} select id, min(name) as name from hit group by id")
 def locator_areas(spark, d):
     n, p = _near_node(spark, d)
-    return _in_degrees(spark, d).first_intersecting(n.select("id", M.polygon(F.array(F.array(p(0, 0), p(3, 0), p(3, 3), p(0, 3), p(0, 0)))).alias("g")))
+    return _locator(spark, d).first_intersecting(n.select("id", M.polygon(F.array(F.array(p(0, 0), p(3, 0), p(3, 3), p(0, 3), p(0, 0)))).alias("g")), locator.CELL_E7)
 
 
 # --- expiry --------------------------------------------------------------------------------------------------------
