@@ -47,19 +47,41 @@ LONG, MOST = 1 << 63, 1.7976931348623157e308
 
 
 def quantize(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(id, v array<double>): floor(scale * x) of each component, whole numbers in doubles; only whole, finite vectors."""
-    x = F.transform(F.col(vec_col), lambda c: c.cast("double"))
-    whole = F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    # beyond 2^52 a double is whole
-    floor = lambda y: F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(F.greatest(F.least(y, F.lit(MOST)), F.lit(-MOST)))
-    v = F.transform(x, lambda c: floor(c * float(scale)))
-    return df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), whole.alias("whole")).filter("whole").select("id", "v")
+    """(id, v array<double>, length): floor(scale * x) of each component, whole numbers in doubles; only whole, finite vectors."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1).filter(pa.array(batch.column(1).is_valid()))
+            ids = batch.column(0).filter(pa.array(batch.column(1).is_valid()))
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # nulls are NaN
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            keep = (sizes > 0) & (np.bincount(row, ~np.isfinite(flat), len(sizes)) == 0)
+            with np.errstate(over="ignore"):
+                v = np.clip(np.floor(flat[keep[row]] * scale), -MOST, MOST)
+            ends = np.cumsum([0, *sizes[keep].tolist()]).astype(np.int32)
+            most = np.maximum.reduceat(np.abs(v), ends[:-1]) if len(v) else np.empty(0)
+            safe = np.where(most > 0, most, 1.0)
+            squares = np.add.reduceat((v / np.repeat(safe, sizes[keep])) ** 2, ends[:-1]) if len(v) else np.empty(0)
+            with np.errstate(over="ignore"):
+                length = np.minimum(np.sqrt(squares) * most, MOST)
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(keep)), pa.ListArray.from_arrays(pa.array(ends), pa.array(v)), pa.array(length)], ["id", "v", "length"])
+
+    rows = df.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    return rows.mapInArrow(of, "id long, v array<double>, length double")
+
+
+def _most(v):
+    """The largest absolute component."""
+    return F.greatest(F.array_max(v), -F.array_min(v))
 
 
 def length_of(v):
     """The length of a vector of doubles, without overflow."""
-    most = F.array_max(F.transform(v, F.abs))
-    return F.when(most == 0, 0.0).otherwise(F.least(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, c: a + (c / most) * (c / most))) * most, F.lit(MOST)))
+    most = _most(v)
+    plain = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, c: a + c * c))
+    scaled = F.least(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, c: a + (c / most) * (c / most))) * most, F.lit(MOST))
+    return F.when(most == 0, 0.0).when(most.between(1e-100, 1e100), plain).otherwise(scaled)
 
 
 class Best:
@@ -272,15 +294,16 @@ def _search(k: int, bucket: int, query_block: int):
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, bucket: int = BUCKET, query_block: int = QUERY_BLOCK, group: int = GROUP) -> DataFrame:
-    """(query_id, rank, vec_id, score). Both inputs as :func:`quantize` gives them; queries are a stated part of the rows.
+    """(query_id, rank, vec_id, score). Both inputs (id, v, and length if known) as :func:`quantize` gives them; queries are a stated part of the rows.
 
     A group holds vectors of similar length, ``group`` of them or, in a large table, more (see above); their number grows with the input
     and so does the parallelism. Candidates are shuffled once; a query goes to the groups that it may have answers in.
     """
-    length = length_of(F.col("v"))
+    if "length" not in vectors.columns:
+        vectors, queries = (x.withColumn("length", length_of(F.col("v"))) for x in (vectors, queries))
     kind = F.when(F.col("length") == 0, F.lit(-(1 << 20))).otherwise(F.floor(F.log("length") / math.log(CLASS_RATIO))).cast("int")
     # numbered as written, so that rows are dealt out evenly whatever their ids and values
-    vectors = materialize(vectors.withColumn("length", length).withColumn("class", kind).withColumn("number", F.monotonically_increasing_id()), "vectors")
+    vectors = materialize(vectors.withColumn("class", kind).withColumn("number", F.monotonically_increasing_id()), "vectors")
     total, dim = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
     most = max(1, GROUP_BYTES // (24 * (dim or 1)))
     classes = _groups(vectors, max(1, min(max(group, math.ceil(total / GROUPS)), most) if group >= GROUP else group))
@@ -289,7 +312,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, bucket: int = BUCK
         longest += [size] * (first + parts - len(longest))
     if not classes:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    asked = queries.groupBy("id").agg(F.min("v").alias("v")).withColumn("length", length)
+    asked = queries.groupBy("id").agg(F.min(F.struct("v", "length")).alias("q")).select("id", "q.*")
     table = vectors.sparkSession.createDataFrame([x[:3] for x in classes], "class int, first int, parts int")  # a row for each class
     dealt = vectors.join(F.broadcast(table), "class").withColumn("at", (F.col("first") + F.pmod("number", F.col("parts"))).cast("int"))
 
