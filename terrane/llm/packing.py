@@ -65,7 +65,7 @@ class WordIds:
     are forgotten.
     """
 
-    def __init__(self, path: str, end_id: int, bound: int = 1_000_000) -> None:
+    def __init__(self, path: str, end_id: int, bound: int = 250_000) -> None:
         import tiktoken
         from tokenizers import Tokenizer
 

@@ -62,7 +62,7 @@ def of_word(word: str, bits: int) -> tuple[int, ...]:
 
 def features(text: str | None, bits: int, known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of the text and the logarithms of their counts."""
-    if len(known) > 200_000:
+    if len(known) > 100_000:
         known.clear()
     at: list[int] = []
     n: list[int] = []
@@ -85,7 +85,7 @@ class Model:
 
     def score(self, text: str | None, known: dict[str, tuple[int, ...]]) -> float:
         """``known`` remembers which of a word's features take part; bounded."""
-        if len(known) > 400_000:
+        if len(known) > 150_000:
             known.clear()
         counts: dict[int, int] = {}
         weights = self.weights
