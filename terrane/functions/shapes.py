@@ -547,6 +547,7 @@ spherical_area_udf = F.udf(lambda rings: None if rings is None else polygon_area
 assemble_udf = F.udf(_assembled, T.ArrayType(LINES), useArrow=True)
 pole_udf = F.udf(_pole, _POLE, useArrow=True)
 is_valid_udf = F.udf(lambda rings: None if rings is None else is_valid(_rings(rings)), T.BooleanType(), useArrow=True)
+all_valid_udf = F.udf(lambda polygons: None if polygons is None else [is_valid(_rings(rings)) for rings in polygons], T.ArrayType(T.BooleanType()), useArrow=True)
 area_tiles_udf = F.udf(_tiles, _TILES, useArrow=True)
 inside_udf = F.udf(_inside, _INTERVALS, useArrow=True)
 

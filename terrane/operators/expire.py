@@ -150,8 +150,10 @@ def difference_edges(old: DataFrame, new: DataFrame) -> DataFrame:
 def expire_changes(old: DataFrame, new: DataFrame, zoom: int, config: ExpireConfig = ExpireConfig(), diff: bool = True, most: int | None = None) -> DataFrame:
     """Distinct (id, x, y) of what changed objects expire: geometries (id, g) before and after, in mercator coordinates. With ``diff`` only
     what differs, else both sides whole."""
-    edges = difference_edges(old, new) if diff else edges_of(old).unionByName(edges_of(new))
-    return expire_edges(edges, zoom, config, most)
+    if diff:
+        return expire_edges(difference_edges(old, new), zoom, config, most)
+    # each side is filled for itself: what both cover would be outside by the even-odd rule
+    return expire_edges(edges_of(old), zoom, config, most).unionByName(expire_edges(edges_of(new), zoom, config, most)).distinct()
 
 
 def overall(tiles: DataFrame, most: int) -> DataFrame:

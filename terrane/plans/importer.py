@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import changes as C
+from ..operators import expire as E
 from ..operators import gather, ids
-from ..sources.store import materialize
+from ..operators.expire import ExpireOutput
+from ..sources.store import discard, materialize
 from .tables import Context, Table
 
 KINDS = {"node": "N", "way": "W", "relation": "R"}
@@ -71,6 +73,16 @@ class Result:
     rejected: DataFrame | None = None
     affected: dict[str, DataFrame] = field(default_factory=dict)
     counts: DataFrame | None = None
+    expired: dict[str, DataFrame] = field(default_factory=dict)
+
+    def drop_store(self) -> None:
+        """The raw store goes; the tables stay, but changes can't be applied any more."""
+        for name in ("nodes", "ways", "rels"):
+            frame = getattr(self.graph, name)
+            frame.unpersist()
+            if hasattr(frame, "_stored_at"):
+                discard(frame)
+        self.graph = None
 
 
 class Run(Context):
@@ -171,6 +183,30 @@ def without(table: Table, rows: DataFrame, affected: dict[str, DataFrame]) -> Da
     return rows
 
 
+def of_affected(table: Table, rows: DataFrame, affected: dict[str, DataFrame]) -> DataFrame:
+    """The table's rows of the affected objects."""
+    found = [rows.join(objects.select(*values), list(table.id_columns), "left_semi") for kind, changed in affected.items() for values, objects in _of_kind(table, kind, changed)]
+    return reduce(DataFrame.unionByName, found).distinct() if len(found) > 1 else found[0]
+
+
+def expired_tiles(config: Config, before: dict[str, DataFrame], made: dict[str, DataFrame | None], affected: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """(zoom, x, y) for each expire output: what the affected objects' geometries touched before and touch now. A create run expires nothing."""
+    tiles: dict[str, list[tuple[DataFrame, ExpireOutput]]] = {}
+    for t in config.tables:
+        for e in t.expires:
+            ident = F.concat_ws(":", *[F.col(c).cast("string") for c in t.id_columns]).alias("id")
+            side = lambda rows: rows.select(ident, F.col(e.column).alias("g")).filter("g is not null")  # noqa: B023, E731
+            old = side(of_affected(t, before[t.name], affected)) if t.name in before else None
+            new = side(made[t.name]) if made.get(t.name) is not None else None
+            if old is None and new is None:
+                continue
+            old, new = (new.limit(0) if old is None else materialize(old, "old")), (old.limit(0) if new is None else new)
+            met = E.expire_changes(old, new, e.limits.maxzoom, e.config, e.diff, e.limits.max_tiles_geometry)
+            rows = E.pyramid(met, e.limits.maxzoom, e.limits.minzoom if e.limits.minzoom is not None else e.limits.maxzoom)
+            tiles.setdefault(e.output, []).append((rows, e.limits))
+    return {name: E.overall(reduce(DataFrame.unionByName, [r for r, _ in own]).distinct(), min(x.max_tiles_overall for _, x in own)) for name, own in tiles.items()}
+
+
 def run_append(config: Config, before: Result, nodes: DataFrame, ways: DataFrame, rels: DataFrame, properties: dict[str, str] | None = None) -> Result:
     """Brings the tables up to date with changes (rows like the graph's, with ``op``: create, modify or delete).
 
@@ -194,9 +230,13 @@ def run_append(config: Config, before: Result, nodes: DataFrame, ways: DataFrame
         if f := config.callbacks.get(f"deleted_{kind}"):
             run.insert(kind, f(changed.filter("op = 'delete'").select("id", "version"), run))
     _derive(run, new.nodes.join(node_ids, "id", "left_semi"), new.ways.join(pending_ways, "id", "left_semi"), new.rels.join(pending_rels, "id", "left_semi"), marked)
+    made_rows = {t.name: run.rows(t.name) for t in config.tables}
+    for t in config.tables:
+        if t.expires and made_rows[t.name] is not None:  # read by the table and by each expire output
+            made_rows[t.name] = materialize(made_rows[t.name], t.name)
     tables = {}
     for t in config.tables:
-        kept, made = before.tables.get(t.name), run.rows(t.name)
+        kept, made = before.tables.get(t.name), made_rows[t.name]
         if t.ids == "none":  # rows without ids can't be found again, so they only grow
             tables[t.name] = made if kept is None else kept if made is None else kept.unionByName(made)
         elif kept is not None:
@@ -204,4 +244,5 @@ def run_append(config: Config, before: Result, nodes: DataFrame, ways: DataFrame
             tables[t.name] = rest if made is None else rest.unionByName(made)
         elif made is not None:
             tables[t.name] = made
-    return Result(new, tables, reduce(DataFrame.unionByName, run.rejects) if run.rejects else None, affected)
+    expired = expired_tiles(config, before.tables, made_rows, affected)
+    return Result(new, tables, reduce(DataFrame.unionByName, run.rejects) if run.rejects else None, affected, expired=expired)

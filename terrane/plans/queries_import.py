@@ -11,7 +11,8 @@ from ..functions import geometry as G
 from ..functions import params as P
 from ..functions import shapes as S
 from ..functions import tags as A
-from ..operators import changes, gather, generalize
+from ..operators import gather
+from ..operators.expire import ExpireConfig, ExpireOutput
 from ..sources import formats
 from ..sources.store import materialize, shared_dir
 from . import fixture as X
@@ -206,6 +207,34 @@ def import_counts(spark, d):
     return importer.run_import(CONFIG, _graph(spark, d), bbox=(0, -200_000_000, 900_000_000, 500_000_000)).counts
 
 
+POIS = tables.Table(
+    "pois", (tables.Column_("brand"), tables.Column_("geom", "point")), ids="node", id_columns=("node_id",), unique_id=True,
+    expires=(tables.Expires("geom", "tiles", ExpireOutput(maxzoom=8, minzoom=7), ExpireConfig(buffer=0.0)),),
+)
+
+
+def _poi(objects, run):
+    at = G.to_mercator(c("lon_e7") / 1e7, c("lat_e7") / 1e7)
+    return [importer.Insert("pois", objects, {"brand": A.tag(c("tags"), "brand"), "geom": M.point(at, 3857)})]
+
+
+@query(f"""with {X.NODES}, ch as (select id, lon_e7, lat_e7 from nodes where id % 50 = 0 and id % 3 > 0 union all select id, lon_e7 + 30000000, lat_e7 from nodes where id % 50 = 0 and id % 3 = 1),
+m as (select 6378137.0 * radians(lon_e7 / 1e7) as x, 6378137.0 * ln(tan(pi() / 4 + radians(lat_e7 / 1e7) / 2)) as y from ch),
+t as (select ((floor(256 * (0.5 + x / 40075016.68)) + 256) % 256)::integer as x, floor(256 * (0.5 - y / 40075016.68))::integer as y from m)
+select distinct z::integer as zoom, x >> (8 - z)::integer as x, y >> (8 - z)::integer as y from t, range(7, 9) r(z)""")
+def append_expiry(spark, d):
+    """Tiles of the nodes that a change moves (both places) or deletes; nodes that are changed but stay expire none."""
+    config = importer.Config((POIS,), {"node": _poi})
+    g = _graph(spark, d)
+    own = g.nodes.filter("id % 50 = 0")
+    moved = own.withColumn("op", F.when(c("id") % 3 == 2, "delete").otherwise("modify")).withColumn("version", c("version") + 1)
+    moved = moved.withColumn("lon_e7", F.when(c("id") % 3 == 1, c("lon_e7").cast("long") + 30_000_000).otherwise(c("lon_e7").cast("long")).cast("int"))
+    before = importer.run_import(config, g)
+    POIS.checked(before.tables["pois"])
+    none = lambda frame: frame.limit(0).withColumn("op", F.lit("modify"))
+    return importer.run_append(config, before, moved, none(g.ways), none(g.rels)).expired["tiles"]
+
+
 # --- readers of text formats ---------------------------------------------------------------------------------------
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import shapes as S
 from ..functions import tags as G
 from ..functions import tiles as T
+from ..operators.expire import ExpireConfig, ExpireOutput
 from ..sources.store import fresh
 
 # The column types with their other names, and what they are stored as.
@@ -60,6 +62,17 @@ class Column_:
         return (value.try_cast(STORED[self.type]) if is_text else G.to_timestamp(value)).cast(STORED[self.type])
 
 
+@dataclass(frozen=True)
+class Expires:
+    """What a change of a geometry column expires: into which output (its name), how, and whether only what differs."""
+
+    column: str
+    output: str
+    limits: ExpireOutput
+    config: ExpireConfig = ExpireConfig()
+    diff: bool = True
+
+
 @dataclass(frozen=True)
 class Table:
     """An output table. ``ids``: one of ID_TYPES; ``id_columns``: one packed column, or a type and an id column."""
@@ -71,8 +84,15 @@ class Table:
     cluster: bool = True
     unique_id: bool = False
     indexes: tuple[dict, ...] = field(default=())
+    expires: tuple[Expires, ...] = field(default=())
 
     def __post_init__(self) -> None:
+        for e in self.expires:
+            own = next((c for c in self.columns if c.name == e.column), None)
+            if own is None or own.type not in GEOMETRIES or own.projection != 3857:
+                raise ValueError(f"only geometry columns in 3857 expire tiles, not {e.column!r}")
+            if self.ids == "none":
+                raise ValueError(f"{self.name} has no ids, so its changes can't expire tiles")
         G.check_identifier(self.name)
         if self.ids not in ID_TYPES:
             raise ValueError(f"unknown id type {self.ids!r}")
@@ -109,6 +129,31 @@ class Table:
         return (rows.dropna(subset=must) if must else rows), told
 
 
+    def duplicates(self, rows: DataFrame) -> DataFrame:
+        """Ids on several rows (id columns, n), which a table with unique ids must not have."""
+        return rows.groupBy(*self.id_columns).agg(F.count("*").alias("n")).filter("n > 1")
+
+    def checked(self, rows: DataFrame) -> DataFrame:
+        """The rows; with ``unique_id``, an error if an id is on several."""
+        if self.unique_id and not (twice := self.duplicates(rows).limit(1)).isEmpty():
+            raise ValueError(f"{self.name} has an id twice: {twice.first().asDict()}")
+        return rows
+
+
+def valid_rows(rows: DataFrame, column: str) -> DataFrame:
+    """Rows whose geometry (a whole one) is valid: points and null always, lines of two points, areas of closed rings that don't cross; those
+    in 4326 aren't looked at."""
+    g = F.col(column)
+    rings = F.transform(F.filter(g["parts"], lambda p: p["dim"] == 2), lambda p: p["rings"])
+    areas = F.forall(S.all_valid_udf(rings), lambda ok: ok)
+    return rows.filter(g.isNull() | (g["srid"] == 4326) | (F.size(rings) == 0) | F.coalesce(areas, F.lit(False)))
+
+
+def analyze(spark: SparkSession, table: str) -> None:
+    """Statistics of a saved table for the optimizer, of all its columns."""
+    spark.sql(f"analyze table {table} compute statistics for all columns")
+
+
 def clustered(rows: DataFrame, x: Column, y: Column, zoom: int = 18, partitions: int | None = None) -> DataFrame:
     """Rows ranged by the quadkey of mercator coordinates, so that near objects share files and their min/max prune scans."""
     tx, ty = T.tile_of(x, y, zoom)

@@ -4,42 +4,79 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import changes, ids
-from ..sources.store import materialize
+from ..sources.store import delete, materialize
 
 
 class Store:
-    """A table kept as numbered Parquet snapshots; a pointer names the current one, so readers never see half a write."""
+    """A table kept as versions in folders of their own: ``base=N`` holds all rows, ``delta=N`` the changes of one batch (rows with ``op``).
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    A version counts from when its writer has put the marker ``_SUCCESS`` there, so readers never see half a write, and a writer that is
+    run again after a fault writes its version anew. A batch costs its own size; after ``compact_every`` deltas the next version is a base.
+    Old versions stay until :meth:`vacuum`.
+    """
 
-    def _pointer(self) -> str:
-        return f"{self.path}/current"
+    def __init__(self, spark: SparkSession, path: str, key: str = "id", compact_every: int = 16) -> None:
+        self.spark, self.path, self.key, self.compact_every = spark, path.rstrip("/"), key, compact_every
+
+    def versions(self) -> list[tuple[int, str]]:
+        """(number, kind) of the finished versions, in order. Only a missing folder means that there are none; other faults are raised."""
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        out = []
+        for status in fs.listStatus(root):
+            kind, _, number = status.getPath().getName().partition("=")
+            if kind in ("base", "delta") and fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+                out.append((int(number), kind))
+        return sorted(out)
 
     def current(self) -> int | None:
-        try:
-            row = self.spark.read.text(self._pointer()).first()
-        except Exception:  # noqa: BLE001  no pointer yet
-            return None
-        return int(row.value) if row else None
-
-    def read(self) -> DataFrame:
-        n = self.current()
-        if n is None:
+        known = self.versions()
+        return known[-1][0] if known else None
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """All rows as of a version, by default the last."""
+        known = [(n, k) for n, k in self.versions() if version is None or n <= version]
+        bases = [n for n, k in known if k == "base"]
+        if not bases:
             raise ValueError(f"{self.path} has no snapshot")
-        return self.spark.read.parquet(f"{self.path}/snapshot={n}")
+        base = self.spark.read.parquet(f"{self.path}/base={bases[-1]}")
+        deltas = [n for n, k in known if k == "delta" and n > bases[-1]]
+        if not deltas:
+            return base
+        each = [self.spark.read.parquet(f"{self.path}/delta={n}").withColumn("__version", F.lit(n)) for n in deltas]
+        newest = ids.latest_version(reduce(DataFrame.unionByName, each), [self.key], "__version").drop("__version")
+        return changes.apply(base, newest)
 
     def replace(self, df: DataFrame) -> int:
         n = (self.current() or 0) + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/snapshot={n}")
-        self.spark.createDataFrame([(str(n),)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer())
+        df.write.mode("overwrite").parquet(f"{self.path}/base={n}")
+        return n
+
+    def apply(self, rows: DataFrame) -> int:
+        """One row for each id, with ``op``; writes these alone, unless it is time for a base."""
+        known = self.versions()
+        n = known[-1][0] + 1
+        if len(known) - max(i for i, (_, k) in enumerate(known) if k == "base") > self.compact_every:
+            return self.replace(changes.apply(self.read(), rows))
+        rows.write.mode("overwrite").parquet(f"{self.path}/delta={n}")
         return n
 
+    def vacuum(self, keep: int = 2) -> None:
+        """Deletes what is older than the last ``keep`` bases."""
+        known = self.versions()
+        bases = [n for n, k in known if k == "base"][-keep:]
+        for n, kind in known:
+            if bases and n < bases[0]:
+                delete(self.spark, f"{self.path}/{kind}={n}")
+
 
 def apply_batches(store: Store, key: str = "id") -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: the newest version of each object of a batch replaces what the store has.
@@ -48,8 +85,7 @@ def apply_batches(store: Store, key: str = "id") -> Callable[[DataFrame, int], N
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
-        newest = ids.latest_version(batch, [key])
-        store.replace(changes.apply(store.read(), newest))
+        store.apply(ids.latest_version(batch, [key]))
 
     return run
 
@@ -118,6 +154,25 @@ class Replication:
         new = spark.createDataFrame(sorted(self.state.items()), "property string, value string")
         return new if old is None else changes.upsert(old, new, ["property"])
 
+    def follow(self, newest: Callable[[], int], size_of: Callable[[int], int], fetch: Callable[[int], tuple[DataFrame, str]], apply: Callable[[DataFrame], None], once: bool = False, max_bytes: int = 500_000_000, after: Callable[[], None] | None = None) -> int:
+        """Applies diffs until the store has the newest (or one round of them): fetches as many as fit, merges them to the newest version of each
+        object, applies them, moves on, and calls ``after``. Returns how many were applied."""
+        applied = 0
+        while True:
+            first, last = int(self.state["replication_sequence_number"]) + 1, newest()
+            own = self.pending(last, {n: size_of(n) for n in range(first, last + 1)}, max_bytes)
+            if not own:
+                return applied
+            got = [fetch(n) for n in own]
+            rows = reduce(DataFrame.unionByName, [f.withColumn("__diff", F.lit(n)) for n, (f, _) in zip(own, got, strict=True)])
+            apply(ids.latest_version(rows, ["id"], "version", "__diff").drop("__diff"))
+            self.done(own[-1], got[-1][1])
+            applied += len(own)
+            if after:
+                after()
+            if once:
+                return applied
+
     def to_json(self) -> str:
         return json.dumps(self.state, sort_keys=True)
 
