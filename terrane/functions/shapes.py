@@ -9,6 +9,8 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -510,9 +512,57 @@ def _merged(lines):
 line_merge_udf = F.udf(_merged, LINES, useArrow=True)
 
 
-@F.pandas_udf(T.DoubleType())
-def spherical_length_udf(lines: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None else length_wgs84(_line(v)) for v in lines])
+def _flat(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x, y, and the ends of an Arrow array of lines (offsets from 0; null lines have no points)."""
+    sizes = pc.fill_null(pc.list_value_length(lines), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    points = lines.flatten()
+    x, y = (pc.struct_field(points, i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in (0, 1))
+    return x, y, np.cumsum(np.concatenate(([0], sizes)))
+
+
+def distances_wgs84(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """:func:`distance_wgs84` of many pairs at once."""
+    minor = WGS84_A * (1 - WGS84_F)
+    big = np.radians(bx - ax)
+    u1, u2 = (np.arctan((1 - WGS84_F) * np.tan(np.radians(v))) for v in (ay, by))
+    s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
+    lam, open_ = big.copy(), np.ones(len(big), bool)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for _ in range(200):
+            sl, cl = np.sin(lam), np.cos(lam)
+            ss = np.hypot(c2 * sl, c1 * s2 - s1 * c2 * cl)
+            cs = s1 * s2 + c1 * c2 * cl
+            sigma, sa = np.arctan2(ss, cs), np.where(ss > 0, c1 * c2 * sl / ss, 0.0)
+            ca2 = 1 - sa * sa
+            cm = np.where(ca2 != 0, cs - 2 * s1 * s2 / ca2, 0.0)
+            k = WGS84_F / 16 * ca2 * (4 + WGS84_F * (4 - 3 * ca2))
+            new = np.where(open_, big + (1 - k) * WGS84_F * sa * (sigma + k * ss * (cm + k * cs * (2 * cm * cm - 1))), lam)
+            open_ &= (np.abs(new - lam) >= 1e-12) & (ss > 0)
+            lam = new
+            if not open_.any():
+                break
+        e2 = ca2 * (WGS84_A**2 - minor**2) / minor**2
+        p = 1 + e2 / 16384 * (4096 + e2 * (-768 + e2 * (320 - 175 * e2)))
+        q = e2 / 1024 * (256 + e2 * (-128 + e2 * (74 - 47 * e2)))
+        d = q * ss * (cm + q / 4 * (cs * (2 * cm * cm - 1) - q / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
+        out = np.where(ss > 0, minor * p * (sigma - d), 0.0)
+    for i in np.flatnonzero(open_):  # nearly antipodal
+        out[i] = distance_wgs84((ax[i], ay[i]), (bx[i], by[i]))
+    return out
+
+
+@F.arrow_udf(T.DoubleType())
+def spherical_length_udf(lines: pa.Array) -> pa.Array:
+    x, y, ends = _flat(lines)
+    size = np.zeros(len(x) + 1)
+    if len(x) > 1:
+        size[1:-1] = distances_wgs84(x[:-1], y[:-1], x[1:], y[1:])
+        inner = ends[(ends > 0) & (ends < len(x))]
+        size[inner] = 0.0  # between lines
+    sums = np.cumsum(size)
+    filled = ends[1:] > ends[:-1]
+    out = np.where(filled, sums[np.maximum(ends[1:] - 1, 0)] - sums[np.minimum(ends[:-1], len(x))], 0.0)
+    return pa.array(out, mask=lines.is_null().to_numpy(zero_copy_only=False))
 
 
 def _rings(rings) -> list[Line]:
@@ -552,6 +602,10 @@ area_tiles_udf = F.udf(_tiles, _TILES, useArrow=True)
 inside_udf = F.udf(_inside, _INTERVALS, useArrow=True)
 
 
-@F.pandas_udf(T.BinaryType())
-def line_ewkb_udf(lines: pd.Series, srid: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None else to_ewkb("LINESTRING", _line(v), int(s)) for v, s in zip(lines, srid)])
+@F.arrow_udf(T.BinaryType())
+def line_ewkb_udf(lines: pa.Array, srid: pa.Array) -> pa.Array:
+    x, y, ends = _flat(lines)
+    data = np.stack((x, y), axis=1).astype("<f8").tobytes()
+    heads = [struct.pack("<BI", 1, LINESTRING | (SRID_FLAG if s else 0)) + (struct.pack("<I", s) if s else b"") for s in srid.to_pylist()]
+    made = [h + struct.pack("<I", b - a) + data[16 * a : 16 * b] for h, a, b in zip(heads, ends[:-1].tolist(), ends[1:].tolist())]
+    return pa.array([None if null else m for m, null in zip(made, lines.is_null().to_pylist())], pa.binary())

@@ -10,17 +10,23 @@ from ..functions import geometry as G
 MAX_MEMBERS = 32767
 
 
-def way_points(ways: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``ways`` with ``points``: array<struct<x,y>> of 1e-7 degrees, in the way's order; missing nodes have nulls.
+def located_ways(ways: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, points) of ways: array<struct<x,y>> of 1e-7 degrees, in the way's order; missing nodes have nulls, ways without nodes none.
 
-    Only ids, positions and locations are shuffled; the other columns of ways come back by one join on id. Popular
+    Only ids, positions and locations are shuffled, once by node (or not at all where nodes are broadcast) and once by way. Popular
     nodes make skewed join keys, which adaptive execution splits, as both sides of the join are plain exchanges.
     """
-    refs = ways.select("id", F.posexplode("nodes").alias("pos", "ref"))
+    refs = ways.select("id", F.posexplode_outer("nodes").alias("pos", "ref"))
     located = refs.join(nodes.select(F.col("id").alias("ref"), "lon_e7", "lat_e7"), "ref", "left")
-    gathered = located.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "lon_e7", "lat_e7"))).alias("at"))
-    points = F.transform("at", lambda p: F.struct(p["lon_e7"].alias("x"), p["lat_e7"].alias("y")))
-    return ways.join(gathered.select("id", points.alias("points")), "id", "left").withColumn("points", F.coalesce("points", F.array().cast("array<struct<x:int,y:int>>")))
+    own = F.when(F.col("pos").isNotNull(), F.struct("pos", "lon_e7", "lat_e7"))  # a list leaves nulls out
+    gathered = located.groupBy("id").agg(F.sort_array(F.collect_list(own)).alias("at"))
+    return gathered.select("id", F.transform("at", lambda p: F.struct(p["lon_e7"].alias("x"), p["lat_e7"].alias("y"))).alias("points"))
+
+
+def way_points(ways: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``ways`` with ``points``, as :func:`located_ways` gives them; the other columns come back by one join on id."""
+    points = located_ways(ways, nodes)
+    return ways.join(points, "id", "left").withColumn("points", F.coalesce("points", F.array().cast("array<struct<x:int,y:int>>")))
 
 
 def node_points(nodes: DataFrame) -> DataFrame:

@@ -326,7 +326,7 @@ def pack_area_id(spark, d):
 
 
 def _lines(spark, d):
-    return gather.way_points(X.ways(spark, d), X.nodes(spark, d)).withColumn("line", G.as_linestring(c("points")))
+    return gather.located_ways(X.ways(spark, d), X.nodes(spark, d)).withColumn("line", G.as_linestring(c("points")))
 
 
 _SEGMENTS = f"""{X.POINTS}, seg as (
@@ -348,13 +348,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {X.POINTS}, e as (select id, max(pos) as last from points group by id) select o_orderkey + 1 as id, a.lon_e7 as x2, a.lat_e7 as y2, b.lon_e7 as x_last, b.lat_e7 as y_last from orders left join e on e.id = o_orderkey + 1 left join points a on a.id = o_orderkey + 1 and a.pos = 1 left join points b on b.id = e.id and b.pos = e.last")
 def way_point_n(spark, d):
-    rows = gather.way_points(X.ways(spark, d), X.nodes(spark, d)).select("id", G.point_n(c("points"), F.lit(2)).alias("a"), G.point_n(c("points"), F.lit(-1)).alias("b"))
+    rows = gather.located_ways(X.ways(spark, d), X.nodes(spark, d)).select("id", G.point_n(c("points"), F.lit(2)).alias("a"), G.point_n(c("points"), F.lit(-1)).alias("b"))
     return rows.select("id", c("a.x").alias("x2"), c("a.y").alias("y2"), c("b.x").alias("x_last"), c("b.y").alias("y_last"))
 
 
 @query(f"with {X.POINTS} select o_orderkey + 1 as id, min(lon_e7) as min_x, min(lat_e7) as min_y, max(lon_e7) as max_x, max(lat_e7) as max_y from orders left join points p on p.id = o_orderkey + 1 group by 1")
 def way_bbox(spark, d):
-    return gather.way_points(X.ways(spark, d), X.nodes(spark, d)).select("id", G.bbox(c("points")).alias("b")).select("id", "b.*")
+    return gather.located_ways(X.ways(spark, d), X.nodes(spark, d)).select("id", G.bbox(c("points")).alias("b")).select("id", "b.*")
 
 
 _REL_LINES = f"{_SEGMENTS}, {X.MEMBERS}, n as (select id, count(*) as n, min(ax) as x0, max(ax) as x1, min(ay) as y0, max(ay) as y1 from seg group by id having count(*) >= 2), rl as (select m.id, m.pos, n.* exclude (id) from members m join n on n.id = m.ref)"
@@ -363,13 +363,13 @@ _REL_LINES = f"{_SEGMENTS}, {X.MEMBERS}, n as (select id, count(*) as n, min(ax)
 @query(f"with {_REL_LINES} select id, count(*)::integer as n_lines, sum(n)::integer as n_points from rl group by id")
 def rel_multiline(spark, d):
     g = X.graph(spark, d)
-    return gather.relation_lines(g.rels, gather.way_points(g.ways, g.nodes)).select("id", F.size("lines").alias("n_lines"), G.n_points(c("lines")).alias("n_points"))
+    return gather.relation_lines(g.rels, gather.located_ways(g.ways, g.nodes)).select("id", F.size("lines").alias("n_lines"), G.n_points(c("lines")).alias("n_points"))
 
 
 @query(f"with {_REL_LINES} select id, min(x0) as min_x, min(y0) as min_y, max(x1) as max_x, max(y1) as max_y from rl group by id")
 def rel_bbox(spark, d):
     g = X.graph(spark, d)
-    return gather.relation_lines(g.rels, gather.way_points(g.ways, g.nodes)).select("id", G.bbox(F.flatten("lines")).alias("b")).select("id", "b.*")
+    return gather.relation_lines(g.rels, gather.located_ways(g.ways, g.nodes)).select("id", G.bbox(F.flatten("lines")).alias("b")).select("id", "b.*")
 
 
 _NODE_RELS = "with {n}, m as (select l_suppkey as id, l_partkey + 1 as ref, row_number() over (partition by l_suppkey order by l_partkey) - 1 as pos from (select distinct l_suppkey, l_partkey from lineitem))".format(n=X.NODES)
@@ -389,7 +389,7 @@ def rel_multipoint(spark, d):
 @query(f"with {_REL_LINES} select r.c_custkey + 1 as id, count(rl.id)::integer as n_parts from customer r left join rl on rl.id = r.c_custkey + 1 group by 1 having count(rl.id) > 0")
 def rel_collection(spark, d):
     g = X.graph(spark, d)
-    lines = gather.relation_lines(g.rels, gather.way_points(g.ways, g.nodes))
+    lines = gather.relation_lines(g.rels, gather.located_ways(g.ways, g.nodes))
     points = gather.relation_points(g.rels, g.nodes)
     both = lines.join(points, "id", "full_outer")
     parts = F.coalesce(F.size("lines"), F.lit(0)) + F.coalesce(F.when(c("points").isNotNull(), F.size("points")), F.lit(0))
@@ -424,14 +424,14 @@ def geom_area_bbox_ring(spark, d):
 @query(f"with {_REL_LINES} select id, n::integer as n_points from (select *, row_number() over (partition by id order by pos) as k from rl) where k = 2")
 def geometry_n(spark, d):
     g = X.graph(spark, d)
-    rows = gather.relation_lines(g.rels, gather.way_points(g.ways, g.nodes)).select("id", G.geometry_n(c("lines"), F.lit(2)).alias("line"))
+    rows = gather.relation_lines(g.rels, gather.located_ways(g.ways, g.nodes)).select("id", G.geometry_n(c("lines"), F.lit(2)).alias("line"))
     return rows.filter("line is not null").select("id", F.size("line").alias("n_points"))
 
 
 @query(f"with {_REL_LINES} select id, row_number() over (partition by id order by pos)::integer as part, n::integer as n_points from rl")
 def split_multi(spark, d):
     g = X.graph(spark, d)
-    return gather.relation_lines(g.rels, gather.way_points(g.ways, g.nodes)).select("id", F.posexplode("lines").alias("p", "line")).select("id", (c("p") + 1).alias("part"), F.size("line").alias("n_points"))
+    return gather.relation_lines(g.rels, gather.located_ways(g.ways, g.nodes)).select("id", F.posexplode("lines").alias("p", "line")).select("id", (c("p") + 1).alias("part"), F.size("line").alias("n_points"))
 
 
 _MERC = "6378137.0 * radians(lon_e7 / 1e7) as x, 6378137.0 * ln(tan(pi() / 4 + radians(lat_e7 / 1e7) / 2)) as y"
@@ -663,7 +663,7 @@ def apply_changes_ways(spark, d):
 def incremental_equals_full(spark, d):
     """The output kept up to date by the closure against the one derived anew: rows that differ."""
     g = X.graph(spark, d)
-    derive = lambda ways, nodes: gather.way_points(ways, nodes).select("id", G.as_linestring(c("points")).alias("line")).filter("line is not null")
+    derive = lambda ways, nodes: gather.located_ways(ways, nodes).select("id", G.as_linestring(c("points")).alias("line")).filter("line is not null")
     moved = g.nodes.filter("id % 50 = 0").withColumn("lon_e7", c("lon_e7") + 7).withColumn("version", F.lit(2)).withColumn("op", F.lit("modify"))
     ways_changed = _way_changes(spark, d)
     nodes_new, ways_new = changes.apply(g.nodes, moved), changes.apply(g.ways, ways_changed)
@@ -784,7 +784,7 @@ def pole_of_inaccessibility(spark, d):
 @query()
 def line_merge(spark, d):
     g = X.graph(spark, d)
-    lines = gather.relation_lines(g.rels, gather.way_points(g.ways, g.nodes)).select("id", F.transform("lines", lambda l: F.transform(l, lambda p: G.point(p["x"].cast("double"), p["y"].cast("double")))).alias("lines"))
+    lines = gather.relation_lines(g.rels, gather.located_ways(g.ways, g.nodes)).select("id", F.transform("lines", lambda l: F.transform(l, lambda p: G.point(p["x"].cast("double"), p["y"].cast("double")))).alias("lines"))
     return lines.select("id", F.size(S.line_merge_udf(c("lines"))).alias("n_lines"))
 
 

@@ -192,7 +192,7 @@ select l.id, (count(*) - (select count(*) from joints j where j.id = l.id and li
 def line_merge_count(spark, d):
     """Lines join at every place where exactly two lines end."""
     g = X.graph(spark, d)
-    lines = gather.relation_lines(g.rels, gather.way_points(g.ways, g.nodes)).select("id", F.transform("lines", lambda l: F.transform(l, lambda p: G.point(p["x"].cast("double"), p["y"].cast("double")))).alias("lines"))  # noqa: E741
+    lines = gather.relation_lines(g.rels, gather.located_ways(g.ways, g.nodes)).select("id", F.transform("lines", lambda l: F.transform(l, lambda p: G.point(p["x"].cast("double"), p["y"].cast("double")))).alias("lines"))  # noqa: E741
     return lines.select("id", F.size(S.line_merge_udf(c("lines"))).alias("n_lines"))
 
 
