@@ -505,6 +505,66 @@ def test_pii_forms(spark):
     assert zeros == "00" + plus[1:]
 
 
+def test_pii_against_known_mentions(spark):
+    """Texts made of known mentions and filler: filler stays, every mention changes in its own format, and entities and surrogates match one to one."""
+    rng = np.random.default_rng(11)
+    pick = lambda xs: xs[rng.integers(len(xs))]
+    digits = lambda n: "".join(str(d) for d in rng.integers(0, 10, n))
+    ten = [f"{rng.integers(2, 10)}{digits(9)}" for _ in range(12)]
+    emails = [f"{a}.{b}@{pick(['mail.', '', 'x.y.z.a.b.c.d.e.f.g.'])}site{i}.org" for i, (a, b) in enumerate([("jo", "li"), ("a", "b"), ("q" * 70, "w"), ("m_m", "x+y"), ("t", "u")])]
+    given, surnames = ["Anna", "Émile", "Zoë", "Bob"], ["Smith", "O'Neil", "Müller", "Stone"]
+
+    def phone(n):
+        return pick([f"+1 ({n[:3]}) {n[3:6]}-{n[6:]}", f"({n[:3]}) {n[3:6]}-{n[6:]}", f"{n[:3]} {n[3:6]} {n[6:]}", f"001{n}", f"+1{n}"]), ("phone", n)
+
+    def name():
+        g, f = pick(given), pick(surnames)
+        title = pick(["Mr.", "Mrs.", "Dr.", "Herr"])
+        return pick([(f"{title} {g} {f}", [("given", g), ("surname", f)]), (f"{title} {f}", [("surname", f)])])
+
+    makers = [
+        lambda: (lambda e: (pick([e, e.upper()]), [("email", e.lower())]))(pick(emails)),
+        lambda: (lambda p: (p[0], [p[1]]))(phone(pick(ten))),
+        name,
+        lambda: (lambda v: (v, [("ip", v)]))(f"10.{rng.integers(0, 3)}.{rng.integers(0, 3)}.7"),
+        lambda: (lambda v: (f"{v[:3]}-{v[3:5]}-{v[5:]}", [("ssn", v)]))(pick(["123456789", "987654321", "111223333"])),
+        lambda: (lambda v: (pick([v, f"{v[:4]} {v[4:8]} {v[8:12]} {v[12:]}"]), [("card", v)]))(pick(["4111111111111111", "5500005555555559", "1234567812345678"])),
+    ]
+    texts, segments = [], []
+    for _ in range(150):
+        own = [makers[rng.integers(len(makers))]() if rng.random() < 0.5 else (pick(["plain words", "x1 y2", "nothing here 12", "März"]), []) for _ in range(8)]
+        segments.append(own)
+        texts.append(" | ".join(x for x, _ in own))
+    rows = pii.pseudonymize(docs(spark, texts).withColumn("doc_id", F.lit(1).cast("long")).withColumn("at", F.col("n_chars")), "key").select("text", "entities", "at").collect()
+    assert len(rows) == len(texts)
+    ordered = pii.pseudonymize(docs(spark, texts), "key").orderBy("doc_id").collect()
+    assert sorted(r.text for r in rows) == sorted(r.text for r in ordered)  # ids don't matter
+    forward, back = {}, {}
+    for own, r in zip(segments, ordered, strict=True):
+        new = r.text.split(" | ")
+        assert len(new) == len(own)
+        for (old, entities), now in zip(own, new, strict=True):
+            if not entities:
+                assert now == old
+                continue
+            assert now != old
+            if entities[0][0] in ("given", "surname"):
+                assert now.split()[0] == old.split()[0]
+                parts = now.split()[1:]
+            elif entities[0][0] == "phone":
+                bare = re.sub(r"\D", "", now)
+                assert re.sub(r"\d", "d", now) == re.sub(r"\d", "d", old)
+                parts = [bare[-10:]]
+            else:
+                parts = [re.sub(r"\D", "", now) if entities[0][0] in ("ssn", "card") else now.lower()]
+                assert old.isupper() == now.isupper() or entities[0][0] != "email"
+            assert len(parts) == len(entities)
+            for entity, part in zip(entities, parts, strict=True):
+                assert forward.setdefault(entity, part) == part, entity
+                assert back.setdefault((entity[0], part), entity) == entity
+    assert len(forward) > 25
+
+
 def test_licenses(spark):
     notice = licenses.TEMPLATES["MIT-grant"]
     changed = notice.replace("hereby", "now", 1)
