@@ -8,7 +8,6 @@ import struct
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
@@ -494,14 +493,40 @@ def _back(line: Line) -> list[dict]:
     return [{"x": x, "y": y} for x, y in line]
 
 
-@F.pandas_udf(LINES)
-def segmentize_udf(lines: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None or len(v) < 2 else [_back(x) for x in segmentize(_line(v), float(m))] for v, m in zip(lines, most)])
+def _flat(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x, y, and the ends of an Arrow array of lines (offsets from 0; null lines have no points)."""
+    sizes = pc.fill_null(pc.list_value_length(lines), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    points = lines.flatten()
+    x, y = (pc.struct_field(points, i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in (0, 1))
+    return x, y, np.cumsum(np.concatenate(([0], sizes)))
+
+
+def _lines_of(lines: pa.Array) -> list[Line | None]:
+    """The lines of an Arrow array; null for those that are null or have fewer than two points."""
+    x, y, ends = _flat(lines)
+    points = list(zip(x.tolist(), y.tolist()))
+    return [points[a:b] if b - a > 1 else None for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def _packed(lines: list[Line]) -> pa.Array:
+    """An Arrow array of lines, none of them null."""
+    flat = np.array([p for x in lines for p in x], float).reshape(-1, 2)
+    points = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lines)]).astype(np.int32)), points)
 
 
-@F.pandas_udf(LINE)
-def simplify_udf(lines: pd.Series, tolerance: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None or len(v) < 2 else _back(simplify(_line(v), float(t))) for v, t in zip(lines, tolerance)])
+@F.arrow_udf(LINES)
+def segmentize_udf(lines: pa.Array, most: pa.Array) -> pa.Array:
+    made = [[] if v is None else segmentize(v, float(m)) for v, m in zip(_lines_of(lines), most.to_pylist())]
+    ends = pa.array(np.cumsum([0, *map(len, made)]).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, _packed([x for own in made for x in own]), mask=pa.array([not own for own in made]))
+
+
+@F.arrow_udf(LINE)
+def simplify_udf(lines: pa.Array, tolerance: pa.Array) -> pa.Array:
+    made = [[] if v is None else simplify(v, float(t)) for v, t in zip(_lines_of(lines), tolerance.to_pylist())]
+    packed = _packed(made)
+    return pa.ListArray.from_arrays(packed.offsets, packed.values, mask=pa.array([not own for own in made]))
 
 
 def _merged(lines):
@@ -512,14 +537,6 @@ def _merged(lines):
 line_merge_udf = F.udf(_merged, LINES, useArrow=True)
 
 
-def _flat(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """x, y, and the ends of an Arrow array of lines (offsets from 0; null lines have no points)."""
-    sizes = pc.fill_null(pc.list_value_length(lines), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    points = lines.flatten()
-    x, y = (pc.struct_field(points, i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in (0, 1))
-    return x, y, np.cumsum(np.concatenate(([0], sizes)))
-
-
 def distances_wgs84(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
     """:func:`distance_wgs84` of many pairs at once."""
     minor = WGS84_A * (1 - WGS84_F)

@@ -193,24 +193,24 @@ def check_raster(image_extent: int, image_buffer: int, margin: float) -> int:
     return 64 * math.ceil(max(image_buffer, margin * image_extent) / 64)
 
 
-def raster_union(polygons: DataFrame, zoom: int, extent: int = 1024, buffer: int = 10, min_area: float = 0.0, group: str | None = None) -> DataFrame:
+def raster_union(polygons: DataFrame, zoom: int, extent: int = 1024, buffer: int = 10, min_area: float = 0.0, group: str | None = None, tiles: DataFrame | None = None) -> DataFrame:
     """The union of polygons (rings: array<array<struct<x,y>>>, mercator) by tile and group: rasterised, opened and closed, traced.
 
     A polygon goes to the tiles that its box covers. Returns (x, y[, group], ring array<struct<x,y>>, area) with a row for each
     outline; holes have a negative area.
     """
-    return _union_by_tile(polygons.withColumn("shape", F.lit(0)), zoom, extent, 0, {0: lambda image: open_close(image, buffer) if buffer else image}, min_area, group, 0.0)
+    return _union_by_tile(polygons.withColumn("shape", F.lit(0)), zoom, extent, 0, {0: lambda image: open_close(image, buffer) if buffer else image}, min_area, group, 0.0, tiles)
 
 
-def builtup(sources: list[tuple[DataFrame, int]], zoom: int, extent: int = 1024, min_area: float = 0.0) -> DataFrame:
+def builtup(sources: list[tuple[DataFrame, int]], zoom: int, extent: int = 1024, min_area: float = 0.0, tiles: DataFrame | None = None) -> DataFrame:
     """Several polygon tables, each with its own buffer in pixels, merged by tile into one set of outlines."""
     marked = [d.select("rings", F.lit(i).alias("shape")) for i, (d, _) in enumerate(sources)]
     rows = reduce(DataFrame.unionByName, marked)
     shapes = {i: (lambda image, k=k: open_close(image, k) if k else image) for i, (_, k) in enumerate(sources)}
-    return _union_by_tile(rows, zoom, extent, 0, shapes, min_area, None, 0.0)
+    return _union_by_tile(rows, zoom, extent, 0, shapes, min_area, None, 0.0, tiles)
 
 
-def vector_union(polygons: DataFrame, zoom: int, buffer_size: float = 10.0, margin: float = 0.0, extent: int = 1024, group: str | None = None) -> DataFrame:
+def vector_union(polygons: DataFrame, zoom: int, buffer_size: float = 10.0, margin: float = 0.0, extent: int = 1024, group: str | None = None, tiles: DataFrame | None = None) -> DataFrame:
     """The union of polygons by tile (and group), with gaps of less than twice ``buffer_size`` closed and spurs as narrow taken off.
 
     Buffers grow by the size, shrink by twice as much and grow again, on a raster of ``extent`` pixels a tile with round buffers, so
@@ -223,7 +223,7 @@ def vector_union(polygons: DataFrame, zoom: int, buffer_size: float = 10.0, marg
     def shape(image: np.ndarray) -> np.ndarray:
         return grow(~grow(~grow(image, radius), 2 * radius), radius)
 
-    return _union_by_tile(polygons.withColumn("shape", F.lit(0)), zoom, extent, pad, {0: shape}, 0.0, group, margin)
+    return _union_by_tile(polygons.withColumn("shape", F.lit(0)), zoom, extent, pad, {0: shape}, 0.0, group, margin, tiles)
 
 
 def grow(a: np.ndarray, radius: float) -> np.ndarray:
@@ -245,7 +245,7 @@ def grow(a: np.ndarray, radius: float) -> np.ndarray:
     return out
 
 
-def _union_by_tile(polygons: DataFrame, zoom: int, extent: int, pad: int, shapes: dict, min_area: float, group: str | None, margin: float) -> DataFrame:
+def _union_by_tile(polygons: DataFrame, zoom: int, extent: int, pad: int, shapes: dict, min_area: float, group: str | None, margin: float, tiles: DataFrame | None) -> DataFrame:
     groups, size = [group] if group else [], T.CIRCUMFERENCE / (1 << zoom)
     outer = F.get("rings", F.lit(0))
     xs, ys = F.transform(outer, lambda p: p["x"]), F.transform(outer, lambda p: p["y"])
@@ -254,6 +254,7 @@ def _union_by_tile(polygons: DataFrame, zoom: int, extent: int, pad: int, shapes
     x1, y0 = T.tile_of(F.array_max(xs) + wide, F.array_max(ys) + wide, zoom)
     lo, hi = fresh("lo"), fresh("hi")
     cut = polygons.select("rings", "shape", *groups, F.explode(F.sequence(x0, x1)).alias("x"), y0.alias(lo), y1.alias(hi)).select("rings", "shape", *groups, "x", F.explode(F.sequence(lo, hi)).alias("y"))
+    cut = cut if tiles is None else cut.join(tiles.select("x", "y").distinct(), ["x", "y"], "left_semi")
     rows = cut.select("x", "y", *groups, "shape", F.transform("rings", lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))).alias("rings"))
 
     def union(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -387,7 +388,22 @@ Generalizer = Callable[..., DataFrame]
 STRATEGIES: dict[str, Generalizer] = {"discrete-isolation": discrete_isolation, "raster-union": raster_union, "builtup": builtup, "vector-union": vector_union, "rivers": rivers}
 
 
-def run_gen(name: str, *tables, **params) -> DataFrame:
+TILED = {"raster-union", "builtup", "vector-union"}
+
+
+def run_gen(name: str, *tables, stored: DataFrame | None = None, expired: DataFrame | None = None, post: Callable[[DataFrame], None] | None = None, **params) -> DataFrame:
+    """Runs a strategy on its tables. One that goes by tiles makes all that its sources cover, or in append mode those of ``expired`` (x, y), whose
+    rows in ``stored`` it replaces. ``post`` is called with the result, say to gather statistics."""
     if name not in STRATEGIES:
         raise ValueError(f"unknown generalizer {name!r}: one of {', '.join(sorted(STRATEGIES))}")
-    return STRATEGIES[name](*tables, **params)
+    if "zoom" in params and not (isinstance(params["zoom"], int) and 0 <= params["zoom"] <= 20):
+        raise ValueError("zoom is a whole number from 0 to 20")
+    if expired is None:
+        out = STRATEGIES[name](*tables, **params)
+    elif name not in TILED or stored is None:
+        raise ValueError(f"{name!r} can't be run for some tiles of a stored table")
+    else:
+        out = existing_deleted(stored, STRATEGIES[name](*tables, tiles=expired, **params), expired)
+    if post:
+        post(out)
+    return out

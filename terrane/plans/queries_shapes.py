@@ -10,6 +10,7 @@ from ..functions import shapes as S
 from ..functions import tags as A
 from ..operators import changes, expire, gather, generalize, locator
 from ..sources.store import materialize
+from ..streaming import updates
 from . import fixture as X
 from . import importer, queries_import, tables
 from .catalogue import _BITS, _MERC, _SQL, _TILE, _TILES, _boxes, _lines, _mercator, _node_changes, _tiles, query
@@ -343,3 +344,61 @@ def change_kinds(spark, d):
     rows = _node_changes(spark, d)
     pending = changes.changed_for_parents(rows.filter("op = 'modify'"))
     return pending.select("id", F.lit(0).alias("ref")).unionByName(rows.filter("op = 'create'").select("id", F.lit(1).alias("ref")))
+
+
+# --- state, queues and checks --------------------------------------------------------------------------------------
+
+
+@query("""with t as (select strftime(max(o_orderdate), '%Y-%m-%dT%H:%M:%SZ') as ts from orders) select 'import_timestamp' as property, ts as value from t union all select 'current_timestamp', greatest(ts, '1990-01-01T00:00:00Z') from t
+union all values ('style', 'b'), ('version', '1'), ('replication_sequence_number', '12')""")
+def post_import_state(spark, d):
+    """What an import leaves, and two rounds of changes after it, of which one is older."""
+    ways = X.ways(spark, d)
+    state = updates.import_state([ways.select("ts"), ways.limit(0).select("ts")], style="a", version="1", replication_sequence_number="9")
+    more = spark.createDataFrame([("style", "b"), ("replication_sequence_number", "12"), ("current_timestamp", "1990-01-01T00:00:00Z"), ("import_timestamp", "2099-01-01T00:00:00Z")], "property string, value string")
+    old = spark.createDataFrame([("replication_sequence_number", "10")], "property string, value string")
+    return updates.advanced(updates.advanced(state, more), old)
+
+
+@query("select o_orderkey // 32 as bucket, count(*) as n, string_agg(o_orderkey::varchar, ',' order by o_orderkey) as ids from orders group by 1")
+def ids_by_bucket(spark, d):
+    own = X.table(spark, d, "orders").groupBy(F.shiftright("o_orderkey", 5).alias("bucket")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("ids"))
+    return own.select("bucket", F.size("ids").cast("long").alias("n"), F.array_join("ids", ",").alias("ids"))
+
+
+_QUEUE = f"{_TILES}, q as (select 10 as zoom, tx as x, ty as y, timestamp '2024-01-01' + interval 1 minute * min(id % 7) as first from t group by tx, ty)"
+
+
+@query(f"{_QUEUE}, r as (select *, row_number() over (order by first, zoom, x, y) <= 40 as taken from q) select zoom, x, y, taken from r")
+def expire_queue(spark, d):
+    """The forty oldest tiles are taken, the others stay."""
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    t = _tiles(spark, d).groupBy(F.lit(10).alias("zoom"), c("tx").alias("x"), c("ty").alias("y")).agg((start + F.make_dt_interval(mins=F.min(c("id") % 7).cast("int"))).alias("first")).withColumn("last", c("first"))
+    taken, rest = changes.take_expired(t, 40)
+    return taken.select("zoom", "x", "y", F.lit(True).alias("taken")).unionByName(rest.select("zoom", "x", "y", F.lit(False).alias("taken")))
+
+
+@query(f"with {queries_import._SQUARE_SQL} select id, k % 3 as kind from sq where k % 3 > 0 or not tie")
+def valid_geometries(spark, d):
+    """Areas (kind 0) whose rings cross themselves are left out; lines and what isn't projected aren't looked at."""
+    kind = (c("id") - 1) % 3
+    ring = F.transform("points", lambda p: G.to_mercator(p["x"] / 1e7, p["y"] / 1e7))
+    deg = F.transform("points", lambda p: G.point(p["x"] / 1e7, p["y"] / 1e7))
+    g = F.when(kind == 0, M.polygon(F.array(ring), 3857)).when(kind == 1, M.line(ring, 3857)).otherwise(M.polygon(F.array(deg), 4326))
+    rows = queries_import._squares(spark, d).select("id", kind.alias("kind"), g.alias("g"))
+    return tables.valid_rows(rows, "g").select("id", "kind")
+
+
+_APPENDED = f"""{_PIXELS.format(boxes=_MBOX, first='true', k1=4, k2=4)}, n as (select x, y, name, count(*) as n from h group by x, y, name)
+select x::integer as x, y::integer as y, name, n as n, x = 0 as renewed from n where x = 0 union all select x::integer, y::integer, 'old', 1, false from tile where x = 1"""
+
+
+@query(_APPENDED)
+def raster_union_append(spark, d):
+    """Only the expired tiles (x = 0) are made again; the stored rows of the others stay."""
+    stored = spark.createDataFrame([(x, y, "old", [(0.0, 0.0)], 1.0) for x in range(2) for y in range(2)], "x int, y int, name string, ring array<struct<x:double,y:double>>, area double")
+    expired = spark.createDataFrame([(0, 0), (0, 1), (0, 1)], "x int, y int")
+    seen = []
+    made = generalize.run_gen("raster-union", _boxes(spark, d), zoom=1, buffer=4, group="name", stored=stored, expired=expired, post=lambda out: seen.append(out.columns))
+    assert len(seen) == 1
+    return made.groupBy("x", "y", "name").agg(F.count("*").alias("n")).withColumn("renewed", c("name") != "old")

@@ -129,6 +129,23 @@ def parse_state(text: str) -> dict:
     return {"sequence": int(own["sequenceNumber"]), "timestamp": own["timestamp"].replace("\\:", ":")}
 
 
+def import_state(objects: list[DataFrame], **settings: str) -> DataFrame:
+    """(property, value) after an import: the settings, and the newest timestamp of the objects (ts) as import and current timestamp."""
+    newest = reduce(DataFrame.unionByName, [o.agg(F.max("ts").alias("ts")) for o in objects]).agg(F.date_format(F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"))
+    stamps = newest.select(F.explode(F.create_map(F.lit("import_timestamp"), "ts", F.lit("current_timestamp"), "ts")).alias("property", "value"))
+    own = newest.sparkSession.createDataFrame(sorted(settings.items()), "property string, value string")
+    return own.unionByName(stamps.filter("value is not null"))
+
+
+def advanced(properties: DataFrame, newer: DataFrame) -> DataFrame:
+    """Properties after changes: the current timestamp and sequence only ever grow, the import's own stays, others are replaced."""
+    number = F.col("value").try_cast("bigint")
+    both = properties.select("property", "value", F.lit(0).alias("round")).unionByName(newer.filter("property <> 'import_timestamp'").select("property", "value", F.lit(1).alias("round")))
+    latest = both.groupBy("property").agg(F.max_by("value", "round").alias("last"), F.max("value").alias("text"), F.max(number).cast("string").alias("number"))
+    grown = F.when(F.col("property") == "replication_sequence_number", F.col("number")).when(F.col("property").isin("current_timestamp", "replication_timestamp"), F.col("text")).otherwise(F.col("last"))
+    return latest.select("property", grown.alias("value"))
+
+
 class Replication:
     """The state of a store that follows a directory of diffs, kept in its properties table."""
 
