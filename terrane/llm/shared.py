@@ -12,7 +12,7 @@ from ..sources.store import discard, fresh, materialize, shared_dir
 __all__ = ["ascii_lower", "discard", "fresh", "int_lists", "leave_out", "materialize", "shared_dir", "table"]
 
 #: Keys of rows that go are broadcast up to so many (some 100 MB); beyond, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
