@@ -402,3 +402,53 @@ def raster_union_append(spark, d):
     made = generalize.run_gen("raster-union", _boxes(spark, d), zoom=1, buffer=4, group="name", stored=stored, expired=expired, post=lambda out: seen.append(out.columns))
     assert len(seen) == 1
     return made.groupBy("x", "y", "name").agg(F.count("*").alias("n")).withColumn("renewed", c("name") != "old")
+
+
+# --- the same results in SQL for queries that had none -------------------------------------------------------------
+
+_SQL["multipolygon_assembly"] = _SQL["multipolygon_cells"]
+_SQL["line_merge"] = _SQL["line_merge_count"]
+
+# a double's bytes: sign, exponent and what is over a power of two, the lowest byte first; scaling by powers of two is exact
+_EXPONENT = "case when abs({v}) < pow(2, floor(log2(abs({v})))) then floor(log2(abs({v}))) - 1 when abs({v}) >= pow(2, floor(log2(abs({v}))) + 1) then floor(log2(abs({v}))) + 1 else floor(log2(abs({v}))) end"
+_BYTES = "array_to_string(list_transform([15, 13, 11, 9, 7, 5, 3, 1], lambda k: upper(substr(printf('%016x', {b}), k, 2))), '')"
+_DOUBLE = "case when {v} = 0 then 0::ubigint else (case when {v} < 0 then 1::ubigint << 63 else 0::ubigint end) + ((1023 + {e})::ubigint << 52) + ((abs({v}) / pow(2, {e}) - 1) * pow(2, 52))::ubigint end"
+_SQL["ewkb_lines"] = f"""with {X.POINTS}, p as (select id, i, lon_e7 / 1e7 as x, lat_e7 / 1e7 as y from dedup),
+e as (select *, case when x = 0 then 0 else {_EXPONENT.format(v='x')} end as ex, case when y = 0 then 0 else {_EXPONENT.format(v='y')} end as ey from p),
+b as (select id, i, {_DOUBLE.format(v='x', e='ex')} as bx, {_DOUBLE.format(v='y', e='ey')} as by_ from e)
+select id, '0102000020E6100000' || upper(printf('%02x', count(*))) || '000000' || string_agg({_BYTES.format(b='bx')} || {_BYTES.format(b='by_')}, '' order by i) as ewkb from b group by id having count(*) >= 2"""
+
+_SIDE = "(({bx} - {ax}) * ({py} - {ay}) - ({by} - {ay}) * ({px} - {ax}))"
+_SEGMENT = {"a": ("ax", "ay"), "b": ("bx", "by_"), "c": ("cx", "cy"), "d": ("dx", "dy")}
+
+
+def _side_sql(a: str, b: str, p: str) -> str:
+    (ax, ay), (bx, by), (px, py) = _SEGMENT[a], _SEGMENT[b], _SEGMENT[p]
+    return _SIDE.format(ax=ax, ay=ay, bx=bx, by=by, px=px, py=py)
+
+
+def _same_sql(a: str, b: str) -> str:
+    return "({} = {} and {} = {})".format(_SEGMENT[a][0], _SEGMENT[b][0], _SEGMENT[a][1], _SEGMENT[b][1])
+
+
+def _back_sql(s: str, p: str, q: str) -> str:
+    """Two segments from a common end run over each other."""
+    (sx, sy), (px, py), (qx, qy) = _SEGMENT[s], _SEGMENT[p], _SEGMENT[q]
+    return f"({_side_sql(s, p, q)} = 0 and ({px} - {sx}) * ({qx} - {sx}) + ({py} - {sy}) * ({qy} - {sy}) > 0)"
+
+
+def _on_sql(a: str, b: str, p: str) -> str:
+    (ax, ay), (bx, by), (px, py) = _SEGMENT[a], _SEGMENT[b], _SEGMENT[p]
+    return f"({_side_sql(a, b, p)} = 0 and {px} between least({ax}, {bx}) and greatest({ax}, {bx}) and {py} between least({ay}, {by}) and greatest({ay}, {by}))"
+
+
+_CROSS = f"""case when ({_same_sql('a', 'c')} and {_same_sql('b', 'd')}) or ({_same_sql('a', 'd')} and {_same_sql('b', 'c')}) then true
+  when {_same_sql('a', 'c')} then {_back_sql('a', 'b', 'd')} when {_same_sql('a', 'd')} then {_back_sql('a', 'b', 'c')} when {_same_sql('b', 'c')} then {_back_sql('b', 'a', 'd')} when {_same_sql('b', 'd')} then {_back_sql('b', 'a', 'c')}
+  else (sign({_side_sql('a', 'b', 'c')}) * sign({_side_sql('a', 'b', 'd')}) < 0 and sign({_side_sql('c', 'd', 'a')}) * sign({_side_sql('c', 'd', 'b')}) < 0)
+    or {_on_sql('a', 'b', 'c')} or {_on_sql('a', 'b', 'd')} or {_on_sql('c', 'd', 'a')} or {_on_sql('c', 'd', 'b')} end"""
+_SQL["valid_filter"] = f"""with {X.POINTS}, p as (select id, i, lon_e7 / 1e7 as x, lat_e7 / 1e7 as y, count(*) over (partition by id) as n from dedup),
+s as (select id, i, x as ax, y as ay, coalesce(lead(x) over w, first_value(x) over w) as bx, coalesce(lead(y) over w, first_value(y) over w) as by_ from p where n >= 4 window w as (partition by id order by i)),
+f as (select *, ax > bx or (ax = bx and ay > by_) as back from s where not (ax = bx and ay = by_)),
+g as (select id, i, case when back then bx else ax end as ax, case when back then by_ else ay end as ay, case when back then ax else bx end as bx, case when back then ay else by_ end as by_ from f), h as (select id, i as j, ax as cx, ay as cy, bx as dx, by_ as dy from g),
+bad as (select distinct g.id from g join h on g.id = h.id and g.i < h.j where {_CROSS})
+select ok, count(*) as n from (select distinct id, id not in (select id from bad) as ok from s) group by ok"""
