@@ -19,10 +19,8 @@ from terrane.plans import importer, tables
 from terrane.streaming import updates
 
 AT = "/root/testdata/sf0.001"
-NAMES = """legacy_polygons legacy_roads legacy_relation_polygons import_lines import_rejects append_equals_import append_deleted_log read_xml_nodes read_osc_nodes read_opl_ways
-geometry_accessors geometry_centroids geometry_parts route_tags legacy_repairs z_order_layers json_nested locator_polygons locator_areas expire_areas expire_hybrid expire_diff_areas
-line_merge_count raster_union ewkb_points rivers_width river_chains discrete_isolation dispatch_untagged properties_upsert_events
-post_import_state valid_geometries expire_queue raster_union_append""".split()
+NAMES = """legacy_polygons legacy_roads import_lines append_equals_import read_xml_nodes read_osc_nodes read_opl_ways geometry_accessors geometry_centroids geometry_parts route_tags legacy_repairs
+z_order_layers json_nested locator_areas expire_hybrid line_merge_count raster_union_append ewkb_points rivers_width river_chains discrete_isolation dispatch_untagged post_import_state valid_geometries expire_queue""".split()
 
 
 @pytest.fixture(scope="module")
