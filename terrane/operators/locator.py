@@ -1,8 +1,8 @@
 """Which regions an object lies in: a spatial join by cells.
 
 Regions are cut into the cells of a fixed grid that their boxes cover, objects into the cells of their own boxes; the
-equi-join on the cell finds candidates, which the box and, for polygons, an exact test confirm. Both sides stay
-distributed, so the number of regions needs no bound.
+equi-join on the cell finds candidates, which the box and, for polygons, an exact test confirm. A side of few rows, counted, is
+broadcast; otherwise both stay distributed, so the number of regions needs no bound.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from ..sources.store import fresh
 
 CELL_E7 = 100_000_000
 RINGS = "array<array<struct<x:double,y:double>>>"
+#: A side of a join by cells is broadcast only if it was counted and has no more rows.
+FEW = 100_000
 
 
 def cells_of(lo_x: Column, lo_y: Column, hi_x: Column, hi_y: Column, cell: int) -> Column:
@@ -21,6 +23,20 @@ def cells_of(lo_x: Column, lo_y: Column, hi_x: Column, hi_y: Column, cell: int)
     return F.flatten(F.transform(span(lo_x, hi_x), lambda i: F.transform(span(lo_y, hi_y), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
 
 
+def few(rows: DataFrame) -> bool:
+    return rows.limit(FEW + 1).count() <= FEW
+
+
+def by_cell(objects: DataFrame, regions: DataFrame, on: list[str]) -> DataFrame:
+    """Both sides joined on their cells. The side that was counted as few rows is broadcast, the regions first; of two large ones neither is, though
+    the files they come from may look small: they are told apart by shuffles."""
+    if few(regions):
+        return objects.join(F.broadcast(regions), on)
+    if few(objects):
+        return F.broadcast(objects).join(regions, on)
+    return objects.hint("merge").join(regions, on)
+
+
 def box_of(points: Column) -> list[Column]:
     """Least x and y, largest x and y of array<struct<x,y>>."""
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
@@ -58,7 +74,7 @@ def located(objects: DataFrame, regions: DataFrame, cell: int = CELL_E7) -> Data
     cut = regions.withColumn(at, F.explode(cells_of(F.col("min_x"), F.col("min_y"), F.col("max_x"), F.col("max_y"), cell))).select("*", F.col(at)["cx"].alias(cx), F.col(at)["cy"].alias(cy)).drop(at)
     points = objects.select("id", "x", "y", F.floor(F.col("x") / cell).alias(cx), F.floor(F.col("y") / cell).alias(cy))
     inside = F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y"))
-    hit = points.join(cut, [cx, cy]).filter(inside)
+    hit = by_cell(points, cut, [cx, cy]).filter(inside)
     if "ring" in regions.columns:
         hit = hit.filter(F.col("ring").isNull() | in_ring(F.col("ring"), F.col("x"), F.col("y")))
     if "rings" in regions.columns:
@@ -100,7 +116,7 @@ def located_shapes(objects: DataFrame, regions: DataFrame, cell: int = CELL_E7)
     around = located(regions.select(F.col("name").alias("id"), first(F.col("rings"))["x"].alias("x"), first(F.col("rings"))["y"].alias("y")), areas, cell).select(F.col("name").alias("id"), F.col("id").alias("name"))
     mine = _segments(objects, ["id"], "rings", cell, ("ax", "ay", "bx", "by"))
     theirs = _segments(regions, ["name"], "rings", cell, ("px", "py", "qx", "qy"))
-    crossing = mine.join(theirs, "cell").filter(_meet()).select("id", "name")
+    crossing = by_cell(mine, theirs, ["cell"]).filter(_meet()).select("id", "name")
     return inside.unionByName(around.select(inside.columns)).unionByName(crossing).distinct()
 
 
