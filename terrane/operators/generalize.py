@@ -15,7 +15,7 @@ from ..functions import geometry as G
 from ..functions import shapes as S
 from ..functions import tiles as T
 from ..functions.params import render
-from ..sources.store import fresh, materialize, with_rank
+from ..sources.store import dealt, fresh, materialize, with_rank
 from .locator import box_of, cells_of
 
 #: The cells of each round of the isolation search are so many times as wide as those of the last.
@@ -288,21 +288,55 @@ def existing_deleted(stored: DataFrame, made: DataFrame, tiles: DataFrame) -> Da
 
 def area_widths(areas: DataFrame) -> DataFrame:
     """Areas (id, width, rings) with a width: twice the radius of the largest circle inside, where none is given."""
-    return areas.withColumn("width", F.coalesce("width", 2 * S.pole_udf("rings", F.lit(1.0))["distance"]))
+    asked = F.when(F.col("width").isNull(), F.col("rings"))
+    return dealt(areas, "id").withColumn("width", F.coalesce("width", 2 * S.pole_udf(asked, F.lit(1.0))["distance"]))
 
 
-def line_widths(lines: DataFrame, areas: DataFrame, cell: float = 10_000.0) -> DataFrame:
+def box_level(lo_x: Column, lo_y: Column, hi_x: Column, hi_y: Column) -> Column:
+    """The least power of two that is as wide and high as the box; a cell of that width meets no box of the level in over two columns or rows."""
+    return F.ceil(F.log2(F.greatest(hi_x - lo_x, hi_y - lo_y, F.lit(1e-6)))).cast("int")
+
+
+def box_pairs(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Rows of both sides whose boxes (ax0, ay0, ax1, ay1 and bx0, by0, bx1, by1) have a point in common, each pair once.
+
+    Boxes of each size have cells of that size. A pair meets in the cells of its larger box's size, in the one that holds the lower left
+    corner of what the boxes share. A box lies in four cells at most of each size that the other side has, so what meets
+    in a cell is near, however dense or mixed the boxes are.
+    """
+    at, level_a, level_b, cx, cy, level = map(fresh, ("at", "level_a", "level_b", "cx", "cy", "level"))
+    boxes = [[F.col(f"{side}{k}") for k in ("x0", "y0", "x1", "y1")] for side in ("a", "b")]
+    sides = [rows.withColumn(own, box_level(*box)) for rows, own, box in zip((mine, theirs), (level_a, level_b), boxes, strict=True)]
+    # a handful: sizes are logarithmic
+    found = [sorted(r[0] for r in rows.select(own).distinct().collect() if r[0] is not None) for rows, own in zip(sides, (level_a, level_b), strict=True)]
+
+    def dealt(rows: DataFrame, own: str, box: list[Column], others: list[int]) -> DataFrame:
+        larger = F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda v: v > F.col(own))
+        each = rows.withColumn(level, F.explode(F.concat(F.array(own), larger)))
+        wide = F.pow(F.lit(2.0), F.col(level))
+        return each.withColumn(at, F.explode(cells_of(*box, wide))).select("*", F.col(at)["cx"].alias(cx), F.col(at)["cy"].alias(cy)).drop(at)
+
+    a, b = dealt(sides[0], level_a, boxes[0], found[1]), dealt(sides[1], level_b, boxes[1], found[0])
+    (ax0, ay0, ax1, ay1), (bx0, by0, bx1, by1) = boxes
+    wide = F.pow(F.lit(2.0), F.col(level))
+    meet = (ax0 <= bx1) & (bx0 <= ax1) & (ay0 <= by1) & (by0 <= ay1)
+    once = (F.floor(F.greatest(ax0, bx0) / wide) == F.col(cx)) & (F.floor(F.greatest(ay0, by0) / wide) == F.col(cy))
+    both = a.hint("merge").join(b, [level, cx, cy])
+    return both.filter((F.col(level) == F.greatest(level_a, level_b)) & meet & once).drop(level, cx, cy, level_a, level_b)
+
+
+def line_widths(lines: DataFrame, areas: DataFrame) -> DataFrame:
     """Lines (id, width, line) whose width is null get that of the areas (id, width, rings) that cover them together: the mean, weighted by
     the length inside each. Lines of two points, and those that areas leave uncovered anywhere, keep null.
 
-    Lines meet areas by the cells of their boxes; the parts of a line inside an area are intervals along the line, so whether all
+    Lines meet areas whose boxes meet theirs; the parts of a line inside an area are intervals along the line, so whether all
     are covered shows by merging them.
     """
+    box = lambda side, points: [v.alias(f"{side}{k}") for k, v in zip(("x0", "y0", "x1", "y1"), box_of(points), strict=True)]
     asked = lines.filter(F.col("width").isNull() & (F.size("line") > 2))
-    mine = asked.select("id", "line", F.explode(cells_of(*box_of(F.col("line")), cell)).alias("cell"))
-    theirs = area_widths(areas).select(F.col("id").alias("area"), F.col("width").alias("area_width"), "rings", F.explode(cells_of(*box_of(F.get("rings", F.lit(0))), cell)).alias("cell"))
-    met = mine.join(theirs, "cell").dropDuplicates(["id", "area"])
-    inside = met.select("id", "area_width", G.length(F.col("line")).alias("size"), F.explode(S.inside_udf("line", "rings")).alias("v"))
+    mine = asked.select("id", "line", *box("a", F.col("line")))
+    theirs = area_widths(areas).select(F.col("width").alias("area_width"), "rings", *box("b", F.get("rings", F.lit(0))))
+    inside = dealt(box_pairs(mine, theirs), "id").select("id", "area_width", G.length(F.col("line")).alias("size"), F.explode(S.inside_udf("line", "rings")).alias("v"))
     own = inside.groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct(F.col("v.lo").alias("lo"), F.col("v.hi").alias("hi")))).alias("vs"), F.sum((F.col("v.hi") - F.col("v.lo")) * F.col("area_width")).alias("weighted"))
     slack = F.col("size") * 1e-9
     reach = F.aggregate("vs", F.lit(0.0), lambda a, v: F.when(v["lo"] <= a + slack, F.greatest(a, v["hi"])).otherwise(a))

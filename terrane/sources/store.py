@@ -63,6 +63,12 @@ def discard(df: DataFrame) -> None:
     delete(df.sparkSession, df._stored_at)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all shuffle partitions, for steps that cost far more than their bytes tell: neither few large row groups nor adaptive
+    execution, which joins small partitions, leaves them to a few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def with_rank(df: DataFrame, order: list[Column], name: str, partitions: int | None = None) -> DataFrame:
     """``df`` with the 0-based rank of each row in a total order: ranges are sorted apart, then shifted by the rows before.
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import random
+import time
+
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from terrane.operators import locator
+from terrane.functions import shapes as S
+from terrane.operators import generalize, locator
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +54,23 @@ def test_large_sides_of_cells_are_shuffled(spark, monkeypatch):
     made = locator.located_shapes(objects, regions, 10)
     assert "Broadcast" not in plan(made)
     assert {tuple(r) for r in made.collect()} == want
+
+
+def test_box_pairs_are_those_that_meet_once(spark):
+    rng = random.Random(3)
+    boxes = lambda n: [(i, x, y, x + rng.choice([0.0, 1.0, 7.0, 300.0]), y + rng.choice([0.0, 0.5, 40.0])) for i, x, y in ((i, float(rng.randint(-200, 200)), float(rng.randint(-50, 50))) for i in range(n))]
+    a, b = boxes(80), boxes(90)
+    frame = lambda rows, s, key: spark.createDataFrame(rows, f"{key} long, {s}x0 double, {s}y0 double, {s}x1 double, {s}y1 double")
+    pairs = generalize.box_pairs(frame(a, "a", "i"), frame(b, "b", "j")).select("i", "j")
+    want = sorted((p[0], q[0]) for p in a for q in b if p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4])
+    assert sorted(map(tuple, pairs.collect())) == want
+
+
+def test_pole_of_long_boxes_is_soon_found():
+    begun = time.monotonic()
+    for i in range(300):
+        at, far = S.pole([[(i - 1.0, 0.0), (i + 11.0, 0.0), (i + 11.0, 4.0), (i - 1.0, 4.0), (i - 1.0, 0.0)]])
+        assert at == (i + 5.0, 2.0) and far == 2.0
+    assert time.monotonic() - begun < 10
+    # no box: a slanted strip, twice as wide as the root of a half
+    assert S.pole([[(0.0, 0.0), (10.0, 10.0), (9.0, 11.0), (-1.0, 1.0), (0.0, 0.0)]])[1] == pytest.approx(0.5**0.5, abs=0.012)
