@@ -51,11 +51,12 @@ Callback = Callable[[DataFrame, "Run"], list[Insert]]
 @dataclass
 class Config:
     """``select_members``: of relations, the (type n or w, id) of the members to process again in stage 2, where callbacks see
-    ``run.stage == 2``. ``hooks``: called after a kind, by ``after_nodes``, ``after_ways``, ``after_relations``."""
+    ``run.stage == 2``. ``refs``: points of ways know their node, as in :func:`gather.located_ways`. ``hooks``: called after a kind, by ``after_nodes``, ``after_ways``, ``after_relations``."""
 
     tables: tuple[Table, ...]
     callbacks: dict[str, Callback]
     select_members: Callable[[DataFrame], DataFrame] | None = None
+    refs: bool = False
     hooks: dict[str, Callable[[Run], None]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -135,7 +136,7 @@ def _marked(config: Config, rels: DataFrame) -> tuple[DataFrame, DataFrame] | No
 def _derive(run: Run, nodes: DataFrame, ways: DataFrame, rels: DataFrame, marked: tuple[DataFrame, DataFrame] | None) -> None:
     """Callbacks over the given objects of the run's graph; marked nodes and ways go in stage 2 instead of stage 1."""
     points = gather.node_points(nodes)
-    lines = gather.way_points(ways, run.graph.nodes)
+    lines = gather.way_points(ways, run.graph.nodes, run.config.refs)
     run.process("node", points if marked is None else points.join(marked[0], "id", "left_anti"))
     run.hook("after_nodes")
     run.process("way", lines if marked is None else lines.join(marked[1], "id", "left_anti"))

@@ -74,3 +74,15 @@ def test_pole_of_long_boxes_is_soon_found():
     assert time.monotonic() - begun < 10
     # no box: a slanted strip, twice as wide as the root of a half
     assert S.pole([[(0.0, 0.0), (10.0, 10.0), (9.0, 11.0), (-1.0, 1.0), (0.0, 0.0)]])[1] == pytest.approx(0.5**0.5, abs=0.012)
+
+
+@pytest.mark.parametrize("query", ["geom_reverse", "geom_npoints", "geom_centroid_points", "geometry_n", "ewkb_lines", "expire_lines", "way_linestring", "line_merge_count", "legacy_lines", "import_lines", "import_rejects", "append_equals_import"])
+def test_nodes_at_one_place_are_points_of_their_own(spark, tmp_path, query):
+    # parts 0 and 144,000 lie at one place
+    ways = {0: [0, 144_000], 1: [0, 144_000, 5], 2: [21, 21, 0, 144_000, 0], 3: [5, 5], 4: [5, 21, 144_000]}
+    lines = [(k, n, part) for k, parts in ways.items() for n, part in enumerate(parts)]
+    folder = tables(
+        spark, tmp_path, part=("p_partkey long", [(k,) for k in (0, 5, 21, 144_000)]), lineitem=("l_orderkey long, l_linenumber int, l_partkey long", lines),
+        orders=("o_orderkey long, o_custkey long, o_orderstatus string", [(k, k // 2, "O") for k in ways]), customer=("c_custkey long, c_name string", [(k, f"c{k}") for k in range(3)]),
+    )
+    same_as_sql(spark, query, folder)
