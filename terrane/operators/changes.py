@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def apply(stored: DataFrame, changes: DataFrame, op: str = "op") -> DataFrame:
-    """The store after changes (one row for each id; op: create, modify or delete): deletes the changed, adds the new."""
-    gone = changes.select("id")
+def apply(stored: DataFrame, changes: DataFrame, op: str = "op", replace_created: bool = True) -> DataFrame:
+    """The store after changes (one row for each id; op: create, modify or delete): deletes the changed, adds the new. Without ``replace_created``
+    a create is only added, so what is stored under its id stays."""
+    gone = (changes if replace_created else changes.filter(F.col(op) != "create")).select("id")
     new = changes.filter(F.col(op) != "delete").select(stored.columns)
     return stored.join(gone, "id", "left_anti").unionByName(new)
 

@@ -86,3 +86,7 @@ def test_nodes_at_one_place_are_points_of_their_own(spark, tmp_path, query):
         orders=("o_orderkey long, o_custkey long, o_orderstatus string", [(k, k // 2, "O") for k in ways]), customer=("c_custkey long, c_name string", [(k, f"c{k}") for k in range(3)]),
     )
     same_as_sql(spark, query, folder)
+
+
+def test_created_nodes_are_beside_stored_ones(spark, tmp_path):
+    same_as_sql(spark, "apply_changes_nodes", tables(spark, tmp_path, part=("p_partkey long", [(99,), (5,), (1_000_099,), (6,)])))
