@@ -356,21 +356,23 @@ def chains(edges: DataFrame) -> DataFrame:
     """Edges (id, from_node, to_node, width) joined where exactly one ends and one begins: (chain, from_node, to_node, nodes, width), named by the
     first edge, a ring by its least; the width is the largest.
 
+    No side of a join is broadcast: all hold about as many rows as there are edges, though their files are small.
+
     By pointer jumping: every edge knows an edge up its chain, which lies twice as far away after each round, so rounds grow as the
     logarithm of the longest chain.
     """
     ends = edges.select(F.col("from_node").alias("node"), F.lit(1).alias("begins")).unionByName(edges.select(F.col("to_node").alias("node"), F.lit(0).alias("begins")))
     order = ends.groupBy("node").agg(F.count("*").alias("n"), F.sum("begins").alias("begins")).filter("n = 2 and begins = 1").select("node")
-    before = edges.select(F.col("id").alias("up"), F.col("to_node").alias("node")).join(order, "node")
-    links = edges.select("id", F.col("from_node").alias("node")).join(before, "node").filter("id <> up").select("id", "up")
-    state = edges.select("id").join(links, "id", "left").select("id", F.coalesce("up", "id").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("hops"), F.least("id", F.coalesce("up", "id")).alias("least"))
+    before = edges.select(F.col("id").alias("up"), F.col("to_node").alias("node")).hint("merge").join(order, "node")
+    links = edges.select("id", F.col("from_node").alias("node")).hint("merge").join(before, "node").filter("id <> up").select("id", "up")
+    state = edges.select("id").hint("merge").join(links, "id", "left").select("id", F.coalesce("up", "id").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("hops"), F.least("id", F.coalesce("up", "id")).alias("least"))
 
     def jumped(state: DataFrame) -> DataFrame:
         most = state.count()
         state, reach = materialize(state, "jumps"), 1
         while reach < 2 * most:
             above = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("hops").alias("more"), F.col("least").alias("low"))
-            new = materialize(state.join(above, "up").select("id", F.col("next").alias("up"), (F.col("hops") + F.col("more")).alias("hops"), F.least("least", "low").alias("least"), (F.col("next") != F.col("up")).alias("moved")), "jumps")
+            new = materialize(state.hint("merge").join(above, "up").select("id", F.col("next").alias("up"), (F.col("hops") + F.col("more")).alias("hops"), F.least("least", "low").alias("least"), (F.col("next") != F.col("up")).alias("moved")), "jumps")
             state, reach = new.drop("moved"), reach * 2
             if new.filter("moved").isEmpty():
                 break
@@ -380,12 +382,12 @@ def chains(edges: DataFrame) -> DataFrame:
     done = jumped(state)
     # an edge whose upper end isn't a root is on a ring, which is cut before its least edge
     roots = done.filter("id = up and hops = 0").select(F.col("id").alias("up"))
-    ring = materialize(done.join(roots, "up", "left_anti").select("id", "least"), "rings")
+    ring = materialize(done.hint("merge").join(roots, "up", "left_anti").select("id", "least"), "rings")
     if not ring.isEmpty():
         heads = ring.filter("id = least").select("id", F.lit(True).alias("head"))
-        cut = state.join(heads, "id", "left").select("id", F.when(F.col("head"), F.col("id")).otherwise(F.col("up")).alias("up"), F.when(F.col("head"), F.lit(0)).otherwise(F.col("hops")).cast("long").alias("hops"), "least")
+        cut = state.hint("merge").join(heads, "id", "left").select("id", F.when(F.col("head"), F.col("id")).otherwise(F.col("up")).alias("up"), F.when(F.col("head"), F.lit(0)).otherwise(F.col("hops")).cast("long").alias("hops"), "least")
         done = jumped(cut)
-    rows = edges.join(done.select("id", F.col("up").alias("chain"), "hops"), "id")
+    rows = edges.hint("merge").join(done.select("id", F.col("up").alias("chain"), "hops"), "id")
     made = rows.groupBy("chain").agg(F.min_by("from_node", "hops").alias("from_node"), F.max_by("to_node", "hops").alias("to_node"), F.array_sort(F.collect_list(F.struct("hops", "from_node"))).alias("nodes"), F.max("width").alias("width"))
     return made.select("chain", "from_node", "to_node", F.concat(F.transform("nodes", lambda x: x["from_node"]), F.array("to_node")).alias("nodes"), "width")
 

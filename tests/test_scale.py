@@ -95,3 +95,10 @@ def test_created_nodes_are_beside_stored_ones(spark, tmp_path):
 def test_nodes_that_move_over_the_date_line(spark, tmp_path):
     far = [k for k in range(200_000) if k * 7919 % 36000 >= 35_650 and (k + 1) % 50 == 0 and (k + 1) % 3 == 1]
     same_as_sql(spark, "append_expiry", tables(spark, tmp_path, part=("p_partkey long", [(k,) for k in far])))
+
+
+def test_chains_broadcast_nothing(spark):
+    edges = spark.range(40).select("id", F.col("id").cast("string").alias("from_node"), (F.col("id") + 1).cast("string").alias("to_node"), F.lit(1.0).alias("width"))
+    made = generalize.chains(edges)
+    assert "Broadcast" not in plan(made)
+    assert [(r["chain"], len(r["nodes"])) for r in made.collect()] == [(0, 41)]
