@@ -129,8 +129,8 @@ def lines_roads_polygons(ways: DataFrame, rules: list[Rule], hstore: str = "none
     """
     known = F.size(F.filter("points", lambda p: p["x"].isNotNull()))
     made = line_or_polygon(ways, rules, hstore).drop("nodes").join(ways.select("id", "points"), "id").filter(known > 1)
-    area = made.filter("is_polygon").withColumn("rings", F.get(S.assemble_udf(F.array(_projected(M.as_linestring(F.col("points")), latlon))), F.lit(0)))
-    polygons = area.filter(F.col("rings").isNotNull()).withColumn("way_area", _way_area(F.col("rings"), latlon, reproject_area))
+    area = made.filter("is_polygon").withColumn("rings", S.first_polygon(F.array(_projected(M.as_linestring(F.col("points")), latlon))))
+    polygons = area.withColumn("way_area", _way_area(F.col("rings"), latlon, reproject_area))
     lines = made.filter("not is_polygon").withColumn("line", _projected(M.as_linestring(F.col("points")), latlon)).filter(F.col("line").isNotNull())
     cut = _cut(lines, latlon).drop("points", "is_polygon")
     return {"line": cut.drop("is_road"), "roads": cut.filter("is_road").drop("is_road"), "polygon": polygons.drop("points", "is_polygon", "is_road")}

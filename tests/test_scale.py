@@ -125,3 +125,9 @@ def test_nested_arrays_hold_nulls_and_empty_rows():
         made = S.assemble_udf.func(given).to_pylist()
         assert [None if v is None else [len(rings) for rings in v] for v in made] == [None, [1], None, None, [1], [1, 1]]
         assert S.line_merge_udf.func(given).to_pylist()[:3] == [None, [line(square)], []]
+
+
+@pytest.mark.parametrize("query", ["way_polygon", "legacy_polygons"])
+def test_rings_are_assembled_once(spark, query):
+    made = plan(entry.queries()[query](spark, SF)).splitlines()
+    assert sum("EvalPython" in x and "assemble" in x for x in made) == 1
