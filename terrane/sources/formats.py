@@ -7,7 +7,7 @@ Every reader gives the same three tables:
     rels  (id, version, ts, changeset, uid, user, op, members, tags)
 
 ``op`` is null in data files, and create, modify or delete in change files. Zero versions, changesets and uids and empty users
-are null. Text formats are split by Spark's own readers; a binary file is read block by block: PBF blobs are found by
+are null. Text formats are read in splits; a binary file is read block by block: PBF blobs are found by
 a scan of their headers and dealt to tasks, o5m is one stream whose string table can't be entered in the middle.
 """
 
@@ -18,6 +18,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def detect(path: str, given: str | None = None) -> str:
     return known[name]
 
 
-def read(spark: SparkSession, path: str, given: str | None = None) -> Objects:
+def read(spark: SparkSession, path: str, given: str | None = None) -> Objects | XmlObjects:
     return {"xml": read_xml, "osc": read_osc, "opl": read_opl, "pbf": read_pbf, "o5m": read_o5m}[detect(path, given)](spark, path)
 
 
@@ -88,31 +89,72 @@ def _tags() -> Column:
     return F.map_from_entries(F.coalesce(F.transform("tag", lambda t: F.struct(t["_k"].alias("key"), t["_v"].alias("value"))), F.array().cast("array<struct<key:string,value:string>>"))).alias("tags")
 
 
-def _from_xml(frames: dict[str, DataFrame]) -> Objects:
-    op = lambda df: F.col("__op") if "__op" in df.columns else F.when(F.col("_visible") == False, "delete").cast("string")  # noqa: E712, E731
-    n, w, r = frames["node"], frames["way"], frames["relation"]
-    return Objects(
-        n.select(*_attributes(op(n)), to_e7(F.col("_lon")).alias("lon_e7"), to_e7(F.col("_lat")).alias("lat_e7"), _tags()),
-        w.select(*_attributes(op(w)), F.coalesce(F.transform("nd", lambda x: x["_ref"]), F.array().cast("array<bigint>")).alias("nodes"), _tags()),
-        r.select(*_attributes(op(r)), F.coalesce(F.transform("member", lambda m: F.struct(F.substring(m["_type"], 1, 1).alias("type"), m["_ref"].alias("ref"), m["_role"].alias("role"))), F.array().cast(f"array<{MEMBER}>")).alias("members"), _tags()),
-    )
+def _op(df: DataFrame) -> Column:
+    return F.col("__op") if "__op" in df.columns else F.when(F.col("_visible") == False, "delete").cast("string")  # noqa: E712
+
+
+def _nodes_of(n: DataFrame) -> DataFrame:
+    return n.select(*_attributes(_op(n)), to_e7(F.col("_lon")).alias("lon_e7"), to_e7(F.col("_lat")).alias("lat_e7"), _tags())
+
+
+def _ways_of(w: DataFrame) -> DataFrame:
+    return w.select(*_attributes(_op(w)), F.coalesce(F.transform("nd", lambda x: x["_ref"]), F.array().cast("array<bigint>")).alias("nodes"), _tags())
+
+
+def _rels_of(r: DataFrame) -> DataFrame:
+    member = lambda m: F.struct(F.substring(m["_type"], 1, 1).alias("type"), m["_ref"].alias("ref"), m["_role"].alias("role"))
+    return r.select(*_attributes(_op(r)), F.coalesce(F.transform("member", member), F.array().cast(f"array<{MEMBER}>")).alias("members"), _tags())
+
+
+#: A task reads so many bytes of an XML file, and on to the end of its last element.
+XML_SPLIT = 32 << 20
+_XML_FORMAT = "org.apache.spark.sql.execution.datasources.xml.XmlInputFormat"
+# What the reader that enters a file anywhere would take wrongly, by what follows a "<": markup that may hold tags, ">" in an attribute, a space in an end tag
+_UNSAFE = r"""^!(?!--)|^!--(?![\s\S]*-->)|^\?(?![\s\S]*\?>)|^[^>"']*(?:"[^">]*"[^>"']*|'[^'>]*'[^>"']*)*(?:"[^">]*>|'[^'>]*>)|^/[\w:]+\s"""
 
 
-def read_xml(spark: SparkSession, path: str) -> Objects:
-    """A data file; each kind is a scan of its own, split by Spark."""
-    return _from_xml({k: spark.read.format("xml").option("rowTag", k).schema(s).load(path) for k, s in _XML.items()})
+def _xml_rows(spark: SparkSession, path: str, tag: str, schema: str, whole: bool) -> DataFrame:
+    """A row for each element of a name. Spark's own reader takes a file in one task: that is ``whole``, for files that can't be entered anywhere."""
+    if whole:
+        return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    conf = {"xmlinput.start": f"<{tag}>", "xmlinput.end": f"</{tag}>", "xmlinput.encoding": "UTF-8", "mapreduce.input.fileinputformat.split.maxsize": str(XML_SPLIT)}
+    found = spark.sparkContext.newAPIHadoopFile(path.replace(",", "\\,"), _XML_FORMAT, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text", conf=conf)
+    rows = spark.createDataFrame(found.map(lambda row: (row[1],)), "value string")
+    return rows.select(F.from_xml("value", schema).alias("o")).select("o.*")
 
 
-def read_osc(spark: SparkSession, path: str) -> Objects:
+def _one_piece(spark: SparkSession, path: str) -> bool:
+    """Whether an XML file holds what tells elements apart only when it is read from its begin."""
+    return bool(spark.read.option("lineSep", "<").text(path).filter(F.col("value").rlike(_UNSAFE)).take(1))
+
+
+class XmlObjects:
+    """The tables of :class:`Objects`, each made when it is asked for, since its first element is looked for then."""
+
+    def __init__(self, frame) -> None:
+        self._frame = frame
+
+    nodes = cached_property(lambda self: _nodes_of(self._frame("node")))
+    ways = cached_property(lambda self: _ways_of(self._frame("way")))
+    rels = cached_property(lambda self: _rels_of(self._frame("relation")))
+
+
+def read_xml(spark: SparkSession, path: str) -> XmlObjects:
+    """A data file; each kind is a scan of its own, in splits."""
+    whole = _one_piece(spark, path)
+    return XmlObjects(lambda kind: _xml_rows(spark, path, kind, _XML[kind], whole))
+
+
+def read_osc(spark: SparkSession, path: str) -> XmlObjects:
     """A change file: its create, modify and delete sections."""
     section = ", ".join(f"{k} array<struct<{_struct(s)}>>" for k, s in _XML.items())
-    frames: dict[str, DataFrame] = {}
-    for op in ("create", "modify", "delete"):
-        rows = spark.read.format("xml").option("rowTag", op).schema(section).load(path)
-        for kind in _XML:
-            own = rows.select(F.explode(kind).alias("o")).select("o.*").withColumn("__op", F.lit(op))
-            frames[kind] = own if kind not in frames else frames[kind].unionByName(own)
-    return _from_xml(frames)
+    whole = _one_piece(spark, path)
+
+    def frame(kind: str) -> DataFrame:
+        own = [_xml_rows(spark, path, op, section, whole).select(F.explode(kind).alias("o")).select("o.*").withColumn("__op", F.lit(op)) for op in ("create", "modify", "delete")]
+        return reduce(DataFrame.unionByName, own)
+
+    return XmlObjects(frame)
 
 
 def _struct(schema: str) -> str:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from terrane.functions import shapes as S
 from terrane.operators import generalize, locator
+from terrane.sources import formats
 
 SF = "/root/testdata/sf0.001"
 
@@ -131,3 +132,16 @@ def test_nested_arrays_hold_nulls_and_empty_rows():
 def test_rings_are_assembled_once(spark, query):
     made = plan(entry.queries()[query](spark, SF)).splitlines()
     assert sum("EvalPython" in x and "assemble" in x for x in made) == 1
+
+
+@pytest.mark.parametrize("odd", ["", "<!-- <node id='9'/> -->", "<node id='7' user='a>b'/>", "<node id='7'><tag k='a' v='b'/></node >", "<!-- plain -->"])
+def test_xml_files_are_read_in_splits(spark, tmp_path, monkeypatch, odd):
+    nodes = [f'<node id="{i}" lat="1.5" lon="-2"' + ('/>' if i % 2 else f'>\n <tag k="é" v="/&gt;{"x" * (i % 40)}"/></node>\n') for i in range(100, 400)]
+    (tmp_path / "a.osm").write_text("<?xml version='1.0'?><osm>" + "".join(nodes) + odd + '<way id="1"><nd ref="100"/></way></osm>')
+    monkeypatch.setattr(formats, "XML_SPLIT", 700, raising=False)
+    made = formats.read(spark, str(tmp_path / "a.osm"))
+    rows = made.nodes.select("id", "lon_e7", "lat_e7", F.size("tags").alias("n")).collect()
+    assert sorted(r.id for r in rows) == ([7] if "'7'" in odd else []) + list(range(100, 400))
+    assert {(r.lon_e7, r.lat_e7, r.n) for r in rows if r.id >= 100} == {(-20000000, 15000000, 0), (-20000000, 15000000, 1)}
+    assert [tuple(r) for r in made.ways.select("id", "nodes").collect()] == [(1, [100])] and made.rels.count() == 0
+    assert (made.nodes.rdd.getNumPartitions() > 10) == (odd in ("", "<!-- plain -->"))
