@@ -27,7 +27,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,8 @@ SAMPLES, ALPHA, SHIFT, SEED = 2, 1.0, 20.0, 11
 #: A text of over ``LONG`` characters is sampled by blocks of about ``BLOCK``.
 LONG, BLOCK = 300_000, 200_000
 GROWTH = 30.0
+#: The last chunks of a batch whose paths are not at their ends are drawn as a whole.
+FEW = 48
 
 
 def normalized(text: str | None) -> str:
@@ -63,6 +65,15 @@ def _uniform(seeds: np.ndarray, *places) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
+def _keyed(seeds: np.ndarray, tag: int) -> np.ndarray:
+    """``_uniform(_keyed(seeds, tag), place)`` is ``_uniform(seeds, tag, place)``: the first step, which all places of a text share."""
+    return _mix(seeds ^ np.uint64(tag))
+
+
+def _uniform_at(keyed: np.ndarray, doc_of: np.ndarray, place: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return _uniform(keyed[doc_of[at]], place[at])
+
+
 class Vocabulary:
     """The pieces as a trie in flat arrays, their weights, and how they are spelled.
 
@@ -112,6 +123,9 @@ class Vocabulary:
             while self.keys[slot] != self.EMPTY:
                 slot = (slot + 1) & self.mask
             self.keys[slot], self.to[slot] = key, to
+        # the first step, which every place takes, by the class alone; no step leads back to the root
+        self.first = np.zeros(len(letters) + 1, np.int32)
+        self.first[[kind for at, kind in steps if not at]] = [to for (at, _), to in steps.items() if not at]
 
     def _slot(self, key):
         return ((key * 0x9E3779B1) >> 11) & self.mask
@@ -159,15 +173,19 @@ class Lattice:
         n, longest = len(code), voc.longest
         kinds = np.concatenate((voc.kinds[code], np.zeros(longest, np.int16)))
         self.piece, self.p = np.full((longest, n), -1, np.int32), np.zeros((longest, n))
-        at, state = np.arange(n), np.zeros(n, np.int32)
+        state = voc.first[kinds[:n]]
+        at = np.flatnonzero(state)
+        state = state[at]
         for length in range(longest):
-            hit, state = voc.step(state, kinds[at + length])
-            at = at[hit]
+            if length:
+                hit, state = voc.step(state, kinds[at + length])
+                at = at[hit]
             if not len(at):
                 break
             ends = voc.ends[state]
-            there = ends >= 0
-            self.piece[length, at[there]], self.p[length, at[there]] = ends[there], voc.weight[ends[there]]
+            there = np.flatnonzero(ends >= 0)
+            ends, on = ends[there], at[there]
+            self.piece[length][on], self.p[length][on] = ends, voc.weight[ends]
         fallback = self.piece[0] < 0
         n_bytes = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
         self.p[0, fallback] = voc.byte_weight ** n_bytes[fallback] * GROWTH
@@ -200,22 +218,28 @@ class Lattice:
             sums = [x[:k] for x in sums[1 - longest :]] + [total]
             if r % 8 == 0 and ((total < 1e-60) | (total > 1e60)).any():
                 sums = [x / total for x in sums]
-        self.p_sum = p_sum = p.copy()
-        for before, row in zip(p_sum[:-1], p_sum[1:], strict=True):
-            row += before
-
-    def choices(self, u: np.ndarray) -> np.ndarray:
-        """For every place, the length less one of a piece drawn from its probabilities."""
-        out, u = np.zeros(len(u), np.int8), u * (1 - 1e-12)  # below the sum of a place's probabilities, as rounded
-        for row in self.p_sum[:-1]:
-            out += u >= row
-        return out
-
-    def visited(self, choice: np.ndarray) -> np.ndarray:
-        """The places that the path of these choices meets, in order."""
+
+    def _choose(self, choice: np.ndarray, at: np.ndarray, uniform) -> None:
+        """Sets, at these places, the length less one of a piece drawn from their probabilities."""
+        u, total = uniform(at) * (1 - 1e-12), np.zeros(len(at))  # below the sum of a place's probabilities, as rounded
+        choice[at] = 0
+        for row in self.p[:-1]:
+            total += row[at]
+            on = np.flatnonzero(u >= total)
+            if not len(on):
+                break
+            at, u, total = at[on], u[on], total[on]
+            choice[at] += 1
+
+    def walk(self, choice: np.ndarray, fixed: np.ndarray, uniform) -> np.ndarray:
+        """The places that a path meets, in order. Its choices are drawn on the way (``uniform`` gives the numbers of places) and set, but those that are fixed."""
         seen = np.zeros(len(choice), bool)
-        at, ends = self.starts, self.ends
+        at, ends, drawn = self.starts, self.ends, False
         while len(at):
+            if not drawn:
+                drawn = len(at) <= FEW  # the places of the last chunks at once, since each step has its price
+                ahead = np.concatenate([np.arange(a, b) for a, b in zip(at.tolist(), ends.tolist(), strict=True)]) if drawn else at
+                self._choose(choice, ahead[~fixed[ahead]], uniform)
             seen[at] = True
             at = at + choice[at] + 1
             on = at < ends
@@ -253,8 +277,8 @@ class Path:
     A class of the module: one made for every batch would be a reference cycle that keeps the batch's lattice.
     """
 
-    def __init__(self, lat: Lattice, doc_of: np.ndarray, seed_of: np.ndarray, place: np.ndarray, choice: np.ndarray, top: np.ndarray, tag: int, since: np.ndarray) -> None:
-        self.choice, self.at = choice, lat.visited(choice)
+    def __init__(self, lat: Lattice, doc_of: np.ndarray, seeds: np.ndarray, place: np.ndarray, choice: np.ndarray, fixed: np.ndarray, top: np.ndarray, tag: int, since: np.ndarray) -> None:
+        self.choice, self.at = choice, lat.walk(choice, fixed, partial(_uniform_at, _keyed(seeds, tag), doc_of, place))
         self.doc_at = np.searchsorted(self.at, lat.doc_at)
         p = lat.p[choice[self.at], self.at]
         self.log_p = np.log(p)
@@ -264,7 +288,7 @@ class Path:
         doc = doc_of[self.at]
         with np.errstate(divide="ignore"):
             location = np.where(p < 1 - 1e-12, self.prefix - self.log_p + np.log1p(-np.minimum(p, 1.0)), -math.inf)
-        self.left = _cut_gumbel(location, top[doc], _uniform(seed_of[self.at], tag + 1000, place[self.at]))
+        self.left = _cut_gumbel(location, top[doc], _uniform_at(_keyed(seeds, tag + 1000), doc_of, place, self.at))
         self.left[self.at <= since[doc]] = -math.inf  # those sets are the earlier path's
 
     def of(self, d: int) -> slice:
@@ -276,11 +300,12 @@ def sample_batch(voc: Vocabulary, texts: list[str | None], seeds: np.ndarray, k:
     lat, docs = Lattice(voc, [normalized(t) for t in texts]), len(texts)
     seeds = np.asarray(seeds, np.int64).view(np.uint64)
     doc_of = np.repeat(np.arange(docs), np.diff(lat.doc_at))
-    seed_of, place = seeds[doc_of], np.arange(len(doc_of)) - lat.doc_at[doc_of]
+    place = np.arange(len(doc_of)) - lat.doc_at[doc_of]
 
     top = -np.log(-np.log(_uniform(seeds, 999)))
-    of_batch = (lat, doc_of, seed_of, place)
-    paths = [Path(*of_batch, lat.choices(_uniform(seed_of, 0, place)), top, 0, np.full(docs, -1))]
+    of_batch = (lat, doc_of, seeds, place)
+    size = len(doc_of)
+    paths = [Path(*of_batch, np.zeros(size, np.int8), np.zeros(size, bool), top, 0, np.full(docs, -1))]
     used: dict[tuple[int, int, int], list[int]] = {}  # by document, path and place: the lengths gone at a set that was opened before
     found: list[list] = [[] for _ in range(docs)]
 
@@ -305,7 +330,7 @@ def sample_batch(voc: Vocabulary, texts: list[str | None], seeds: np.ndarray, k:
         alive = np.flatnonzero(value > -math.inf).tolist()
         if not alive:
             break
-        choice, since, rests = lat.choices(_uniform(seed_of, r, place)), np.full(docs, np.iinfo(np.int64).max), []
+        choice, fixed, since, rests = np.zeros(size, np.int8), np.zeros(size, bool), np.full(docs, np.iinfo(np.int64).max), []
         for d in alive:
             path, i = paths[which[d]], int(index[d])
             at = int(path.at[i])
@@ -318,11 +343,12 @@ def sample_batch(voc: Vocabulary, texts: list[str | None], seeds: np.ndarray, k:
             begin = int(lat.doc_at[d])
             choice[begin:at] = path.choice[begin:at]
             choice[at] = pick
+            fixed[begin : at + 1] = True
             since[d] = at
             path.left[i] = -math.inf
             probs[pick] = 0.0
             rests.append((d, at, [*gone, pick], path.prefix[i] - path.log_p[i] + math.log(rest) if (rest := float(probs.sum())) > 1e-15 else -math.inf))
-        path = Path(*of_batch, choice, value, r, since)
+        path = Path(*of_batch, choice, fixed, value, r, since)
         for d, at, gone, location in rests:
             used[(d, len(paths), at)] = gone
             i = int(np.searchsorted(path.at, at))
@@ -387,8 +413,7 @@ def sample_long(voc: Vocabulary, text: str | None, seed: int, k: int = SAMPLES,
                 continue
             lat = Lattice(voc, [spelled[lo:hi]])
             place = np.arange(lo, hi + 1)
-            choice = lat.choices(_uniform(np.repeat(seeds, len(place)), r, place))
-            rest = None
+            choice, fixed, rest = np.zeros(len(place), np.int8), np.zeros(len(place), bool), None
             if lo <= at:
                 gone = used.setdefault((origin, at), [int(old.choice[at])])
                 before = old.sets.pop(at)[1]
@@ -397,11 +422,12 @@ def sample_long(voc: Vocabulary, text: str | None, seed: int, k: int = SAMPLES,
                 pick = int(np.searchsorted(np.cumsum(probs), float(_uniform(seeds, r + 2000, at)[0]) * probs.sum(), "right"))
                 pick = min(pick, int(np.flatnonzero(probs)[-1]))
                 choice[: at - lo], choice[at - lo] = old.choice[lo:at], pick
+                fixed[: at - lo + 1] = True
                 probs[pick] = 0.0
                 used[(r, at)] = [*gone, pick]
                 if (left := float(probs.sum())) > 1e-15:
                     rest = before + math.log(left)
-            on = lat.visited(choice)
+            on = lat.walk(choice, fixed, lambda at: _uniform(np.repeat(seeds, len(at)), r, at + lo))  # noqa: B023  it is called before they change
             p = lat.p[choice[on], on]
             log_p = np.log(p)
             prefix = np.cumsum(np.concatenate(([path.before[-1]], log_p)))[1:]

@@ -386,6 +386,19 @@ def all_ways(voc, text):
     return list(go(sentencepieces.normalized(text)))
 
 
+def test_sentencepieces_draw_where_paths_go(monkeypatch):
+    voc, drawn, mix = sentencepieces.Vocabulary(PIECES), [0], sentencepieces._mix
+
+    def counted(x):
+        drawn[0] += np.size(x)
+        return mix(x)
+
+    monkeypatch.setattr(sentencepieces, "_mix", counted)
+    texts = ["the other members are standing in another house " * 20] * 20
+    sentencepieces.sample_batch(voc, texts, np.arange(20), 2)
+    assert drawn[0] < 2.5 * sum(map(len, texts))  # 4 a character and more if every place is drawn
+
+
 def test_sentencepieces(spark):
     voc = sentencepieces.Vocabulary(PIECES)
     ways = all_ways(voc, "the an")
