@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tiles as T
+from ..sources.store import fresh
 
 STEP = 0.4
 
@@ -174,7 +175,10 @@ def pyramid(tiles: DataFrame, zoom: int, minzoom: int) -> DataFrame:
 
 def symmetric_difference(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of one side only: what a change has to expire."""
-    return old.select(columns).exceptAll(new.select(columns)).unionByName(new.select(columns).exceptAll(old.select(columns)))
+    n = fresh("n")
+    both = old.select(columns).withColumn(n, F.lit(1)).unionByName(new.select(columns).withColumn(n, F.lit(-1)))  # each side is read once
+    net = both.groupBy(columns).agg(F.sum(n).alias(n)).filter(F.col(n) != 0)
+    return net.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.abs(n)))).select(columns)
 
 
 def tile_list(tiles: DataFrame) -> DataFrame:

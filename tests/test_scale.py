@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from terrane.functions import shapes as S
-from terrane.operators import generalize, locator
+from terrane.operators import expire, generalize, locator
 from terrane.sources import formats
 
 SF = "/root/testdata/sf0.001"
@@ -145,3 +145,11 @@ def test_xml_files_are_read_in_splits(spark, tmp_path, monkeypatch, odd):
     assert {(r.lon_e7, r.lat_e7, r.n) for r in rows if r.id >= 100} == {(-20000000, 15000000, 0), (-20000000, 15000000, 1)}
     assert [tuple(r) for r in made.ways.select("id", "nodes").collect()] == [(1, [100])] and made.rels.count() == 0
     assert (made.nodes.rdd.getNumPartitions() > 10) == (odd in ("", "<!-- plain -->"))
+
+
+def test_symmetric_difference_reads_each_side_once(spark):
+    old, new = ([(1, [1]), (1, [1]), (2, [2]), (None, None), (5, None)], [(1, [1]), (2, [2]), (2, [2]), (2, [2]), (None, None), (None, None)])
+    frame = lambda rows: spark.createDataFrame(rows, "id int, line array<int>")
+    made = expire.symmetric_difference(frame(old), frame(new), ["id", "line"])
+    assert sum("Scan ExistingRDD" in x for x in plan(made).splitlines()) == 2
+    assert sorted(map(tuple, made.collect()), key=repr) == sorted([(1, [1]), (2, [2]), (2, [2]), (None, None), (5, None)], key=repr)
