@@ -91,6 +91,28 @@ def test_nodes_at_one_place_are_points_of_their_own(spark, tmp_path, query):
     same_as_sql(spark, query, folder)
 
 
+@pytest.fixture(scope="module")
+def mixed(tmp_path_factory):
+    """Six copies of SF whose rows refer to parts and customers of any copy. Parts of two copies lie at one place (their keys differ by
+    144,000), so some ways meet two nodes of one place in a row; copies whose ways keep to their own parts never do."""
+    folder, con, some = tmp_path_factory.mktemp("mixed"), duckdb.connect(), lambda salt: f"(hash(t, k, {salt}) % 6)::bigint"
+    shifted = {
+        "customer": "c_custkey + k * 1000 as c_custkey", "supplier": "s_suppkey as s_suppkey", "part": "p_partkey + k * 144000 as p_partkey", "events": "event_id + k * 100000 as event_id",
+        "orders": f"o_orderkey + k * 10000 as o_orderkey, (o_custkey + {some(1)} * 1000)::bigint as o_custkey",
+        "lineitem": f"l_orderkey + k * 10000 as l_orderkey, (l_partkey + {some(2)} * 144000)::bigint as l_partkey",
+    }
+    for name in ("nation", "region", *shifted):
+        rows = f"select t.* replace ({shifted[name]}) from '{SF}/{name}.parquet' t, range(6) r(k)" if name in shifted else f"select * from '{SF}/{name}.parquet'"
+        (folder / f"{name}.parquet").mkdir()
+        con.execute(f"copy ({rows}) to '{folder}/{name}.parquet/0.parquet' (format parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("query", ["expire_lines"])
+def test_ways_over_nodes_of_all_copies(spark, mixed, query):
+    same_as_sql(spark, query, mixed)
+
+
 def test_created_nodes_are_beside_stored_ones(spark, tmp_path):
     same_as_sql(spark, "apply_changes_nodes", tables(spark, tmp_path, part=("p_partkey long", [(99,), (5,), (1_000_099,), (6,)])))
 
