@@ -108,7 +108,7 @@ def mixed(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("query", ["expire_lines", "geom_centroid_points", "geom_npoints", "geom_reverse", "geometry_n", "import_lines"])
+@pytest.mark.parametrize("query", ["expire_lines", "geom_centroid_points", "geom_npoints", "geom_reverse", "geometry_n", "import_lines", "import_rejects"])
 def test_ways_over_nodes_of_all_copies(spark, mixed, query):
     same_as_sql(spark, query, mixed)
 
